@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import decontam, lm, neardup, packing, quality, rules, secrets, tokens, urls
+from corvane.llm import decontam, lm, neardup, packing, quality, rules, secrets, substrings, tokens, urls
 from corvane.session import table
 
 
@@ -39,6 +39,10 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
 
+def op8_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
@@ -49,7 +53,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ALL = (
     op1_decontamination, op2_quality_classifier, op3_quality_rules, op4_secret_scans, op5_simhash, op6_packing,
-    op7_lm_scoring, op9_url_filters, op10_token_counts,
+    op7_lm_scoring, op8_repeated_substrings, op9_url_filters, op10_token_counts,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
