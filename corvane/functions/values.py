@@ -49,6 +49,6 @@ def years_before(day: Column, years: int) -> Column:
 
 
 def kept_keys(document: Column, allowed: list[str]) -> Column:
-    """The allowed top-level keys of a JSON object as a map; empty for anything else."""
-    parsed = F.coalesce(F.from_json(document, "map<string,string>"), F.create_map().cast("map<string,string>"))
+    """The allowed top-level keys of a JSON object as a map of their values; empty for anything else."""
+    parsed = F.coalesce(F.from_json(document, "map<string,variant>"), F.from_json(F.lit("{}"), "map<string,variant>"))
     return F.map_filter(parsed, lambda k, _: k.isin(allowed))

@@ -36,9 +36,21 @@ def write_records(rows: DataFrame, path: str) -> None:
     rows.select("text", F.struct(*fields).alias("metadata"), F.col("name").alias("folder")).write.mode("overwrite").partitionBy("folder").json(path)
 
 
+def empty_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, length, content) of text files without a byte, which file scans leave out; from a listing."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found, entries = [], top.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(top, True)
+    while entries.hasNext():
+        entry = entries.next()
+        if entry.getLen() == 0 and entry.getPath().getName().endswith(".txt"):
+            found.append((entry.getPath().toString(), 0, bytearray()))
+    return spark.createDataFrame(found, "path string, length long, content binary")
+
+
 def manifest(spark: SparkSession, path: str, root: str = "data/raw/") -> DataFrame:
     """One row per text file: document_id, path, source_type, name, sha256, size_bytes, line_count, is_empty."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").load(path).select("path", "length", "content")
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").load(path).select("path", "length", "content").where("length > 0")
+    rows = rows.unionByName(empty_files(spark, path))
     text = F.decode("content", "UTF-8")
     relative = F.when(F.contains("path", F.lit(root)), F.substring_index("path", root, -1)).otherwise(F.substring_index("path", "/", -1))
     breaks = F.regexp_count(text, F.lit(r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\u0085  ]"))
