@@ -205,7 +205,8 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     mine = F.col("doc_id") == F.col("component_id")
     ids = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(mine).alias("own")).where("own > 0")
     ids = common.written(ids, "ids")
-    once = docs.join(ids.where("n = 1").select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+    # a shuffled hash of ids at every size: texts move once and aren't sorted
+    once = docs.join(ids.where("n = 1").select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi").select(docs.columns)
     several = found.join(ids.where("n > 1").select("doc_id"), "doc_id", "left_semi").where(mine).groupBy("doc_id").agg(F.min("fp").alias("fp"))
     nameless = found.where("component_id is null").groupBy("root").agg(F.min("doc_id").alias("doc_id"), F.min("fp").alias("fp"))
     chosen = common.written(several.select("doc_id", "fp").union(nameless.select("doc_id", "fp")), "chosen")
