@@ -127,7 +127,7 @@ def suffix_order(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nda
     for k in range(7):
         key = (key << np.uint64(8)) | np.where(k < rest, padded[k : k + n], np.uint64(0))
     key = (key << np.uint64(8)) | np.minimum(rest, 7).astype(np.uint64)
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     sorted_key = key[order]
     head = np.r_[True, sorted_key[1:] != sorted_key[:-1]]
     rank = np.empty(n, np.int64)
@@ -140,39 +140,46 @@ def suffix_order(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nda
             return order, rank
         at = order[slots]
         ended = depth >= rest[at]
-        second = np.where(ended, np.arange(len(at)) * 0 + at - n, rank[np.minimum(at + depth, n - 1)])  # ended suffixes come first, by position
-        by = np.lexsort((second, rank[at]))
-        at, second = at[by], second[by]
-        group = rank[at]
+        second = np.where(ended, at - n, rank[np.minimum(at + depth, n - 1)])  # ended suffixes come first, by position
+        pair = rank[at] * (2 * n) + (second + n)
+        by = np.argsort(pair)
+        at, pair = at[by], pair[by]
         order[slots] = at
-        head[slots] = np.r_[True, (group[1:] != group[:-1]) | (second[1:] != second[:-1])]
+        head[slots] = np.r_[True, pair[1:] != pair[:-1]]
         rank[at] = np.maximum.accumulate(np.where(head[slots], slots, 0))
         depth *= 2
 
 
-def common_prefixes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, order: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """Length shared by each suffix with the one before it in order (Kasai), all segments in lockstep."""
+def common_prefixes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, order: np.ndarray, rank: np.ndarray, most: int = LENGTH) -> np.ndarray:
+    """Length, up to `most`, shared by each suffix of at least `most` bytes with the one before it in order.
+
+    Kasai's bound (a suffix shares at most one byte less than the one that starts a byte earlier)
+    is carried along every segment; all segments advance in lockstep, by up to 8 bytes a step.
+    """
     n = len(data)
+    word = np.r_[data, np.zeros(8, np.uint8)].astype(np.uint64)
+    for step in (1, 2, 4):
+        word = word[: len(word) - step] | (word[step:] << np.uint64(8 * step))
     lcp = np.zeros(n, np.int64)
-    longest = int((ends[starts] - starts).max(initial=0))
+    last = ends[starts] - most
     carried = np.zeros(len(starts), np.int64)
     live = np.arange(len(starts))
-    stop = ends[starts]
-    for k in range(longest):
-        live = live[starts[live] + k < stop[live]]
+    for k in range(int((last - starts).max(initial=-1)) + 1):
+        live = live[starts[live] + k <= last[live]]
         at = starts[live] + k
         r = rank[at]
         before = order[np.maximum(r - 1, 0)]
-        h = np.maximum(carried[live] - 1, 0)
-        h[r == 0] = 0
-        most = np.minimum(ends[at] - at, ends[before] - before)
-        most[r == 0] = 0
-        going = np.flatnonzero(h < most)
+        limit = np.minimum(most, ends[before] - before)
+        limit[r == 0] = 0
+        h = np.minimum(np.maximum(carried[live] - 1, 0), limit)
+        going = np.flatnonzero(h < limit)
         while len(going):
-            same = data[at[going] + h[going]] == data[before[going] + h[going]]
-            going = going[same]
-            h[going] += 1
-            going = going[h[going] < most[going]]
+            g = h[going]
+            x = word[at[going] + g] ^ word[before[going] + g]
+            equal = np.bitwise_count((x & (~x + np.uint64(1))) - np.uint64(1)).astype(np.int64) >> 3  # trailing equal bytes; 8 if all are
+            g = np.minimum(g + equal, limit[going])
+            h[going] = g
+            going = going[(equal == 8) & (g < limit[going])]
         lcp[at] = h
         carried[live] = h
     return lcp
