@@ -57,4 +57,4 @@ _ALL = (
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
-ORACLES: dict[str, str] = {"op1_decontamination": decontam.ORACLE, "op9_url_filters": urls.ORACLE}
+ORACLES: dict[str, str] = {"op1_decontamination": decontam.ORACLE, "op4_secret_scans": secrets.ORACLE, "op9_url_filters": urls.ORACLE}

@@ -34,10 +34,12 @@ PATTERNS = [
     ("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
     ("access", r"AKIA[A-Z0-9]+", 0, 18),
     ("hex", r"[0-9a-f]+", 0, 16),
-    ("login", r"""(?i)\b(?:user(?:_?name)?|login|account|client_?id|key_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._+-]+)""", 1, 3),
-    ("key", r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]*[0-9])(?=[A-Za-z0-9+/_-]*[a-z])(?=[A-Za-z0-9+/_-]*[A-Z])[A-Za-z0-9+/_-]{20,}={0,2}", 0, 20),
-    ("endpoint", r"\b[a-z][a-z0-9+.]{1,15}://[A-Za-z0-9._~:/?#@%&=+-]+", 0, 8),
+    ("login", r"""(?i)(?:user_?name|user|login|account|client_?id|key_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._+-]+)""", 1, 3),
+    ("key", r"[A-Za-z0-9+/_-]{20,}={0,2}", 0, 20),
+    ("endpoint", r"[a-z][a-z0-9+.]{1,15}://[A-Za-z0-9._~:/?#@%&=+-]+", 0, 8),
 ]
+#: What a match must hold besides: a key mixes digits and letters of both cases.
+_HOLDS = {"key": ("[0-9]", "[a-z]", "[A-Z]")}
 KINDS = [p[0] for p in PATTERNS]
 _STRONG = 3
 #: A cheap sign that a kind may occur; only then are its matches cut out.
@@ -59,6 +61,8 @@ def _matches(text: Column, ord_: int) -> Column:
         b = a + F.coalesce(F.length(x["whole"]), F.lit(0))
         span = F.array(F.struct(a.alias("start"), F.lit(ord_).alias("ord"), F.lit(kind).alias("kind"), b.alias("end"))).cast(_SPAN)
         ok = F.coalesce(F.length(x["part"]) >= least, F.lit(False))
+        for sign in _HOLDS.get(kind, ()):
+            ok = ok & F.rlike(x["whole"], F.lit(sign))
         return F.struct(b.alias("at"), F.when(ok, F.concat(s["spans"], span)).otherwise(s["spans"]).alias("spans"))
 
     found = F.aggregate(parts, start, step, lambda s: s["spans"])
@@ -123,11 +127,23 @@ def redact(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     return rows.withColumn("text", F.when(F.col("__spans").isNotNull(), folded).otherwise(text)).select(docs.columns)
 
 
-def _sql_spans(ord_: int) -> str:
-    kind, pattern, group, least = PATTERNS[ord_]
+def _sql_spans(place: int) -> str:
+    kind, pattern, group, least = PATTERNS[place]
     pattern = pattern.replace("'", "''")
-    return f"""SELECT doc_id, {ord_} AS ord, '{kind}' AS kind, at AS start, at + length(m) AS stop FROM (
-      SELECT doc_id, m, part, CAST(list_sum(list_transform(gaps[:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[: i - 1], lambda x: length(x))), 0) AS BIGINT) AS at
-      FROM (SELECT doc_id, gaps, ms, unnest(ms) AS m, unnest(regexp_extract_all(text, '{pattern}', {group})) AS part, generate_subscripts(ms, 1) AS i
-        FROM (SELECT doc_id, text, regexp_split_to_array(text, '{pattern}') AS gaps, regexp_extract_all(text, '{pattern}') AS ms FROM d)))
-      WHERE length(part) >= {least}"""
+    holds = "".join(f" AND regexp_matches(m, '{sign}')" for sign in _HOLDS.get(kind, ()))
+    return f"""SELECT doc_id, {place} AS ord, '{kind}' AS kind, a, a + length(m) AS z FROM (
+  SELECT doc_id, m, part, CAST(list_sum(list_transform(gaps[:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[: i - 1], lambda x: length(x))), 0) AS BIGINT) AS a
+  FROM (SELECT doc_id, gaps, ms, unnest(ms) AS m, unnest(ps) AS part, generate_subscripts(ms, 1) AS i
+    FROM (SELECT doc_id, regexp_split_to_array(text, '{pattern}') AS gaps, regexp_extract_all(text, '{pattern}') AS ms, regexp_extract_all(text, '{pattern}', {group}) AS ps FROM d))) WHERE length(part) >= {least}{holds}"""
+
+
+_NEAR = "EXISTS (SELECT 1 FROM parts q WHERE q.doc_id = p.doc_id AND q.kind IN ({0}) AND q.z >= p.a - {1} AND q.a <= p.z + {1})"
+_SECRET, _IDENT = _NEAR.format("'assign', 'hex', 'key'", SCOPE), _NEAR.format("'access', 'login'", SCOPE)
+ORACLE = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+parts AS ({' UNION ALL '.join(_sql_spans(k) for k in range(len(PATTERNS)))}),
+weak AS (SELECT p.* FROM parts p WHERE ord >= {_STRONG} AND NOT EXISTS (SELECT 1 FROM parts q WHERE q.doc_id = p.doc_id AND q.ord < {_STRONG} AND q.a < p.z AND q.z > p.a)
+  AND CASE kind WHEN 'login' THEN {_SECRET} WHEN 'key' THEN {_IDENT} ELSE {_SECRET} AND {_IDENT} END),
+base AS (SELECT doc_id, count(*) FILTER (ord = 0) AS n0, count(*) FILTER (ord = 1) AS n1, count(*) FILTER (ord = 2) AS n2, string_agg(kind || ':' || a || ':' || z, ',' ORDER BY a, ord) AS said FROM parts WHERE ord < {_STRONG} GROUP BY 1),
+whole AS (SELECT doc_id, string_agg(kind || ':' || a || ':' || z, ',' ORDER BY a, ord) AS said FROM (SELECT * FROM parts WHERE ord < {_STRONG} UNION ALL SELECT * FROM weak) GROUP BY 1)
+SELECT d.doc_id, CAST(coalesce(n0, 0) AS BIGINT) AS n_assign, CAST(coalesce(n1, 0) AS BIGINT) AS n_access, CAST(coalesce(n2, 0) AS BIGINT) AS n_hex, sha256(coalesce(base.said, '')) AS base_sha256, coalesce(whole.said, '') AS spans
+FROM d LEFT JOIN base USING (doc_id) LEFT JOIN whole USING (doc_id)"""

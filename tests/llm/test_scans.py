@@ -58,6 +58,17 @@ def test_secrets_run_without_python(spark):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def test_sql_agrees(spark):
+    import duckdb
+    import pandas as pd
+
+    rows = [(i, (t or "").replace("ſ", "s") if t is not None else None) for i, t in dict(SECRETS[:16]).items()] + [(1000 + i, t) for i, t in corpus() if "\x00" not in (t or "")]
+    got = sorted(tuple(r) for r in secrets.digest(secrets.scan(docs(spark, rows))).collect())
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(rows, columns=["doc_id", "text"]))
+    assert sorted(con.execute(secrets.ORACLE).fetchall()) == got
+
+
 def test_redact(spark):
     rows = SECRETS[:16] + [SECRETS[16]]
     got = {r.doc_id: r.text for r in secrets.redact(docs(spark, rows)).collect()}
@@ -103,7 +114,7 @@ def test_ranks_match_power_iteration(spark):
     assert np.allclose([got[f"h{k}"] for k in range(n)], rank)
 
 
-@pytest.mark.parametrize("top", [200_000, 40])
+@pytest.mark.parametrize("top", [200_000, 40, 0])
 def test_lm(spark, monkeypatch, top):
     monkeypatch.setattr(lm, "TOP", top)
     monkeypatch.setattr(lm, "CLUSTERED", 30)
@@ -117,7 +128,7 @@ def test_lm(spark, monkeypatch, top):
     assert sorted((str(r.doc_id), r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), r.held_out) for r in got) == want
     assert all(r.score < 0 for r in got)
     mean = lambda c: sum(getattr(r, c) for r in got if not r.held_out) / total
-    assert mean("score") > mean("base_score")
+    assert mean("score") > mean("base_score") or not top  # without a top tier there are no clusters
     assert lm.score(docs(spark, rows).limit(0)).count() == 0
 
 
@@ -125,7 +136,7 @@ def test_lm_score_does_not_depend_on_the_tier(spark, monkeypatch):
     monkeypatch.setattr(lm, "CLUSTERED", 20)
     rows = corpus()
     scores = []
-    for top in (20, 10_000):
+    for top in (80, 10_000):
         monkeypatch.setattr(lm, "TOP", top)
         scores.append({r.doc_id: r.score for r in lm.score(docs(spark, rows)).collect()})
     assert all(abs(scores[0][i] - scores[1][i]) < 1e-6 for i in scores[0])
