@@ -76,15 +76,19 @@ def at_cut(concept: Column, k: Column) -> Column:
     return F.when(concept.isin(*LABELS), F.concat(concept, F.lit("_at_"), F.coalesce(k, F.lit(5)).cast("string"))).otherwise(concept)
 
 
+def _fixed(x: Column, digits: int, before: str = "", after: str = "", grouped: bool = False) -> Column:
+    """Fixed-point text, halves rounded up."""
+    return F.format_string(f"{before}%{',' if grouped else ''}.{digits}f{after}", x)
+
+
 def shown(value: Column, kind: str = "score") -> Column:
     """Display text of a value in its unit."""
     x = value.try_cast("double")
-    grouped = lambda c, pattern: F.format_string(pattern, c)
     text = {
-        "percent": grouped(x * 100, "%.1f%%"),
-        "milliseconds": F.when(x >= 1000, grouped(x / 1000, "%.2f s")).otherwise(grouped(x, "%.0f ms")),
-        "currency": grouped(x, "$%.4f"), "count": grouped(x, "%,.0f"), "tokens": grouped(x, "%,.0f"),
-    }.get(kind, F.when(F.abs(x) < 10, grouped(x, "%.3f")).otherwise(grouped(x, "%,.1f")))
+        "percent": _fixed(x * 100, 1, after="%%"),
+        "milliseconds": F.when(x >= 1000, _fixed(x / 1000, 2, after=" s")).otherwise(_fixed(x, 0, after=" ms")),
+        "currency": _fixed(x, 4, "$"), "count": _fixed(x, 0, grouped=True), "tokens": _fixed(x, 0, grouped=True),
+    }.get(kind, F.when(F.abs(x) < 10, _fixed(x, 3)).otherwise(_fixed(x, 1, grouped=True)))
     return F.when(x.isNull(), "N/A").otherwise(text)
 
 
@@ -92,10 +96,10 @@ def shown_delta(value: Column, kind: str = "score") -> Column:
     x = value.try_cast("double")
     sign = F.when(x > 0, "+").otherwise("")
     text = {
-        "percent": F.format_string("%.1f pp", x * 100), "milliseconds": F.format_string("%.0f ms", x),
-        "currency": F.when(x < 0, F.format_string("-$%.4f", F.abs(x))).otherwise(F.format_string("$%.4f", x)),
-        "count": F.format_string("%,.0f", x), "tokens": F.format_string("%,.0f", x),
-    }.get(kind, F.format_string("%.3f", x))
+        "percent": _fixed(x * 100, 1, after=" pp"), "milliseconds": _fixed(x, 0, after=" ms"),
+        "currency": F.when(x < 0, _fixed(F.abs(x), 4, "-$")).otherwise(_fixed(x, 4, "$")),
+        "count": _fixed(x, 0, grouped=True), "tokens": _fixed(x, 0, grouped=True),
+    }.get(kind, _fixed(x, 3))
     return F.when(x.isNull(), "No baseline").otherwise(F.concat(sign, text))
 
 

@@ -134,14 +134,14 @@ def fill_metadata(rows: DataFrame, manifest: DataFrame, root: str = "data/raw/")
     folder = F.when(F.contains(kind, F.lit("wiki")), "wiki").when(F.contains(kind, F.lit("pdf")), "pdf_to_txt")
     name = F.trim(F.coalesce("name", F.lit("")))
     path = lambda n: F.when((F.length(n) > 0) & folder.isNotNull(), F.concat(F.lit(root), folder, F.lit("/"), n, F.lit(".txt")))
-    first = F.coalesce(F.nullif(F.col("source_file"), F.lit("")), path(name), path(F.replace(name, F.lit(" "), F.lit("_"))))
-    paths = F.array_distinct(F.filter(F.array(F.nullif(F.col("source_file"), F.lit("")), path(name), path(F.replace(name, F.lit(" "), F.lit("_")))), lambda p: p.isNotNull()))
-    # each candidate in order either is in the manifest or, if no id is given, is hashed
-    known = manifest.select(F.col("path").alias("__path"), F.col("document_id").alias("__known"))
-    tried = rows.withColumn("__first", first).withColumn("__paths", paths)
-    tried = tried.withColumn("__try", F.when(F.col("document_id").isNull() & F.startswith(F.get("__paths", F.lit(0)), F.lit(root)), F.get("__paths", F.lit(0))))
-    joined = tried.join(known, F.col("__first") == F.col("__path"), "left")
-    found = F.coalesce("document_id", "__known", F.when(F.col("__try").isNotNull(), F.substring(F.sha2(F.substring_index("__try", root, -1), 256), 1, 16)))
-    used = F.when(F.col("__known").isNotNull(), F.col("__first")).otherwise(F.col("__try"))
-    out = joined.withColumns({"document_id": found, "source_file": F.coalesce(F.nullif(F.col("source_file"), F.lit("")), used), "token_count": F.coalesce(F.col("token_count").cast("long"), text.token_estimate(F.col("text")))})
-    return out.drop("__first", "__paths", "__try", "__path", "__known")
+    given = F.nullif(F.col("source_file"), F.lit(""))
+    tries = F.array_distinct(F.filter(F.array(given, path(name), path(F.replace(name, F.lit(" "), F.lit("_")))), lambda p: p.isNotNull()))
+    out = rows.withColumns({"__tries": tries, "__id": F.lit(None).cast("string"), "__path": F.lit(None).cast("string")})
+    known = manifest.select(F.col("path").alias("__known"), F.col("document_id").alias("__known_id"))
+    for k in range(3):  # a candidate in the manifest decides, else its hash where no id is given, else the next one
+        out = out.withColumn("__try", F.when(F.col("__path").isNull(), F.get("__tries", F.lit(k)))).join(known, F.col("__try") == F.col("__known"), "left")
+        hashed = F.when(F.col("document_id").isNull() & F.startswith("__try", F.lit(root)), F.substring(F.sha2(F.substring_index("__try", root, -1), 256), 1, 16))
+        found = F.coalesce("__known_id", hashed)
+        out = out.withColumns({"__path": F.coalesce("__path", F.when(found.isNotNull(), F.col("__try"))), "__id": F.coalesce("__id", found)}).drop("__try", "__known", "__known_id")
+    filled = {"document_id": F.coalesce("document_id", "__id"), "source_file": F.coalesce(given, "__path"), "token_count": F.coalesce(F.col("token_count").cast("long"), text.token_estimate(F.col("text")))}
+    return out.withColumns(filled).drop("__tries", "__id", "__path")

@@ -96,7 +96,16 @@ def case_nested(spark, d):
     return _nested(spark, d).select("case_key", said.alias("parties"), F.array_join("events", ";").alias("events"))
 
 
-@query()
+def _line(label, value):
+    return f"CASE WHEN coalesce({value}, '') <> '' THEN '{label}: ' || {value} END"
+
+
+@query(_W + f""", {_TOP}, p AS (SELECT case_key, list({{'m': make, 'o': model, 'r': registration}} ORDER BY sequence, part, supp, price) AS ps FROM parties GROUP BY 1),
+e AS (SELECT case_key, string_agg(make, '; ' ORDER BY sequence, make) AS events FROM parties WHERE sequence <= 2 GROUP BY 1)
+SELECT t.case_key, concat_ws(chr(10), '[Source: cases | Case: ' || case_number || ']', 'Case: ' || case_number, 'Date: ' || event_date, {_line('Aircraft', "array_to_string(list_reduce(list_transform(ps, lambda x: [x.m || ' ' || x.o]), lambda a, b: CASE WHEN list_contains(a, b[1]) THEN a ELSE list_concat(a, b) END), '; ')")},
+{_line('Registration', "array_to_string(list_transform(ps, lambda x: x.r), '; ')")}, {_line('Location', 'location')}, {_line('City', 'city')}, {_line('State', 'state')}, {_line('Country', 'country_code')}, {_line('Event type', 'event_type')}, {_line('Severity', 'severity')},
+'Fatalities: ' || fatalities, 'Total injuries: ' || total_injuries, {_line('Investigation status', 'investigation_status')}, {_line('Probable cause', 'probable_cause')}, {_line('Events', 'events')}) AS text
+FROM top t LEFT JOIN p USING (case_key) LEFT JOIN e USING (case_key)""")
 def case_context(spark, d):
     return C.case_context(_nested(spark, d))
 
@@ -265,7 +274,8 @@ def control_characters(spark, d):
     return table(spark, d, "pages").select("page_id", texts.strip(texts.without_controls(noisy)).alias("url"))
 
 
-@query()
+@query("""SELECT doc_id AS row, CASE WHEN doc_id % 2 = 0 THEN 'wiki' ELSE 'pdf' END AS source, 'data/raw/' || CASE WHEN doc_id % 2 = 0 THEN 'wiki' ELSE 'pdf_to_txt' END || '/Doc ' || doc_id || '.txt' AS source_file,
+CASE WHEN doc_id % 4 = 0 THEN 'id' || doc_id ELSE substr(sha256(CASE WHEN doc_id % 2 = 0 THEN 'wiki' ELSE 'pdf_to_txt' END || '/Doc ' || doc_id || '.txt'), 1, 16) END AS document_id, CAST((length(text) + 3) // 4 AS BIGINT) AS token_count FROM documents""")
 def metadata_fill(spark, d):
     docs = table(spark, d, "documents")
     rows = docs.select(
@@ -273,7 +283,7 @@ def metadata_fill(spark, d):
         F.lit(None).cast("string").alias("source_file"), F.lit(None).cast("long").alias("token_count"), "text",
     )
     manifest = docs.where("doc_id % 4 = 0").select(F.format_string("data/raw/wiki/Doc %d.txt", "doc_id").alias("path"), F.format_string("id%d", "doc_id").alias("document_id"))
-    return retrieval.fill_metadata(rows, manifest).drop("text")
+    return retrieval.fill_metadata(rows, manifest).drop("text", "name")
 
 
 # streams

@@ -141,10 +141,25 @@ def resource_rows(spark, d):
     return _r6(out, "candidate", "baseline", "delta", "normalized_delta").select("label", "unit", "candidate", "baseline", "delta", "normalized_delta")
 
 
-@query()
+_CONCEPTS = "('recall_at_5', 'Recall@5'), ('mrr', 'MRR'), ('ndcg_at_5', 'nDCG@5'), ('hit_rate_at_5', 'HitRate@5'), ('precision_at_5', 'Precision@5'), ('unique_parent_ratio', 'Unique parent ratio'), ('duplicate_ratio', 'Duplicate ratio'), ('retrieved_items', 'Retrieved items'), ('retrieved_tokens', 'Retrieved tokens')"
+
+
+@query(_ALL + f""", s AS (SELECT run_id, metric_name, avg(score) AS v, count(*) AS n FROM metrics WHERE {_JUDGED} GROUP BY 1, 2), j AS (SELECT metric_name, label, a.v AS c, b.v AS b, a.n AS cn, b.n AS bn FROM (VALUES {_CONCEPTS}) t(metric_name, label)
+LEFT JOIN (SELECT * FROM s WHERE run_id = '1') a USING (metric_name) LEFT JOIN (SELECT * FROM s WHERE run_id = '0') b USING (metric_name))
+SELECT label, metric_name, round(b, 6) AS baseline_mean, round(c, 6) AS candidate_mean, coalesce(bn, 0) AS baseline_samples, coalesce(cn, 0) AS candidate_samples, round(c - b, 6) AS delta, round({_NORM.format('(c - b)')}, 6) AS normalized_delta FROM j""")
 def concept_rows(spark, d):
     m = X.metrics(spark, d)
-    return R.concept_rows(R.metric_summary("0", m), R.metric_summary("1", m), 5, 5)
+    out = _r6(R.concept_rows(R.metric_summary("0", m), R.metric_summary("1", m), 5, 5), "baseline_mean", "candidate_mean", "delta", "normalized_delta")
+    out = out.withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in ("baseline_samples", "candidate_samples")})
+    return out.select("label", F.col("candidate_metric_name").alias("metric_name"), "baseline_mean", "candidate_mean", "baseline_samples", "candidate_samples", "delta", "normalized_delta")
+
+
+@query(_ALL + " SELECT case_id, printf('%.3f', v) AS score, printf('%.1f%%', v * 100) AS percent, printf('%.2f s', 1000 * (v + 1) / 1000) AS seconds, printf('$%.4f', v) AS cost, CASE WHEN v > 0.5 THEN '+' ELSE '' END || printf('%.3f', v - 0.5) AS delta FROM (SELECT case_id, round(avg(score) * 4) / 4 % 1 AS v FROM metrics GROUP BY 1)")
+def displayed_values(spark, d):
+    v = F.round(F.avg("score") * 4) / 4 % 1
+    rows = X.metrics(spark, d).groupBy("case_id").agg(v.alias("v"))
+    x = F.col("v")
+    return rows.select("case_id", M.shown(x).alias("score"), M.shown(x, "percent").alias("percent"), M.shown(1000 * (x + 1), "milliseconds").alias("seconds"), M.shown(x, "currency").alias("cost"), M.shown_delta(x - 0.5).alias("delta"))
 
 
 _FIELDS = [("Run name", "run_name"), ("Run type", "run_type"), ("Status", "status"), ("Dataset", "dataset_id"), ("Corpus", "corpus_version"), ("Prompt", "prompt_version")]

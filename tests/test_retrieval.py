@@ -51,11 +51,13 @@ def test_budget(spark):
 
 
 def test_metadata(spark):
-    rows = spark.createDataFrame([(1, "A B", "wiki", None, None, None, "abcde"), (2, "C", "pdf", "given", None, 7, "x"), (3, None, None, None, None, None, None)], "i int, name string, source string, document_id string, source_file string, token_count long, text string")
-    manifest = spark.createDataFrame([("data/raw/wiki/A B.txt", "known")], "path string, document_id string")
+    rows = spark.createDataFrame([(1, "A B", "wiki", None, None, None, "abcde"), (2, "C", "pdf", "given", None, 7, "x"), (3, None, None, None, None, None, None), (4, "D E", "wiki", "mine", None, 1, ""), (5, "F", "pdf", None, "other/F.txt", 1, "")], "i int, name string, source string, document_id string, source_file string, token_count long, text string")
+    manifest = spark.createDataFrame([("data/raw/wiki/A B.txt", "known"), ("data/raw/wiki/D_E.txt", "theirs")], "path string, document_id string")
     got = {r.i: r for r in retrieval.fill_metadata(rows, manifest).collect()}
     assert (got[1].document_id, got[1].source_file, got[1].token_count) == ("known", "data/raw/wiki/A B.txt", 2)
     assert got[2].document_id == "given" and got[2].token_count == 7 and got[3].document_id is None and got[3].token_count == 0
+    assert (got[4].document_id, got[4].source_file) == ("mine", "data/raw/wiki/D_E.txt") and got[2].source_file is None
+    assert got[5].source_file == "other/F.txt" and len(got[5].document_id) == 16
 
 
 def test_measures(spark):
