@@ -301,7 +301,11 @@ def _feed(spark, d):
 def _shared(spark) -> str:
     import tempfile
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corvane-stream-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
+        base = tempfile.mkdtemp(prefix="corvane-stream-")
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
