@@ -16,9 +16,11 @@ SLICE_BYTES = 8 << 20
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where the session names none."""
+    """The folder that all executors share; a temporary one only on one machine that names none."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
         named = tempfile.mkdtemp(prefix="corvane-")
         spark.sparkContext.setCheckpointDir(named)
     return f"{named.rstrip('/')}/corvane-{spark.sparkContext.applicationId}"
