@@ -7,8 +7,8 @@ of windows, divided by their first word; a direct comparison confirms. Windows o
 make one set; items of one to nine words make at most nine more.
 
 Scale: documents stream through a map-only pass, without a shuffle. The benchmark is a stated
-query set; it is measured first and broadcast in blocks of at most BLOCK_BYTES, one pass a
-block, each pass handing its hits on to the next.
+query set; it is measured first and broadcast in blocks of about BLOCK_BYTES, one pass a block,
+each pass handing its hits on to the next, TOGETHER of them in one task.
 
 Cases: null and wordless texts have no words and no hits; null or wordless items have no
 windows; an item without an id hits words but can't be listed; repeated items and ids count
@@ -19,8 +19,10 @@ columns are ignored.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections import defaultdict
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,8 +30,12 @@ from pyspark.sql import types as T
 from corvane.llm import common
 
 WINDOW = 10
-#: Benchmark text broadcast at a time.
-BLOCK_BYTES = 16 << 20
+#: Benchmark text broadcast at a time; its tables take some 25 times that in a worker.
+BLOCK_BYTES = 4 << 20
+#: Passes, and so Python workers, that run in one task before rows are written.
+TOGETHER = 2
+#: Multiplier of block hashes.
+_BLOCK = 1000003
 
 _WORD_BYTES = bytes(
     c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256)
@@ -42,37 +48,51 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 
 class _Search:
-    """The tables for windows of m words, given as lists of word numbers (0 is no word)."""
+    """The tables for windows of m words, as flat arrays of word numbers (0 is no word).
 
-    def __init__(self, m: int, windows: dict[tuple[int, ...], set[int]], n_words: int):
-        self.m, self.base, self.block = m, n_words + 1, min(2, m)
+    shift has a byte for each block hash: how far the search may go on; blocks that share a hash
+    share the lesser shift. Windows are sorted by the hash of their last block; bucket says
+    where each hash begins.
+    """
+
+    def __init__(self, m: int, windows: dict[tuple[int, ...], list[int]]):
+        self.m, self.block = m, min(2, m)
         self.longest = m - self.block + 1
-        self.shift: dict[int, int] = {}
-        self.buckets: dict[int, dict[int, list]] = defaultdict(lambda: defaultdict(list))
-        for w, items in windows.items():
-            for end in range(self.block - 1, m):
-                key = self.key(w, end)
-                self.shift[key] = min(self.shift.get(key, self.longest), m - 1 - end)
-            self.buckets[self.key(w, m - 1)][w[0]].append((list(w), tuple(sorted(items))))
-        self.buckets = {k: dict(v) for k, v in self.buckets.items()}
-
-    def key(self, w, end: int) -> int:
-        return w[end] if self.block == 1 else w[end - 1] * self.base + w[end]
-
-    def find(self, ids: list[int], spans: list[tuple[int, int]], items: set[int]) -> None:
-        m, base, single, longest = self.m, self.base, self.block == 1, self.longest
-        shift, buckets, i, n = self.shift.get, self.buckets, self.m - 1, len(ids)
+        size = 1 << max(12, (4 * len(windows)).bit_length())  # neighbouring windows share their blocks
+        self.mask = size - 1
+        table = np.array(list(windows), np.int64).reshape(len(windows), m)
+        shift = np.full(size, self.longest, np.uint8)
+        for end in range(self.block - 1, m):  # later ends give lesser shifts, and are set last
+            shift[self._hashes(table, end)] = m - 1 - end
+        last = self._hashes(table, m - 1)
+        order = np.argsort(last, kind="stable")
+        self.shift = bytearray(shift.tobytes())
+        self.bucket = array("I", np.searchsorted(last[order], np.arange(size + 1)).astype(np.uint32).tobytes())
+        self.words = array("I", table[order].astype(np.uint32).tobytes())
+        owners = list(windows.values())
+        self.owner_at = array("I", np.r_[0, np.cumsum([len(owners[k]) for k in order])].astype(np.uint32).tobytes())
+        self.owners = array("I", [i for k in order for i in owners[k]])
+
+    def _hashes(self, table: np.ndarray, end: int) -> np.ndarray:
+        key = table[:, end] if self.block == 1 else table[:, end - 1] * _BLOCK + table[:, end]
+        return key & self.mask
+
+    def find(self, ids: array, spans: list[tuple[int, int]], items: set[int]) -> None:
+        m, mask, single = self.m, self.mask, self.block == 1
+        shift, bucket, words, i, n = self.shift, self.bucket, self.words, self.m - 1, len(ids)
         while i < n:
-            key = ids[i] if single else ids[i - 1] * base + ids[i]
-            step = shift(key, longest)
+            key = (ids[i] if single else ids[i - 1] * _BLOCK + ids[i]) & mask
+            step = shift[key]
             if step:
                 i += step
                 continue
             start = i - m + 1
-            for window, owners in buckets[key].get(ids[start], ()):
-                if ids[start : i + 1] == window:
+            first = ids[start]
+            for k in range(bucket[key], bucket[key + 1]):
+                if words[k * m] == first and words[k * m : k * m + m] == ids[start : i + 1]:
                     spans.append((start, i + 1))
-                    items.update(owners)
+                    items.update(self.owners[self.owner_at[k] : self.owner_at[k + 1]])
+                    break  # windows differ from each other
             i += 1
 
 
@@ -82,16 +102,16 @@ class Matcher:
     def __init__(self, items: list[tuple[str | None, bytes | None]], window: int = WINDOW):
         self.names: list[str | None] = []
         self.vocab: dict[bytes, int] = {}
-        by_length: dict[int, dict[tuple[int, ...], set[int]]] = defaultdict(lambda: defaultdict(set))
+        by_length: dict[int, dict[tuple[int, ...], list[int]]] = defaultdict(lambda: defaultdict(list))
         for name, text in items:
             ids = [self.vocab.setdefault(w, len(self.vocab) + 1) for w in words_of(text)]
             if not ids:
                 continue
             self.names.append(name)
             m = min(window, len(ids))
-            for i in range(len(ids) - m + 1):
-                by_length[m][tuple(ids[i : i + m])].add(len(self.names) - 1)
-        self.searches = [_Search(m, w, len(self.vocab)) for m, w in sorted(by_length.items())]
+            for window_ids in {tuple(ids[i : i + m]) for i in range(len(ids) - m + 1)}:
+                by_length[m][window_ids].append(len(self.names) - 1)
+        self.searches = [_Search(m, w) for m, w in sorted(by_length.items())]
 
     def scan(self, text: bytes | None) -> tuple[int, list[tuple[int, int]], list[str]]:
         """Number of words, spans of words inside window occurrences, ids of their items."""
@@ -100,7 +120,7 @@ class Matcher:
         found: set[int] = set()
         if words and self.searches:
             get = self.vocab.get
-            ids = [get(w, 0) for w in words]
+            ids = array("I", [get(w, 0) for w in words])
             for search in self.searches:
                 search.find(ids, spans, found)
         return len(words), spans, [self.names[i] for i in found if self.names[i] is not None]
@@ -153,6 +173,8 @@ def _passes(docs: DataFrame, passes: list, fields: list[tuple[str, T.DataType]],
                 yield common.typed(dict(zip(out.names, [batch.column(0), *columns], strict=True)), out)
 
         df = df.mapInArrow(run, schema)
+        if not last and (k + 1) % TOGETHER == 0:
+            df = common.written(df, "partly")
     return df
 
 
@@ -175,8 +197,11 @@ def judge(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_byt
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of docs, all columns, in which no window of the benchmark occurs."""
-    for matcher in matchers(benchmark, window, block_bytes):
+    passes = matchers(benchmark, window, block_bytes)
+    for k, matcher in enumerate(passes):
         docs = common.keep_rows(docs, lambda texts, m=matcher: [not m.value.scan(t)[1] for t in texts])
+        if k + 1 < len(passes) and (k + 1) % TOGETHER == 0:
+            docs = common.written(docs, "partly")
     return docs
 
 
