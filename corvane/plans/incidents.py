@@ -262,6 +262,24 @@ def citation_check(spark, d):
     return table(spark, d, "conversations").select("conv_id", F.array_join(control.valid_citations(cited, F.array(F.lit("DOC-001"), F.lit("DOC-002"))), ",").alias("used"))
 
 
+@query("""WITH e AS (SELECT o_custkey AS q, o_orderkey AS o, CASE WHEN o_orderkey % 2 = 0 THEN printf('ABC%02dXY%03d', o_orderkey % 100, o_orderkey % 1000) ELSE CAST(o_orderkey % 40 AS VARCHAR) END AS who, o_orderpriority LIKE '%URGENT%' AS bare FROM orders WHERE o_custkey % 3 = 0),
+f AS (SELECT q, who, min(o) AS o FROM e WHERE bare OR regexp_matches(who, '[A-Z]{3}') GROUP BY 1, 2) SELECT q AS question_id, o AS ordinal, who AS identifier FROM f QUALIFY row_number() OVER (PARTITION BY q ORDER BY o, who) <= 3""")
+def detail_requests(spark, d):
+    k = F.col("o_orderkey")
+    rows = table(spark, d, "orders").select(
+        F.col("o_custkey").alias("question_id"), F.when(F.col("o_custkey") % 3 == 0, "why did it happen").when(F.col("o_custkey") % 3 == 1, "how many, and why").otherwise("where").alias("question"), k.alias("ordinal"),
+        F.when(k % 2 == 0, F.format_string("ABC%02dXY%03d", k % 100, k % 1000)).alias("case_number"), (k % 40).alias("case_key"), F.lit("r").alias("record_id"),
+        F.when(F.contains("o_orderpriority", F.lit("URGENT")), "Probable cause: unknown").otherwise("Probable cause: ice").alias("text"),
+    )
+    return C.detail_requests(rows)
+
+
+@query("SELECT conv_id, turn, printf('DOC-%03d', row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC)) AS evidence_id FROM conversations")
+def evidence_ids(spark, d):
+    rows = table(spark, d, "conversations").select("conv_id", "turn")
+    return C.shaped_evidence(rows, "DOC", [F.desc("turn")], ["conv_id"])
+
+
 @query("SELECT event_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, CAST(CAST(CAST(ts AS DATE) - INTERVAL 10 YEAR AS DATE) AS VARCHAR) AS since FROM events")
 def years_before(spark, d):
     day = F.to_date("ts")
