@@ -9,13 +9,20 @@ from corvane.operators import reports as R
 from corvane.plans import fixtures as X
 
 QUERIES, ORACLES = {}, {}
+#: Scores have two decimals, so their means may lie halfway between two rounded values, and the
+#: order of a sum would decide. Both sides add this before they round.
+_OFF_TIES = 3e-9
+
+
+def _settled(text: str) -> str:
+    return text.replace(", 6)", f" + {_OFF_TIES}, 6)")
 
 
 def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
         if sql:
-            ORACLES[f.__name__] = sql
+            ORACLES[f.__name__] = _settled(sql)
         return f
 
     return add
@@ -34,7 +41,7 @@ def _at(name):
 
 
 def _r6(df, *names):
-    return df.withColumns({n: F.round(n, 6) for n in names})
+    return df.withColumns({n: F.round(F.col(n) + _OFF_TIES, 6) for n in names})
 
 
 @query(_ALL + " SELECT run_id, run_name, run_type, status, expected_cases, executed_cases, round(avg_latency_ms, 6) AS avg_latency_ms, CAST(coalesce(config_k, raw_top_k) AS VARCHAR) AS top_k FROM runs LEFT JOIN expected USING (dataset_id) LEFT JOIN stats USING (run_id)")
@@ -103,7 +110,7 @@ def case_explorer(spark, d):
 
 @query(_ALL + _RESULTS + " SELECT case_id, round(delta, 6) AS delta FROM results WHERE delta IS NOT NULL ORDER BY abs(delta) DESC, case_id LIMIT 12")
 def case_movers(spark, d):
-    return R.movers(_results(spark, d)).select("case_id", F.round("delta", 6).alias("delta"))
+    return R.movers(_results(spark, d)).select("case_id", F.round(F.col("delta") + _OFF_TIES, 6).alias("delta"))
 
 
 @query(_ALL + _RESULTS + ", e AS (SELECT min(delta) AS lo, max(delta) AS hi FROM results) SELECT CAST(CASE WHEN hi > lo THEN least(17, floor((delta - lo) / ((hi - lo) / 18))) ELSE 0 END AS INT) AS bin, count(*) AS n FROM results, e WHERE delta IS NOT NULL GROUP BY 1")
@@ -112,7 +119,7 @@ def delta_histogram(spark, d):
 
 
 for _name, _sql in (("category", "category"), ("aircraft", "coalesce(aircraft, 'Unknown')"), ("variant", "coalesce(variant, 'Unknown')"), ("difficulty", "difficulty"), ("split", "split"), ("answerable", "CAST(answerable AS VARCHAR)")):
-    ORACLES[f"breakdown_{_name}"] = _ALL + f" SELECT {_sql} AS dimension_value, count(*) AS sample_count, round(avg(score), 6) AS mean_score FROM metrics JOIN cases USING (case_id) WHERE run_id = '2' AND metric_name = 'mrr' AND {_JUDGED} GROUP BY 1"
+    ORACLES[f"breakdown_{_name}"] = _settled(_ALL + f" SELECT {_sql} AS dimension_value, count(*) AS sample_count, round(avg(score), 6) AS mean_score FROM metrics JOIN cases USING (case_id) WHERE run_id = '2' AND metric_name = 'mrr' AND {_JUDGED} GROUP BY 1")
     QUERIES[f"breakdown_{_name}"] = lambda spark, d, n=_name: _r6(R.breakdown("2", X.metrics(spark, d), X.cases(spark, d), n), "mean_score")
 
 
