@@ -1,15 +1,18 @@
 """Language-model scoring by a Brown class-based bigram model.
 
 A token's probability is that of its class after the class before it, times that of the word in
-its class. The CLUSTERED most frequent words are put into CLASSES classes by exchange: a word
+its class. The HEAD most frequent words are put into CLASSES classes by exchange: a word
 moves to the class that raises the likelihood of the training bigrams most, word by word, until
-a sweep moves none. All other words fall into classes by their shape (last character, length,
-letters beyond ASCII). Class transitions are smoothed with the classes' own frequencies, words
+a sweep moves none. Every other word of the top tier then joins the class that gains most by it,
+from counts of the classes before and after it in all training texts, against the classes of the
+head and shapes as they stand. Words outside the top tier, and they alone, fall into classes by
+their shape (last character, length, letters beyond ASCII). Class transitions are smoothed with the classes' own frequencies, words
 of shape classes by absolute discounting, whose share goes to one unknown word per class.
 
 Counts cover all training documents (crc32(doc_id as text) mod 7 is not 2): words are counted in
-each task, then summed by word; bigrams of CLUSTERED words and shapes are dense tables of a fixed
-size in each task, summed likewise. What is broadcast has a fixed bound: TOP words of at most
+each task, then summed by word; bigrams of head words and shapes are dense tables of a fixed
+size in each task, summed likewise; neighbour counts of the other top words are sparse, summed by
+word and class, and each word is placed where its counts meet. What is broadcast has a fixed bound: TOP words of at most
 TOP_BYTES bytes with their counts, and class tables. The exact way for all other words is a join:
 each document lists its distinct rare words with multiplicity, they meet the counts by word, and
 sums return by document. A word outside the top has a bounded share of all tokens, or is very
@@ -22,6 +25,7 @@ unknown word in each class; an empty table gives no rows; other columns are igno
 
 from __future__ import annotations
 
+import itertools
 from collections import Counter
 
 import numpy as np
@@ -34,10 +38,14 @@ from corvane.llm import common
 
 FOLDS, HELD = 7, 2
 TOP, TOP_BYTES = 200_000, 64
-CLUSTERED, CLASSES, SWEEPS = 800, 60, 6
+HEAD, CLASSES = 800, 60
+#: Words that get a class by their neighbours: the whole top tier, or at most so many.
+CLUSTERED: int | None = None
 PRIOR, DISCOUNT = 20.0, 0.75
 #: Words that a task counts before it hands its counts on.
 _HELD_WORDS = 200_000
+#: Neighbour pairs that a task holds before it counts them and hands the counts on, and words placed at a time.
+_HELD_PAIRS, _PLACED = 4_000_000, 512
 END = b""
 
 _ENDS = {ord(c): k for k, c in enumerate(".,!%*$&#")}
@@ -85,14 +93,27 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 
 class Units:
-    """Top words by number, and the unit (clustered word, end or shape) of each."""
+    """Top words by number, and the unit of each: its own for head words, then the end and shapes;
+    once classes are learnt, a unit is a class."""
 
     def __init__(self, words: list[bytes], counts: np.ndarray):
         self.words, self.counts = words, counts  # by falling count; the end is not among them
-        self.clustered = min(CLUSTERED, len(words))
-        self.size = self.clustered + 1 + SHAPES
+        self.clustered = len(words) if CLUSTERED is None else min(CLUSTERED, len(words))
+        self.head = min(HEAD, self.clustered)
+        self._place(np.arange(self.head), self.head)
+
+    def _place(self, placed: np.ndarray, end: int) -> None:
+        self.placed, self.end = placed, end  # units of the first words; the unit of ends, before those of shapes
+        self.size = end + 1 + SHAPES
         self.numbers: dict[bytes, int] | None = None
 
+    def learnt(self, classes: np.ndarray, k: int) -> Units:
+        """The same words with the classes (below k) of the clustered ones as units."""
+        out = Units(self.words, self.counts)
+        out.clustered = len(classes)
+        out._place(classes, k)
+        return out
+
     def __getstate__(self):
         return self.__dict__ | {"numbers": None}
 
@@ -100,8 +121,8 @@ class Units:
         """Unit numbers by word: top words first, then the end."""
         if self.numbers is None:
             self.numbers = {w: k for k, w in enumerate(self.words)} | {END: len(self.words)}
-            shapes = [self.clustered + 1 + shape(w) for w in self.words[self.clustered :]]
-            self.unit = np.array([*range(self.clustered), *shapes, self.clustered], np.int64)
+            shapes = [self.end + 1 + shape(w) for w in self.words[len(self.placed) :]]
+            self.unit = np.array([*self.placed.tolist(), *shapes, self.end], np.int64)
         return self.numbers
 
     def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
@@ -112,7 +133,7 @@ class Units:
         away = np.flatnonzero(number < 0)
         rare = [words[k] for k in away.tolist()]
         if rare:
-            unit[away] = np.fromiter(map(shape, rare), np.int64, len(rare)) + (self.clustered + 1)
+            unit[away] = np.fromiter(map(shape, rare), np.int64, len(rare)) + (self.end + 1)
         return number, unit, rare
 
 
@@ -127,7 +148,7 @@ def unit_bigrams(texts: DataFrame, units) -> DataFrame:
             keys = []
             for text in common.text_bytes(batch.column(0)):
                 unit = known.of(words_of(text))[1]
-                keys.append(np.r_[known.clustered, unit[:-1]] * size + unit)
+                keys.append(np.r_[known.end, unit[:-1]] * size + unit)
             total += np.bincount(np.concatenate(keys), minlength=size * size)
         at = np.flatnonzero(total)
         if len(at):
@@ -136,9 +157,80 @@ def unit_bigrams(texts: DataFrame, units) -> DataFrame:
     return texts.select("text").mapInArrow(run, "u int, v int, n long").groupBy("u", "v").agg(F.sum("n").alias("n"))
 
 
-def exchange(bigrams: np.ndarray, clustered: int, classes: int = CLASSES, sweeps: int = SWEEPS) -> np.ndarray:
+def neighbours(texts: DataFrame, units, of: np.ndarray) -> DataFrame:
+    """(word, key, n): how often a clustered word beyond the head, by number, follows a class (key:
+    the class) or stands before it (key: the number of classes and the class); of: class by unit."""
+
+    def run(batches):
+        known = units.value
+        k = int(of.max()) + 1
+        keys, held = [], 0
+
+        def out():
+            at, n = np.unique(np.concatenate(keys), return_counts=True)
+            keys.clear()
+            return pa.RecordBatch.from_arrays([pa.array((at // (2 * k)).astype(np.int32)), pa.array((at % (2 * k)).astype(np.int32)), pa.array(n.astype(np.int64))], names=["word", "key", "n"])
+
+        for batch in common.slices(batches):
+            for text in common.text_bytes(batch.column(0)):
+                number, unit, _ = known.of(words_of(text))
+                at = np.flatnonzero((number >= known.head) & (number < known.clustered))  # never the end, which is last
+                if len(at):
+                    c, first = of[unit], number[at] * (2 * k)
+                    keys += [first + np.r_[of[known.end], c[:-1]][at], first + k + c[at + 1]]
+                    held += 2 * len(at)
+                if held > _HELD_PAIRS:
+                    yield out()
+                    held = 0
+        if keys:
+            yield out()
+
+    return texts.select("text").mapInArrow(run, "word int, key int, n long").groupBy("word", "key").agg(F.sum("n").alias("n"))
+
+
+def best_classes(starts: np.ndarray, keys: np.ndarray, counts: np.ndarray, table: np.ndarray, classes: int) -> np.ndarray:
+    """For each word, the class of the first `classes` whose bigram likelihood gains most if the
+    word joins it. Neighbour counts of a word begin at starts; keys are as of neighbours()."""
+    k, n = len(table), counts.astype(np.float64)
+    at = np.concatenate([table[:, :classes], table[:classes].T])[keys]  # what a class has with each neighbour's class
+    gain = np.add.reduceat(_f(at + n[:, None]) - _f(at), starts)
+    own, inside = np.zeros((2, len(starts), k)), np.searchsorted(starts, np.arange(len(keys)), "right") - 1
+    own[keys // k, inside, keys % k] = n
+    before, after, diag = own[0, :, :classes], own[1, :, :classes], table[range(classes), range(classes)]
+    gain += _f(diag + before + after) + _f(diag) - _f(diag + before) - _f(diag + after)
+    times = np.add.reduceat(np.where(keys < k, n, 0), starts)[:, None]  # followers are as many as predecessors
+    for totals in (table.sum(axis=1)[:classes], table.sum(axis=0)[:classes]):
+        gain -= _f(totals + times) - _f(totals)
+    return gain.argmax(axis=1)
+
+
+def place(near: DataFrame, table: np.ndarray, classes: int) -> DataFrame:
+    """(word, class) of each word in near (word, key, n)."""
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(1)
+            ends = np.r_[0, np.cumsum(lists.value_lengths().to_numpy())]
+            keys, n = (lists.flatten().field(i).to_numpy() for i in range(2))
+            got = []
+            for a in range(0, batch.num_rows, _PLACED):
+                b = min(a + _PLACED, batch.num_rows)
+                part = slice(ends[a], ends[b])
+                got.append(best_classes(ends[a:b] - ends[a], keys[part], n[part], table, classes).astype(np.int32))
+            if got:
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(got))], names=["word", "class"])
+
+    # in order, so that sums and with them near ties come out the same each time
+    return near.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("key", "n"))).alias("near")).mapInArrow(run, "word int, class int")
+
+
+def _f(x):
+    return x * np.log(np.maximum(x, 1e-300))
+
+
+def exchange(bigrams: np.ndarray, clustered: int, classes: int = CLASSES, sweeps: int | None = None) -> np.ndarray:
     """The class of each unit: the first `clustered` units move among the first `classes` classes,
-    every other unit is a class of its own."""
+    every other unit is a class of its own. Sweeps go on until none moves, or for so many."""
     size = len(bigrams)
     classes = min(classes, clustered)
     of = np.r_[np.arange(clustered) % max(1, classes), classes + np.arange(size - clustered)].astype(np.int64)
@@ -149,10 +241,8 @@ def exchange(bigrams: np.ndarray, clustered: int, classes: int = CLASSES, sweeps
     table = member.T @ n @ member
     to_class, from_class = n @ member, member.T @ n  # of each unit
 
-    def f(x):
-        return x * np.log(np.maximum(x, 1e-300))
-
-    for _ in range(sweeps):
+    f, least = _f, 1e-9 + 1e-12 * n.sum()  # what rounding may feign is no gain
+    for _ in itertools.count() if sweeps is None else range(sweeps):
         moved = 0
         for w in range(clustered):
             a, own = of[w], n[w, w]
@@ -170,7 +260,7 @@ def exchange(bigrams: np.ndarray, clustered: int, classes: int = CLASSES, sweeps
             rows, columns = (table.sum(axis=1) + into)[:classes], (table.sum(axis=0) + out)[:classes]
             gain -= f(rows + out.sum() + own) - f(rows) + f(columns + into.sum() + own) - f(columns)
             b = int(gain.argmax())
-            if gain[b] <= gain[a] + 1e-9:
+            if gain[b] <= gain[a] + least:
                 b = a
             table[b] += out
             table[:, b] += into
@@ -198,10 +288,11 @@ class Model:
         share = (table.sum(axis=0) + 1) / (table.sum() + k)
         self.transition = np.log10((table + PRIOR * share) / (table.sum(axis=1, keepdims=True) + PRIOR))
         self.of, self.known_end = of, ends > 0
-        mass = np.bincount(of[: units.clustered], units.counts[: units.clustered], minlength=k)
+        inside = of[units.placed[: units.clustered]]
+        mass = np.bincount(inside, units.counts[: units.clustered], minlength=k)
         shapes = np.array([shape(w) for w in units.words[units.clustered :]], np.int64)
         self.emission = np.zeros(len(units.words) + 1)
-        self.emission[: units.clustered] = np.log10(units.counts[: units.clustered] / mass[of[: units.clustered]])
+        self.emission[: units.clustered] = np.log10(units.counts[: units.clustered] / mass[inside])
         self.emission[units.clustered : -1] = np.log10((units.counts[units.clustered :] - DISCOUNT) / (shape_tokens[shapes] + 1))
         self.total, self.types = total, types
         self.base = np.log10((np.r_[units.counts, ends] + 1) / (total + types + 1))
@@ -226,6 +317,12 @@ def _top(counts: DataFrame) -> tuple[list[bytes], np.ndarray]:
     return [w for _, w in found], np.array([-n for n, _ in found], np.float64)
 
 
+def _dense(pairs: DataFrame, size: int) -> np.ndarray:
+    found, out = pairs.toArrow(), np.zeros((size, size))  # at most size * size rows, a fixed number
+    out[found.column("u").to_numpy(), found.column("v").to_numpy()] = found.column("n").to_numpy()
+    return out
+
+
 def fit(docs: DataFrame):
     """Broadcast units and model, and the written word counts, from the training rows of docs."""
     spark = docs.sparkSession
@@ -234,10 +331,18 @@ def fit(docs: DataFrame):
     sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.col("shape") < 0, F.col("n"))), F.lit(0))).first()
     units = Units(*_top(counts))
     shared = spark.sparkContext.broadcast(units)
-    size = units.size
-    pairs = unit_bigrams(texts, shared).toArrow()  # at most size * size rows, a fixed number
-    bigrams = np.zeros((size, size))
-    bigrams[pairs.column("u").to_numpy(), pairs.column("v").to_numpy()] = pairs.column("n").to_numpy()
+    bigrams = _dense(unit_bigrams(texts, shared), units.size)
+    of = exchange(bigrams, units.head, CLASSES)
+    if units.head < units.clustered:
+        classes, member = min(CLASSES, units.head), np.eye(int(of.max()) + 1)[of]
+        found = place(neighbours(texts, shared, of), member.T @ bigrams @ member, classes).toArrow()  # one row for each clustered word
+        joined = np.r_[of[: units.head], np.zeros(units.clustered - units.head, np.int64)]
+        joined[found.column("word").to_numpy()] = found.column("class").to_numpy()
+        units = units.learnt(joined, classes)
+        shared.unpersist()
+        shared = spark.sparkContext.broadcast(units)
+        bigrams = _dense(unit_bigrams(texts, shared), units.size)
+        of = np.arange(units.size)
     by_shape = counts.where("shape >= 0").groupBy("shape").agg(F.sum("n").alias("n"), F.count("*").alias("types")).collect()  # SHAPES rows at most
     tokens, types = np.zeros(SHAPES), np.zeros(SHAPES)
     for r in by_shape:
@@ -245,7 +350,6 @@ def fit(docs: DataFrame):
     for w, n in zip(units.words[: units.clustered], units.counts, strict=False):
         tokens[shape(w)] -= n
         types[shape(w)] -= 1
-    of = exchange(bigrams, units.clustered)
     model = Model(units, of, bigrams, tokens, types, int(sums[0]), int(sums[1]), int(sums[2]))
     return shared, spark.sparkContext.broadcast(model), model, counts
 
@@ -267,7 +371,7 @@ def score(docs: DataFrame) -> DataFrame:
                 number, unit, rare = known.of(words)
                 of = m.of[unit]
                 top = number[number >= 0]
-                moved = m.transition[np.r_[m.of[known.clustered], of[:-1]], of].sum()
+                moved = m.transition[np.r_[m.of[known.end], of[:-1]], of].sum()
                 seen = len(top) - (0 if m.known_end else 1)
                 listed = [{"word": w, "shape": shape(w), "times": n} for w, n in Counter(rare).items()]
                 rows.append((len(words), seen, float(m.base[top].sum()), float(moved + m.emission[top].sum()), listed))

@@ -165,6 +165,50 @@ def test_exchange_finds_classes():
     assert all(b >= a - 1e-9 for a, b in zip(values, values[1:], strict=False))
 
 
+def test_lm_places_every_top_word(spark, monkeypatch):
+    """Words beyond the head join the class whose neighbours are theirs, whatever their shape."""
+    monkeypatch.setattr(lm, "HEAD", 8)
+    monkeypatch.setattr(lm, "CLASSES", 2)
+    rng = np.random.default_rng(14)
+    sides = [[f"{side}{k}" for k in range(4)] for side in "xy"]
+    text = lambda n: " ".join(sides[i % 2][rng.integers(4)] for i in range(n))
+    rows = [(i, text(200)) for i in range(60)] + [(100 + i, f"{text(2)} rare{i % 6} {text(7).split(' ', 1)[1]}") for i in range(60)]
+    rows += [(200 + i, f"{text(3)} {i % 6}odd! {text(6)}") for i in range(60)]
+    shared, _, model, _ = lm.fit(docs(spark, rows))
+    units = shared.value
+    assert units.clustered == len(units.words) == 8 + 12
+    number = units.ready()
+    of = {w: int(model.of[units.unit[number[w]]]) for w in units.words}
+    x, y = of[b"x0"], of[b"y0"]
+    assert {x, y} == {0, 1} and all(of[f"x{k}".encode()] == x and of[f"y{k}".encode()] == y for k in range(4))
+    assert {of[f"rare{k}".encode()] for k in range(6)} == {x} and {of[f"{k}odd!".encode()] for k in range(6)} == {y}
+    for c in (x, y):
+        assert math.isclose(sum(10 ** model.emission[number[w]] for w in units.words if of[w] == c), 1)
+
+
+def test_best_classes_match_the_likelihood():
+    """The class that gains most gives the best likelihood of the table with the word moved there."""
+    rng = np.random.default_rng(15)
+    value = lambda t: lm._f(t).sum() - lm._f(t.sum(axis=0)).sum() - lm._f(t.sum(axis=1)).sum()
+
+    def joined(table, c, before, after):
+        t = table.copy()
+        t[:, c] += before
+        t[c] += after
+        return t
+
+    for _ in range(40):
+        table = rng.integers(0, 50, (6, 6)).astype(float)
+        before = np.r_[rng.multinomial(30, [0.2] * 5), 0]  # the word is in class 5 and has no neighbour there
+        after = np.r_[rng.multinomial(30, [0.2] * 5), 0]
+        both = np.r_[before, after]
+        keys = np.flatnonzero(both)
+        # two words at once, so that sums keep them apart
+        got = lm.best_classes(np.array([0, len(keys)]), np.r_[keys, keys], np.r_[both[keys], both[keys]], joined(table, 5, before, after), 4)
+        values = [value(joined(table, c, before, after)) for c in range(4)]
+        assert all(math.isclose(values[c], max(values)) for c in got)
+
+
 def test_model_is_a_distribution():
     """Transitions from each class, and words of each class with its unknown one, sum to one."""
     words_ = [f"w{k}".encode() for k in range(6)]
