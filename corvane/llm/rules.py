@@ -13,8 +13,9 @@ is no hot spot; parameters are one small row per group, joined by the planner (b
 measured to be small, else with skew splitting). Nothing is collected.
 
 Cases: a null or wordless text has zero words, fails the fixed rules and isn't kept; null
-language or source is a group of its own; groups of fewer than MIN_ROWS rows reject nothing
-by distance; statistics without spread in a group get a least spread (FLOOR); repeated rows each
+language or source is a group of its own; rows of a group of fewer than MIN_ROWS rows are judged
+by the estimate of all rows of their language, or if these are too few, by that of all rows of the
+table, however many; statistics without spread in a group get a least spread (FLOOR); repeated rows each
 count; an empty table gives no rows; other columns are ignored.
 """
 
@@ -143,10 +144,10 @@ def _distance() -> Column:
     return sum((at[i] * at[j] * F.col(f"p{i}{j}") * (1 if i == j else 2) for i, j in _PAIRS), F.lit(0.0))
 
 
-def estimates(stats: DataFrame) -> DataFrame:
-    """Location, inverse scatter and scale of each group (lang, source) of at least MIN_ROWS rows x0, x1, ..."""
+def estimates(stats: DataFrame, least: int = MIN_ROWS) -> DataFrame:
+    """Location, inverse scatter and scale of each group (lang, source) of at least so many rows x0, x1, ..."""
     middle = lambda c: F.percentile_approx(c, 0.5, ACCURACY)
-    groups = stats.groupBy("lang", "source").agg(F.count("*").alias("rows"), *(middle(f"x{i}").alias(f"m{i}") for i in range(_D))).where(F.col("rows") >= MIN_ROWS).drop("rows")
+    groups = stats.groupBy("lang", "source").agg(F.count("*").alias("rows"), *(middle(f"x{i}").alias(f"m{i}") for i in range(_D))).where(F.col("rows") >= least).drop("rows")
     groups = common.written(groups, "medians")
     spread = _joined(stats, groups).groupBy("lang", "source").agg(*(middle(F.abs(F.col(f"x{i}") - F.col(f"m{i}"))).alias(f"a{i}") for i in range(_D)), *(F.first(f"m{i}").alias(f"m{i}") for i in range(_D)))
     inverse = lambda i, j: 1 / (F.pow(1.4826 * F.col(f"a{i}"), 2) + FLOOR[i] ** 2) if i == j else F.lit(0.0)
@@ -161,11 +162,27 @@ def estimates(stats: DataFrame) -> DataFrame:
     return common.written(_joined(fitted, scale), "estimates")
 
 
+def pooled_estimates(stats: DataFrame) -> DataFrame:
+    """As estimates(), for every group: its own, else that of its language, else that of all rows."""
+    own, none = estimates(stats), F.lit(None).cast("string")
+    small = common.written(_joined(stats.select("lang", "source").distinct(), own, "left").where("scale is null").select("lang", "source"), "small")
+    if small.isEmpty():
+        return own
+    wanted = small.select(F.col("lang").alias("__lang")).distinct()
+    languages = estimates(stats.join(wanted, stats["lang"].eqNullSafe(wanted["__lang"]), "left_semi").withColumn("source", none)).drop("source").withColumnRenamed("lang", "__lang")
+    filled = common.written(small.join(languages, small["lang"].eqNullSafe(languages["__lang"]), "left").drop("__lang"), "filled")
+    out, left = own.unionByName(filled.where("scale is not null")), filled.where("scale is null").select("lang", "source")
+    if not left.isEmpty():
+        table = estimates(stats.withColumns({"lang": none, "source": none}), 1).drop("lang", "source")  # one row
+        out = out.unionByName(left.crossJoin(F.broadcast(table)))
+    return common.written(out, "pooled")
+
+
 def judge(docs: DataFrame, cut: float = CUT) -> DataFrame:
-    """Per row: doc_id, the counts, base_failed, kept and distance (squared; null where no estimate holds)."""
+    """Per row: doc_id, the counts, base_failed, kept and distance (squared; null where base_failed)."""
     found = text_counts(docs)
     stats = common.written(found.withColumns({f"x{i}": F.when(~F.col("base_failed"), c) for i, c in enumerate(vector())}), "counts")
-    groups = estimates(stats.where("not base_failed").select("lang", "source", *(f"x{i}" for i in range(_D))))
+    groups = pooled_estimates(stats.where("not base_failed").select("lang", "source", *(f"x{i}" for i in range(_D))))
     # a group of nearly equal rows must not be stretched: the scale only widens
     distance = _distance() / F.greatest(F.col("scale"), F.lit(1.0))
     judged = _joined(stats, groups, "left").withColumn("distance", distance)

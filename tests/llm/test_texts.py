@@ -93,6 +93,21 @@ def test_mcd_resists_masking(spark):
     assert len(got) == 1 and all(abs(got[0][f"m{i}"]) < 0.3 for i in range(4))
 
 
+def test_rules_judge_small_groups(spark):
+    """Groups too small for an estimate are judged by their language, or by all rows."""
+    rng = np.random.default_rng(6)
+    text = lambda: " ".join("w" * int(k) for k in rng.integers(3, 8, 60))
+    rows = [(i, text(), "es", f"s{i % 9}") for i in range(90)] + [(200 + i, text(), None, "s1") for i in range(3)] + [(300, text(), "pt", None)]
+    junk = " ".join(f"w%%%#{k}" for k in range(60))  # no repeated words, so that only its distance tells
+    rows += [(900, junk, "es", "s3"), (901, junk, None, "s1"), (902, junk, "pt", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    for part in (df, df.where("lang is null or lang = 'pt'")):  # the latter is too few rows for any group
+        got = part.count(), rules.judge(part).collect()
+        assert got[0] == len(got[1]) and all(r.distance is not None for r in got[1])
+    kept = {r.doc_id: r.kept for r in rules.judge(df).collect()}
+    assert not (kept[900] or kept[901] or kept[902]) and all(kept[i] for i, *_ in rows if i < 900)
+
+
 def test_quality(spark):
     rng = np.random.default_rng(3)
     good = [(i, " ".join("".join(rng.choice(list("aeiourst"), int(rng.integers(2, 9)))) for _ in range(40)) + ".") for i in range(300)]
