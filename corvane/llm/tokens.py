@@ -1,7 +1,7 @@
 """Token counts and ids by a two-tier lookup, without a shuffle of pre-tokens.
 
 The pre-tokenizer of a byte-level BPE file ends every pre-token before a space that follows a
-character other than a space and begins a new one there, so a text may be cut before each such
+character other than white space and begins a new one there, so a text may be cut before each such
 space and its pieces encoded alone; special strings hold no space and so are never cut. The
 first tier is a compact table of the most frequent pieces and their lengths in tokens, broadcast
 (at most TABLE_ENTRIES pieces of at most TABLE_PIECE bytes, a bound that no corpus moves). The
@@ -57,13 +57,13 @@ def tokenizer(path: str):
 
 
 def pieces(text: str) -> list[str]:
-    """The text cut before each space that follows something else than a space."""
+    """The text cut before each space that follows something else than white space."""
     parts = text.split(" ")
-    if "" not in parts:
+    if "" not in parts and not any(p[-1].isspace() for p in parts):
         return parts[:1] + [" " + p for p in parts[1:]]
     out = [parts[0]]
     for k in range(1, len(parts)):
-        if parts[k - 1]:
+        if parts[k - 1] and not parts[k - 1][-1].isspace():
             out.append(" " + parts[k])
         else:
             out[-1] += " " + parts[k]

@@ -156,6 +156,21 @@ def test_tokens(spark):
     assert tokens.count_tokens(docs(spark, rows).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("gap", [" \u00a0" * k + end for k in (1, 2, 3, 4, 8, 16) for end in ("", " ", "\n", "\u3000 ")] + ["\t ", " \n \u2003 ", "\u0085 ", "\x1f ", "\u1680 \u2028 "])
+def test_pieces_keep_mixed_white_space(gap):
+    """A space after other white space doesn't begin a pre-token, so the pieces' tokens sum to the text's."""
+    count = tokens._lengths(tokens.default_path())
+    for t in (f"x{gap}y", f"{gap}y z", f"x{gap}", f"x {gap} {gap}'s 1"):
+        got = tokens.pieces(t)
+        assert "".join(got) == t and sum(count(got)) == count([t])[0], t
+
+
+def test_mixed_white_space_is_counted_whole(spark):
+    text = "x" + " \u00a0" * 16 + "y"
+    got = tokens.count_tokens(docs(spark, [(1, text)])).first()
+    assert got.n_tokens == len(tokens.tokenizer(tokens.default_path()).encode(text, add_special_tokens=False).ids)
+
+
 def test_rank_encoder_equals_library_on_random_strings():
     from hypothesis import given, settings
     from hypothesis import strategies as st
