@@ -300,20 +300,9 @@ class Model:
 
 
 def _top(counts: DataFrame) -> tuple[list[bytes], np.ndarray]:
-    """The most frequent words, TOP at most, by falling count.
-
-    A histogram of counts on a log scale tells where to cut, so that no task sorts or merges them.
-    """
-    words = counts.where((F.col("shape") >= 0) & (F.octet_length("word") <= TOP_BYTES)).withColumn("bucket", F.floor(F.log2("n") * 64))
-    cut, held = None, 0
-    for r in sorted(words.groupBy("bucket").agg(F.count("*").alias("k")).collect(), key=lambda r: -r["bucket"]):  # 4,096 rows at most
-        held += r["k"]
-        if held > TOP:
-            break
-        cut = r["bucket"]
-    if cut is None:
-        return [], np.zeros(0)
-    found = sorted(((-r["n"], bytes(r["word"])) for r in words.where(F.col("bucket") >= cut).select("word", "n").collect()))  # TOP rows at most
+    """The most frequent words, TOP at most, by falling count."""
+    words = counts.where((F.col("shape") >= 0) & (F.octet_length("word") <= TOP_BYTES))
+    found = sorted((-r["n"], bytes(r["word"])) for r in common.most_frequent(words.select("word", "n"), TOP))
     return [w for _, w in found], np.array([-n for n, _ in found], np.float64)
 
 

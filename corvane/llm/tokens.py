@@ -16,6 +16,7 @@ an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections import Counter
 
@@ -28,11 +29,17 @@ from pyspark.sql import types as T
 from corvane.llm import common
 
 LIMIT = 1024
-TABLE_ENTRIES, TABLE_PIECE, TABLE_ROWS = 1 << 15, 40, 512
+TABLE_ENTRIES, TABLE_PIECE = 1 << 15, 40
+#: Pieces that a task tells of, and pieces that it counts at a time.
+SUMMARY, COUNTED = 1 << 12, 1 << 17
 #: Pieces in each of the two generations of a worker's cache.
 CACHE_ENTRIES = 300_000
+#: Characters of a piece that is kept there; longer ones are encoded each time.
+CACHED_PIECE = 128
 
 _TOKENIZERS: dict[str, object] = {}
+#: Where a text may be cut: before a space, after something else than white space.
+_CUT = re.compile(r"(?<=\S)(?= )")
 
 
 def default_path() -> str:
@@ -61,13 +68,7 @@ def pieces(text: str) -> list[str]:
     parts = text.split(" ")
     if "" not in parts and not any(p[-1].isspace() for p in parts):
         return parts[:1] + [" " + p for p in parts[1:]]
-    out = [parts[0]]
-    for k in range(1, len(parts)):
-        if parts[k - 1] and not parts[k - 1][-1].isspace():
-            out.append(" " + parts[k])
-        else:
-            out[-1] += " " + parts[k]
-    return [p for p in out if p]
+    return _CUT.split(text)  # linear whatever the run
 
 
 class Pieces:
@@ -131,7 +132,23 @@ def rank_encoder(path: str):
 
 def token_ids(text: str | None, path: str) -> np.ndarray:
     """The ids of one text, special strings included, nothing added."""
-    return rank_encoder(path).encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False) if text else np.zeros(0, "<u4")
+    if not text:
+        return np.zeros(0, "<u4")
+    try:
+        return _by_rank(text, path)
+    except ValueError:  # a run of white space too long for the encoder
+        return np.concatenate([_piece_ids(p, path) for p in pieces(text)])
+
+
+def _by_rank(text: str, path: str) -> np.ndarray:
+    return rank_encoder(path).encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False)
+
+
+def _piece_ids(piece: str, path: str) -> np.ndarray:
+    try:
+        return _by_rank(piece, path)
+    except ValueError:
+        return np.array(tokenizer(path).encode(piece, add_special_tokens=False).ids, "<u4")
 
 
 _CACHES: dict = {}
@@ -160,13 +177,29 @@ class Table:
         return out
 
 
+def summaries(docs: DataFrame, summary: int = SUMMARY, counted: int = COUNTED) -> DataFrame:
+    """(piece, n): how often pieces occur, from each task its most frequent ones."""
+
+    def run(batches):
+        counts: Counter = Counter()
+        for batch in common.slices(batches):
+            for raw in common.text_bytes(batch.column(0)):
+                if raw:
+                    counts.update(pieces(raw.decode("utf-8", "replace")))
+                if len(counts) > counted:
+                    counts = Counter(dict(counts.most_common(counted // 2)))
+        top = [(p, n) for p, n in counts.most_common(summary) if len(p.encode()) <= TABLE_PIECE]
+        if top:
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in top]), pa.array([n for _, n in top], pa.int64())], names=["piece", "n"])
+
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+
+
 def frequent(docs: DataFrame, path: str) -> Table:
-    """The broadcast tier, from a bounded number of rows; only speed depends on it."""
-    counts: Counter = Counter()
-    for row in docs.select(F.col("text").cast("string").alias("text")).take(TABLE_ROWS):
-        counts.update(pieces(row.text) if row.text else [])
-    top = [p for p, _ in counts.most_common(2 * TABLE_ENTRIES)]
-    return Table({p: counts[p] for p in top}, dict(zip(top, _lengths(path)(top), strict=True)))
+    """The broadcast tier: the pieces that are most frequent over all texts. Only speed depends on it."""
+    counts = {r["piece"]: r["n"] for r in common.most_frequent(common.written(summaries(docs), "pieces"), TABLE_ENTRIES)}
+    top = sorted(counts, key=lambda p: (-counts[p], p))
+    return Table(counts, dict(zip(top, _lengths(path)(top), strict=True)))
 
 
 def count_tokens(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -> DataFrame:
@@ -180,7 +213,7 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -
             for k in [k for k in _CACHES if k[0] == "table"]:
                 del _CACHES[k]  # of an earlier call
             _CACHES[key] = table.value.lookup()
-        first, cache = _CACHES[key], _cached(path)
+        first, cache, lengths = _CACHES[key], _cached(path), _lengths(path)
         n_bytes, n_tokens = [], []
         for raw in texts:
             n_bytes.append(len(raw or b""))
@@ -188,11 +221,14 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -
             got = list(map(first.get, cut))
             if None in got:
                 rare = [p for p, g in zip(cut, got, strict=True) if g is None]
+                long = [p for p in rare if len(p) > CACHED_PIECE]
+                if long:
+                    rare = [p for p in rare if len(p) <= CACHED_PIECE]
                 more = list(map(cache.young.get, rare))
                 if None in more:
                     cache.fill(list({p for p, g in zip(rare, more, strict=True) if g is None}))
                     more = list(map(cache.young.get, rare))
-                n_tokens.append(sum(filter(None, got)) + sum(more))
+                n_tokens.append(sum(filter(None, got)) + sum(more) + sum(sum(lengths([p])) for p in long))
                 cache.turn()
             else:
                 n_tokens.append(sum(got))

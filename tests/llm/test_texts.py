@@ -176,7 +176,7 @@ def test_rank_encoder_equals_library_on_random_strings():
     from hypothesis import strategies as st
 
     library = tokens.tokenizer(tokens.default_path())
-    letters = st.text(alphabet=st.sampled_from(list("aetoinsrhAT '.,!0123\n\t  éßñ  中文\U0001f600<|>")), max_size=60)
+    letters = st.text(alphabet=st.sampled_from(list("aetoinsrhAT '.,!0123\n\t \u00a0\u3000\u0085\u2028 éßñ  中文\U0001f600<|>")), max_size=60)
 
     @settings(max_examples=400, deadline=None)
     @given(st.one_of(st.text(max_size=60), letters))
@@ -189,6 +189,32 @@ def test_rank_encoder_equals_library_on_random_strings():
     check()
 
 
+@pytest.mark.parametrize("space", [" ", "\t", "\n", "\u00a0", "\u3000", "\u0085", "\u2028", " \u00a0", "\n "])
+def test_very_long_white_space(spark, space):
+    """Runs beyond what the rank encoder can cut get the library's ids."""
+    text = "a b" + space * 1_100_000 + "c d."
+    want = tokens.tokenizer(tokens.default_path()).encode(text, add_special_tokens=False).ids
+    assert tokens.token_ids(text, tokens.default_path()).tolist() == want
+
+
+def test_very_long_white_space_is_packed_and_counted(spark):
+    rows = [(k, "a b" + space * 1_100_000 + "c d.") for k, space in enumerate((" ", "\u00a0"))] + [(7, "x" * 1_100_000), (8, "-" * 1_100_000)]
+    want = {i: tokens.tokenizer(tokens.default_path()).encode(t, add_special_tokens=False).ids for i, t in rows}
+    got = {}
+    for r in packing.pack(docs(spark, rows), with_ids=True).collect():
+        got.setdefault(r.doc_id, {})[r.start] = r.ids
+    assert {i: [x for _, p in sorted(parts.items()) for x in p] for i, parts in got.items()} == {i: [*ids, 1] for i, ids in want.items()}
+    assert {r.doc_id: r.n_tokens for r in tokens.count_tokens(docs(spark, rows)).collect()} == {i: len(ids) for i, ids in want.items()}
+
+
+def test_table_of_frequent_pieces_covers_all_texts(spark):
+    rows = [(k, f"common w{k}" + " also" * (k % 3)) for k in range(900)] + [(1000 + k, "last words") for k in range(800)]
+    table = tokens.frequent(docs(spark, rows), tokens.default_path()).lookup()
+    assert table["common"] == 1 and table[" words"] == 1 and table[" also"] == 1
+    few = {r.piece: r.n for r in tokens.summaries(docs(spark, rows), summary=4, counted=64).collect()}
+    assert few["common"] > 600 and few[" also"] > 600
+
+
 def test_cache_turns():
     cache = tokens.Pieces(lambda part: [len(p) for p in part], entries=3)
     for k in range(20):
