@@ -7,8 +7,9 @@ candidate is reported only where complementary parts lie in its scope: a login b
 a key beside an identifier, an endpoint beside both. Candidates that overlap a strong span are
 no further finding.
 
-Positions come from the lengths of matches and of what lies between them. Matching is a map-only
-pass; its arrays, a few bytes a document, are written to the shared folder, so that texts are
+Positions come from the lengths of matches and of what lies between them, in code points and in
+bytes, by a running sum over blocks of matches (_running), whose work grows in proportion to them.
+Matching is a map-only pass; its arrays, a few bytes a document, are written to the shared folder, so that texts are
 scanned once. The join asks for each part only its nearest neighbour of either class on either
 side, found by two running windows over the parts of one document: linear, without pairs. Parts
 are keyed by document, so no group is larger than a document. Links return to documents by an
@@ -44,28 +45,46 @@ KINDS = [p[0] for p in PATTERNS]
 _STRONG = 3
 #: A cheap sign that a kind may occur; only then are its matches cut out.
 _SIGNS = {"assign": r"(?i)(?:passw|secret|token|api_?key)", "access": "AKIA[A-Z0-9]{14}", "hex": "[0-9a-f]{16}", "login": r"(?i)(?:user|login|account|client_?id|key_?id)", "key": "[A-Za-z0-9+/_-]{20}", "endpoint": "://"}
-_SPAN = "array<struct<start:int,ord:int,kind:string,end:int>>"
+#: Positions in code points, end exclusive; off: how many bytes more than code points lie before the span (spans are ASCII).
+_SPAN = "array<struct<start:int,ord:int,kind:string,end:int,off:int>>"
+#: Elements of an array that are folded at a time.
+_BLOCK = 128
+
+
+def _running(items: Column, start: dict[str, Column], kind: str, step) -> Column:
+    """What step(state, item) puts into the array state.out over all items. The array of a state
+    is copied at each step, so it is kept short: blocks of items are folded one after the other,
+    each from where the last one ended, and their arrays are flattened."""
+    empty = F.array().cast(kind)
+    blocks = F.get(F.transform(F.array(items), lambda a: F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / _BLOCK).cast("int")), lambda k: F.slice(a, k * _BLOCK + 1, F.lit(_BLOCK)))), F.lit(0))
+
+    def block(done, part):
+        last = F.element_at(done, -1)
+        return F.concat(done, F.array(F.aggregate(part, F.struct(*[last[n].alias(n) for n in start], empty.alias("out")), step)))
+
+    first = F.struct(*[c.alias(n) for n, c in start.items()], empty.alias("out"))
+    return F.flatten(F.transform(F.aggregate(blocks, F.array(first), block), lambda s: s["out"]))
 
 
 def _matches(text: Column, ord_: int) -> Column:
-    """All spans of one kind: start, ord, kind, end."""
+    """All spans of one kind."""
     kind, pattern, group, least = PATTERNS[ord_]
     pat = F.lit(pattern)
     parts = F.arrays_zip(
         F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, pat, F.lit(0)).alias("whole"), F.regexp_extract_all(text, pat, F.lit(group)).alias("part"),
     )
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("spans"))
 
     def step(s, x):
         a = s["at"] + F.length(x["gap"])
+        off = s["off"] + F.octet_length(x["gap"]) - F.length(x["gap"])
         b = a + F.coalesce(F.length(x["whole"]), F.lit(0))
-        span = F.array(F.struct(a.alias("start"), F.lit(ord_).alias("ord"), F.lit(kind).alias("kind"), b.alias("end"))).cast(_SPAN)
+        span = F.array(F.struct(a.alias("start"), F.lit(ord_).alias("ord"), F.lit(kind).alias("kind"), b.alias("end"), off.alias("off"))).cast(_SPAN)
         ok = F.coalesce(F.length(x["part"]) >= least, F.lit(False))
         for sign in _HOLDS.get(kind, ()):
             ok = ok & F.rlike(x["whole"], F.lit(sign))
-        return F.struct(b.alias("at"), F.when(ok, F.concat(s["spans"], span)).otherwise(s["spans"]).alias("spans"))
+        return F.struct(b.alias("at"), off.alias("off"), F.when(ok, F.concat(s["out"], span)).otherwise(s["out"]).alias("out"))
 
-    found = F.aggregate(parts, start, step, lambda s: s["spans"])
+    found = _running(parts, {"at": F.lit(0), "off": F.lit(0)}, _SPAN, step)
     return F.when(F.rlike(text, F.lit(_SIGNS[kind])), found).otherwise(F.array().cast(_SPAN))
 
 
@@ -90,11 +109,11 @@ def _linked(found: DataFrame, scope: int) -> DataFrame:
     inside = F.coalesce(F.col("strong_left") > F.col("start"), F.lit(False)) | F.coalesce(F.col("strong_right") < F.col("end"), F.lit(False))
     wanted = F.when(F.col("kind") == "login", near("secret")).when(F.col("kind") == "key", near("ident")).when(F.col("kind") == "endpoint", near("secret") & near("ident"))
     kept = rows.where((F.col("ord") >= _STRONG) & ~inside & wanted)
-    return kept.groupBy("doc_id", "h").agg(F.collect_list(F.struct("start", "ord", "kind", "end")).alias("more"))
+    return kept.groupBy("doc_id", "h").agg(F.collect_list(F.struct("start", "ord", "kind", "end", "off")).alias("more"))
 
 
 def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
-    """Per row: doc_id, h, strong and spans (strong and linked weak ones), arrays of (start, ord, kind, end) by start."""
+    """Per row: doc_id, h, strong and spans (strong and linked weak ones), arrays of (start, ord, kind, end, off) by start."""
     found = common.written(parts(docs), "parts")
     more = _linked(found, scope).withColumnsRenamed({"doc_id": "__id", "h": "__h"})
     joined = found.join(more, found["doc_id"].eqNullSafe(more["__id"]) & (found["h"] == more["__h"]), "left")
@@ -111,20 +130,28 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", *map(count, range(_STRONG)), F.sha2(_said("strong"), 256).alias("base_sha256"), _said("spans").alias("spans"))
 
 
+#: Bytes that stay, and the kind of the span after them.
+_CUT = "array<struct<from:int,to:int,kind:string>>"
+
+
 def redact(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     """docs, all columns, each span of scan() in text replaced by its kind in square brackets."""
     found = scan(docs, scope).where(F.size("spans") > 0).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), F.col("spans").alias("__spans")).dropDuplicates(["__id", "__h"])
     found = common.written(found, "spans")
     rows = docs.join(found, docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("__h")), "left")
-    text = F.col("text")
-
-    def step(s, x):
-        ahead = F.greatest(x["start"] - s["at"], F.lit(0))
-        said = F.concat(s["said"], F.substring(text, s["at"] + 1, ahead), F.when(x["start"] >= s["at"], F.concat(F.lit("["), x["kind"], F.lit("]"))).otherwise(""))
-        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), said.alias("said"))
-
-    folded = F.aggregate("__spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("said")), step, lambda s: F.concat(s["said"], F.substring(text, s["at"] + 1, F.length(text))))
-    return rows.withColumn("text", F.when(F.col("__spans").isNotNull(), folded).otherwise(text)).select(docs.columns)
+    text = F.col("text").cast("string")
+    end = F.length(text)
+    last = F.array(F.struct(end.alias("start"), F.lit(len(PATTERNS)).alias("ord"), F.lit("").alias("kind"), end.alias("end"), (F.octet_length(text) - end).alias("off"))).cast(_SPAN)
+
+    def step(s, x):  # at: byte up to which the text is told or left out
+        a, b = x["start"] + x["off"], x["end"] + x["off"]
+        cut = F.array(F.struct(s["at"].alias("from"), a.alias("to"), x["kind"].alias("kind"))).cast(_CUT)
+        return F.struct(F.greatest(s["at"], b).alias("at"), F.when(a >= s["at"], F.concat(s["out"], cut)).otherwise(s["out"]).alias("out"))
+
+    cuts = _running(F.concat("__spans", last), {"at": F.lit(0)}, _CUT, step)
+    told = lambda raw: F.transform(cuts, lambda c: F.concat(F.substring(raw, c["from"] + 1, c["to"] - c["from"]).cast("string"), F.when(c["kind"] == "", "").otherwise(F.concat(F.lit("["), c["kind"], F.lit("]")))))
+    cleared = F.array_join(F.get(F.transform(F.array(text.cast("binary")), told), F.lit(0)), "")
+    return rows.withColumn("text", F.when(F.col("__spans").isNotNull(), cleared).otherwise(F.col("text"))).select(docs.columns)
 
 
 def _sql_spans(place: int) -> str:
