@@ -8,8 +8,10 @@ distrust exceeds its trust and reaches the threshold.
 
 All of it is DataFrame operations. Up to INLINE rules become one conditional expression without
 a shuffle; more are joined by exact host suffix and path prefix. Links are counted per pair of
-hosts before they move; ranks are small rows per host, summed with map-side combining, and each
-round is written to the shared folder. The join of pages with their host's verdict is left to
+hosts before they move. Ranks are sums of what arrives in each round; a round moves only what the
+last one brought, small rows per host, summed with map-side combining and written to the shared
+folder, until no host receives more than TOLERANCE of the rank at which it would be blocked.
+Hosts without links pass nothing on. The join of pages with their host's verdict is left to
 the planner: a hot host is split, or the hosts are broadcast if they are measured to be few.
 
 Cases: a null address, or one without ://, has empty host and path and no rule; rules of equal
@@ -29,7 +31,7 @@ from corvane.llm import common
 
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 INLINE = 256
-DAMPING, ROUNDS, THRESHOLD = 0.85, 12, 0.5
+DAMPING, TOLERANCE, THRESHOLD = 0.85, 1e-3, 0.5
 
 
 def host_of(url: Column) -> Column:
@@ -75,25 +77,27 @@ def with_rules(pages: DataFrame, rules: list[tuple[str, str]], inline: int = INL
 
 
 def host_links(pages: DataFrame) -> DataFrame:
-    """(source, target, n): links from pages of one host to another, by absolute addresses."""
-    links = F.regexp_extract_all("html", F.lit(r"""(?i)\bhref\s*=\s*["']?\s*([a-z][a-z0-9+.-]*://[^"'\s>]*)"""), F.lit(1))
-    found = pages.where(F.contains("html", F.lit("://"))).select(host_of(F.col("url")).alias("source"), F.explode(links).alias("link"))
+    """(source, target, n): links from pages of one host to another, by addresses that name a host."""
+    links = F.regexp_extract_all("html", F.lit(r"""(?i)\bhref\s*=\s*["']?\s*((?:[a-z][a-z0-9+.-]*:)?//[^"'\s>]*)"""), F.lit(1))
+    links = F.transform(links, lambda x: F.when(x.startswith("//"), F.concat(F.lit(":"), x)).otherwise(x))
+    found = pages.where(F.contains("html", F.lit("//"))).select(host_of(F.col("url")).alias("source"), F.explode(links).alias("link"))
     found = found.select("source", host_of(F.col("link")).alias("target")).where("source <> '' and target <> '' and source <> target")
     return found.groupBy("source", "target").agg(F.count("*").alias("n"))
 
 
-def propagate(seeds: DataFrame, links: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def propagate(seeds: DataFrame, links: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """(host, rank): personalised PageRank from seeds (host, seed) along links (source, target, n)."""
     out = links.groupBy("source").agg(F.sum("n").alias("total"))
     shares = common.written(links.join(out, "source").select("source", "target", (F.col("n") / F.col("total")).alias("share")), "shares")
-    start = seeds.select("host", (F.col("seed") * (1 - damping)).alias("rank"))
-    if shares.isEmpty():
-        return start
-    ranks = start
-    for _ in range(rounds):
-        moved = shares.join(ranks, shares.source == ranks.host).select(F.col("target").alias("host"), (F.col("share") * F.col("rank") * damping).alias("rank"))
-        ranks = common.written(start.union(moved).groupBy("host").agg(F.sum("rank").alias("rank")), "ranks")
-    return ranks
+    ranks = arrived = common.written(seeds.select("host", (F.col("seed") * (1 - damping)).alias("rank")).where("rank > 0"), "ranks")
+    least = tolerance * THRESHOLD * (1 - damping)
+    while not shares.isEmpty():
+        moved = shares.join(arrived, shares.source == arrived.host).groupBy(F.col("target").alias("host")).agg((F.sum(F.col("share") * F.col("rank")) * damping).alias("rank"))
+        arrived = common.written(moved, "ranks")
+        ranks = ranks.union(arrived)
+        if arrived.agg(F.coalesce(F.max("rank"), F.lit(0.0))).first()[0] <= least:
+            break
+    return ranks.groupBy("host").agg(F.sum("rank").alias("rank"))
 
 
 def host_verdicts(pages: DataFrame, ruled: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -117,13 +121,20 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] | None = None, inline:
     return ruled.join(hosts, "host", "left").select("page_id", "host", "path", "rule", verdict.alias("verdict"))
 
 
-#: Where no page links to another host, ranks are the seeds' own shares, which SQL can count.
+#: A round of the recursive part moves what the last one brought, for at most 80 rounds.
 ORACLE = r"""
-WITH a AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
-p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM a),
+WITH RECURSIVE a AS (SELECT page_id, html, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, html, translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM a),
 rules(verdict, rule, rhost, rpath) AS (VALUES ('allow', 'com/', 'com', '/'), ('block', 'example.com/en/', 'example.com', '/en/'), ('allow', 'www.example.com/en/', 'www.example.com', '/en/'), ('block', 'net/es/', 'net', '/es/'), ('block', 'net/fr/', 'net', '/fr/')),
 r AS (SELECT p.page_id, p.host, p.path, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS ruled
   FROM p LEFT JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY ALL),
-h AS (SELECT host, 0.15 * count(*) FILTER (ruled = 'allow') / count(*) AS trust, 0.15 * count(*) FILTER (ruled = 'block') / count(*) AS distrust FROM r GROUP BY host)
+seed AS (SELECT host, 0.15 * count(*) FILTER (ruled = 'allow') / count(*) AS trust, 0.15 * count(*) FILTER (ruled = 'block') / count(*) AS distrust FROM r GROUP BY host),
+hrefs AS (SELECT host AS source, regexp_extract(unnest(regexp_extract_all(html, '(?i)\bhref\s*=\s*["'']?\s*((?:[a-z][a-z0-9+.-]*:)?//[^"''\s>]*)', 1)), '//([^/?#]*)', 1) AS target FROM p),
+links AS (SELECT source, translate(target, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS target, count(*) AS n FROM hrefs WHERE source <> '' AND target <> '' GROUP BY ALL),
+other AS (SELECT * FROM links WHERE source <> target),
+edges AS (SELECT 'trust' AS kind, source, target, n / sum(n) OVER (PARTITION BY source) AS share FROM other UNION ALL SELECT 'distrust', target, source, n / sum(n) OVER (PARTITION BY target) FROM other),
+arrived AS (SELECT 0 AS k, 'trust' AS kind, host, trust AS rank FROM seed UNION ALL SELECT 0, 'distrust', host, distrust FROM seed
+  UNION ALL SELECT k + 1, kind, target, 0.85 * sum(share * rank) FROM arrived JOIN edges USING (kind) WHERE source = host AND k < 80 AND rank > 0 GROUP BY k, kind, target),
+h AS (SELECT host, coalesce(sum(rank) FILTER (kind = 'trust'), 0) AS trust, coalesce(sum(rank) FILTER (kind = 'distrust'), 0) AS distrust FROM arrived GROUP BY host)
 SELECT r.page_id, r.host, r.path, r.rule, coalesce(r.ruled, CASE WHEN h.distrust > h.trust AND h.distrust >= 0.075 THEN 'block' ELSE 'allow' END) AS verdict FROM r JOIN h USING (host)
 """

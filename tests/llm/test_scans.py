@@ -141,10 +141,66 @@ def test_ranks_match_power_iteration(spark):
     links = spark.createDataFrame([(f"h{a}", f"h{b}", int(w[a, b])) for a in range(n) for b in range(n) if w[a, b]], "source string, target string, n long")
     got = {r.host: r.rank for r in urls.propagate(spark.createDataFrame([(f"h{k}", float(seed[k])) for k in range(n)], "host string, seed double"), links).collect()}
     share = w / np.maximum(w.sum(axis=1, keepdims=True), 1)
-    rank = 0.15 * seed
-    for _ in range(urls.ROUNDS):
-        rank = 0.15 * seed + 0.85 * share.T @ rank
-    assert np.allclose([got[f"h{k}"] for k in range(n)], rank)
+    rank = np.linalg.solve(np.eye(n) - 0.85 * share.T, 0.15 * seed)
+    assert np.allclose([got.get(f"h{k}", 0) for k in range(n)], rank, atol=1e-3)
+
+
+def linked_pages():
+    """Pages of 40 hosts: a hub that holds a third of all links, a cycle, a long chain, hosts
+    without links out, links of every form, and rules that block some hosts and allow others."""
+    rng = np.random.default_rng(17)
+    rows, links = [], []
+    hosts = [f"h{k}.org" for k in range(34)] + ["a.net", "b.net", "c.net", "x.com", "y.com", "example.com"]
+    link = lambda t: rng.choice([f'<a href="http://{t}/p">', f"<A HREF = '//{t.upper()}?q'>", f"<a href=https://{t}>"])
+    for k, host in enumerate(hosts):
+        for j in range(3):
+            path = "/es/1" if host.endswith(".net") and j else "/en/2"
+            targets = [hosts[t] for t in rng.integers(0, len(hosts), rng.integers(0, 4))] if k % 5 else []
+            if k == 1:
+                targets = [hosts[t] for t in range(len(hosts))] * 2
+            if 10 <= k < 20:
+                targets = [hosts[k + 1]]  # a chain
+            if 20 <= k < 23:
+                targets = [hosts[20 + (k + 1) % 3], "a.net"]
+            rows.append((len(rows), f"http://{host}{path}", "<p>" + " ".join(link(t) for t in targets) + '<a href="/local">'))
+            links += [(host, t) for t in targets if t != host]
+    return hosts, rows, links
+
+
+def test_url_verdicts_over_links(spark):
+    """Whole verdicts equal those of the solved ranks, and of the SQL."""
+    import duckdb
+    import pandas as pd
+
+    hosts, rows, links = linked_pages()
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = sorted(tuple(r) for r in urls.judge(df).select("page_id", "host", "path", "rule", "verdict").collect())
+    ruled = {i: urls_rule(u) for i, u, _ in rows}
+    n, of = len(hosts), {h: k for k, h in enumerate(hosts)}
+    w = np.zeros((n, n))
+    for a, b in links:
+        w[of[a], of[b]] += 1
+
+    def solved(w, verdict):
+        seed = np.array([np.mean([ruled[i] == verdict for i, u, _ in rows if u.split("/")[2] == h]) for h in hosts])
+        share = w / np.maximum(w.sum(axis=1, keepdims=True), 1)
+        return np.linalg.solve(np.eye(n) - 0.85 * share.T, 0.15 * seed)
+
+    trust, distrust = solved(w, "allow"), solved(w.T, "block")
+    blocked = {h for h, t, d in zip(hosts, trust, distrust, strict=True) if d > t and d >= 0.075}
+    assert {r[0]: r[4] for r in got} == {i: ruled[i] or ("block" if u.split("/")[2] in blocked else "allow") for i, u, _ in rows}
+    assert any(h.endswith(".org") for h in blocked) and any(h.endswith(".org") and h not in blocked for h in hosts)
+    con = duckdb.connect()
+    con.register("pages", pd.DataFrame(rows, columns=["page_id", "url", "html"]))
+    assert sorted(con.execute(urls.ORACLE).fetchall()) == got
+
+
+def urls_rule(url):
+    """allow, block or None by the fixed rules, for the hosts above."""
+    host, path = url.split("/")[2], "/" + url.split("/", 3)[3]
+    if host.endswith(".com"):
+        return "block" if host == "example.com" and path.startswith("/en/") else "allow"
+    return "block" if host.endswith(".net") and path.startswith(("/es/", "/fr/")) else None
 
 
 @pytest.mark.parametrize("top", [200_000, 40, 0])
