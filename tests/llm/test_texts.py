@@ -84,13 +84,90 @@ def test_rules_reject_outliers(spark):
     assert not kept[900] and not kept[901] and sum(kept[i] for i in range(150)) >= 149
 
 
-def test_mcd_resists_masking(spark):
-    """A fifth of a group far off doesn't move the estimate."""
-    rng = np.random.default_rng(2)
-    rows = [("en", "s", *map(float, rng.normal(0, 1, 4))) for _ in range(400)] + [("en", "s", *map(float, rng.normal(9, 0.1, 4))) for _ in range(80)] + [("fr", None, 0.0, 0.0, 0.0, 0.0)] * 3
+def plain_estimate(x):
+    """The estimate of rows x by the same starts, steps and factors, one row at a time in numpy; and the least determinant."""
+    floor = np.diag(np.square(rules.FLOOR))
+    rank = lambda v, share: np.sort(v, axis=0)[int(np.ceil(share * len(v))) - 1]
+    distance = lambda m, c: np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+    scatter = lambda y: np.cov(y.T, bias=True)
+    middle = rank(x, 0.5)
+    spread = 1.4826 * rank(abs(x - middle), 0.5)
+    z = (x - middle) / np.sqrt(spread**2 + np.diag(floor))
+    norm = (z**2).sum(axis=1)
+    half = x[norm <= rank(norm, 0.5)]
+    starts = [(middle, np.diag(spread**2)), (middle, scatter(np.tanh(z)) * np.outer(spread, spread)), (half.mean(axis=0), scatter(half))]
+    found = []
+    for m, c in starts:
+        last, c = None, c + floor
+        while True:
+            d = distance(m, c)
+            near = x[d <= rank(d, rules.COVERED)]
+            m, c = near.mean(axis=0), scatter(near) + floor
+            det = np.linalg.det(c)
+            if last is not None and det >= last[0] * (1 - rules.FALL):
+                break
+            last = det, m, near
+        found.append(last)
+    det, m, near = min(found, key=lambda f: f[0])
+    near = x[distance(m, scatter(near) * rules._consistency(0.75) + floor) <= rules.NEAR]
+    return near.mean(axis=0), scatter(near) * rules._consistency(0.975) + floor, det
+
+
+def grouped(rng):
+    """Rows of groups with outliers, heavy tails, few rows and no spread."""
+    groups = {("en", "a"): rng.normal(0, 0.1, (200, 4)), ("en", None): rng.standard_t(3, (90, 4)) * 0.2, ("fr", "a"): np.ones((60, 4)), ("fr", "b"): rng.normal(1, 0.3, (20, 4)), (None, "a"): rng.normal(2, 0.3, (7, 4))}
+    groups["en", "a"][:40] = rng.normal(3, 0.01, (40, 4))
+    groups["fr", "c"] = np.r_[np.zeros((70, 4)), rng.normal(0, 1, (12, 4))]
+    return groups
+
+
+def test_mcd_against_plain_version(spark):
+    """Estimates equal a plain version's, and no random start finds a covered share of much lesser determinant."""
+    rng = np.random.default_rng(20)
+    groups = grouped(rng)
+    rows = [(lang, source, *map(float, v)) for (lang, source), x in groups.items() for v in x]
     stats = spark.createDataFrame(rows, "lang string, source string, x0 double, x1 double, x2 double, x3 double").repartition(4)
-    got = rules.estimates(stats).collect()
-    assert len(got) == 1 and all(abs(got[0][f"m{i}"]) < 0.3 for i in range(4))
+    got = {(r.lang, r.source): r for r in rules.pooled_estimates(stats).collect()}
+    assert got.keys() == groups.keys()
+    for (lang, source), x in groups.items():
+        pool = x if len(x) >= 50 else np.concatenate([y for (other, _), y in groups.items() if lang in (None, other)])
+        mean, scatter, det = plain_estimate(pool)
+        r = got[lang, source]
+        inverse = np.linalg.inv(scatter)
+        assert np.allclose([r[f"m{i}"] for i in range(4)], mean, atol=1e-7) and np.isclose(r.det, det, rtol=1e-6)
+        assert np.allclose([r[f"p{i}{j}"] for i, j in rules._PAIRS], [inverse[i, j] for i, j in rules._PAIRS], rtol=1e-4, atol=1e-4)
+    x, floor, least = groups["en", "a"], np.diag(np.square(rules.FLOOR)), np.inf
+    for _ in range(200):
+        y = x[rng.choice(len(x), 6, replace=False)]
+        for _ in range(20):
+            m, c = y.mean(axis=0), np.cov(y.T, bias=True) + floor
+            d = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+            y = x[np.argsort(d)[:150]]
+        least = min(least, np.linalg.det(np.cov(y.T, bias=True) + floor))
+    assert got["en", "a"].det <= least * 1.02
+
+
+def test_verdicts_are_those_of_the_distance(spark):
+    """Distances of whole texts equal those from the plain estimate; a row on the cut stays."""
+    rng = np.random.default_rng(21)
+    rows = [(i, " ".join("w" * int(k) + "#" * int(rng.integers(0, 9) == 0) + str(j) for j, k in enumerate(rng.integers(2, 9, rng.integers(20, 90))))) for i in range(120)]
+    df = spark.createDataFrame([(i, t, "en", "one") for i, t in rows], "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in rules.judge(df).collect()}
+    x = []
+    for _, t in rows:
+        n, chars, symbols, same, again, lines = rules.counts(t.encode())
+        root = lambda part, whole: np.arcsin(np.sqrt(part / whole))
+        x.append([np.log((chars + 250) / (n + 50)), root(symbols, chars + 50), root(same, lines + 5), root(again, n + 50)])
+    x = np.array(x)
+    mean, scatter, _ = plain_estimate(x)
+    want = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(scatter), x - mean)
+    assert np.allclose([got[i].distance for i, _ in rows], want, rtol=1e-4) and all(got[i].kept == (got[i].distance <= rules.CUT) for i, _ in rows)
+    some = got[5].distance
+    assert rules.judge(df, cut=some).where(f"distance = {some!r}").first().kept
+
+
+def test_chi_square_points():
+    assert np.isclose(rules._point(0.75), 5.38527, atol=1e-4) and np.isclose(rules.NEAR, 11.14329, atol=1e-4) and np.isclose(rules.CUT, 23.5127, atol=1e-3)
 
 
 def test_rules_judge_small_groups(spark):
