@@ -3,12 +3,15 @@
 A fingerprint is eight positional bytes. Two fingerprints that differ in at most two bits share
 at least six of them, so a pair's tally of shared positional bytes must reach six; pairs that
 reach it are verified by their bits. Posting lists of single bytes would hold a 256th of all
-fingerprints each, and tallies over them grow with the square of the corpus; so a posting is
-keyed by six positional bytes at once (28 postings a fingerprint): two fingerprints meet in one
-exactly when the tally is reached, and chance meetings need 48 equal bits.
+fingerprints each, and tallies over them grow with the square of the corpus. So postings are lists of
+four positional bytes at once, two of the four two-byte blocks: six postings a fingerprint, and a pair
+that may reach six meets in one at least, since its two other bytes lie in two blocks at most. Where two
+fingerprints meet their tally may be anything from four; those below six are filtered before bits are looked at.
 
 Scale: fingerprints are made in a map-only pass; equal ones collapse with map-side combining
-(copies, however many, are one node); postings carry two longs. Members of a posting differ in
+(copies, however many, are one node); postings carry two longs. Chance meetings need 32 equal bits.
+A posting of more than LARGE fingerprints is not compared; its members, known as they stream by, are posted
+anew by six positional bytes (28 postings each), in which linked ones still meet. Members of such a posting differ in
 two bytes only, so it holds at most 65,536 fingerprints, a bound that doesn't grow with the data.
 Small postings give each verified pair once; larger ones give a spanning forest, which loses no
 link between components. Components come from alternating large and small stars, each round
@@ -34,12 +37,31 @@ from pyspark.sql import types as T
 from corvane.llm import common
 
 SHINGLE, SEED, MAX_BITS = 3, 42, 2
-#: Sets of positional bytes that key a posting; six of eight for two differing bits.
-_SETS = list(combinations(range(8), 8 - MAX_BITS))
-_MASKS = np.array([sum(0xFF << (8 * b) for b in s) for s in _SETS], np.uint64)
-#: By the set of equal bytes, the first posting in which such a pair meets (28: none).
-_FIRST = np.array([next((k for k, s in enumerate(_SETS) if all(e >> b & 1 for b in s)), len(_SETS)) for e in range(256)])
-#: Postings of up to so many members are compared pairwise.
+LEAST = 8 - MAX_BITS
+
+
+class Postings:
+    """A family of sets of positional bytes; each set keys one posting of a fingerprint."""
+
+    def __init__(self, sets: list[tuple[int, ...]]):
+        self.sets = sets
+        self.masks = [sum(0xFF << (8 * b) for b in s) for s in sets]
+        #: By the set of equal bytes, the first posting in which such a pair meets (or none: the number of sets).
+        self.first = np.array([next((k for k, s in enumerate(sets) if all(e >> b & 1 for b in s)), len(sets)) for e in range(256)])
+
+    def of(self, distinct: DataFrame) -> DataFrame:
+        """(c, k, fp): posting, the bytes that key it, and fingerprint, in order within partitions."""
+        postings = F.array(*[F.struct(F.lit(c).cast("int").alias("c"), F.col("fp").bitwiseAND(F.lit(int(np.uint64(m).view(np.int64)))).alias("k")) for c, m in enumerate(self.masks)])
+        rows = distinct.select(F.explode(postings).alias("p"), "fp").select("p.c", "p.k", "fp")
+        return rows.repartition("c", "k").sortWithinPartitions("c", "k", "fp")
+
+
+#: Two of four blocks of two bytes; and, for members of large postings, six bytes.
+FOUR = Postings([(2 * a, 2 * a + 1, 2 * b, 2 * b + 1) for a, b in combinations(range(4), 2)])
+SIX = Postings(list(combinations(range(8), LEAST)))
+#: Members of a posting by four bytes beyond which it is not compared.
+LARGE = 1024
+#: Postings by six bytes of up to so many members are compared pairwise.
 _PAIRWISE = 32
 
 
@@ -76,7 +98,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return common.map_texts(docs, lambda texts: [pa.array(x) for x in work(texts)], [("fp", T.LongType())])
 
 
-def _small(posting: np.ndarray, key: np.ndarray, fp: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _pairs(family: Postings, posting: np.ndarray, fp: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Verified pairs within runs of equal posting, each pair only in the first posting where it meets."""
     left, right = [], []
     run = np.repeat(np.arange(len(sizes)), sizes)
@@ -87,9 +109,10 @@ def _small(posting: np.ndarray, key: np.ndarray, fp: np.ndarray, sizes: np.ndarr
         b = a + step
         differ = fp[a] ^ fp[b]
         shared = differ.view(np.uint8).reshape(-1, 8) == 0
-        tally = shared.sum(axis=1)
-        first = _FIRST[np.packbits(shared, axis=1, bitorder="little")[:, 0]]
-        ok = (tally >= 8 - MAX_BITS) & (first == posting[a]) & (np.bitwise_count(differ) <= MAX_BITS) & (differ != 0)
+        enough = np.flatnonzero(shared.sum(axis=1) >= LEAST)  # the tally
+        a, b, differ = a[enough], b[enough], differ[enough]
+        first = family.first[np.packbits(shared[enough], axis=1, bitorder="little")[:, 0]]
+        ok = (first == posting[a]) & (np.bitwise_count(differ) <= MAX_BITS) & (differ != 0)
         left.append(fp[a[ok]])
         right.append(fp[b[ok]])
     return np.concatenate(left or [fp[:0]]), np.concatenate(right or [fp[:0]])
@@ -97,7 +120,7 @@ def _small(posting: np.ndarray, key: np.ndarray, fp: np.ndarray, sizes: np.ndarr
 
 def _forest(posting: int, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links from each member of one large posting to the least of its component there."""
-    low, high = sorted(set(range(8)) - set(_SETS[posting]))
+    low, high = sorted(set(range(8)) - set(SIX.sets[posting]))
     rest = ((fp >> np.uint64(8 * low)) & np.uint64(255)) | (((fp >> np.uint64(8 * high)) & np.uint64(255)) << np.uint64(8))
     rest = rest.astype(np.int64)
     label = np.full(1 << 16, 1 << 16, np.int64)
@@ -119,23 +142,67 @@ def _forest(posting: int, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return fp[far], root[far]
 
 
-def _links(batches):
-    """Links (u, v) from batches of (posting, key, fp) that are grouped by posting and key."""
+def _columns(batch: pa.RecordBatch) -> list[np.ndarray]:
+    return [batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), batch.column(1).to_numpy(), batch.column(2).to_numpy().view(np.uint64)]
+
+
+def _runs(c: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal posting start, and their sizes."""
+    start = np.flatnonzero(np.r_[True, (c[1:] != c[:-1]) | (k[1:] != k[:-1])])
+    return start, np.diff(np.r_[start, len(c)])
+
+
+def _found(u: np.ndarray, v: np.ndarray, large: np.ndarray) -> pa.RecordBatch:
+    """Links (u, v), and members of large postings with null for v."""
+    none = np.r_[np.zeros(len(v), bool), np.ones(len(large), bool)]
+    columns = [pa.array(np.r_[u, large].view(np.int64)), pa.array(np.r_[v, large].view(np.int64), mask=none)]
+    return pa.RecordBatch.from_arrays(columns, names=["u", "v"])
+
+
+def _links_of_four(large: int):
+    """Links (u, v) from batches of (posting, key, fp) in order; of a large posting its members, v being null.
+    No more than a batch and `large` rows are held."""
+
+    def run(batches):
+        held, hot = None, None  # rows of the last run so far; key of the run if it is known to be large
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            c, k, fp = _columns(batch) if held is None else [np.concatenate(x) for x in zip(held, _columns(batch), strict=True)]
+            start, sizes = _runs(c, k)
+            many = sizes > large
+            if hot is not None and hot == (c[0], k[0]):
+                many[0] = True
+            held, last = None, start[-1]
+            if many[-1]:
+                hot, last = (c[-1], k[-1]), len(c)
+            else:
+                hot, held = None, [x[last:] for x in (c, k, fp)]
+            told = np.repeat(many, sizes)
+            keep = ~told & np.repeat(sizes > 1, sizes) & (np.arange(len(c)) < last)
+            whole = ~many & (sizes > 1) & (start < last)
+            yield _found(*_pairs(FOUR, c[keep], fp[keep], sizes[whole]), fp[told])
+        if held is not None:
+            c, k, fp = held
+            yield _found(*_pairs(FOUR, c, fp, np.array([len(c)])), fp[:0])
+
+    return run
+
+
+def _links_of_six(batches):
+    """Links (u, v) from batches of (posting, key, fp) in order."""
     held: list[np.ndarray] | None = None
 
     def out(c, k, fp):
-        start = np.flatnonzero(np.r_[True, (c[1:] != c[:-1]) | (k[1:] != k[:-1])])
-        sizes = np.diff(np.r_[start, len(c)])
+        start, sizes = _runs(c, k)
         big = sizes > _PAIRWISE
         keep = np.repeat(~big, sizes) & np.repeat(sizes > 1, sizes)
-        pairs = [_small(c[keep], k[keep], fp[keep], sizes[~big & (sizes > 1)])]
+        pairs = [_pairs(SIX, c[keep], fp[keep], sizes[~big & (sizes > 1)])]
         pairs += [_forest(int(c[s]), fp[s : s + n]) for s, n in zip(start[big], sizes[big], strict=True)]
-        u, v = (np.concatenate(x) for x in zip(*pairs, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
+        return _found(*(np.concatenate(x) for x in zip(*pairs, strict=True)), fp[:0])
 
     for batch in batches:
-        got = [batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), batch.column(1).to_numpy(), batch.column(2).to_numpy().view(np.uint64)]
-        held = got if held is None else [np.concatenate(x) for x in zip(held, got, strict=True)]
+        held = _columns(batch) if held is None else [np.concatenate(x) for x in zip(held, _columns(batch), strict=True)]
         c, k, fp = held
         if not len(c):
             continue
@@ -149,9 +216,11 @@ def _links(batches):
 
 def links(distinct: DataFrame) -> DataFrame:
     """Links (u, v) among distinct fingerprints fp that connect exactly those at MAX_BITS or less, by way of others or not."""
-    postings = F.array(*[F.struct(F.lit(k).cast("int").alias("c"), F.col("fp").bitwiseAND(F.lit(int(m.view(np.int64)))).alias("k")) for k, m in enumerate(_MASKS)])
-    rows = distinct.select(F.explode(postings).alias("p"), "fp").select("p.c", "p.k", "fp")
-    return rows.repartition("c", "k").sortWithinPartitions("c", "k", "fp").mapInArrow(_links, "u long, v long")
+    found = common.written(FOUR.of(distinct).mapInArrow(_links_of_four(LARGE), "u long, v long"), "links")
+    crowded = found.where("v is null").select(F.col("u").alias("fp")).distinct()
+    if crowded.isEmpty():
+        return found
+    return found.where("v is not null").union(SIX.of(crowded).mapInArrow(_links_of_six, "u long, v long"))
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -1,7 +1,10 @@
 import hashlib
 import random
+from itertools import combinations, combinations_with_replacement
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 import xxhash
 from helpers import corpus, docs, words
@@ -59,9 +62,10 @@ def links_of(spark, values):
     return neardup.links(df)
 
 
-@pytest.mark.parametrize("pairwise", [2, 32])
-def test_links_lose_nothing(spark, monkeypatch, pairwise):
+@pytest.mark.parametrize(("pairwise", "large"), [(2, 3), (32, 40), (32, 10_000)])
+def test_links_lose_nothing(spark, monkeypatch, pairwise, large):
     monkeypatch.setattr(neardup, "_PAIRWISE", pairwise)
+    monkeypatch.setattr(neardup, "LARGE", large)
     rng = random.Random(6)
     centre = rng.getrandbits(64)
     values = {centre} | {centre ^ (1 << a) ^ (1 << b) for a in range(64) for b in range(0, 64, 3)} | {rng.getrandbits(64) for _ in range(300)} | {0, 2**64 - 1, 3}
@@ -77,12 +81,40 @@ def test_links_lose_nothing(spark, monkeypatch, pairwise):
     assert groups(mine) == groups(want)
 
 
+def test_postings_meet_and_tallies_filter():
+    """Any two values at two bits or less meet in a posting; of those that meet, tallies below six are not verified."""
+    for family in (neardup.FOUR, neardup.SIX):
+        for a, b in combinations_with_replacement(range(8), 2):
+            equal = 255 & ~(1 << a | 1 << b)
+            assert family.first[equal] < len(family.sets)
+    rng = np.random.default_rng(18)
+    base = np.uint64(0x0123456789ABCDEF)
+    fp = np.unique(np.r_[base, [base ^ np.uint64(int(x) << 32) for x in rng.integers(0, 1 << 32, 300)], [base ^ np.uint64(1 << b) for b in range(32, 64)]])
+    place = neardup.FOUR.sets.index((0, 1, 2, 3))
+    u, v = neardup._pairs(neardup.FOUR, np.full(len(fp), place), fp, np.array([len(fp)]))
+    tally = lambda a, b: sum((int(a) ^ int(b)) >> (8 * k) & 255 == 0 for k in range(8))
+    want = {(int(a), int(b)) for a, b in combinations(fp, 2) if (int(a) ^ int(b)).bit_count() <= 2 and neardup.FOUR.first[sum(1 << k for k in range(8) if (int(a) ^ int(b)) >> (8 * k) & 255 == 0)] == place}
+    assert set(zip(u.tolist(), v.tolist(), strict=True)) == want and want
+    assert any(4 <= tally(a, b) < 6 for a, b in combinations(fp[:50], 2))
+
+
+@pytest.mark.parametrize("size", [1, 7, 50])
+def test_large_postings_stream_by(size):
+    """Whatever the batches, members of large postings are told and small ones compared."""
+    keys = np.repeat(np.arange(6), [3, 40, 1, 12, 11, 10])
+    fp = np.arange(len(keys)).astype(np.uint64) * np.uint64(1 << 40) + np.uint64(5)
+    table = pa.table({"c": pa.array(np.zeros(len(keys), np.int32)), "k": pa.array(keys), "fp": pa.array(fp.view(np.int64))})
+    out = pa.Table.from_batches(list(neardup._links_of_four(10)(table.to_batches(max_chunksize=size))))
+    told = out.filter(pc.is_null(out["v"]))["u"].to_pylist()
+    assert sorted(told) == sorted(fp[np.isin(keys, [1, 3, 4])].tolist())
+
+
 def test_large_posting_gives_a_forest():
     """A posting of thousands gives fewer links than members, and the same components."""
     rng = np.random.default_rng(7)
     low = rng.choice(1 << 16, 6000, replace=False).astype(np.uint64)
     fp = np.sort(np.uint64(0xABCDEF0123450000) | low)
-    place = neardup._SETS.index((2, 3, 4, 5, 6, 7))
+    place = neardup.SIX.sets.index((2, 3, 4, 5, 6, 7))
     u, v = neardup._forest(place, fp)
     assert len(u) < len(fp)
     left, right = set(u.tolist()), set(v.tolist())
