@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -32,13 +34,51 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    if (held := _HELD.get()) is not None:
+        held.append(path)
+    return out
+
+
+#: Paths of the tables written inside scope().
+_HELD: ContextVar[list[str] | None] = ContextVar("held", default=None)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables of written(), once all that was read from them is written itself."""
+    for df in tables:
+        _delete(df.sparkSession, df.scratch_path)
+
+
+@contextmanager
+def scope(spark: SparkSession):
+    """Yields a function that writes a frame like written() and deletes all other tables written in the
+    scope until then: what its stages made on the way."""
+    token = _HELD.set([])
+
+    def settle(df: DataFrame, name: str) -> DataFrame:
+        out = written(df, name)
+        for path in _HELD.get():
+            if path != out.scratch_path:
+                _delete(spark, path)
+        _HELD.set([out.scratch_path])
+        return out
+
+    try:
+        yield settle
+    finally:
+        _HELD.reset(token)
 
 
 def drop_scratch(spark: SparkSession) -> None:
     """Delete this application's scratch tables, once results built on them are stored."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, scratch_dir(spark))
 
 
 def text_bytes(column: pa.Array) -> list[bytes | None]:

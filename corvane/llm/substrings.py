@@ -8,14 +8,14 @@ an anchor that are all alike are repeated as a whole. Only the rest, the ends of
 share, needs suffix arrays: segments are dealt by anchor to shards, a shard's segments are
 sorted by Larsson-Sadakane refinement (7 bytes first, then doubling, groups of one left alone),
 Kasai's common prefixes are taken for all segments in lockstep, and a window repeats if it shares
-LENGTH bytes with a neighbour in order. An anchor with more than SHARD segments fills several
-shards; their sorted window fingerprints are merged by key and looked up by binary search.
+LENGTH bytes with a neighbour in order. An anchor with more than SHARD segments or MEMORY bytes fills several
+shards; fingerprints of their windows are merged by key, in order, and each shard's are looked up in all
+shards' by binary search.
 
 Scale: the first pass is map-only; anchors (about one in 85 bytes) are counted with map-side
 combining and joined back as pairs of longs; texts move once, with what is known of their anchors,
-and again only where a document has an end to resolve. Texts are known by hash, equal texts share
-lists, and a hash met by chance only adds entries that match no segment. Shards are bounded by
-SHARD and MEMORY; segments are at most RUN windows long, so very long and periodic texts take no
+and again only where a document has an end to resolve. Texts are known by 128 bits of hash, and equal texts share
+lists. Shards are bounded by SHARD and MEMORY, within one anchor too; segments are at most RUN windows long, so very long and periodic texts take no
 more memory. Hot anchors and hot copies meet in joins that AQE may split.
 
 Cases: a null text is empty; texts under LENGTH bytes lose nothing; repeated rows count as
@@ -199,6 +199,26 @@ def repeated_windows(texts: list[bytes]) -> list[np.ndarray]:
     return [np.flatnonzero(twice[a : a + n - LENGTH + 1]) for a, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
 
 
+def window_prints(texts: list[bytes]) -> list[np.ndarray]:
+    """A fingerprint of the window of LENGTH bytes at each start of each text, as signed numbers."""
+    if not texts:
+        return []
+    sizes = np.array([len(t) for t in texts])
+    x = np.frombuffer(b"".join(texts), np.uint8).astype(np.uint64)
+    out, step, at = None, 1, 0
+    while True:  # LENGTH is a sum of powers of two; a hash of each is mixed in
+        if LENGTH & step:
+            part = x[at:]
+            out = part if out is None else _mixed(out[: len(part)], part)
+            at += step
+        if 2 * step > LENGTH:
+            break
+        x = x[:-step] | (x[step:] << np.uint64(8 * step)) if step < 8 else _mixed(x[:-step], x[step:])
+        step *= 2
+    starts = np.r_[0, sizes.cumsum()[:-1]]
+    return [out[a : a + n - LENGTH + 1].view(np.int64) for a, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
+
+
 def _ranges(starts: np.ndarray, length: int = LENGTH) -> list[int]:
     """first, end, first, end ... of the bytes that windows at sorted starts cover."""
     if not len(starts):
@@ -226,34 +246,34 @@ _INTS = T.ArrayType(T.IntegerType())
 
 
 def _anchor_rows(docs: DataFrame) -> DataFrame:
-    """(m, s, h, again): anchor, content hash and text hash of every segment; again: windows of one segment may be equal."""
+    """(m, s, h, g, again): anchor, content hash and text hashes of every segment; again: windows of one segment may be equal."""
 
     def run(batches):
         for batch in common.slices(batches):
-            text, _, _, m, s, again = segments(common.text_bytes(batch.column(1)))
-            h = batch.column(0).to_numpy()[text]
-            yield pa.RecordBatch.from_arrays([pa.array(m.view(np.int64)), pa.array(s.view(np.int64)), pa.array(h), pa.array(again)], names=["m", "s", "h", "again"])
+            text, _, _, m, s, again = segments(common.text_bytes(batch.column(2)))
+            h, g = (batch.column(k).to_numpy()[text] for k in range(2))
+            yield pa.RecordBatch.from_arrays([pa.array(m.view(np.int64)), pa.array(s.view(np.int64)), pa.array(h), pa.array(g), pa.array(again)], names=["m", "s", "h", "g", "again"])
 
-    return docs.select("h", "text").mapInArrow(run, "m long, s long, h long, again boolean")
+    return docs.select("h", "g", "text").mapInArrow(run, "m long, s long, h long, g long, again boolean")
 
 
 def _known(docs: DataFrame) -> DataFrame:
-    """For each row doc_id, h and either its final columns or text, sure ranges and open segments."""
+    """For each row doc_id, h, g and either its final columns or text, sure ranges and open segments."""
     rows = common.written(_anchor_rows(docs.where(F.octet_length("text") >= LENGTH)), "anchors")
     stats = rows.groupBy("m").agg(F.count("*").alias("n"), F.min("s").alias("a"), F.max("s").alias("b"), F.max("again").alias("again"))
     shared = stats.where("n > 1 or again").select("m", (F.col("again") | (F.col("a") != F.col("b"))).alias("open"))
-    lists = rows.select("m", "h").join(shared, "m").groupBy("h").agg(F.collect_set(F.struct("m", "open")).alias("shared"))
-    lists = lists.select("h", F.transform("shared", lambda x: x["m"]).alias("m"), F.transform("shared", lambda x: x["open"]).alias("open"))
-    joined = docs.join(lists, "h", "left").select("doc_id", "h", "text", "m", "open")
+    lists = rows.select("m", "h", "g").join(shared, "m").groupBy("h", "g").agg(F.collect_set(F.struct("m", "open")).alias("shared"))
+    lists = lists.select("h", "g", F.transform("shared", lambda x: x["m"]).alias("m"), F.transform("shared", lambda x: x["open"]).alias("open"))
+    joined = docs.join(lists, ["h", "g"], "left").select("doc_id", "h", "g", "text", "m", "open")
     segment = T.StructType([T.StructField(n, t) for n, t in (("m", _LONG), ("s", _LONG), ("at", T.IntegerType()), ("size", T.IntegerType()))])
-    fields = [("h", _LONG), ("n_bytes", _LONG), ("n_removed", _LONG), ("n_spans", _LONG), ("kept_sha256", T.StringType()), ("text", T.BinaryType()), ("sure", _INTS), ("open", T.ArrayType(segment))]
+    fields = [("h", _LONG), ("g", _LONG), ("n_bytes", _LONG), ("n_removed", _LONG), ("n_spans", _LONG), ("kept_sha256", T.StringType()), ("text", T.BinaryType()), ("sure", _INTS), ("open", T.ArrayType(segment))]
     schema = common.with_doc_id(docs, *fields)
     out = common.arrow_schema(schema)
 
     def run(batches):
         for batch in common.slices(batches):
-            texts = [t or b"" for t in common.text_bytes(batch.column(2))]
-            ms, opens = batch.column(3).to_pylist(), batch.column(4).to_pylist()
+            texts = [t or b"" for t in common.text_bytes(batch.column(3))]
+            ms, opens = batch.column(4).to_pylist(), batch.column(5).to_pylist()
             some = [t if m else None for t, m in zip(texts, ms, strict=True)]
             number, first, count, m, s, _ = segments(some)
             edge = np.searchsorted(number, np.arange(len(texts) + 1))
@@ -273,9 +293,30 @@ def _known(docs: DataFrame) -> DataFrame:
                 else:
                     rows.append((*_finish(text, sure), None, None, None))
             columns = [list(c) for c in zip(*rows, strict=True)]
-            yield common.typed(dict(zip(out.names, [batch.column(0), batch.column(1), *columns], strict=True)), out)
-
-    return common.written(joined.mapInArrow(run, schema), "known")
+            yield common.typed(dict(zip(out.names, [*batch.columns[:3], *columns], strict=True)), out)
+
+    known = common.written(joined.mapInArrow(run, schema), "known")
+    common.drop(rows)
+    return known
+
+
+def _different(segments: list[tuple[int, bytes] | None]) -> list[tuple]:
+    """For each segment, given by anchor and bytes, starts and fingerprints of windows that no earlier one of its anchor has."""
+    some = [k for k, x in enumerate(segments) if x]
+    found: list[tuple] = [([], [])] * len(segments)
+    if some:
+        prints = window_prints([segments[k][1] for k in some])
+        owner = np.repeat(np.arange(len(some)), [len(p) for p in prints])
+        start = np.concatenate([np.arange(len(p)) for p in prints])
+        anchor, f = np.array([segments[k][0] for k in some], np.int64)[owner], np.concatenate(prints)
+        order = np.lexsort((f, anchor))  # stable: the first of equals stays first
+        new = np.r_[True, (f[order][1:] != f[order][:-1]) | (anchor[order][1:] != anchor[order][:-1])]
+        kept = np.sort(order[new])
+        edge = np.searchsorted(owner[kept], np.arange(len(some) + 1))
+        for j, k in enumerate(some):
+            part = kept[edge[j] : edge[j + 1]]
+            found[k] = start[part], f[part]
+    return found
 
 
 def _shard_rows(batches):
@@ -286,17 +327,9 @@ def _shard_rows(batches):
     def out(rows):
         starts = repeated_windows([r[2] for r in rows])
         columns: list[list] = [[], [], [], [], []]
-        seen: set[tuple[int, int]] = set()
-        for (m, s, text, copies, shards), twice in zip(rows, starts, strict=True):
-            windows = len(text) - LENGTH + 1
-            again = np.arange(windows) if copies > 1 else twice
-            more, prints = [], []
-            for at in range(windows if shards > 1 else 0):
-                key = (m, xxhash.xxh3_64_intdigest(text[at : at + LENGTH]))
-                if key not in seen:
-                    seen.add(key)
-                    more.append(at)
-                    prints.append(key[1] - (1 << 64) if key[1] >> 63 else key[1])
+        told = _different([(m, text) if shards > 1 else None for m, _, text, _, shards in rows])
+        for (m, s, text, copies, _), twice, (more, prints) in zip(rows, starts, told, strict=True):
+            again = np.arange(len(text) - LENGTH + 1) if copies > 1 else twice
             for c, x in zip(columns, (m, s, _ranges(again), more, prints), strict=True):
                 c.append(x)
         types = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64())]
@@ -345,7 +378,7 @@ def _with_end(batches):
 def _resolved(open_segments: DataFrame) -> DataFrame:
     """(m, s, ranges): the repeated bytes of each open segment, as offsets in it."""
     unique = common.written(open_segments.groupBy("m", "s").agg(F.first("seg").alias("seg"), F.count("*").alias("copies")), "segments")
-    sizes = unique.groupBy("m").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("shards"))
+    sizes = unique.groupBy("m").agg(F.greatest(F.ceil(F.count("*") / SHARD), F.ceil(F.sum(F.octet_length("seg")) / MEMORY)).cast("int").alias("shards"))
     dealt = unique.join(sizes.where("shards > 1"), "m", "left").withColumn("shards", F.coalesce("shards", F.lit(1)))
     dealt = dealt.withColumn("shard", F.pmod(F.col("s"), F.col("shards").cast("long")).cast("int"))
     done = dealt.select("shard", "m", "s", "seg", "copies", "shards").repartition("m", "shard").sortWithinPartitions("m", "shard", "s").mapInArrow(_shard_rows, "m long, s long, ranges array<int>, starts array<int>, prints array<long>")
@@ -360,14 +393,14 @@ def _resolved(open_segments: DataFrame) -> DataFrame:
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    known = _known(docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("h")))
+    known = _known(docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("h"), F.xxhash64(F.lit(1), text).alias("g")))
     final = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
     rest = known.where("text is not null")
     cut = rest.select("text", F.explode("open").alias("o")).select("o.m", "o.s", F.substring("text", F.col("o.at") + 1, F.col("o.size")).alias("seg"))
     ranges = _resolved(cut)
-    places = rest.select("h", F.explode("open").alias("o")).select("h", "o.m", "o.s", "o.at")
-    shifted = places.join(ranges, ["m", "s"]).select("h", F.transform("ranges", lambda x: x + F.col("at")).alias("ranges")).distinct()
-    found = shifted.groupBy("h").agg(F.flatten(F.collect_list("ranges")).alias("found"))
+    places = rest.select("h", "g", F.explode("open").alias("o")).select("h", "g", "o.m", "o.s", "o.at")
+    shifted = places.join(ranges, ["m", "s"]).select("h", "g", F.transform("ranges", lambda x: x + F.col("at")).alias("ranges")).distinct()
+    found = shifted.groupBy("h", "g").agg(F.flatten(F.collect_list("ranges")).alias("found"))
     schema = T.StructType([known.schema[n] for n in final])
     out = common.arrow_schema(schema)
 
@@ -379,5 +412,5 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 rows.append(_finish(raw, list(zip(both[::2], both[1::2], strict=True))))
             yield common.typed(dict(zip(out.names, [batch.column(0), *map(list, zip(*rows, strict=True))], strict=True)), out)
 
-    finished = rest.join(found, "h", "left").select("doc_id", "text", "sure", "found").mapInArrow(run, schema)
+    finished = rest.join(found, ["h", "g"], "left").select("doc_id", "text", "sure", "found").mapInArrow(run, schema)
     return known.where("text is null").select(final).union(finished)

@@ -150,9 +150,23 @@ def plain_removal(rows, length=200):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("shard", [2, 4096])
-def test_substrings(spark, monkeypatch, shard):
+def test_window_prints():
+    """Equal windows, and they alone, have equal fingerprints."""
+    rng = np.random.default_rng(19)
+    texts = [bytes(rng.integers(97, 99, 700).astype(np.uint8)), b"ab" * 300, b"q" * 200]
+    texts.append(texts[0][100:450] + b"!" + texts[0][:220])
+    by = {}
+    for t, prints in zip(texts, substrings.window_prints(texts), strict=True):
+        assert len(prints) == len(t) - 199
+        for k, f in enumerate(prints.tolist()):
+            by.setdefault(t[k : k + 200], set()).add(f)
+    assert all(len(f) == 1 for f in by.values()) and len({min(f) for f in by.values()}) == len(by)
+
+
+@pytest.mark.parametrize(("shard", "memory"), [(2, 1 << 21), (4096, 1 << 21), (4096, 2000)])
+def test_substrings(spark, monkeypatch, shard, memory):
     monkeypatch.setattr(substrings, "SHARD", shard)
+    monkeypatch.setattr(substrings, "MEMORY", memory)
     rng = random.Random(8)
     noise = lambda n: "".join(rng.choice("abcdé ") for _ in range(n))
     passage = noise(700)

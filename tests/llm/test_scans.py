@@ -1,5 +1,6 @@
 import hashlib
 import math
+import os
 import re
 import zlib
 from collections import Counter
@@ -321,3 +322,15 @@ def test_model_is_a_distribution():
 def test_scratch(spark):
     df = common.written(spark.range(3), "t")
     assert df.count() == 3 and common.scratch_dir(spark) in df.inputFiles()[0]
+
+
+def test_scope_keeps_only_what_is_settled(spark):
+    with common.scope(spark) as settle:
+        first = common.written(spark.range(5), "a")
+        kept = settle(first.where("id > 1"), "b")
+        assert not os.path.exists(first.scratch_path.removeprefix("file:")) and kept.count() == 3
+        last = settle(kept.where("id > 3"), "c")
+        assert not os.path.exists(kept.scratch_path.removeprefix("file:")) and last.count() == 1
+    outside = common.written(spark.range(2), "d")
+    common.drop(outside)
+    assert not os.path.exists(outside.scratch_path.removeprefix("file:"))
