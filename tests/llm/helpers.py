@@ -3,6 +3,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 SPACES = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -30,8 +32,13 @@ def corpus(seed=0, n=60, long=3000):
     return rows
 
 
+#: Names that operators give to results or columns on the way.
+CLASHING = ("h", "g", "fp", "root", "score", "start", "length", "n_bytes", "n_tokens", "spans", "strong", "weak", "word", "n", "m", "s", "open", "distance", "level", "x0", "y", "component_id", "sequence_id")
+
+
 def docs(spark, rows, extra=True):
     """The rows as documents, with columns whose names clash with results."""
     full = [(i, t, ["en", "fr", None][(i or 0) % 3], ["s0", None][(i or 0) % 2], len(t or ""), 7, "x") for i, t in rows]
     df = spark.createDataFrame(full, "doc_id long, text string, lang string, source string, n_chars long, n_words int, kept string")
-    return df.repartition(3) if extra else df.drop("n_words", "kept")
+    clashing = {n: F.lit(f"mine {n}") for n in CLASHING} if extra else {}
+    return df.withColumns(clashing).repartition(3) if extra else df.drop("n_words", "kept")

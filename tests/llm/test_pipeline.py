@@ -2,12 +2,13 @@ import os
 
 import numpy as np
 import pytest
+from helpers import corpus, docs
 from test_pairs import plain_components, plain_fingerprint
 from test_scans import plain_base
 from test_texts import brute_contamination
 
 import corpus_pipeline
-from corvane.llm import quality, secrets, tokens
+from corvane.llm import common, quality, secrets, tokens
 from corvane.session import table
 
 SF = "/root/testdata/sf0.001"
@@ -51,3 +52,37 @@ def test_pipeline_against_plain_versions(spark):
         sizes[r.doc_id] = sizes.get(r.doc_id, 0) + r.length
     assert sizes == {i: len(library.encode(t, add_special_tokens=False).ids) + 1 for i, t in got.items()}
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def write_tables(spark, folder, rows):
+    documents = docs(spark, rows)
+    labels = spark.createDataFrame([(i, int(i % 5 > 0), 0) for i, t in rows if i is not None and t], "doc_id long, quality int, toxic int")
+    items = spark.createDataFrame([(1, " ".join(dict(rows)[3].split()[2:25])), (2, None), (3, "")], "item_id long, text string") if rows else spark.createDataFrame([], "item_id long, text string")
+    for name, df in (("documents", documents), ("labels", labels if rows else labels.limit(0)), ("benchmark", items)):
+        df.write.parquet(f"{folder}/{name}.parquet")
+    return documents
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    """Null ids and texts, empty, blank and very long texts, ties, repeated rows and clashing columns go through
+    all stages; every id of what is kept lies in one piece."""
+    rows = corpus() + [(None, "no id at all " * 9), (None, "no id at all " * 9), (None, None), (5, corpus()[5][1]), (900, "a" + " " * 1_050_000 + "b"), (901, "token = abcdefghijkl é " * 3000), (902, "\u00a0 " * 600_000)]
+    documents = write_tables(spark, tmp_path, rows)
+    stage = dict(corpus_pipeline.STAGES)
+    df = documents
+    for name in ("quality_classifier", "near_dedup", "decontamination", "secret_scans"):
+        df = common.written(stage[name](spark, df, str(tmp_path)), name)
+        assert df.columns == documents.columns and df.count() > 0
+    library = tokens.tokenizer(tokens.default_path())
+    want = sorted((str(r.doc_id), len(library.encode(r.text or "", add_special_tokens=False).ids) + 1) for r in df.select("doc_id", "text").collect())
+    got = {}
+    for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
+        got[r.doc_id] = got.get(r.doc_id, 0) + r.length
+    assert sorted((str(i), n) for i, n in got.items()) == want
+    texts = {r.doc_id: r.text for r in df.select("doc_id", "text").collect()}
+    assert 901 not in texts or texts[901] == "[assign] é " * 3000
+
+
+def test_pipeline_on_empty_tables(spark, tmp_path):
+    write_tables(spark, tmp_path, [])
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []

@@ -218,6 +218,47 @@ def test_forest_matches_its_trees():
     assert np.allclose(forest.score(x), plain) and ((forest.score(x) > 0.5) == y).mean() > 0.97
 
 
+def plain_boosting(x, y, trees, depth):
+    """Raw scores of x by boosted trees that try every split of every leaf, one row at a time."""
+    start = np.log((y.sum() + 0.5) / (len(y) + 1) / (1 - (y.sum() + 0.5) / (len(y) + 1)))
+    raw = np.full(len(y), start)
+    edges = [sorted({np.sort(c)[int(np.floor((len(c) - 1) * k / quality.BINS))] for k in range(1, quality.BINS)}) for c in x.T]
+
+    def grow(rows, level, g, h):
+        gs, hs = g[rows].sum(), h[rows].sum()
+        best = (0.0, None)
+        for f in range(x.shape[1]) if level < depth else ():
+            for cut in edges[f]:
+                left, right = rows[x[rows, f] <= cut], rows[x[rows, f] > cut]
+                if min(len(left), len(right)) < quality.LEAF:
+                    continue
+                part = lambda r: g[r].sum() ** 2 / (h[r].sum() + quality.RIDGE)
+                gain = part(left) + part(right) - gs**2 / (hs + quality.RIDGE)
+                if gain > best[0] + 1e-9:
+                    best = (gain, (left, right))
+        if best[1] is None:
+            return {int(i): -quality.RATE * gs / (hs + quality.RIDGE) for i in rows}
+        return grow(best[1][0], level + 1, g, h) | grow(best[1][1], level + 1, g, h)
+
+    for _ in range(trees):
+        p = 1 / (1 + np.exp(-raw))
+        step = grow(np.arange(len(y)), 0, p - y, p * (1 - p))
+        raw = raw + np.array([step[i] for i in range(len(y))])
+    return 1 / (1 + np.exp(-raw))
+
+
+@pytest.mark.parametrize("ties", [False, True])
+def test_fit_equals_exhaustive_boosting(monkeypatch, ties):
+    monkeypatch.setattr(quality, "TREES", 4)
+    rng = np.random.default_rng(22)
+    x = rng.normal(size=(150, 3))
+    if ties:
+        x = np.round(x)
+        x[:, 2] = 1.0
+    y = (x[:, 0] + 0.5 * x[:, 1] ** 2 + rng.normal(0, 0.5, 150) > 0.4).astype(float)
+    assert np.allclose(quality.fit(x, y).score(x), plain_boosting(x, y, 4, quality.DEPTH), atol=1e-9)
+
+
 ODD = ["", " ", "  a  b   c ", "a\n\n b  \n c", "<|endoftext|> x <|endoftext|>y", "a <|endo ftext|>", "\t   x　 y  ", "it's  don't 12 34..  !!", "\U0001f600 é́ ‍", "a" * 3000, "x y \u0085 z", "  \n  \n"]
 
 
