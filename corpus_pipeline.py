@@ -2,7 +2,14 @@
 
 Each stage takes (spark, docs, sf_dir) and all that its predecessor kept, and returns the rows
 that go on, with the columns of documents; the last returns the pieces of packed sequences.
-Between stages the rows are written as Parquet to the shared folder and read again.
+Between stages the rows are written as Parquet to the shared folder and read again, and what a
+stage wrote on its way is deleted once its rows are written.
+
+Cases, as each stage's operator defines them: a null text is judged as an empty one and keeps its
+null until it is packed as its end id alone; null ids are ids like any other, save that of a near-duplicate
+group without any id one row stays; repeated rows are near duplicates, of which one stays; very long
+texts and runs of white space are taken whole; an empty table gives no rows; extra columns are
+kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -53,6 +60,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of sf_dir."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = common.written(stage(spark, docs, sf_dir), name)
+    with common.scope(spark) as settle:
+        for name, stage in STAGES[:-1]:
+            docs = settle(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
