@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import control
 from corvane.operators import cases as C
-from corvane.operators import merging, normalizing
+from corvane.operators import merging, normalizing, planning
 from corvane.sources import pages as P
 
 
@@ -110,11 +110,14 @@ def test_normalizing(spark):
     assert normalizing.flatten({"id": 1, "x": {"id": 2}})["id"] == 1 and normalizing.flatten({"id": 1, "x": {"id": 2}}, deepest=True)["id"] == 2
 
 
-def test_detail_context():
-    said = normalizing.detail_context({"weather": {"visibility": " 10  mi "}, "internalCorrelationToken": "t", "events": [{"name": "a"}]})
-    assert "weather.visibility: 10 mi" in said and "events[1].name: a" in said and "internalCorrelationToken" not in said
-    assert normalizing.detail_context({"event": "x" * 1300}).endswith("x...") and "no renderable" in normalizing.detail_context({})
-    assert "omitted" in normalizing.detail_context({"event": [str(i) for i in range(300)]})
+def test_detail_texts(spark):
+    trees = [{"weather": {"visibility": " 10  mi "}, "internalCorrelationToken": "t", "events": [{"name": "a"}]}, {"event": "x" * 1300}, {}, {"event": [str(i) for i in range(300)]}, None]
+    rows = spark.createDataFrame([(i, json.dumps(t) if t is not None else "{bad") for i, t in enumerate(trees)], "case_key long, payload string")
+    said = {r.case_key: r.text for r in normalizing.detail_texts(rows).collect()}
+    assert said[0] == "Fields of the live record:\nweather.visibility: 10 mi\nevents[1].name: a"
+    assert said[1].endswith("x...") and len(said[1]) < 1300 and said[2] == said[4] and "no fields" in said[2]
+    lines = said[3].split("\n")
+    assert len(lines) == 222 and lines[1] == "event[1]: 0" and lines[220] == "event[220]: 219" and "more fields" in lines[221]
 
 
 def test_paged_source(spark):
@@ -153,10 +156,28 @@ def test_control(spark):
 
     assert [route(t) for t in ("stall speed?", "fatal crash", "crash and stall speed", "pizza", "ABC12AB123?", "the airplane", None)] == ["documents", "accidents", "both", "abstain", "accidents", "documents", "abstain"]
     today = dt.date(2026, 8, 19)
-    plan = control.repair_plan("accident with the most deaths in the past 10 years", {}, today)
-    assert (plan["goal"], plan["limit"], plan["start_date"], plan["end_date"]) == ("rank", 1, "2016-08-19", "2026-08-19")
-    assert control.repair_plan("last 1 years", {}, dt.date(2024, 2, 29))["start_date"] == "2023-02-28"
-    assert control.repair_plan("mkey: 55", {}, today)["case_key"] == 55 and control.repair_plan("abc12ab123", {}, today)["case_number"] == "ABC12AB123"
     row = spark.range(1).select(control.valid_citations(F.array(F.lit("b"), F.lit("x"), F.lit("a")), F.array(F.lit("a"), F.lit("b"))).alias("v"), control.output_error(F.lit("say You are an aviation technical assistant")).alias("l"), control.output_error(F.lit(" ")).alias("e"), control.abstained(F.lit(" I don't have that information in my sources. ")).alias("a")).first()
     assert row.v == ["b", "a"] and (row.l, row.e, row.a) == ("leak", "empty", True)
     assert spark.createDataFrame([("which country",)], "t string").select(control.wants_detail(F.concat("t", F.lit(" why"))), control.wants_detail(F.concat("t", F.lit(" why")), words=True)).first()[:] == (False, True)
+
+
+def test_completed_plans(spark):
+    said = ["accident with the most deaths in the past 10 years", "last 1 years", "mkey: 55", "abc12ab123", "why ABC12AB123, mkey 7", "nothing of it", None]
+    rows = spark.createDataFrame([(i, q, "search", ["zzz"] if i == 4 else None) for i, q in enumerate(said)], "i int, question string, goal string, requested_fields array<string>")
+    plan = {r.i: r for r in planning.completed(rows, F.lit("2024-02-29").cast("date")).collect()}
+    assert (plan[0].goal, plan[0].limit, plan[0].start_date, plan[0].end_date, plan[0].ranking_field, plan[0].needs_detail) == ("rank", 1, "2014-02-28", "2024-02-29", "fatalities", True)
+    assert plan[1].start_date == "2023-02-28" and plan[1].goal == "search" and plan[1].requested_fields is None
+    assert (plan[2].case_key, plan[2].intent, plan[2].goal) == (55, "detail", "lookup") and plan[3].case_number == "ABC12AB123"
+    assert (plan[4].case_key, plan[4].case_number, plan[4].needs_detail) == (7, "ABC12AB123", True) and plan[4].requested_fields[-1] == "zzz" and "runway" in plan[4].requested_fields
+    assert all(plan[5][n] == (None if n != "goal" else "search") for n in planning.PLAN) and plan[6].goal == "search"
+
+
+def test_deepest_members(spark):
+    rows = spark.createDataFrame([(0, json.dumps({"mkey": 1, "country": "AA", "x": {"country": "BB"}}))], "ordinal int, payload string")
+    assert [normalizing.records(rows, deepest=d).first().country for d in (False, True)] == ["AA", "BB"]
+
+
+def test_index_status(spark, index):
+    cases, _ = index
+    r = C.index_status(cases.withColumn("synced_at", F.lit("2024-01-01").cast("timestamp"))).first()
+    assert r.cases == 3 and r.first_event <= r.last_event and r.last_synced_at == dt.datetime(2024, 1, 1)
