@@ -174,6 +174,11 @@ def case_metrics(run_id, case_id, metrics: DataFrame) -> DataFrame:
     return rows.select("metric_name", "score", "evaluator_version", "details").orderBy("metric_name", "evaluator_version")
 
 
+def first_rows(rows: DataFrame, order: list, most: int = 20) -> DataFrame:
+    """What a table shows of rows: the first ones in order."""
+    return rows.orderBy(*order).limit(most)
+
+
 def evidence_of(case_id, evidence: DataFrame) -> DataFrame:
     return evidence.where(F.col("case_id") == case_id).drop("case_id").orderBy(F.desc_nulls_last("relevance"), "evidence_id")
 

@@ -123,13 +123,16 @@ def staleness(spark, d):
 
 # merges
 
-_NEW = "new AS (SELECT c_custkey + 50 AS c_custkey, CASE WHEN c_custkey % 3 > 0 THEN 'New#' || c_custkey END AS c_name, c_nationkey, CASE WHEN c_custkey % 2 = 0 THEN c_acctbal * 2 END AS c_acctbal, c_mktsegment FROM customer WHERE c_custkey <= 100)"
+#: All customers again under keys moved on by half the greatest: half of them are stored already.
+_NEW = "new AS (SELECT c_custkey + (SELECT max(c_custkey) // 2 FROM customer) AS c_custkey, CASE WHEN c_custkey % 3 > 0 THEN 'New#' || c_custkey END AS c_name, c_nationkey, CASE WHEN c_custkey % 2 = 0 THEN c_acctbal * 2 END AS c_acctbal, c_mktsegment FROM customer)"
 
 
 def _customers(spark, d):
     old = table(spark, d, "customer")
     k = F.col("c_custkey")
-    new = old.where(k <= 100).select((k + 50).alias("c_custkey"), F.when(k % 3 > 0, F.concat(F.lit("New#"), k.cast("string"))).alias("c_name"), "c_nationkey", F.when(k % 2 == 0, F.col("c_acctbal") * 2).alias("c_acctbal"), "c_mktsegment")
+    half = old.agg(F.floor(F.max(k) / 2).alias("half"))
+    moved = old.crossJoin(F.broadcast(half))  # one row
+    new = moved.select((k + F.col("half")).cast(old.schema["c_custkey"].dataType).alias("c_custkey"), F.when(k % 3 > 0, F.concat(F.lit("New#"), k.cast("string"))).alias("c_name"), "c_nationkey", F.when(k % 2 == 0, F.col("c_acctbal") * 2).alias("c_acctbal"), "c_mktsegment")
     return old, new
 
 
@@ -153,11 +156,23 @@ def detail_merge(spark, d):
     return merging.merge_detail(*_customers(spark, d), key="c_custkey")
 
 
-@query("SELECT c_custkey FROM customer n WHERE c_custkey <= 100 AND NOT EXISTS (SELECT 1 FROM customer o WHERE o.c_custkey BETWEEN 41 AND 70 AND upper('x' || o.c_custkey % 60) = upper('X' || n.c_custkey % 60) AND o.c_custkey <> n.c_custkey)")
+@query("SELECT c_custkey FROM customer n WHERE NOT EXISTS (SELECT 1 FROM customer o WHERE upper('x' || (o.c_custkey + CASE WHEN o.c_custkey % 3 = 0 THEN 1 ELSE 0 END)) = upper('X' || n.c_custkey) AND o.c_custkey <> n.c_custkey)")
 def number_conflict(spark, d):
+    new, stored = _numbered(spark, d)
+    return merging.without_conflicts(new, stored).select(F.col("case_key").alias("c_custkey"))
+
+
+def _numbered(spark, d):
+    """All customers as incoming cases; and as stored ones, of which every third has the next one's number."""
     k = F.col("c_custkey")
-    rows = lambda letter: table(spark, d, "customer").select(k.alias("case_key"), F.concat(F.lit(letter), (k % 60).cast("string")).alias("case_number"))
-    return merging.without_conflicts(rows("X").where("case_key <= 100"), rows("x").where("case_key between 41 and 70")).select(F.col("case_key").alias("c_custkey"))
+    rows = lambda letter, number: table(spark, d, "customer").select(k.alias("case_key"), F.concat(F.lit(letter), number.cast("string")).alias("case_number"))
+    return rows("X", k), rows("x", k + F.when(k % 3 == 0, 1).otherwise(0))
+
+
+@query("SELECT n.k AS case_key FROM (SELECT c_custkey * 2 AS k, 'X' || c_custkey AS number FROM customer) n WHERE NOT EXISTS (SELECT 1 FROM customer o WHERE o.c_custkey = n.k) AND NOT EXISTS (SELECT 1 FROM customer o WHERE o.c_custkey % 3 = 0 AND 'X' || o.c_custkey = n.number)")
+def unseen_cases(spark, d):
+    new, stored = _numbered(spark, d)
+    return merging.unseen(new.withColumn("case_key", F.col("case_key") * 2), stored.withColumn("case_number", F.when(F.col("case_key") % 3 == 0, F.concat(F.lit("x"), F.col("case_key").cast("string"))))).select("case_key")
 
 
 @query("WITH new AS (SELECT l_orderkey, l_partkey + 1 AS l_partkey, 1 AS l_linenumber, l_quantity FROM lineitem WHERE l_orderkey % 4 = 0 AND l_linenumber = 1) SELECT * FROM new UNION ALL SELECT l_orderkey, l_partkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey NOT IN (SELECT l_orderkey FROM new)")
@@ -181,10 +196,14 @@ def pending_changed(spark, d):
 
 def _claims(spark, d):
     k = F.col("event_id")
-    return table(spark, d, "events").select((k / 50).cast("long").alias("batch"), "event_id", (F.col("user_id") % 37).alias("case_key"), F.concat(F.lit("n"), (F.hash("event_id") % 29).cast("string")).alias("case_number"))
+    return table(spark, d, "events").select((k / 50).cast("long").alias("batch"), "event_id", (F.col("user_id") % 37).alias("case_key"), F.when(k % 11 > 0, F.concat(F.when(k % 2 == 0, "n").otherwise("N"), ((k * 7919) % 29).cast("string"))).alias("case_number"))
 
 
-@query()
+@query("""WITH RECURSIVE c AS (SELECT event_id // 50 AS batch, event_id, user_id % 37 AS case_key, CASE WHEN event_id % 11 > 0 THEN CASE WHEN event_id % 2 = 0 THEN 'n' ELSE 'N' END || ((event_id * 7919) % 29) END AS case_number, row_number() OVER (PARTITION BY event_id // 50 ORDER BY event_id) AS i FROM events),
+f AS (SELECT DISTINCT batch, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS ks, CAST([] AS VARCHAR[]) AS ns, CAST(NULL AS BIGINT) AS kept FROM c
+  UNION ALL SELECT batch, i, CASE WHEN ok THEN list_append(ks, k) ELSE ks END, CASE WHEN ok AND n IS NOT NULL THEN list_append(ns, n) ELSE ns END, CASE WHEN ok THEN event_id END
+  FROM (SELECT f.batch, c.i, ks, ns, c.case_key AS k, upper(case_number) AS n, event_id, NOT list_contains(ks, c.case_key) AND NOT coalesce(list_contains(ns, upper(case_number)), false) AS ok FROM f JOIN c ON c.batch = f.batch AND c.i = f.i + 1))
+SELECT c.batch, c.event_id, c.case_key, c.case_number FROM f JOIN c ON c.event_id = f.kept""")
 def batch_dedupe(spark, d):
     return merging.first_claims(_claims(spark, d), ["batch"], "event_id")
 

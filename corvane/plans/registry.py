@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.plans import incidents, reporting, search
+from corvane.plans import incidents, lookups, reporting, search
 
-_MODULES = (search, reporting, incidents)
+_MODULES = (search, reporting, incidents, lookups)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

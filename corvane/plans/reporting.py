@@ -50,6 +50,12 @@ def run_list(spark, d):
     return _r6(out, "avg_latency_ms").select("run_id", "run_name", "run_type", "status", "expected_cases", "executed_cases", "avg_latency_ms", F.col("top_k").cast("string").alias("top_k"))
 
 
+@query(_ALL + " SELECT run_id, dataset_name, executed_cases FROM runs JOIN (VALUES ('0', 'even'), ('1', 'odd')) t(dataset_id, dataset_name) USING (dataset_id) LEFT JOIN stats USING (run_id) WHERE dataset_id = '1'")
+def run_list_of_dataset(spark, d):
+    sets = spark.createDataFrame([("0", "even"), ("1", "odd")], "dataset_id string, name string").withColumns({"version": F.lit("v"), "status": F.lit("ready")})
+    return R.list_runs(X.runs(spark, d), X.cases(spark, d), X.case_runs(spark, d), sets, "1").select("run_id", "dataset_name", "executed_cases")
+
+
 @query(_ALL + " SELECT dataset_id, name, coalesce(n, 0) AS case_count, coalesce(m, 0) AS run_count, strftime(latest_run_at, '%Y-%m-%d %H:%M:%S') AS latest_run_at FROM (VALUES ('0', 'even'), ('1', 'odd'), ('2', 'none')) t(dataset_id, name) LEFT JOIN (SELECT dataset_id, expected_cases AS n FROM expected) USING (dataset_id) LEFT JOIN (SELECT dataset_id, count(*) AS m, max(started_at) AS latest_run_at FROM runs GROUP BY 1) USING (dataset_id)")
 def dataset_list(spark, d):
     sets = spark.createDataFrame([("0", "even"), ("1", "odd"), ("2", "none")], "dataset_id string, name string").withColumn("created_at", F.lit("2020-01-01").cast("timestamp"))

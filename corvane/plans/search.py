@@ -126,7 +126,10 @@ def parent_pack(spark, d):
     return table(spark, d, "documents").select("doc_id", F.posexplode(text.pack_paragraphs(paragraphs, mark="\n")).alias("number", "parent"))
 
 
-@query()
+@query(f"""WITH parents AS (SELECT * FROM ({ORACLES['parent_pack']})), c AS (SELECT doc_id, number AS parent, s, substr(parent, s + 1, 500) AS text FROM (SELECT doc_id, number, parent, unnest(generate_series(0, greatest(length(parent) - 1, 0), 400)) AS s FROM parents WHERE length(parent) > 0) WHERE s = 0 OR s + 100 < length(parent)),
+n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY parent, s) - 1 AS number FROM c)
+SELECT printf('doc%05d_%s_c%03d', doc_id, source, number) AS chunk_id, printf('doc%05d_%s_p%03d', doc_id, source, parent) AS parent_id, printf('doc%05d', doc_id) AS name, source, n.text, substr(sha256(source || '/' || doc_id || '.txt'), 1, 16) AS document_id,
+'data/raw/' || source || '/' || doc_id || '.txt' AS source_file, CAST((length(n.text) + 3) // 4 AS BIGINT) AS token_count FROM n JOIN documents USING (doc_id)""")
 def chunked_corpus(spark, d):
     docs = table(spark, d, "documents").select(F.format_string("doc%05d", "doc_id").alias("name"), "source", F.format_string("data/raw/%s/%d.txt", "source", "doc_id").alias("path"), "text")
     return chunking.chunks(docs, mark="\n")
@@ -190,11 +193,13 @@ def qrels_max(spark, d):
     return metrics.qrels(evidence)
 
 
-@query(f"""WITH {X.RANKED}, {X.JUDGED}, c AS (SELECT DISTINCT case_id FROM ranked)
-SELECT 17 * count(*) AS rows, count(*) AS cases FROM c""")
+_MEASURES = [f"{m}_at_{k}" for k in (3, 5, 10) for m in ("recall", "precision", "hit_rate", "ndcg")] + ["mrr", "unique_parent_ratio", "duplicate_ratio", "retrieved_items", "retrieved_tokens"]
+
+
+@query("SELECT case_id, metric_name, round(score, 6) AS score FROM (UNPIVOT (SELECT case_id, " + ", ".join(f"CAST({m} AS DOUBLE) AS {m}" for m in _MEASURES) + " FROM " + " JOIN ".join(f"({ORACLES[n]}) {n}_" + (" USING (case_id)" if i else "") for i, n in enumerate(("recall_precision_hit", "mrr", "ndcg", "unique_parent_ratio", "retrieved_tokens"))) + f") ON {', '.join(_MEASURES)} INTO NAME metric_name VALUE score)")
 def evaluate_long(spark, d):
-    scores = metrics.evaluate(X.ranked(spark, d), X.judged(spark, d))
-    return scores.agg(F.count("*").alias("rows"), F.count_distinct("case_id").alias("cases"))
+    ranked = X.ranked(spark, d)
+    return metrics.evaluate(ranked, X.judged(spark, d), cases=ranked).withColumn("score", F.round("score", 6))
 
 
 @query("SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;') AS text FROM pages")
@@ -202,10 +207,13 @@ def html_escape_context(spark, d):
     return table(spark, d, "pages").select("page_id", text.html_escape(F.col("html")).alias("text"))
 
 
-@query()
+@query("SELECT conv_id, turn, text, CASE WHEN text IS NULL THEN 'missing' WHEN length(text) = 0 THEN 'empty' WHEN length(text) > 1000 THEN 'too long' END AS error FROM (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN '' WHEN 1 THEN repeat(text, 100) WHEN 3 THEN NULL ELSE text END AS text FROM (SELECT conv_id, turn, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text FROM conversations))")
 def question_check(spark, d):
-    rows = table(spark, d, "conversations").where("role = 'user'")
-    return rows.select("conv_id", "turn", text.question(F.col("text")).alias("q")).select("conv_id", "turn", "q.text", "q.error")
+    t = F.col("turn") % 4
+    said = text.strip(F.col("text"))
+    noisy = F.when(t == 0, " \u200b\t ").when(t == 1, F.concat(F.lit("\u0001 "), F.repeat(said, F.lit(100)))).when(t == 2, F.concat(F.lit("\u202e\u200d "), said, F.lit("\u2069\n")))
+    rows = table(spark, d, "conversations").select("conv_id", "turn", text.question(noisy).alias("q"))
+    return rows.select("conv_id", "turn", "q.text", "q.error")
 
 
 @query("SELECT doc_id, CAST(s AS INT) AS start FROM (SELECT doc_id, n_chars, unnest(generate_series(0, greatest(n_chars - 1, 0), 255)) AS s FROM documents) WHERE least(n_chars - s, 510) >= 20")
