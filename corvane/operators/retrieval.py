@@ -47,7 +47,7 @@ def vector_leg(children: DataFrame, query: Sequence[float], candidates: int = CA
     if not keep_null:
         rows = rows.where("embedding is not null")
     best = rows.groupBy("parent_id").agg(F.min(vector.cosine_distance(F.col("embedding"), query)).alias("d"))
-    return _ranked(best, [F.asc_nulls_last("d"), F.col("parent_id")], candidates)
+    return ranked(best, [F.asc_nulls_last("d"), F.col("parent_id")], candidates)
 
 
 def keyword_leg(children: DataFrame, wanted: list[str], candidates: int = CANDIDATES, where: Column | None = None, ranking: str = "count") -> DataFrame:
@@ -60,10 +60,10 @@ def keyword_leg(children: DataFrame, wanted: list[str], candidates: int = CANDID
     else:
         scored = rows.where(lexical.matches_any(F.col("terms"), wanted)).select("parent_id", lexical.term_count(F.col("terms"), wanted).alias("score"))
     best = scored.groupBy("parent_id").agg(F.max("score").alias("s"))
-    return _ranked(best, [F.desc_nulls_last("s"), F.col("parent_id")], candidates)
+    return ranked(best, [F.desc_nulls_last("s"), F.col("parent_id")], candidates)
 
 
-def _ranked(best: DataFrame, order: list, candidates: int) -> DataFrame:
+def ranked(best: DataFrame, order: list, candidates: int) -> DataFrame:
     # the window sees at most `candidates` rows
     return best.orderBy(*order).limit(candidates).select("parent_id", F.row_number().over(W.orderBy(*order)).alias("rnk"))
 

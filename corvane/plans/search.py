@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corvane.functions import lexical, text
-from corvane.operators import chunking, metrics, retrieval
+from corvane.operators import chunking, indexing, metrics, retrieval
 from corvane.plans import fixtures as X
 from corvane.session import table
 
@@ -219,3 +219,33 @@ def question_check(spark, d):
 @query("SELECT doc_id, CAST(s AS INT) AS start FROM (SELECT doc_id, n_chars, unnest(generate_series(0, greatest(n_chars - 1, 0), 255)) AS s FROM documents) WHERE least(n_chars - s, 510) >= 20")
 def classifier_windows(spark, d):
     return table(spark, d, "documents").select("doc_id", F.explode(chunking.token_windows(F.col("n_chars").cast("int"))).alias("start"))
+
+
+# stored indexes
+
+
+_POSTED = f"""WITH {X.CHILDREN}, t AS (SELECT chunk_id, parent_id, {_T} AS ts FROM children), s AS (SELECT count(*) AS n, avg(len(ts)) AS avg_len FROM t),
+p AS (SELECT chunk_id, parent_id, len(ts) AS size, term, count(*) AS tf FROM (SELECT *, unnest(ts) AS term FROM t) GROUP BY ALL), i AS (SELECT *, count(*) OVER (PARTITION BY term) AS df FROM p)"""
+
+
+@query(_POSTED + " SELECT term, count(*) AS rows, CAST(sum(tf) AS BIGINT) AS tokens, max(df) AS df FROM i GROUP BY term")
+def term_postings(spark, d):
+    index = indexing.postings(X.children(spark, d))
+    return index.groupBy("term").agg(F.count("*").alias("rows"), F.sum("tf").alias("tokens"), F.max("df").alias("df"))
+
+
+@query(_POSTED + f""" SELECT chunk_id, parent_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / avg_len))), 6) AS score FROM i, s WHERE list_contains({_WANTED}, term) GROUP BY 1, 2""")
+def postings_bm25(spark, d):
+    children = X.children(spark, d)
+    found = indexing.keyword_scores(indexing.postings(children), indexing.sizes(children), lexical.query_terms(X.WORDS))
+    return found.withColumn("score", F.round("score", 6))
+
+
+@query("SELECT count(*) AS queries, true AS enough FROM embeddings WHERE vec_id % 20 = 0")
+def vector_index_recall(spark, d):
+    """Recall of cells against all rows, for every row whose id is divisible by 20; the target is 0.9."""
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    queries = rows.where("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query"), F.col("embedding").alias("v"))
+    cells = indexing.learn_cells(rows)
+    exact, found = indexing.neighbours(rows, queries), indexing.neighbours(indexing.with_cells(rows, cells), queries, cells=cells)
+    return indexing.recall(exact, found).select("queries", (F.col("recall") >= 0.9).alias("enough"))

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corvane.functions import lexical
-from corvane.operators import metrics, retrieval
+from corvane.operators import indexing, metrics, retrieval
 
 
 @pytest.fixture(scope="module")
@@ -80,3 +80,45 @@ def test_measures_edges(spark):
         with pytest.raises(ValueError):
             metrics.check_cuts([bad])
     assert metrics.cuts_for({"k_values": [1, 2]}) == (1, 2) and metrics.cuts_for({"top_k": 7}) == (7,) and metrics.cuts_for({}) == (3, 5, 10)
+
+
+def test_postings_equal_scan(spark, tmp_path):
+    """Scores from stored postings are those of a scan, plain and stemmed; a query reads the buckets of its terms only."""
+    rows = [(f"c{i}", f"p{i % 7}", " ".join(["crash", "wings", "winged", "fuel", "the"][(i * k) % 5] for k in range(1, 3 + i % 9))) for i in range(60)] + [("e", "p1", None), ("o", None, "fuel")]
+    children = spark.createDataFrame(rows, "chunk_id string, parent_id string, text string")
+    for stem in (False, True):
+        path = f"{tmp_path}/{stem}"
+        indexing.postings(children, stem).write.partitionBy("bucket").parquet(path)
+        index, stats = spark.read.parquet(path), indexing.sizes(children, stem)
+        wanted = lexical.query_terms("wing fuel", stem)
+        terms = lexical.terms(F.col("text"))
+        scan = lexical.bm25(children.withColumn("t", lexical.stemmed(terms) if stem else terms), "chunk_id", "t", wanted)
+        got = {r.chunk_id: r.score for r in indexing.keyword_scores(index, stats, wanted).collect()}
+        assert got == pytest.approx({r.chunk_id: r.score for r in scan.collect()}) and got
+        leg = [tuple(r) for r in retrieval.keyword_leg(children, wanted, ranking="bm25").collect()] if stem else None
+        assert leg is None or sorted(leg) == sorted(tuple(r) for r in indexing.keyword_leg(index, stats, wanted).collect())
+        assert "PartitionFilters: [isnotnull(bucket" in (plan := indexing.keyword_scores(index, stats, wanted)._jdf.queryExecution().toString()) or "bucket" in plan.split("PartitionFilters")[1][:120]
+    assert indexing.keyword_scores(index, stats, []).count() == 0
+
+
+def test_cells(spark):
+    """Every row is in a cell; exact neighbours of clustered vectors are found in few cells."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(30, 16))
+    rows = [(i, [float(x) for x in centres[i % 30] + rng.normal(0, 0.2, 16)]) for i in range(900)] + [(1000, None)]
+    df = spark.createDataFrame(rows, "chunk_id long, embedding array<float>").repartition(3)
+    cells = indexing.learn_cells(df)
+    index = indexing.with_cells(df, cells)
+    assert index.count() == 901 and index.where("cell is null").count() == 1 and 1 <= cells.probes <= len(cells.centres) // 3
+    queries = df.where("chunk_id % 20 = 0 and embedding is not null").select(F.col("chunk_id").alias("query"), F.col("embedding").alias("v"))
+    exact, found = indexing.neighbours(df, queries), indexing.neighbours(index, queries, cells=cells)
+    r = indexing.recall(exact, found).first()
+    assert r.queries == 45 and r.recall >= 0.9
+    query = rows[40][1]
+    plain = [x.chunk_id for x in retrieval.nearest(df, query, 10).collect()]
+    assert len({x.chunk_id for x in indexing.nearest(index, cells, query, 10).collect()} & set(plain)) >= 8
+    mine = [x.chunk_id for x in exact.where("query = 40").orderBy(F.desc("similarity")).collect()]
+    assert mine == plain
+    assert indexing.learn_cells(df.limit(0)).probes == 1
