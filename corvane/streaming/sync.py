@@ -1,13 +1,16 @@
 """Synchronisation of a case index with a paged source: windows, dedupe, upsert, checkpoints.
 
 Each window is one commit of cases, children, details, the stream's checkpoint and the run's
-audit row, with a tag: a window that failed is read again, one that was committed changes nothing.
-Only completed windows move the checkpoint.
+audit row, with a tag: one that was committed changes nothing. A window that fails leaves an audit
+row and its dates with the stream's failures, in a commit of their own; the next run begins with that
+window. Only completed windows move the checkpoint. A window's pages are read once: its typed records are
+written beside the store before they are counted and merged, and deleted after the commit.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -52,6 +55,26 @@ def checkpoint(store: Store, stream: str) -> dt.date | None:
     return row[0]
 
 
+def failed_window(store: Store, stream: str) -> tuple[dt.date, dt.date] | None:
+    """The window in which the stream's last run failed, if it hasn't been completed since."""
+    if not store.has("sync_failures"):
+        return None
+    row = store.read("sync_failures").where(F.col("stream") == stream).first()
+    return (row.window_start, row.window_end) if row else None
+
+
+def record_failure(store: Store, stream: str, start: dt.date, end: dt.date, now: str, error: Exception) -> None:
+    """Keep what failed and why; rows of cases stay as they were."""
+    spark, stamp = store.spark, F.lit(now).cast("timestamp")
+    row = spark.createDataFrame([(f"{stream}:{start}:{end}:{now}", stream, "failed", 0, 0, 0, 0, 0, str(error)[:500])], "run_id string, stream string, status string, read long, rejected long, inserted long, updated long, repeated long, error string")
+    mark = _fit(spark.createDataFrame([(stream, start, end, "failed")], "stream string, window_start date, window_end date, status string").withColumn("updated_at", stamp), "sync_checkpoints")
+    row = _fit(row.withColumns({"started_at": stamp, "ended_at": stamp}), "sync_runs")
+    store.commit({
+        "sync_runs": store.read("sync_runs").unionByName(row) if store.has("sync_runs") else row,
+        "sync_failures": merging.overwrite(store.read("sync_failures"), mark, ["stream"]) if store.has("sync_failures") else mark,
+    })
+
+
 def _fit(rows: DataFrame, table: str) -> DataFrame:
     out = []
     for f in schemas.SCHEMAS[table].split(", "):
@@ -67,10 +90,14 @@ def apply_window(store: Store, payloads: DataFrame, stream: str, start: dt.date,
     typed = normalizing.cases(normalizing.records(payloads))
     if backend is not None:
         typed = normalizing.cases(normalizing.records(hydrate(normalizing.accepted(typed), backend)))
+    staged = f"{store.path}/_staged/{uuid.uuid4().hex}"
+    typed.write.parquet(f"{staged}/typed")
+    typed = spark.read.schema(typed.schema).parquet(f"{staged}/typed")
     good = merging.first_claims(normalizing.accepted(typed).withColumn("__batch", F.lit(0)), ["__batch"], "ordinal").drop("__batch")  # one window of a feed is a bounded batch
     old = store.read("cases_index") if store.has("cases_index") else schemas.empty(spark, "cases_index")
     good = merging.unseen(good, old) if skip_known else merging.without_conflicts(good, old)
-    good = good.persist()
+    good.write.parquet(f"{staged}/good")
+    good = spark.read.schema(good.schema).parquet(f"{staged}/good")
     try:
         stamp = F.lit(now).cast("timestamp")
         fresh = _fit(good.withColumn("synced_at", stamp), "cases_index")
@@ -86,21 +113,27 @@ def apply_window(store: Store, payloads: DataFrame, stream: str, start: dt.date,
         mark = spark.createDataFrame([(stream, start, end, "completed")], "stream string, window_start date, window_end date, status string").withColumn("updated_at", stamp)
         row = spark.createDataFrame([(tag, stream, "completed", *counts.values())], "run_id string, stream string, status string, read long, rejected long, inserted long, updated long, repeated long").withColumns({"started_at": stamp, "ended_at": stamp})
         changed["sync_checkpoints"] = merging.overwrite(store.read("sync_checkpoints"), _fit(mark, "sync_checkpoints"), ["stream"]) if store.has("sync_checkpoints") else _fit(mark, "sync_checkpoints")
+        if failed_window(store, stream):
+            changed["sync_failures"] = store.read("sync_failures").where(F.col("stream") != stream)
         changed["sync_runs"] = store.read("sync_runs").unionByName(_fit(row, "sync_runs")) if store.has("sync_runs") else _fit(row, "sync_runs")
         store.commit(changed, tag)
         return counts
     finally:
-        good.unpersist()
+        store.delete(staged)
 
 
 def run(spark: SparkSession, store: Store, backend, stream: str, start: dt.date, today: dt.date, now: str, incremental: bool = True, days: int = pages.WINDOW_DAYS, refresh: bool = True) -> list[dict]:
     """Bring the index up to today: one overlapping window if incremental, else windows of `days` after the checkpoint."""
     spark.dataSource.register(pages.source_of(backend))
-    span = pages.next_window(checkpoint(store, stream), None, today, incremental, start)
+    span = pages.next_window(checkpoint(store, stream), failed_window(store, stream), today, incremental, start)
     out = []
     for a, b in ([span] if incremental and span else pages.windows(*span, days) if span else []):
         kind = "by_modified" if incremental else "by_date"
         read = spark.read.format("case_pages").option("kind", kind).option("start", a.isoformat()).option("end", b.isoformat()).option("days", days).load()
         place = F.datediff("window_start", F.lit(a.isoformat()).cast("date")).cast("long") * 1_000_000 + F.col("page")
-        out.append(apply_window(store, read.select(place.alias("ordinal"), "payload"), stream, a, b, now, skip_known=not incremental and not refresh))
+        try:
+            out.append(apply_window(store, read.select(place.alias("ordinal"), "payload"), stream, a, b, now, skip_known=not incremental and not refresh))
+        except Exception as error:
+            record_failure(store, stream, a, b, now, error)
+            raise
     return out

@@ -1,6 +1,7 @@
 import datetime as dt
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from corvane.functions import control
@@ -54,6 +55,47 @@ def test_sync(spark, tmp_path):
     assert row.narrative == "full" and row.case_number == "N1" and store.read("parties").where("case_key = 1").count() == 1
 
 
+def test_failed_window_is_audited_and_read_again(spark, tmp_path):
+    store, good = Store(spark, str(tmp_path)), make_backend()
+
+    class Failing:
+        """Pages of March can't be had."""
+
+        def fetch(self, kind, params):
+            if params.get("start_date", "") > "2024-02-20":
+                return 401, None, None
+            return good.fetch(kind, params)
+
+    start, today = dt.date(2024, 1, 1), dt.date(2024, 3, 10)
+    with pytest.raises(Exception):  # noqa: B017
+        sync.run(spark, store, Failing(), "s", start, today, "2024-03-10 00:00:00", incremental=False, days=31)
+    assert sync.checkpoint(store, "s") == dt.date(2024, 3, 2) or sync.checkpoint(store, "s") < today
+    window = sync.failed_window(store, "s")
+    assert window is not None and window[0] > sync.checkpoint(store, "s")
+    runs = {(r.status, r.error is not None) for r in store.read("sync_runs").collect()}
+    assert runs == {("completed", False), ("failed", True)}
+    more = sync.run(spark, store, good, "s", start, today, "2024-03-11 00:00:00", incremental=False, days=31)
+    assert more and sync.failed_window(store, "s") is None and sync.checkpoint(store, "s") == window[1]
+    assert sorted(r.case_key for r in store.read("cases_index").collect()) == [1, 2]
+
+
+def test_window_reads_each_detail_once(spark, tmp_path):
+    log = tmp_path / "calls"
+    log.mkdir()
+
+    class Counting:
+        def fetch(self, kind, params):
+            import uuid
+
+            (log / uuid.uuid4().hex).write_text(str(params["case_key"]))
+            return 200, None, {"mkey": params["case_key"], "eventDate": "2024-01-05"}
+
+    payload = spark.createDataFrame([(i, json.dumps({"mkey": i, "eventDate": "2024-01-05"})) for i in range(1, 6)], "ordinal long, payload string")
+    counts = sync.apply_window(Store(spark, str(tmp_path / "store")), payload, "live", dt.date(2024, 1, 1), dt.date(2024, 1, 31), "2024-02-01 00:00:00", backend=Counting())
+    assert counts["inserted"] == 5 and sorted(f.read_text() for f in log.iterdir()) == ["1", "2", "3", "4", "5"]
+    assert not list((tmp_path / "store" / "_staged").glob("*"))
+
+
 def test_seed_and_evidence(spark, tmp_path):
     (tmp_path / "cases.json").write_text("\n".join(json.dumps({"case_id": f"c{i}", "dataset_id": "d", "answerable": i < 3, "expected_abstention": i == 3, "status": "draft"}) for i in range(4)))
     (tmp_path / "evidence.json").write_text("\n".join(json.dumps({"evidence_id": i, "case_id": f"c{i}", "source_file": f, "line_start": a, "line_end": b, "quote": "q", "relevance": 3}) for i, f, a, b in ((0, "f", 1, 2), (1, "f", 1, 9), (1, "g", 1, 1))))
