@@ -232,6 +232,31 @@ def test_lm_score_does_not_depend_on_the_tier(spark, monkeypatch):
     assert all(abs(scores[0][i] - scores[1][i]) < 1e-6 for i in scores[0])
 
 
+@pytest.mark.parametrize("top", [10_000, 40])
+def test_lm_score_against_plain_sums(spark, monkeypatch, top):
+    """Scores are sums of the model's log probabilities, token by token, whichever tier a word is in."""
+    monkeypatch.setattr(lm, "TOP", top)
+    monkeypatch.setattr(lm, "HEAD", 20)
+    rows = corpus() + [(300 + k, "the cat sat. " * 6 + f"held{k}") for k in range(10)]
+    units, _, model, counts = lm.fit(docs(spark, rows))
+    known, times = units.value, {bytes(r["word"]): r["n"] for r in counts.collect()}
+    number = known.ready()
+
+    def log_probability(before, w):
+        place = lambda x: model.of[known.unit[number[x]] if x in number else known.end + 1 + lm.shape(x)]
+        moved = model.transition[place(before), place(w)]
+        if w in number:
+            return moved + model.emission[number[w]]
+        k = lm.shape(w)
+        weight = times[w] - lm.DISCOUNT if w in times else lm.DISCOUNT * model.shape_types[k] + 1
+        return moved + math.log10(weight / (model.shape_tokens[k] + 1))
+
+    got = {r.doc_id: r.score for r in lm.score(docs(spark, rows)).collect()}
+    for i, t in rows:
+        tokens = [w.encode() for w in words(t)] + [lm.END]
+        assert math.isclose(got[i], sum(log_probability(a, b) for a, b in zip([lm.END, *tokens[:-1]], tokens, strict=True)), rel_tol=1e-6, abs_tol=1e-6), i
+
+
 def test_exchange_finds_classes():
     """Words of two alternating kinds fall apart; each accepted sweep raises the likelihood."""
     n = np.zeros((12, 12))
