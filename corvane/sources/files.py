@@ -84,6 +84,6 @@ def evidence_errors(evidence: DataFrame, files: DataFrame, cases: DataFrame) ->
     """(case_id, error): evidence outside its file's lines or without a file, answerable cases without evidence."""
     joined = evidence.join(files.select(F.col("path").alias("source_file"), "line_count"), "source_file", "left")
     lost = joined.where("line_count is null").select("case_id", F.lit("missing source").alias("error"))
-    outside = joined.where("line_start < 1 or line_end > line_count").select("case_id", F.lit("lines out of range").alias("error"))
+    outside = joined.where("line_count is not null and (line_start < 1 or line_end > line_count)").select("case_id", F.lit("lines out of range").alias("error"))
     bare = cases.where("answerable").join(evidence.select("case_id"), "case_id", "left_anti").select("case_id", F.lit("no evidence").alias("error"))
     return lost.union(outside).union(bare)
