@@ -14,7 +14,7 @@ import time
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from corvane.operators.normalizing import next_marker, unwrap
 
@@ -95,8 +95,8 @@ class _Reader(DataSourceReader):
         yield from pages(self.source.backend, self.source.kind, partition.start, partition.end)
 
 
-class _StreamReader(SimpleDataSourceStreamReader):
-    """A window of days a batch; the offset is the next day, kept by the checkpoint."""
+class _StreamReader(DataSourceStreamReader):
+    """The windows up to the last day, each read by a task; the offset is the next day, kept by the checkpoint."""
 
     def __init__(self, source):
         self.source = source
@@ -104,19 +104,15 @@ class _StreamReader(SimpleDataSourceStreamReader):
     def initialOffset(self):
         return {"next": self.source.start.isoformat()}
 
-    def _rows(self, begin: dt.date, stop: dt.date):
-        return list(pages(self.source.backend, self.source.kind, begin, stop))
+    def latestOffset(self):
+        return {"next": (self.source.end + dt.timedelta(days=1)).isoformat()}
 
-    def read(self, start):
-        begin = dt.date.fromisoformat(start["next"])
-        if begin > self.source.end:
-            return iter([]), start
-        stop = min(self.source.end, begin + dt.timedelta(days=self.source.days - 1))
-        return iter(self._rows(begin, stop)), {"next": (stop + dt.timedelta(days=1)).isoformat()}
-
-    def readBetweenOffsets(self, start, end):
+    def partitions(self, start, end):
         begin, stop = dt.date.fromisoformat(start["next"]), dt.date.fromisoformat(end["next"]) - dt.timedelta(days=1)
-        return iter(self._rows(begin, stop) if begin <= stop else [])
+        return [_Window(a, b) for a, b in windows(begin, stop, self.source.days)]
+
+    def read(self, partition):
+        yield from pages(self.source.backend, self.source.kind, partition.start, partition.end)
 
 
 def source_of(backend, name: str = "case_pages") -> type[DataSource]:
@@ -140,7 +136,7 @@ def source_of(backend, name: str = "case_pages") -> type[DataSource]:
         def reader(self, schema):
             return _Reader(self)
 
-        def simpleStreamReader(self, schema):
+        def streamReader(self, schema):
             return _StreamReader(self)
 
     return Pages

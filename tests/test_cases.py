@@ -120,7 +120,7 @@ def test_detail_texts(spark):
     assert len(lines) == 222 and lines[1] == "event[1]: 0" and lines[220] == "event[220]: 219" and "more fields" in lines[221]
 
 
-def test_paged_source(spark):
+def test_paged_source(spark, tmp_path):
     class Backend:
         def __init__(self):
             self.tries = 0
@@ -137,6 +137,12 @@ def test_paged_source(spark):
     spark.dataSource.register(P.source_of(Backend()))
     rows = spark.read.format("case_pages").option("start", "2020-01-01").option("end", "2020-12-31").load().collect()
     assert len(rows) == 3 * 3 and {r.page for r in rows} == {0, 1, 2}
+    for end in ("2020-04-30", "2020-12-31", "2020-12-31"):  # the last finds nothing new
+        stream = spark.readStream.format("case_pages").option("start", "2020-01-01").option("end", end).option("days", 30).load()
+        stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    seen = spark.read.parquet(str(tmp_path / "out")).collect()
+    # windows of 30 days from January on, then from May on
+    assert len(seen) == len({(r.window_start, r.page) for r in seen}) == 3 * (5 + 3) and min(r.window_start for r in seen) == dt.date(2020, 1, 1)
     assert P.windows(dt.date(2020, 1, 1), dt.date(2020, 4, 1)) == [(dt.date(2020, 1, 1), dt.date(2020, 3, 30)), (dt.date(2020, 3, 31), dt.date(2020, 4, 1))]
     day = dt.date(2020, 1, 20)
     assert P.next_window(dt.date(2020, 1, 10), None, day, True, day) == (dt.date(2020, 1, 3), day) and P.next_window(dt.date(2020, 1, 10), None, day, False, day) == (dt.date(2020, 1, 11), day)
