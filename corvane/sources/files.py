@@ -53,8 +53,8 @@ def manifest(spark: SparkSession, path: str, root: str = "data/raw/") -> DataFra
     rows = rows.unionByName(empty_files(spark, path))
     text = F.decode("content", "UTF-8")
     relative = F.when(F.contains("path", F.lit(root)), F.substring_index("path", root, -1)).otherwise(F.substring_index("path", "/", -1))
-    breaks = F.regexp_count(text, F.lit(r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\u0085  ]"))
-    lines = breaks + F.when(F.rlike(text, F.lit(r"[^\n\r\x0B\x0C\x1C-\x1E\u0085  ]\z")), 1).otherwise(0)
+    breaks = F.regexp_count(text, F.lit(r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\u0085\u2028\u2029]"))
+    lines = breaks + F.when(F.rlike(text, F.lit(r"[^\n\r\x0B\x0C\x1C-\x1E\u0085\u2028\u2029]\z")), 1).otherwise(0)
     folder = F.element_at(F.split("path", "/"), -2)
     return rows.select(
         F.substring(F.sha2(relative, 256), 1, 16).alias("document_id"), F.concat(F.lit(root), relative).alias("path"),
