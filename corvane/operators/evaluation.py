@@ -13,14 +13,17 @@ from pyspark.sql import functions as F
 
 from corvane import schemas
 from corvane.operators import metrics as M
-from corvane.sources.store import Store
+from corvane.sources.store import Added, Store
 
 EVALUATOR = "v1"
 
 
-def _appended(store: Store, name: str, rows: DataFrame) -> DataFrame:
-    rows = rows.select([F.col(f.split()[0]).cast(" ".join(f.split()[1:])).alias(f.split()[0]) if f.split()[0] in rows.columns else F.lit(None).cast(" ".join(f.split()[1:])).alias(f.split()[0]) for f in schemas.SCHEMAS[name].split(", ")])
-    return store.read(name).unionByName(rows) if store.has(name) else rows
+def _fit(name: str, rows: DataFrame) -> DataFrame:
+    out = []
+    for f in schemas.SCHEMAS[name].split(", "):
+        column, kind = f.split(" ", 1)
+        out.append((F.col(column) if column in rows.columns else F.lit(None)).cast(kind).alias(column))
+    return rows.select(out)
 
 
 def totals(case_runs: DataFrame) -> DataFrame:
@@ -35,21 +38,22 @@ def executed_matches(configured: int | None, items: DataFrame) -> bool:
     return items.groupBy("case_id").count().where(F.col("count") > configured).isEmpty()
 
 
-def run(store: Store, run_id: str, dataset_id: str, config: dict, cases: DataFrame, evidence: DataFrame, target: Callable[[DataFrame], tuple[DataFrame, DataFrame]], started_at) -> DataFrame:
+def run(store: Store, run_id: str, dataset_id: str, config: dict, cases: DataFrame, evidence: DataFrame, target: Callable[[DataFrame], tuple[DataFrame, ...]], started_at) -> DataFrame:
     """Evaluate target over the cases of a data set that aren't rejected; returns the stored measures of the run.
 
     target(cases) gives answers (case_id, answer, latency_ms, ...) and ranked items (case_id, rank,
-    item_id, parent_id, token_count, ...).
+    item_id, parent_id, token_count, ...), and may give the items of each answer's context (case_id,
+    position, parent_id, source_file, token_count). Rows of a run are added; none of another run is read or written.
     """
     spark = cases.sparkSession
     import json
 
     cuts = M.cuts_for(config)
     head = spark.createDataFrame([(run_id, dataset_id, config.get("run_name", run_id), "experiment", json.dumps(config), "running")], "run_id string, dataset_id string, run_name string, run_type string, config string, status string").withColumn("started_at", F.lit(started_at).cast("timestamp"))
-    store.commit({"runs": _appended(store, "runs", head)}, f"{run_id}:start")
+    store.commit({"runs": Added(_fit("runs", head))}, f"{run_id}:start")
     try:
         chosen = cases.where((F.col("dataset_id") == dataset_id) & (F.col("status") != "rejected"))
-        answers, items = target(chosen)
+        answers, items, *context = target(chosen)
         if not executed_matches(config.get("top_k"), items):
             raise ValueError("configured and executed top_k differ")
         judged = M.qrels(evidence.join(chosen.select("case_id"), "case_id", "left_semi"))
@@ -69,7 +73,11 @@ def run(store: Store, run_id: str, dataset_id: str, config: dict, cases: DataFra
             "status": F.when(F.col("run_id") == run_id, "completed").otherwise(F.col("status")), "total_cost": F.when(F.col("run_id") == run_id, F.lit(float(sums[0]))).otherwise(F.col("total_cost")),
             "total_latency_ms": F.when(F.col("run_id") == run_id, F.lit(float(sums[1]))).otherwise(F.col("total_latency_ms")),
         })
-        store.commit({"runs": done, "case_runs": _appended(store, "case_runs", rows), "retrieved_items": _appended(store, "retrieved_items", known), "metrics": _appended(store, "metrics", measured)}, f"{run_id}:done")
+        more = {"case_runs": rows, "retrieved_items": known, "metrics": measured}
+        if context:
+            kept = context[0].join(chosen.select("case_id"), "case_id", "left_semi")
+            more["context_items"] = kept.withColumns({"case_run_id": key, "selected": F.lit(True)})
+        store.commit({"runs": done, **{name: Added(_fit(name, new)) for name, new in more.items()}}, f"{run_id}:done")
     except Exception as error:
         failed = store.read("runs").withColumns({"error": F.when(F.col("run_id") == run_id, F.lit(str(error)[:500])).otherwise(F.col("error")), "status": F.when(F.col("run_id") == run_id, "failed").otherwise(F.col("status"))})
         store.commit({"runs": failed}, f"{run_id}:failed")

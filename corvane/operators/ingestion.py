@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corvane.operators import chunking, merging
-from corvane.sources.store import Store
+from corvane.sources.store import Merged, Store
 
 
 def stub_embedding(width: int = 64) -> Callable[[DataFrame], DataFrame]:
@@ -63,12 +63,7 @@ def ingest(store: Store, docs: DataFrame, embed: Callable[[DataFrame], DataFrame
     if scan is not None and loaded and not chunking.scan_gate(scan(children)).first()["passed"]:
         return Outcome(loaded, 0, True)
     new = chunking.pending(children, store.read("children")) if store.has("children") else children
-    embedded = embed(new)
     n = new.count()
-    changed = {
-        "children": merging.overwrite(store.read("children"), embedded, ["chunk_id"]) if store.has("children") else embedded,
-        "parents": merging.overwrite(store.read("parents"), parents, ["parent_id"]) if store.has("parents") else parents,
-    }
     if n or not store.has("parents"):
-        store.commit(changed)
+        store.commit({"children": Merged(embed(new), ["chunk_id"], merging.overwrite), "parents": Merged(parents, ["parent_id"], merging.overwrite)})
     return Outcome(loaded, n, False)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corvane import schemas
 from corvane.operators import merging
-from corvane.sources.store import Store
+from corvane.sources.store import Merged, Store
 
 
 def read(spark: SparkSession, path: str, table: str) -> DataFrame:
@@ -19,7 +19,7 @@ def load(store: Store, dataset: DataFrame, cases: DataFrame, evidence: DataFrame
     changed = {}
     for name, rows in (("datasets", dataset), ("cases", cases), ("evidence", evidence)):
         rows = rows.dropDuplicates(schemas.KEYS[name])
-        changed[name] = merging.insert_new(store.read(name), rows, schemas.KEYS[name]) if store.has(name) else rows
+        changed[name] = Merged(rows, schemas.KEYS[name], merging.insert_new)
     store.commit(changed)
 
 

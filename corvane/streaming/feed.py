@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from corvane.operators import merging
-from corvane.sources.store import Store
+from corvane.sources.store import Merged, Store
 
 
 def latest(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
@@ -25,14 +25,14 @@ def deduped(stream: DataFrame, key: list[str], at: str, overlap: str = "7 days")
 
 
 def upsert_stream(stream: DataFrame, store: Store, table: str, key: list[str], order: list[str], checkpoint: str, merge: Callable = merging.overwrite, feed: str = "feed") -> StreamingQuery:
-    """Upsert each micro-batch into a stored table. A batch that is replayed is known by its tag and changes nothing."""
+    """Upsert each micro-batch into a stored table, whose buckets without a key of the batch stay as they are.
+    A batch that is replayed is known by its tag and changes nothing."""
 
     def apply(batch: DataFrame, number: int) -> None:
-        tag = f"{feed}:{number}"
+        tag = (feed, number)
         if store.committed(tag):
             return
-        new = latest(batch, key, order)
-        store.commit({table: merge(store.read(table), new, key) if store.has(table) else new}, tag)
+        store.commit({table: Merged(latest(batch, key, order), key, merge)}, tag)
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

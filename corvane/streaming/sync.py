@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from corvane import schemas
 from corvane.operators import merging, normalizing
 from corvane.sources import pages
-from corvane.sources.store import Store
+from corvane.sources.store import Added, Merged, Store
 
 _CASE = [f.split()[0] for f in schemas.SCHEMAS["cases_index"].split(", ")]
 _CHILDREN = {"parties": "parties", "case_events": "events", "case_findings": "findings", "case_airports": "airports"}
@@ -70,8 +70,8 @@ def record_failure(store: Store, stream: str, start: dt.date, end: dt.date, now:
     mark = _fit(spark.createDataFrame([(stream, start, end, "failed")], "stream string, window_start date, window_end date, status string").withColumn("updated_at", stamp), "sync_checkpoints")
     row = _fit(row.withColumns({"started_at": stamp, "ended_at": stamp}), "sync_runs")
     store.commit({
-        "sync_runs": store.read("sync_runs").unionByName(row) if store.has("sync_runs") else row,
-        "sync_failures": merging.overwrite(store.read("sync_failures"), mark, ["stream"]) if store.has("sync_failures") else mark,
+        "sync_runs": Added(row),
+        "sync_failures": Merged(mark, ["stream"], merging.overwrite),
     })
 
 
@@ -91,31 +91,30 @@ def apply_window(store: Store, payloads: DataFrame, stream: str, start: dt.date,
     if backend is not None:
         typed = normalizing.cases(normalizing.records(hydrate(normalizing.accepted(typed), backend)))
     staged = f"{store.path}/_staged/{uuid.uuid4().hex}"
-    typed.write.parquet(f"{staged}/typed")
-    typed = spark.read.schema(typed.schema).parquet(f"{staged}/typed")
-    good = merging.first_claims(normalizing.accepted(typed).withColumn("__batch", F.lit(0)), ["__batch"], "ordinal").drop("__batch")  # one window of a feed is a bounded batch
-    old = store.read("cases_index") if store.has("cases_index") else schemas.empty(spark, "cases_index")
-    good = merging.unseen(good, old) if skip_known else merging.without_conflicts(good, old)
-    good.write.parquet(f"{staged}/good")
-    good = spark.read.schema(good.schema).parquet(f"{staged}/good")
     try:
+        typed.write.parquet(f"{staged}/typed")
+        typed = spark.read.schema(typed.schema).parquet(f"{staged}/typed")
+        good = merging.first_claims(normalizing.accepted(typed).withColumn("__batch", F.lit(0)), ["__batch"], "ordinal").drop("__batch")  # one window of a feed is a bounded batch
+        old = store.read("cases_index") if store.has("cases_index") else schemas.empty(spark, "cases_index")
+        good = merging.unseen(good, old) if skip_known else merging.without_conflicts(good, old)
+        good.write.parquet(f"{staged}/good")
+        good = spark.read.schema(good.schema).parquet(f"{staged}/good")
         stamp = F.lit(now).cast("timestamp")
         fresh = _fit(good.withColumn("synced_at", stamp), "cases_index")
-        changed = {"cases_index": merging.fill(old, fresh, ["case_key"], "synced_at", stamp)}
+        key = ["case_key"]
+        changed = {"cases_index": Merged(fresh, key, lambda kept, new, by: merging.fill(kept, new, by, "synced_at", stamp))}
         for table, field in _CHILDREN.items():
-            kept = store.read(table) if store.has(table) else schemas.empty(spark, table)
-            changed[table] = merging.replace_children(kept, _fit(normalizing.children(good, field), table))
-        details = _fit(good.select("case_key", F.col("record").alias("payload"), "hash", stamp.alias("fetched_at")), "detail_cache")
-        changed["detail_cache"] = merging.overwrite(store.read("detail_cache"), details, ["case_key"]) if store.has("detail_cache") else details
+            changed[table] = Merged(_fit(normalizing.children(good, field), table), key, lambda kept, new, by: merging.replace_children(kept, new))
+        changed["detail_cache"] = Merged(_fit(good.select("case_key", F.col("record").alias("payload"), "hash", stamp.alias("fetched_at")), "detail_cache"), key, merging.overwrite)
         known = old.select("case_key")
         n = {"read": typed.count(), "rejected": normalizing.rejected(typed).count(), "kept": good.count(), "updated": good.join(known, "case_key", "left_semi").count()}
         counts = {"read": n["read"], "rejected": n["rejected"], "inserted": n["kept"] - n["updated"], "updated": n["updated"], "repeated": n["read"] - n["rejected"] - n["kept"]}
         mark = spark.createDataFrame([(stream, start, end, "completed")], "stream string, window_start date, window_end date, status string").withColumn("updated_at", stamp)
         row = spark.createDataFrame([(tag, stream, "completed", *counts.values())], "run_id string, stream string, status string, read long, rejected long, inserted long, updated long, repeated long").withColumns({"started_at": stamp, "ended_at": stamp})
-        changed["sync_checkpoints"] = merging.overwrite(store.read("sync_checkpoints"), _fit(mark, "sync_checkpoints"), ["stream"]) if store.has("sync_checkpoints") else _fit(mark, "sync_checkpoints")
+        changed["sync_checkpoints"] = Merged(_fit(mark, "sync_checkpoints"), ["stream"], merging.overwrite)
         if failed_window(store, stream):
             changed["sync_failures"] = store.read("sync_failures").where(F.col("stream") != stream)
-        changed["sync_runs"] = store.read("sync_runs").unionByName(_fit(row, "sync_runs")) if store.has("sync_runs") else _fit(row, "sync_runs")
+        changed["sync_runs"] = Added(_fit(row, "sync_runs"))
         store.commit(changed, tag)
         return counts
     finally:

@@ -3,9 +3,9 @@ from pyspark.sql import functions as F
 
 from corvane import schemas
 from corvane.functions import measures as M
-from corvane.operators import evaluation, reports
+from corvane.operators import evaluation, merging, reports
 from corvane.sources import files
-from corvane.sources.store import Store
+from corvane.sources.store import Added, Merged, Store
 from corvane.streaming import feed
 
 
@@ -49,10 +49,13 @@ def test_run_lifecycle(spark, tmp_path):
 
     def target(chosen):
         items = chosen.select("case_id", F.lit(1).alias("rank"), F.lit("doc").alias("item_id"), F.lit("p").alias("parent_id"), F.lit(5).alias("token_count"))
-        return chosen.select("case_id", F.lit("yes").alias("answer"), F.lit(10.0).alias("latency_ms")), items
+        context = spark.createDataFrame([("c1", 1, "p", 5), ("other", 1, "p", 5)], "case_id string, position int, parent_id string, token_count int")
+        return chosen.select("case_id", F.lit("yes").alias("answer"), F.lit(10.0).alias("latency_ms")), items, context
 
     got = evaluation.run(store, "r1", "d", {}, cases, evidence, target, "2024-01-01")
     assert got.count() == 34
+    used, known = store.read("context_items").collect(), store.read("case_runs").where("case_id = 'c1'").first()
+    assert [(r.case_run_id, r.position, r.parent_id, r.selected) for r in used] == [(known.case_run_id, 1, "p", True)]
     run = store.read("runs").first()
     assert (run.status, run.total_latency_ms, run.total_cost) == ("completed", 20.0, 0.0)
     summary = {r.metric_name: r.mean_score for r in reports.metric_summary("r1", store.read("metrics")).collect()}
@@ -73,6 +76,31 @@ def test_store_tags(spark, tmp_path):
     assert store.read("t").count() == 2 and store.committed("b:0") and store.tables() == ["t"]
 
 
+def test_store_writes_what_changes(spark, tmp_path):
+    store = Store(spark, str(tmp_path), buckets=4)
+    rows = lambda ks, v: spark.createDataFrame([(k, v) for k in ks], "k int, v string")
+    store.commit({"t": Merged(rows(range(40), "a"), ["k"], merging.overwrite), "log": Added(rows([1], "x"))}, ("f", 0))
+    before = store._state()["tables"]
+    store.commit({"t": Merged(rows([7], "b"), ["k"], merging.overwrite), "log": Added(rows([2], "y"))}, ("f", 3))
+    after = store._state()["tables"]
+    assert len(before["t"]["folders"]) == 4 and sum(after["t"]["folders"][b] != f for b, f in before["t"]["folders"].items()) == 1
+    assert before["log"]["folders"].items() < after["log"]["folders"].items() and store.read("log").count() == 2
+    assert {r.k: r.v for r in store.read("t").collect()} == {k: "b" if k == 7 else "a" for k in range(40)}
+    assert store.committed(("f", 2)) and not store.committed(("f", 4)) and not store.committed(("g", 0))
+    store.commit({"t": Merged(rows([7], "c"), ["k"], merging.overwrite)}, ("f", 3))
+    assert store.read("t").where("v = 'c'").isEmpty() and not list((tmp_path / "_staged").glob("*"))
+    store.prune()
+    assert store.read("t").count() == 40 and len(list((tmp_path / "t").iterdir())) == 2 and len(list((tmp_path / "_commits").glob("*.json"))) == 1
+    # nothing to merge, rows that all go, and a table of no rows
+    store.commit({"t": Merged(rows([], ""), ["k"], merging.overwrite), "none": Merged(rows([], ""), ["k"], merging.overwrite)})
+    store.commit({"t": Merged(rows(range(40), "d"), ["k"], lambda old, new, key: old.where("false"))})
+    assert store.read("t").count() == 0 and store.read("none").columns == ["k", "v"] and store.read("none").isEmpty()
+    # null keys, and keys of another width
+    store.commit({"t": Merged(rows([None, 1], "e"), ["k"], merging.insert_new)})
+    store.commit({"t": Merged(spark.createDataFrame([(1, "f")], "k long, v string"), ["k"], merging.insert_new)})
+    assert {(r.k, r.v) for r in store.read("t").collect()} == {(None, "e"), (1, "e")}
+
+
 def test_files(spark, tmp_path):
     root = tmp_path / "data/raw/wiki"
     root.mkdir(parents=True)
