@@ -7,8 +7,9 @@ first tier is a compact table of the most frequent pieces and their lengths in t
 (at most TABLE_ENTRIES pieces of at most TABLE_PIECE bytes, a bound that no corpus moves). The
 second is a cache in each Python worker, of bounded size, behind which stands the library.
 
-The table is filled from the first TABLE_ROWS rows that Spark offers. It decides how often a
-worker meets the library, never a result. Counting is one map-only pass over whole texts.
+The table is filled by a first pass over all texts: each task tells of its SUMMARY most frequent
+pieces, which are summed by piece. It decides how often a worker meets the library, never a
+result. Counting is a second, map-only pass over whole texts.
 
 Cases: a null text counts as empty and has no tokens; rows stay as they are, repeated or not;
 an empty table gives no rows; other columns are ignored.
