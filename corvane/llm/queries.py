@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import decontam, lm, neardup, packing, quality, rules, secrets, substrings, tokens, urls
+from corvane.llm import decontam, extraction, lm, neardup, negatives, packing, quality, rules, secrets, substrings, tokens, urls, whitening
 from corvane.session import table
 
 
@@ -51,10 +51,22 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract(table(spark, sf_dir, "pages"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 _ALL = (
     op1_decontamination, op2_quality_classifier, op3_quality_rules, op4_secret_scans, op5_simhash, op6_packing,
-    op7_lm_scoring, op8_repeated_substrings, op9_url_filters, op10_token_counts,
+    op7_lm_scoring, op8_repeated_substrings, op9_url_filters, op10_token_counts, op11_html_extraction, op12_hard_negatives, op13_whitening,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
-ORACLES: dict[str, str] = {"op1_decontamination": decontam.ORACLE, "op4_secret_scans": secrets.ORACLE, "op9_url_filters": urls.ORACLE}
+ORACLES: dict[str, str] = {"op1_decontamination": decontam.ORACLE, "op4_secret_scans": secrets.ORACLE, "op9_url_filters": urls.ORACLE, "op12_hard_negatives": negatives.ORACLE}
