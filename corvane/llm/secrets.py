@@ -48,22 +48,30 @@ _SIGNS = {"assign": r"(?i)(?:passw|secret|token|api_?key)", "access": "AKIA[A-Z0
 #: Positions in code points, end exclusive; off: how many bytes more than code points lie before the span (spans are ASCII).
 _SPAN = "array<struct<start:int,ord:int,kind:string,end:int,off:int>>"
 #: Elements of an array that are folded at a time.
-_BLOCK = 128
+_BLOCK = 64
 
 
-def _running(items: Column, start: dict[str, Column], kind: str, step) -> Column:
-    """What step(state, item) puts into the array state.out over all items. The array of a state
-    is copied at each step, so it is kept short: blocks of items are folded one after the other,
-    each from where the last one ended, and their arrays are flattened."""
-    empty = F.array().cast(kind)
-    blocks = F.get(F.transform(F.array(items), lambda a: F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / _BLOCK).cast("int")), lambda k: F.slice(a, k * _BLOCK + 1, F.lit(_BLOCK)))), F.lit(0))
+def _bound(value: Column, use) -> Column:
+    """use(value), with value worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
-    def block(done, part):
-        last = F.element_at(done, -1)
-        return F.concat(done, F.array(F.aggregate(part, F.struct(*[last[n].alias(n) for n in start], empty.alias("out")), step)))
 
-    first = F.struct(*[c.alias(n) for n, c in start.items()], empty.alias("out"))
-    return F.flatten(F.transform(F.aggregate(blocks, F.array(first), block), lambda s: s["out"]))
+def _running(items: Column, start: dict[str, Column], kind: str, carry, merge, step) -> Column:
+    """What step(state, item) puts into the array state.out over all items.
+
+    A fold copies its whole state at every step, so no state may hold what all items gave: carry(state,
+    item) sums up each block of items alone, merge(state, state) adds the sums up to where each
+    block starts, and step folds each block from there. get() reads one item where slice() would copy all."""
+    first = F.struct(*[c.alias(n) for n, c in start.items()])
+    cut = lambda a, k: F.transform(F.sequence(k * _BLOCK, F.least(k * _BLOCK + _BLOCK, F.size(a)) - 1), lambda i: F.get(a, i))
+    blocks = _bound(items, lambda a: F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / _BLOCK).cast("int")), lambda k: cut(a, k)))
+    starts = lambda parts: F.aggregate(F.transform(parts, lambda p: F.aggregate(p, first, carry)), F.array(first), lambda done, s: F.concat(done, F.array(merge(F.element_at(done, -1), s))))
+
+    def folded(parts, begins):
+        at = lambda k: F.struct(*[F.get(begins, k)[n].alias(n) for n in start], F.array().cast(kind).alias("out"))
+        return F.flatten(F.transform(parts, lambda p, k: F.aggregate(p, at(k), step)["out"]))
+
+    return _bound(blocks, lambda parts: _bound(starts(parts), lambda begins: folded(parts, begins)))
 
 
 def _matches(text: Column, ord_: int) -> Column:
@@ -84,7 +92,12 @@ def _matches(text: Column, ord_: int) -> Column:
             ok = ok & F.rlike(x["whole"], F.lit(sign))
         return F.struct(b.alias("at"), off.alias("off"), F.when(ok, F.concat(s["out"], span)).otherwise(s["out"]).alias("out"))
 
-    found = _running(parts, {"at": F.lit(0), "off": F.lit(0)}, _SPAN, step)
+    def carry(s, x):
+        at = s["at"] + F.length(x["gap"]) + F.coalesce(F.length(x["whole"]), F.lit(0))
+        return F.struct(at.alias("at"), (s["off"] + F.octet_length(x["gap"]) - F.length(x["gap"])).alias("off"))
+
+    merge = lambda s, t: F.struct((s["at"] + t["at"]).alias("at"), (s["off"] + t["off"]).alias("off"))
+    found = _running(parts, {"at": F.lit(0), "off": F.lit(0)}, _SPAN, carry, merge, step)
     return F.when(F.rlike(text, F.lit(_SIGNS[kind])), found).otherwise(F.array().cast(_SPAN))
 
 
@@ -148,7 +161,9 @@ def redact(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
         cut = F.array(F.struct(s["at"].alias("from"), a.alias("to"), x["kind"].alias("kind"))).cast(_CUT)
         return F.struct(F.greatest(s["at"], b).alias("at"), F.when(a >= s["at"], F.concat(s["out"], cut)).otherwise(s["out"]).alias("out"))
 
-    cuts = _running(F.concat("__spans", last), {"at": F.lit(0)}, _CUT, step)
+    carry = lambda s, x: F.struct(F.greatest(s["at"], x["end"] + x["off"]).alias("at"))
+    merge = lambda s, t: F.struct(F.greatest(s["at"], t["at"]).alias("at"))
+    cuts = _running(F.concat("__spans", last), {"at": F.lit(0)}, _CUT, carry, merge, step)
     told = lambda raw: F.transform(cuts, lambda c: F.concat(F.substring(raw, c["from"] + 1, c["to"] - c["from"]).cast("string"), F.when(c["kind"] == "", "").otherwise(F.concat(F.lit("["), c["kind"], F.lit("]")))))
     cleared = F.array_join(F.get(F.transform(F.array(text.cast("binary")), told), F.lit(0)), "")
     return rows.withColumn("text", F.when(F.col("__spans").isNotNull(), cleared).otherwise(F.col("text"))).select(docs.columns)
