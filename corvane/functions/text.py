@@ -104,9 +104,9 @@ def folded(text: pd.Series) -> pd.Series:
 
 def without_controls(text: Column) -> Column:
     """No control, zero-width or direction marks; joiners only between two visible letters beyond ASCII."""
-    out = F.regexp_replace(text, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F​‎‏  ‪-‮⁦-⁩]", "")
+    out = F.regexp_replace(text, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F\u200b\u200e\u200f\u2028\u2029\u202a-\u202e\u2066-\u2069]", "")
     odd = rf"[^\x00-\x7F&&[^\s\u0085\p{{Z}}]]"
-    return F.regexp_replace(out, rf"(?<!{odd})[‌‍]|[‌‍](?!{odd})", "")
+    return F.regexp_replace(out, rf"(?<!{odd})[\u200c\u200d]|[\u200c\u200d](?!{odd})", "")
 
 
 def question(text: Column, most: int = QUESTION_CHARS) -> Column:

@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvane.session import written
+
 
 def _joined(old: DataFrame, new: DataFrame, key: list[str]):
     left, right = old.select(*key, F.struct(*old.columns).alias("__old")), new.select(*key, F.struct(*new.columns).alias("__new"))
@@ -70,6 +72,40 @@ def first_claims(batch: DataFrame, partition: list[str], order: str, key: str =
     return batch.groupBy(*partition).applyInPandas(fold, batch.schema)
 
 
+def claims_in_rounds(batch: DataFrame, order: str, key: str = "case_key", number: str = "case_number", partition: list[str] | None = None) -> tuple[DataFrame, int]:
+    """What first_claims keeps, without a group of rows in one task, and the number of rounds it took.
+
+    The rows that stay are the lexicographically first independent set: a row stays if it is the first
+    unsettled one at both its key and its number, and its rivals at either go; so on until none is
+    unsettled. A round is grouped minima, which combine before rows move, and joins; keys of a third of
+    all rows are no hot spot. Only places, keys and numbers take part, written to the shared folder each
+    round. Random orders settle in about as many rounds as the logarithm of the rows; a chain in which each row is the
+    rival of the next takes as many as it has links. Rows that tie in order are taken by the hash of all
+    their columns; of rows that repeat whole one stays. A null key is a key; a null or empty number claims nothing.
+    """
+    by = partition or []
+    placed = batch.withColumn("__place", F.struct(F.col(order).alias("o"), F.xxhash64(*batch.columns).alias("h")))
+    left = placed.select(*[F.col(c).alias(f"__p{i}") for i, c in enumerate(by)], F.col(key).alias("__key"), F.upper(F.nullif(F.col(number), F.lit(""))).alias("__number"), "__place").distinct()
+    groups = [f"__p{i}" for i in range(len(by))]
+    same = lambda a, b, on: [a[c].eqNullSafe(b[c]) for c in on]
+    left, stays, rounds = written(left, "claims"), None, 0
+    while left.take(1):
+        rounds += 1
+        at_key = left.groupBy(*groups, "__key").agg(F.min("__place").alias("__first"))
+        at_number = left.where("__number is not null").groupBy(*groups, "__number").agg(F.min("__place").alias("__first"))
+        first = left.join(at_key, [*same(left, at_key, [*groups, "__key"]), left["__place"] == at_key["__first"]], "left_semi")
+        first = first.join(at_number.withColumnsRenamed({c: f"{c}_" for c in [*groups, "__number"]}), [*[F.col(c).eqNullSafe(F.col(f"{c}_")) for c in groups], F.col("__number") == F.col("__number_")], "left")
+        first = written(first.where("__first is null or __first = __place").select(*groups, "__key", "__number", "__place"), "stays")
+        stays = first if stays is None else stays.unionByName(first)
+        rest = left.join(first, same(left, first, [*groups, "__key"]), "left_anti")
+        left = written(rest.join(first, [*same(rest, first, groups), rest["__number"] == first["__number"]], "left_anti"), "claims")
+    if stays is None:
+        return batch.where(F.lit(False)), 0
+    wanted = stays.select(*[F.col(c).alias(f"{c}_") for c in groups], F.col("__place").alias("__stays"))
+    kept = placed.dropDuplicates([*by, "__place"]).join(wanted, [*[F.col(c).eqNullSafe(F.col(f"__p{i}_")) for i, c in enumerate(by)], F.col("__place") == F.col("__stays")], "left_semi")
+    return kept.drop("__place"), rounds
+
+
 def replace_children(old: DataFrame, new: DataFrame, key: str = "case_key") -> DataFrame:
     """Children of keys that new brings are replaced; keys without new children keep theirs."""
     return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new.select(old.columns))

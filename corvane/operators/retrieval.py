@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corvane.functions import lexical, text, vector
+from corvane.session import written
 
 TOP_K, CANDIDATES, RRF = 5, 30, 60
 
@@ -76,14 +77,15 @@ def fuse(*legs: DataFrame, constant: int = RRF) -> DataFrame:
     return rows.groupBy("parent_id").agg(F.sum(F.lit(1.0) / (constant + F.col("rnk"))).alias("rrf_score"))
 
 
-def hybrid(children: DataFrame, parents: DataFrame, query: Sequence[float], words: str, k: int = TOP_K, candidates: int = CANDIDATES, where: Column | None = None, ranking: str = "count") -> DataFrame:
+def hybrid(children: DataFrame, parents: DataFrame, query: Sequence[float], words: str, k: int = TOP_K, candidates: int = CANDIDATES, where: Column | None = None, ranking: str = "count", keyword: DataFrame | None = None) -> DataFrame:
     """The k parents with the highest fused score: parent_id, rrf_score, rnk per leg, text.
 
-    Leg ranks are kept, so that what each leg found can be told.
+    Leg ranks are kept, so that what each leg found can be told. keyword, if given, is the keyword leg
+    (parent_id, rnk), as from stored postings (operators.searching).
     """
     wanted = lexical.query_terms(words, stem=ranking == "bm25")
     vec = vector_leg(children, query, candidates, where)
-    kw = keyword_leg(children, wanted, candidates, where, ranking)
+    kw = keyword_leg(children, wanted, candidates, where, ranking) if keyword is None else keyword
     rows = vec.select("parent_id", F.col("rnk").alias("vector_rank"), F.lit(None).cast("int").alias("keyword_rank"))
     rows = rows.unionByName(kw.select("parent_id", F.lit(None).cast("int").alias("vector_rank"), F.col("rnk").alias("keyword_rank")))
     part = lambda c: F.coalesce(F.sum(F.lit(1.0) / (RRF + F.col(c))), F.lit(0.0))
@@ -115,13 +117,32 @@ def verdict(found: DataFrame) -> DataFrame:
 
 
 def context_budget(rows: DataFrame, order: list, partition: list[str] | None = None, most: int = 16000) -> DataFrame:
-    """The longest prefix of texts whose running length stays within the budget.
+    """The longest prefix of texts whose running length stays within the budget, with `running`; one for each value of
+    the partition columns, or of all rows.
 
-    Lengths aren't negative, so a running sum within the budget is exactly the prefix rule.
+    Lengths aren't negative, so a running sum within the budget is exactly the prefix rule. Without a partition
+    rows are ordered by ranges and written to the shared folder; sums by range tell which ranges lie before
+    the cut, and only these are read again. No task sees more than a range. Rows that tie in the
+    order come in any order among themselves, with either.
     """
-    size = F.coalesce(F.length("text"), F.lit(0))
-    total = F.sum(size).over(W.partitionBy(*(partition or [F.lit(0)])).orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
-    return rows.withColumn("running", total).where(F.col("running") <= most)
+    size = F.coalesce(F.length("text"), F.lit(0)).cast("long")
+    if partition:
+        total = F.sum(size).over(W.partitionBy(*partition).orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+        return rows.withColumn("running", total).where(F.col("running") <= most)
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    place = F.monotonically_increasing_id()  # grows with the order inside and across ranges
+    kept = written(ranged.select("*", F.spark_partition_id().alias("__range"), place.alias("__place")), "ranges", by="__range")
+    sums = {r["__range"]: r["s"] for r in kept.groupBy("__range").agg(F.sum(size).alias("s")).collect()}  # one row a range
+    before, near = {}, 0
+    for r in sorted(sums):
+        if near > most:
+            break
+        before[r], near = near, near + sums[r]
+    if not before:
+        return kept.withColumn("running", size).drop("__range", "__place").where(F.lit(False))
+    base = F.create_map(*[F.lit(x) for r in before.items() for x in r])[F.col("__range")].cast("long")
+    total = base + F.sum(size).over(W.partitionBy("__range").orderBy("__place").rowsBetween(W.unboundedPreceding, 0))
+    return kept.where(F.col("__range").isin(list(before))).withColumn("running", total).where(F.col("running") <= most).drop("__range", "__place")
 
 
 def fill_metadata(rows: DataFrame, manifest: DataFrame, root: str = "data/raw/") -> DataFrame:

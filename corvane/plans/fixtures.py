@@ -1,7 +1,7 @@
 """The fixture tables in the shapes that operators read, in DataFrames and in SQL.
 
-Children are embeddings with text by vec_id % 200, four to a parent; parents are documents of the
-same number. Cases are orders, their parties line items. Evaluation cases, runs and measures are
+Children are all documents and all embeddings, met by id: one without the other has no vector or no
+text. Four make a parent; parents are documents of that number. Cases are orders, their parties line items. Evaluation cases, runs and measures are
 read out of events: run user_id % 8, case event_id % 100, measure event_type, score value.
 """
 
@@ -16,9 +16,18 @@ WORDS = "thre ther thth"
 
 
 def children(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("__d"), "text")
-    rows = table(spark, d, "embeddings").withColumns({"chunk_id": F.col("vec_id"), "parent_id": (F.col("vec_id") / 4).cast("long")})
-    return rows.join(docs, F.col("vec_id") % 200 == F.col("__d"), "left").select("chunk_id", "parent_id", "label", "embedding", "text")
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "label", "embedding").join(docs, "chunk_id", "full_outer")
+    return rows.select("chunk_id", (F.col("chunk_id") / 4).cast("long").alias("parent_id"), "label", "embedding", "text")
+
+
+def questions(spark: SparkSession, d: str) -> DataFrame:
+    """The first turn of every conversation: its terms, and the embedding of the same number."""
+    from corvane.functions import lexical
+
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("query"), F.col("embedding").alias("v"))
+    said = table(spark, d, "conversations").where("turn = 0").select(F.col("conv_id").alias("query"), lexical.terms(F.col("text")).alias("terms"))
+    return said.join(vectors, "query", "left")
 
 
 def parents(spark: SparkSession, d: str) -> DataFrame:
@@ -30,12 +39,15 @@ def query_vector(spark: SparkSession, d: str) -> list[float]:
     return list(table(spark, d, "embeddings").where("vec_id = 0").select("embedding").first()[0])
 
 
-CHILDREN = """children AS (SELECT e.vec_id AS chunk_id, e.vec_id // 4 AS parent_id, e.label, CAST(e.embedding AS DOUBLE[]) AS embedding, d.text
-  FROM embeddings e LEFT JOIN documents d ON d.doc_id = e.vec_id % 200)"""
+CHILDREN = """children AS (SELECT coalesce(vec_id, doc_id) AS chunk_id, coalesce(vec_id, doc_id) // 4 AS parent_id, label, CAST(embedding AS DOUBLE[]) AS embedding, text
+  FROM embeddings FULL JOIN documents ON doc_id = vec_id)"""
 QUERY = "q AS (SELECT CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id = 0)"
 TERMS = r"list_filter(regexp_split_to_array(lower({0}), '[^\p{{L}}\p{{N}}]+'), lambda t: length(t) > 0)"
 
 
+QUESTIONS = f"questions AS (SELECT conv_id AS query, list_distinct({TERMS.format('text')}) AS terms, CAST(embedding AS DOUBLE[]) AS v FROM conversations LEFT JOIN embeddings ON vec_id = conv_id WHERE turn = 0)"
+
+
 def ranked(spark: SparkSession, d: str) -> DataFrame:
     """Ranked lists per source: longest documents first; parents are tens of documents."""
     from pyspark.sql import Window as W

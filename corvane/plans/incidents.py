@@ -208,6 +208,14 @@ def batch_dedupe(spark, d):
     return merging.first_claims(_claims(spark, d), ["batch"], "event_id")
 
 
+@query(ORACLES["batch_dedupe"].replace("event_id // 50", "0").replace("user_id % 37", "(event_id * 31) % 997").replace("% 29)", "% 1009)").replace(" WHERE TRUE", ""))
+def whole_dedupe(spark, d):
+    """One batch for the whole table, settled in rounds."""
+    k = F.col("event_id")
+    rows = table(spark, d, "events").select(F.lit(0).alias("batch"), "event_id", ((k * 31) % 997).alias("case_key"), F.when(k % 11 > 0, F.concat(F.when(k % 2 == 0, "n").otherwise("N"), ((k * 7919) % 1009).cast("string"))).alias("case_number"))
+    return merging.claims_in_rounds(rows, "event_id")[0]
+
+
 @query("SELECT DISTINCT doc_id, CASE WHEN quality = 1 THEN 'running' ELSE 'done' END AS state FROM labels WHERE doc_id % 5 <> 0")
 def run_delete(spark, d):
     runs = table(spark, d, "labels").select(F.col("doc_id").alias("case_run_id"), (F.col("doc_id") % 5).cast("string").alias("run_id"), F.when(F.col("quality") == 1, "running").otherwise("done").alias("state"))
@@ -307,7 +315,7 @@ def years_before(spark, d):
 
 @query("SELECT page_id, regexp_replace(regexp_replace(url, '[\\x00-\\x08]', '', 'g'), '^\\s+|\\s+$', '', 'g') AS url FROM pages")
 def control_characters(spark, d):
-    noisy = F.concat(F.lit("  \u0001"), F.substring("url", 1, 3), F.lit("​"), F.expr("substring(url, 4)"), F.lit("‮ "))
+    noisy = F.concat(F.lit("  \u0001"), F.substring("url", 1, 3), F.lit("\u200b"), F.expr("substring(url, 4)"), F.lit("\u202e "))
     return table(spark, d, "pages").select("page_id", texts.strip(texts.without_controls(noisy)).alias("url"))
 
 

@@ -9,20 +9,13 @@ from corvane.operators import reports as R
 from corvane.plans import fixtures as X
 
 QUERIES, ORACLES = {}, {}
-#: Scores have two decimals, so their means may lie halfway between two rounded values, and the
-#: order of a sum would decide. Both sides add this before they round.
-_OFF_TIES = 3e-9
-
-
-def _settled(text: str) -> str:
-    return text.replace(", 6)", f" + {_OFF_TIES}, 6)")
 
 
 def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
         if sql:
-            ORACLES[f.__name__] = _settled(sql)
+            ORACLES[f.__name__] = sql
         return f
 
     return add
@@ -40,14 +33,14 @@ def _at(name):
     return F.date_format(name, "yyyy-MM-dd HH:mm:ss").alias(name)
 
 
-def _r6(df, *names):
-    return df.withColumns({n: F.round(F.col(n) + _OFF_TIES, 6) for n in names})
+def _rounded(df, *names):
+    return df.withColumns({n: F.round(F.col(n), 9) for n in names})
 
 
-@query(_ALL + " SELECT run_id, run_name, run_type, status, expected_cases, executed_cases, round(avg_latency_ms, 6) AS avg_latency_ms, CAST(coalesce(config_k, raw_top_k) AS VARCHAR) AS top_k FROM runs LEFT JOIN expected USING (dataset_id) LEFT JOIN stats USING (run_id)")
+@query(_ALL + " SELECT run_id, run_name, run_type, status, expected_cases, executed_cases, round(avg_latency_ms, 9) AS avg_latency_ms, CAST(coalesce(config_k, raw_top_k) AS VARCHAR) AS top_k FROM runs LEFT JOIN expected USING (dataset_id) LEFT JOIN stats USING (run_id)")
 def run_list(spark, d):
     out = R.list_runs(X.runs(spark, d), X.cases(spark, d), X.case_runs(spark, d))
-    return _r6(out, "avg_latency_ms").select("run_id", "run_name", "run_type", "status", "expected_cases", "executed_cases", "avg_latency_ms", F.col("top_k").cast("string").alias("top_k"))
+    return _rounded(out, "avg_latency_ms").select("run_id", "run_name", "run_type", "status", "expected_cases", "executed_cases", "avg_latency_ms", F.col("top_k").cast("string").alias("top_k"))
 
 
 @query(_ALL + " SELECT run_id, dataset_name, executed_cases FROM runs JOIN (VALUES ('0', 'even'), ('1', 'odd')) t(dataset_id, dataset_name) USING (dataset_id) LEFT JOIN stats USING (run_id) WHERE dataset_id = '1'")
@@ -62,38 +55,38 @@ def dataset_list(spark, d):
     return R.list_datasets(sets, X.cases(spark, d), X.runs(spark, d)).select("dataset_id", "name", "case_count", "run_count", _at("latest_run_at"))
 
 
-@query(_ALL + """ SELECT run_id, expected_cases, executed_cases, abstained_cases, round(avg_latency_ms, 6) AS avg_latency_ms, round(p50_latency_ms, 6) AS p50_latency_ms, round(p95_latency_ms, 6) AS p95_latency_ms, input_tokens, output_tokens, context_tokens,
-round(known_cost, 6) AS known_cost, cost_samples, raw_top_k, coalesce(config_k, raw_top_k) AS top_k FROM runs LEFT JOIN expected USING (dataset_id) LEFT JOIN stats USING (run_id) WHERE run_id = '2'""")
+@query(_ALL + """ SELECT run_id, expected_cases, executed_cases, abstained_cases, round(avg_latency_ms, 9) AS avg_latency_ms, round(p50_latency_ms, 9) AS p50_latency_ms, round(p95_latency_ms, 9) AS p95_latency_ms, input_tokens, output_tokens, context_tokens,
+round(known_cost, 9) AS known_cost, cost_samples, raw_top_k, coalesce(config_k, raw_top_k) AS top_k FROM runs LEFT JOIN expected USING (dataset_id) LEFT JOIN stats USING (run_id) WHERE run_id = '2'""")
 def run_summary(spark, d):
     out = R.run_summary("2", X.runs(spark, d), X.cases(spark, d), X.case_runs(spark, d))
     names = ("avg_latency_ms", "p50_latency_ms", "p95_latency_ms", "known_cost")
-    return _r6(out, *names).select("run_id", "expected_cases", "executed_cases", "abstained_cases", *names, "input_tokens", "output_tokens", "context_tokens", "cost_samples", "raw_top_k", "top_k")
+    return _rounded(out, *names).select("run_id", "expected_cases", "executed_cases", "abstained_cases", *names, "input_tokens", "output_tokens", "context_tokens", "cost_samples", "raw_top_k", "top_k")
 
 
-@query(_ALL + f" SELECT metric_name, evaluator_version, count(*) AS sample_count, round(avg(score), 6) AS mean_score, round(min(score), 6) AS min_score, round(max(score), 6) AS max_score FROM metrics WHERE run_id = '2' AND {_JUDGED} GROUP BY ALL")
+@query(_ALL + f" SELECT metric_name, evaluator_version, count(*) AS sample_count, round(avg(score), 9) AS mean_score, round(min(score), 9) AS min_score, round(max(score), 9) AS max_score FROM metrics WHERE run_id = '2' AND {_JUDGED} GROUP BY ALL")
 def metric_summary(spark, d):
-    return _r6(R.metric_summary("2", X.metrics(spark, d)), "mean_score", "min_score", "max_score")
+    return _rounded(R.metric_summary("2", X.metrics(spark, d)), "mean_score", "min_score", "max_score")
 
 
-@query(_ALL + f" SELECT run_id, run_name, run_type, status, strftime(started_at, '%Y-%m-%d %H:%M:%S') AS started_at, round(avg(score), 6) AS mean_score, count(*) AS sample_count FROM runs JOIN metrics USING (run_id) WHERE dataset_id = '1' AND status = 'completed' AND metric_name = 'mrr' AND {_JUDGED} GROUP BY ALL")
+@query(_ALL + f" SELECT run_id, run_name, run_type, status, strftime(started_at, '%Y-%m-%d %H:%M:%S') AS started_at, round(avg(score), 9) AS mean_score, count(*) AS sample_count FROM runs JOIN metrics USING (run_id) WHERE dataset_id = '1' AND status = 'completed' AND metric_name = 'mrr' AND {_JUDGED} GROUP BY ALL")
 def metric_history(spark, d):
-    return _r6(R.metric_history("1", "mrr", X.runs(spark, d), X.metrics(spark, d)), "mean_score").withColumn("started_at", _at("started_at"))
+    return _rounded(R.metric_history("1", "mrr", X.runs(spark, d), X.metrics(spark, d)), "mean_score").withColumn("started_at", _at("started_at"))
 
 
 @query(_ALL + f""", ms AS (SELECT run_id, avg(score) AS mean_score, count(*) AS metric_cases FROM metrics WHERE metric_name = 'mrr' AND {_JUDGED} GROUP BY 1)
-SELECT run_id, run_name, run_type, status, strftime(started_at, '%Y-%m-%d %H:%M:%S') AS started_at, prompt_version, corpus_version, round(mean_score, 6) AS mean_score, metric_cases, executed_cases, round(avg_latency_ms, 6) AS avg_latency_ms, round(p95_latency_ms, 6) AS p95_latency_ms, input_tokens, output_tokens
+SELECT run_id, run_name, run_type, status, strftime(started_at, '%Y-%m-%d %H:%M:%S') AS started_at, prompt_version, corpus_version, round(mean_score, 9) AS mean_score, metric_cases, executed_cases, round(avg_latency_ms, 9) AS avg_latency_ms, round(p95_latency_ms, 9) AS p95_latency_ms, input_tokens, output_tokens
 FROM runs JOIN ms USING (run_id) LEFT JOIN stats USING (run_id) WHERE dataset_id = '1'""")
 def quality_latency(spark, d):
-    return _r6(R.quality_latency("1", X.runs(spark, d), X.case_runs(spark, d), X.metrics(spark, d)), "mean_score", "avg_latency_ms", "p95_latency_ms").withColumn("started_at", _at("started_at"))
+    return _rounded(R.quality_latency("1", X.runs(spark, d), X.case_runs(spark, d), X.metrics(spark, d)), "mean_score", "avg_latency_ms", "p95_latency_ms").withColumn("started_at", _at("started_at"))
 
 
 _PAIRED = "SELECT b.score AS b, c.score AS c, c.score - b.score AS delta, metric_name, evaluator_version, case_id FROM (SELECT * FROM metrics WHERE run_id = '0') b JOIN (SELECT * FROM metrics WHERE run_id = '1') c USING (case_id, metric_name, evaluator_version)"
 
 
-@query(_ALL + f" SELECT metric_name, evaluator_version, count(*) AS paired_cases, round(avg(b), 6) AS baseline_mean, round(avg(c), 6) AS candidate_mean, round(avg(delta), 6) AS mean_delta, round(min(delta), 6) AS min_delta, round(max(delta), 6) AS max_delta, round({_NORM.format('avg(delta)')}, 6) AS normalized_delta FROM ({_PAIRED}) GROUP BY metric_name, evaluator_version")
+@query(_ALL + f" SELECT metric_name, evaluator_version, count(*) AS paired_cases, round(avg(b), 9) AS baseline_mean, round(avg(c), 9) AS candidate_mean, round(avg(delta), 9) AS mean_delta, round(min(delta), 9) AS min_delta, round(max(delta), 9) AS max_delta, round({_NORM.format('avg(delta)')}, 9) AS normalized_delta FROM ({_PAIRED}) GROUP BY metric_name, evaluator_version")
 def compare_runs(spark, d):
     out = R.compare_runs("0", "1", X.metrics(spark, d))
-    return _r6(out, "baseline_mean", "candidate_mean", "mean_delta", "min_delta", "max_delta", "normalized_delta")
+    return _rounded(out, "baseline_mean", "candidate_mean", "mean_delta", "min_delta", "max_delta", "normalized_delta")
 
 
 _RESULTS = """, results AS (SELECT cr.case_run_id, cr.run_id, cr.case_id, c.question, c.answerable, c.aircraft, c.variant, c.category, c.difficulty, c.split, cr.abstained, cr.retrieved_count, cr.latency_ms, m.score AS candidate_score, b.score AS baseline_score, m.score - b.score AS delta
@@ -104,9 +97,9 @@ def _results(spark, d):
     return R.case_results("1", X.case_runs(spark, d), X.cases(spark, d), X.metrics(spark, d), "0")
 
 
-@query(_ALL + _RESULTS + " SELECT case_run_id, run_id, case_id, question, answerable, aircraft, variant, category, difficulty, split, abstained, retrieved_count, round(latency_ms, 6) AS latency_ms, round(candidate_score, 6) AS candidate_score, round(baseline_score, 6) AS baseline_score, round(delta, 6) AS delta, round(delta, 6) AS normalized_delta FROM results")
+@query(_ALL + _RESULTS + " SELECT case_run_id, run_id, case_id, question, answerable, aircraft, variant, category, difficulty, split, abstained, retrieved_count, round(latency_ms, 9) AS latency_ms, round(candidate_score, 9) AS candidate_score, round(baseline_score, 9) AS baseline_score, round(delta, 9) AS delta, round(delta, 9) AS normalized_delta FROM results")
 def case_results(spark, d):
-    return _r6(_results(spark, d), "latency_ms", "candidate_score", "baseline_score", "delta", "normalized_delta")
+    return _rounded(_results(spark, d), "latency_ms", "candidate_score", "baseline_score", "delta", "normalized_delta")
 
 
 @query(_ALL + _RESULTS + " SELECT case_id, category, aircraft FROM results WHERE category = 'cat1' AND aircraft = 'a1' AND (contains(lower(case_id), '1') OR contains(lower(question), '1'))")
@@ -114,9 +107,9 @@ def case_explorer(spark, d):
     return R.explore(_results(spark, d), "cat1", "a1", "1").select("case_id", "category", "aircraft")
 
 
-@query(_ALL + _RESULTS + " SELECT case_id, round(delta, 6) AS delta FROM results WHERE delta IS NOT NULL ORDER BY abs(delta) DESC, case_id LIMIT 12")
+@query(_ALL + _RESULTS + " SELECT case_id, round(delta, 9) AS delta FROM results WHERE delta IS NOT NULL ORDER BY abs(delta) DESC, case_id LIMIT 12")
 def case_movers(spark, d):
-    return R.movers(_results(spark, d)).select("case_id", F.round(F.col("delta") + _OFF_TIES, 6).alias("delta"))
+    return R.movers(_results(spark, d)).select("case_id", F.round(F.col("delta"), 9).alias("delta"))
 
 
 @query(_ALL + _RESULTS + ", e AS (SELECT min(delta) AS lo, max(delta) AS hi FROM results) SELECT CAST(CASE WHEN hi > lo THEN least(17, floor((delta - lo) / ((hi - lo) / 18))) ELSE 0 END AS INT) AS bin, count(*) AS n FROM results, e WHERE delta IS NOT NULL GROUP BY 1")
@@ -125,13 +118,13 @@ def delta_histogram(spark, d):
 
 
 for _name, _sql in (("category", "category"), ("aircraft", "coalesce(aircraft, 'Unknown')"), ("variant", "coalesce(variant, 'Unknown')"), ("difficulty", "difficulty"), ("split", "split"), ("answerable", "CAST(answerable AS VARCHAR)")):
-    ORACLES[f"breakdown_{_name}"] = _settled(_ALL + f" SELECT {_sql} AS dimension_value, count(*) AS sample_count, round(avg(score), 6) AS mean_score FROM metrics JOIN cases USING (case_id) WHERE run_id = '2' AND metric_name = 'mrr' AND {_JUDGED} GROUP BY 1")
-    QUERIES[f"breakdown_{_name}"] = lambda spark, d, n=_name: _r6(R.breakdown("2", X.metrics(spark, d), X.cases(spark, d), n), "mean_score")
+    ORACLES[f"breakdown_{_name}"] = (_ALL + f" SELECT {_sql} AS dimension_value, count(*) AS sample_count, round(avg(score), 9) AS mean_score FROM metrics JOIN cases USING (case_id) WHERE run_id = '2' AND metric_name = 'mrr' AND {_JUDGED} GROUP BY 1")
+    QUERIES[f"breakdown_{_name}"] = lambda spark, d, n=_name: _rounded(R.breakdown("2", X.metrics(spark, d), X.cases(spark, d), n), "mean_score")
 
 
-@query(_ALL + " SELECT metric_name, round(score, 6) AS score, evaluator_version FROM metrics WHERE run_id = '2' AND case_id = 'c07'")
+@query(_ALL + " SELECT metric_name, round(score, 9) AS score, evaluator_version FROM metrics WHERE run_id = '2' AND case_id = 'c07'")
 def case_metrics(spark, d):
-    return _r6(R.case_metrics("2", "c07", X.metrics(spark, d)), "score").drop("details")
+    return _rounded(R.case_metrics("2", "c07", X.metrics(spark, d)), "score").drop("details")
 
 
 @query(_ALL + " SELECT case_run_id, case_id, question, answerable, category, abstained, retrieved_count, input_tokens FROM case_runs JOIN cases USING (case_id) WHERE run_id = '2' AND case_id = 'c07'")
@@ -148,10 +141,10 @@ def _summary(spark, d, run):
 _RES = [("p50 latency", "p50_latency_ms", "milliseconds"), ("p95 latency", "p95_latency_ms", "milliseconds"), ("Average latency", "avg_latency_ms", "milliseconds"), ("Context tokens", "context_tokens", "tokens"), ("Input tokens", "input_tokens", "tokens"), ("Output tokens", "output_tokens", "tokens"), ("Known cost", "known_cost", "currency")]
 
 
-@query(_ALL + ", t AS (SELECT run_id, avg(score) AS v FROM metrics WHERE metric_name = 'retrieved_tokens' GROUP BY 1), r AS (" + " UNION ALL ".join(f"SELECT '{a}' AS label, '{u}' AS unit, (SELECT {k}::DOUBLE FROM stats WHERE run_id = '1') AS c, (SELECT {k}::DOUBLE FROM stats WHERE run_id = '0') AS b, true AS lower" for a, k, u in _RES) + " UNION ALL SELECT 'Retrieved tokens', 'tokens', (SELECT v FROM t WHERE run_id = '1'), (SELECT v FROM t WHERE run_id = '0'), false) SELECT label, unit, round(c, 6) AS candidate, round(b, 6) AS baseline, round(c - b, 6) AS delta, round(CASE WHEN lower THEN b - c END, 6) AS normalized_delta FROM r")
+@query(_ALL + ", t AS (SELECT run_id, avg(score) AS v FROM metrics WHERE metric_name = 'retrieved_tokens' GROUP BY 1), r AS (" + " UNION ALL ".join(f"SELECT '{a}' AS label, '{u}' AS unit, (SELECT {k}::DOUBLE FROM stats WHERE run_id = '1') AS c, (SELECT {k}::DOUBLE FROM stats WHERE run_id = '0') AS b, true AS lower" for a, k, u in _RES) + " UNION ALL SELECT 'Retrieved tokens', 'tokens', (SELECT v FROM t WHERE run_id = '1'), (SELECT v FROM t WHERE run_id = '0'), false) SELECT label, unit, round(c, 9) AS candidate, round(b, 9) AS baseline, round(c - b, 9) AS delta, round(CASE WHEN lower THEN b - c END, 9) AS normalized_delta FROM r")
 def resource_rows(spark, d):
     out = R.resource_rows(_summary(spark, d, "0"), _summary(spark, d, "1"))
-    return _r6(out, "candidate", "baseline", "delta", "normalized_delta").select("label", "unit", "candidate", "baseline", "delta", "normalized_delta")
+    return _rounded(out, "candidate", "baseline", "delta", "normalized_delta").select("label", "unit", "candidate", "baseline", "delta", "normalized_delta")
 
 
 _CONCEPTS = "('recall_at_5', 'Recall@5'), ('mrr', 'MRR'), ('ndcg_at_5', 'nDCG@5'), ('hit_rate_at_5', 'HitRate@5'), ('precision_at_5', 'Precision@5'), ('unique_parent_ratio', 'Unique parent ratio'), ('duplicate_ratio', 'Duplicate ratio'), ('retrieved_items', 'Retrieved items'), ('retrieved_tokens', 'Retrieved tokens')"
@@ -159,10 +152,10 @@ _CONCEPTS = "('recall_at_5', 'Recall@5'), ('mrr', 'MRR'), ('ndcg_at_5', 'nDCG@5'
 
 @query(_ALL + f""", s AS (SELECT run_id, metric_name, avg(score) AS v, count(*) AS n FROM metrics WHERE {_JUDGED} GROUP BY 1, 2), j AS (SELECT metric_name, label, a.v AS c, b.v AS b, a.n AS cn, b.n AS bn FROM (VALUES {_CONCEPTS}) t(metric_name, label)
 LEFT JOIN (SELECT * FROM s WHERE run_id = '1') a USING (metric_name) LEFT JOIN (SELECT * FROM s WHERE run_id = '0') b USING (metric_name))
-SELECT label, metric_name, round(b, 6) AS baseline_mean, round(c, 6) AS candidate_mean, coalesce(bn, 0) AS baseline_samples, coalesce(cn, 0) AS candidate_samples, round(c - b, 6) AS delta, round({_NORM.format('(c - b)')}, 6) AS normalized_delta FROM j""")
+SELECT label, metric_name, round(b, 9) AS baseline_mean, round(c, 9) AS candidate_mean, coalesce(bn, 0) AS baseline_samples, coalesce(cn, 0) AS candidate_samples, round(c - b, 9) AS delta, round({_NORM.format('(c - b)')}, 9) AS normalized_delta FROM j""")
 def concept_rows(spark, d):
     m = X.metrics(spark, d)
-    out = _r6(R.concept_rows(R.metric_summary("0", m), R.metric_summary("1", m), 5, 5), "baseline_mean", "candidate_mean", "delta", "normalized_delta")
+    out = _rounded(R.concept_rows(R.metric_summary("0", m), R.metric_summary("1", m), 5, 5), "baseline_mean", "candidate_mean", "delta", "normalized_delta")
     out = out.withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in ("baseline_samples", "candidate_samples")})
     return out.select("label", F.col("candidate_metric_name").alias("metric_name"), "baseline_mean", "candidate_mean", "baseline_samples", "candidate_samples", "delta", "normalized_delta")
 

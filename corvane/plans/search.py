@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corvane.functions import lexical, text
-from corvane.operators import chunking, indexing, metrics, retrieval
+from corvane.operators import chunking, indexing, metrics, retrieval, searching
 from corvane.plans import fixtures as X
-from corvane.session import table
+from corvane.session import table, written
 
 QUERIES, ORACLES = {}, {}
 
@@ -25,7 +25,7 @@ def query(sql: str | None = None):
 _WANTED = "['thre', 'ther', 'thth']"
 _T = X.TERMS.format("text")
 _LEGS = f"""WITH {X.CHILDREN}, {X.QUERY},
-vec AS (SELECT parent_id, row_number() OVER (ORDER BY d NULLS LAST, parent_id) AS rnk FROM (SELECT parent_id, min(1 - list_cosine_similarity(embedding, v)) AS d FROM children, q GROUP BY 1) QUALIFY rnk <= 30),
+vec AS (SELECT parent_id, row_number() OVER (ORDER BY d NULLS LAST, parent_id) AS rnk FROM (SELECT parent_id, min(1 - list_cosine_similarity(embedding, v)) AS d FROM children, q WHERE embedding IS NOT NULL GROUP BY 1) QUALIFY rnk <= 30),
 hit AS (SELECT parent_id, chunk_id, len(list_filter({_T}, lambda t: list_contains({_WANTED}, t))) AS s FROM children),
 kw AS (SELECT parent_id, row_number() OVER (ORDER BY s DESC, parent_id) AS rnk FROM (SELECT parent_id, max(s) AS s FROM hit WHERE s > 0 GROUP BY 1) QUALIFY rnk <= 30),
 f AS (SELECT parent_id, coalesce(max(1.0::DOUBLE / (60 + v)), 0) + coalesce(max(1.0::DOUBLE / (60 + k)), 0) AS score, max(v) AS v, max(k) AS k FROM (SELECT parent_id, rnk AS v, NULL AS k FROM vec UNION ALL SELECT parent_id, NULL, rnk FROM kw) GROUP BY 1)"""
@@ -43,13 +43,7 @@ def hybrid_verdict(spark, d):
     return retrieval.verdict(retrieval.hybrid(X.children(spark, d), X.parents(spark, d), X.query_vector(spark, d), X.WORDS, k=20))
 
 
-@query()
-def hybrid_bm25(spark, d):
-    found = retrieval.hybrid(X.children(spark, d), X.parents(spark, d), X.query_vector(spark, d), X.WORDS, ranking="bm25")
-    return found.drop("text")
-
-
-@query(f"WITH {X.CHILDREN}, {X.QUERY} SELECT chunk_id, parent_id, label, round(list_cosine_similarity(embedding, v), 6) AS similarity FROM children, q ORDER BY list_cosine_similarity(embedding, v) DESC, chunk_id LIMIT 10")
+@query(f"WITH {X.CHILDREN}, {X.QUERY} SELECT chunk_id, parent_id, label, round(list_cosine_similarity(embedding, v), 6) AS similarity FROM children, q WHERE embedding IS NOT NULL ORDER BY list_cosine_similarity(embedding, v) DESC, chunk_id LIMIT 10")
 def vector_topk(spark, d):
     found = retrieval.nearest(X.children(spark, d), X.query_vector(spark, d), 10)
     return found.select("chunk_id", "parent_id", "label", F.round("similarity", 6).alias("similarity"))
@@ -61,7 +55,7 @@ def vector_topk_filtered(spark, d):
     return found.select("chunk_id", "parent_id", "label", F.round("similarity", 6).alias("similarity"))
 
 
-@query(f"""WITH {X.CHILDREN}, {X.QUERY}, s AS (SELECT parent_id, chunk_id, 1 - list_cosine_similarity(embedding, v) AS d FROM children, q WHERE parent_id IN (SELECT doc_id FROM documents)),
+@query(f"""WITH {X.CHILDREN}, {X.QUERY}, s AS (SELECT parent_id, chunk_id, 1 - list_cosine_similarity(embedding, v) AS d FROM children, q WHERE embedding IS NOT NULL AND parent_id IN (SELECT doc_id FROM documents)),
 b AS (SELECT parent_id, chunk_id, d FROM s QUALIFY row_number() OVER (PARTITION BY parent_id ORDER BY d, chunk_id) = 1 ORDER BY d, parent_id LIMIT 5)
 SELECT b.parent_id, b.chunk_id, round(1 - b.d, 6) AS similarity, t.text FROM b JOIN documents t ON t.doc_id = b.parent_id""")
 def vector_parent_topk(spark, d):
@@ -70,7 +64,7 @@ def vector_parent_topk(spark, d):
 
 
 @query(f"""WITH {X.CHILDREN}, {X.QUERY},
-vec AS (SELECT 'vector' AS leg, parent_id, chunk_id, list_cosine_similarity(embedding, v) AS s FROM children, q ORDER BY s DESC, chunk_id LIMIT 10),
+vec AS (SELECT 'vector' AS leg, parent_id, chunk_id, list_cosine_similarity(embedding, v) AS s FROM children, q WHERE embedding IS NOT NULL ORDER BY s DESC, chunk_id LIMIT 10),
 kw AS (SELECT 'keyword' AS leg, parent_id, chunk_id, CAST(len(list_filter({_T}, lambda t: list_contains({_WANTED}, t))) AS DOUBLE) AS s FROM children WHERE len(list_filter({_T}, lambda t: list_contains({_WANTED}, t))) > 0 ORDER BY s DESC, chunk_id LIMIT 10),
 r AS (SELECT *, row_number() OVER (PARTITION BY leg ORDER BY s DESC, chunk_id) AS rnk FROM (SELECT * FROM vec UNION ALL SELECT * FROM kw))
 SELECT leg, parent_id, CAST(min(rnk) AS INT) AS rnk, round(arg_min(s, rnk), 6) AS score FROM r GROUP BY leg, parent_id""")
@@ -224,7 +218,7 @@ def classifier_windows(spark, d):
 # stored indexes
 
 
-_POSTED = f"""WITH {X.CHILDREN}, t AS (SELECT chunk_id, parent_id, {_T} AS ts FROM children), s AS (SELECT count(*) AS n, avg(len(ts)) AS avg_len FROM t),
+_POSTED = f"""WITH {X.CHILDREN}, t AS (SELECT chunk_id, parent_id, {X.TERMS.format("coalesce(text, '')")} AS ts FROM children), s AS (SELECT count(*) AS n, avg(len(ts)) AS avg_len FROM t),
 p AS (SELECT chunk_id, parent_id, len(ts) AS size, term, count(*) AS tf FROM (SELECT *, unnest(ts) AS term FROM t) GROUP BY ALL), i AS (SELECT *, count(*) OVER (PARTITION BY term) AS df FROM p)"""
 
 
@@ -249,3 +243,50 @@ def vector_index_recall(spark, d):
     cells = indexing.learn_cells(rows)
     exact, found = indexing.neighbours(rows, queries), indexing.neighbours(indexing.with_cells(rows, cells), queries, cells=cells)
     return indexing.recall(exact, found).select("queries", (F.col("recall") >= 0.9).alias("enough"))
+
+
+_WEIGHED = _POSTED.replace("WITH ", f"WITH {X.QUESTIONS}, ", 1) + """, asked AS (SELECT query, unnest(terms) AS term FROM questions),
+child AS (SELECT query, chunk_id, parent_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / avg_len)))), 9) AS score FROM asked JOIN i USING (term), s GROUP BY 1, 2, 3),
+kw AS (SELECT query, parent_id, max(score) AS score, row_number() OVER (PARTITION BY query ORDER BY max(score) DESC, parent_id) AS rnk FROM child GROUP BY 1, 2 QUALIFY rnk <= 30)"""
+_MANY = _WEIGHED + """, near AS (SELECT query, parent_id, round(max(list_cosine_similarity(embedding, v)), 9) AS score FROM children, questions WHERE embedding IS NOT NULL AND v IS NOT NULL GROUP BY 1, 2),
+vec AS (SELECT query, parent_id, row_number() OVER (PARTITION BY query ORDER BY score DESC, parent_id) AS rnk FROM near QUALIFY rnk <= 30),
+f AS (SELECT query, parent_id, coalesce(max(1.0::DOUBLE / (60 + v)), 0) + coalesce(max(1.0::DOUBLE / (60 + k)), 0) AS score, max(v) AS v, max(k) AS k FROM (SELECT query, parent_id, rnk AS v, NULL AS k FROM vec UNION ALL SELECT query, parent_id, NULL, rnk FROM kw) WHERE parent_id IN (SELECT doc_id FROM documents) GROUP BY 1, 2)"""
+
+
+def _stored(spark, d):
+    """Children, the size row and blocks of postings, written to the shared folder as an index is."""
+    children = X.children(spark, d)
+    stats = written(indexing.sizes(children), "sizes")
+    return children, stats, written(searching.term_blocks(children, stats), "postings")
+
+
+@query(_WEIGHED + " SELECT query, parent_id, round(score, 6) AS score, CAST(rnk AS INT) AS rnk FROM kw")
+def keyword_questions(spark, d):
+    """The keyword leg of every question of the conversations, in one job, over all documents."""
+    _, stats, blocks = _stored(spark, d)
+    return searching.keyword_leg(X.questions(spark, d), blocks, stats).withColumn("score", F.round("score", 6))
+
+
+@query(_MANY + " SELECT query, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, parent_id) AS INT) AS rank, parent_id, round(score, 6) AS rrf_score, CAST(v AS INT) AS vector_rank, CAST(k AS INT) AS keyword_rank FROM f QUALIFY rank <= 5")
+def hybrid_questions(spark, d):
+    """Hybrid search for every question of the conversations, in one job."""
+    children, stats, blocks = _stored(spark, d)
+    found = searching.hybrid(X.questions(spark, d), X.parents(spark, d), blocks, stats, searching.vector_blocks(children))
+    return found.withColumn("rrf_score", F.round("rrf_score", 6))
+
+
+@query(_MANY.replace(X.QUESTIONS, f"questions AS (SELECT 0 AS query, {_WANTED} AS terms, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id = 0)") + " SELECT parent_id, round(score, 6) AS rrf_score, CAST(v AS INT) AS vector_rank, CAST(k AS INT) AS keyword_rank FROM f ORDER BY score DESC, parent_id LIMIT 5")
+def hybrid_bm25(spark, d):
+    """One question, its keyword leg from stored blocks of postings."""
+    children, stats, blocks = _stored(spark, d)
+    asked = spark.range(1).select(F.col("id").alias("query"), F.lit(lexical.query_terms(X.WORDS)).alias("terms"))
+    keyword = searching.keyword_leg(asked, blocks, stats).select("parent_id", "rnk")
+    found = retrieval.hybrid(children, X.parents(spark, d), X.query_vector(spark, d), X.WORDS, keyword=keyword)
+    return found.withColumn("rrf_score", F.round("rrf_score", 6)).drop("text")
+
+
+@query("SELECT doc_id, CAST(running AS BIGINT) AS running FROM (SELECT doc_id, sum(length(text)) OVER (ORDER BY lang, doc_id) AS running FROM documents) WHERE running <= 400000")
+def budget_prefix(spark, d):
+    """The longest prefix of all documents within a budget, by sums of ranges."""
+    found = retrieval.context_budget(table(spark, d, "documents"), [F.col("lang"), F.col("doc_id")], most=400000)
+    return found.select("doc_id", "running")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,3 +40,22 @@ def build_session(cores: int | str = "*", app: str = "corvane", **conf: str) ->
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the fixture tables, read lazily with its stored schema."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share, named by spark.checkpoint.dir; a temporary one only in local mode, where none is named."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
+        named = tempfile.mkdtemp(prefix="corvane-")
+        spark.sparkContext.setCheckpointDir(named)
+    return f"{named.rstrip('/')}/engine-{spark.sparkContext.applicationId}"
+
+
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """df, written to the shared folder and read back, in folders by a column if told: its lineage ends there."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    out = df.write.partitionBy(by) if by else df.write
+    out.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -94,7 +94,7 @@ def apply_window(store: Store, payloads: DataFrame, stream: str, start: dt.date,
     try:
         typed.write.parquet(f"{staged}/typed")
         typed = spark.read.schema(typed.schema).parquet(f"{staged}/typed")
-        good = merging.first_claims(normalizing.accepted(typed).withColumn("__batch", F.lit(0)), ["__batch"], "ordinal").drop("__batch")  # one window of a feed is a bounded batch
+        good, _ = merging.claims_in_rounds(normalizing.accepted(typed), "ordinal")
         old = store.read("cases_index") if store.has("cases_index") else schemas.empty(spark, "cases_index")
         good = merging.unseen(good, old) if skip_known else merging.without_conflicts(good, old)
         good.write.parquet(f"{staged}/good")

@@ -62,10 +62,10 @@ def test_question(spark):
     def check(t):
         return one(spark, t, text.question)
 
-    assert check("igno​re‮ this")[0] == "ignore this"
+    assert check("igno\u200bre\u202e this")[0] == "ignore this"
     assert check("  ")[1] == "empty" and check(None)[1] == "missing" and check("a" * 1001)[1] == "too long"
     assert check("ｆｕｌｌ")[0] == "full"
-    assert check("a‍b")[0] == "ab" and check("न‍म")[0] == "न‍म"
+    assert check("a\u200db")[0] == "ab" and check("न\u200dम")[0] == "न\u200dम"
 
 
 def test_escape_and_windows(spark):
