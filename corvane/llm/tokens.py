@@ -7,9 +7,9 @@ first tier is a compact table of the most frequent pieces and their lengths in t
 (at most TABLE_ENTRIES pieces of at most TABLE_PIECE bytes, a bound that no corpus moves). The
 second is a cache in each Python worker, of bounded size, behind which stands the library.
 
-The table is filled by a first pass over all texts: each task tells of its SUMMARY most frequent
-pieces, which are summed by piece. It decides how often a worker meets the library, never a
-result. Counting is a second, map-only pass over whole texts.
+The table is filled from a sample spread over all rows by hash, of about SAMPLE_ROWS texts of
+SAMPLE_BYTES at most, whose pieces the driver counts. It decides how often a worker meets the library,
+never a result: what it doesn't hold is counted behind it. Counting is one map-only pass over whole texts.
 
 Cases: a null text counts as empty and has no tokens; rows stay as they are, repeated or not;
 an empty table gives no rows; other columns are ignored.
@@ -31,8 +31,8 @@ from corvane.llm import common
 
 LIMIT = 1024
 TABLE_ENTRIES, TABLE_PIECE = 1 << 15, 40
-#: Pieces that a task tells of, and pieces that it counts at a time.
-SUMMARY, COUNTED = 1 << 12, 1 << 17
+#: Texts from which the table is filled (twice as many at most), and bytes of each at most.
+SAMPLE_ROWS, SAMPLE_BYTES = 1 << 13, 1 << 14
 #: Pieces in each of the two generations of a worker's cache.
 CACHE_ENTRIES = 300_000
 #: Characters of a piece that is kept there; longer ones are encoded each time.
@@ -178,29 +178,21 @@ class Table:
         return out
 
 
-def summaries(docs: DataFrame, summary: int = SUMMARY, counted: int = COUNTED) -> DataFrame:
-    """(piece, n): how often pieces occur, from each task its most frequent ones."""
+def sample(docs: DataFrame, rows: int = SAMPLE_ROWS, most: int = SAMPLE_BYTES) -> list[str]:
+    """About so many texts of at most `most` bytes, spread over all rows by hash."""
+    share = max(1, docs.count() // rows)
+    text = F.col("text").cast("string")
+    picked = docs.where(F.pmod(F.xxhash64("doc_id", text), F.lit(share)) == 0).where(F.octet_length(text) <= most)
+    return picked.select(text.alias("text")).limit(2 * rows).toArrow().column("text").to_pylist()
 
-    def run(batches):
-        counts: Counter = Counter()
-        for batch in common.slices(batches):
-            for raw in common.text_bytes(batch.column(0)):
-                if raw:
-                    counts.update(pieces(raw.decode("utf-8", "replace")))
-                if len(counts) > counted:
-                    counts = Counter(dict(counts.most_common(counted // 2)))
-        top = [(p, n) for p, n in counts.most_common(summary) if len(p.encode()) <= TABLE_PIECE]
-        if top:
-            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in top]), pa.array([n for _, n in top], pa.int64())], names=["piece", "n"])
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
-
-
-def frequent(docs: DataFrame, path: str) -> Table:
-    """The broadcast tier: the pieces that are most frequent over all texts. Only speed depends on it."""
-    counts = {r["piece"]: r["n"] for r in common.most_frequent(common.written(summaries(docs), "pieces"), TABLE_ENTRIES)}
-    top = sorted(counts, key=lambda p: (-counts[p], p))
-    return Table(counts, dict(zip(top, _lengths(path)(top), strict=True)))
+def frequent(docs: DataFrame, path: str, rows: int = SAMPLE_ROWS) -> Table:
+    """The broadcast tier: the pieces that are most frequent in a sample. Only speed depends on it."""
+    counts: Counter = Counter()
+    for text in sample(docs, rows):
+        counts.update(p for p in pieces(text) if len(p) <= TABLE_PIECE)
+    top = [p for p, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:TABLE_ENTRIES]]
+    return Table({p: counts[p] for p in top}, dict(zip(top, _lengths(path)(top), strict=True)))
 
 
 def count_tokens(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -> DataFrame:

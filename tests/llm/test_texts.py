@@ -325,12 +325,18 @@ def test_very_long_white_space_is_packed_and_counted(spark):
     assert {r.doc_id: r.n_tokens for r in tokens.count_tokens(docs(spark, rows)).collect()} == {i: len(ids) for i, ids in want.items()}
 
 
-def test_table_of_frequent_pieces_covers_all_texts(spark):
-    rows = [(k, f"common w{k}" + " also" * (k % 3)) for k in range(900)] + [(1000 + k, "last words") for k in range(800)]
+def test_table_from_a_sample(spark, monkeypatch):
+    """The table holds the sample's frequent pieces; counts are the library's whatever the sample held."""
+    rows = [(i, f"common words {'rare' * (i % 5)} w{i} \u00e9") for i in range(300)] + [(900, None), (901, ""), (902, "long " * 9000)]
+    library = tokens.tokenizer(tokens.default_path())
     table = tokens.frequent(docs(spark, rows), tokens.default_path()).lookup()
-    assert table["common"] == 1 and table[" words"] == 1 and table[" also"] == 1
-    few = {r.piece: r.n for r in tokens.summaries(docs(spark, rows), summary=4, counted=64).collect()}
-    assert few["common"] > 600 and few[" also"] > 600
+    assert table["common"] == len(library.encode("common", add_special_tokens=False).ids) and " w7" in table and " long" not in table
+    assert len(tokens.sample(docs(spark, rows), 30)) < 80 and tokens.sample(docs(spark, rows).limit(0)) == []
+    monkeypatch.setattr(tokens, "SAMPLE_ROWS", 1)
+    got = {r.doc_id: r.n_tokens for r in tokens.count_tokens(docs(spark, rows)).collect()}
+    assert got == {i: len(library.encode(t or "", add_special_tokens=False).ids) for i, t in rows}
+    plan = tokens.count_tokens(docs(spark, rows, extra=False))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
 
 
 def test_cache_turns():
