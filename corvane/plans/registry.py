@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.plans import incidents, lookups, reporting, search
+from corvane.plans import incidents, lookups, reporting, search, stored
 
-_MODULES = (search, reporting, incidents, lookups)
+_MODULES = (search, reporting, incidents, lookups, stored)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -32,7 +32,7 @@ def records(spark: SparkSession, path: str) -> DataFrame:
 
 def write_records(rows: DataFrame, path: str) -> None:
     """Records as JSON lines in a folder for each name. Files are as large as tasks make them, not one a record."""
-    fields = [F.col(f.name).cast(f.dataType) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in _META]
+    fields = [(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in _META]
     rows.select("text", F.struct(*fields).alias("metadata"), F.col("name").alias("folder")).write.mode("overwrite").partitionBy("folder").json(path)
 
 

@@ -187,3 +187,22 @@ def test_index_status(spark, index):
     cases, _ = index
     r = C.index_status(cases.withColumn("synced_at", F.lit("2024-01-01").cast("timestamp"))).first()
     assert r.cases == 3 and r.first_event <= r.last_event and r.last_synced_at == dt.datetime(2024, 1, 1)
+
+
+def test_substrings_by_trigrams(spark, tmp_path):
+    """The rows that ilike finds, for short, odd and wildcard needles; only the buckets of a needle's trigrams are read."""
+    from corvane.operators import trigrams
+
+    texts = ["Alpha Beach", "beta", "\u00c9tion N\u00f6rd", "100% sure", "a_b c", None, "", "xAlPHa", "ab", "\U0001f600 smile \U0001f600", "back\\slash", "\u0130stanbul", "alpXha"]
+    df = spark.createDataFrame([(i, t, t[::-1] if t else t) for i, t in enumerate(texts)] + [(None, "alpha", None)], "k int, a string, b string")
+    path = str(tmp_path / "index")
+    trigrams.postings(df, "k", ["a", "b"]).write.partitionBy("bucket").parquet(path)
+    index = spark.read.parquet(path)
+    for needle in ("alpha", "ALP", "al", "", "\u00e9TION", "lp%a", "a_b", "_", "%", "100\\%", "\U0001f600 s", "zzz", "ahpla", "\u0130st", "slash", "l_ha"):
+        for fields in (["a"], ["a", "b"]):
+            want = df.where("(" + " or ".join(f"coalesce({f} ilike :p, false)" for f in fields).replace(":p", "'%" + needle.replace("\\", "\\\\") + "%'") + ") and k is not null")
+            got = trigrams.containing(df, index, "k", fields, needle).where("k is not null")
+            assert sorted(r.k for r in got.collect()) == sorted(r.k for r in want.collect()), needle
+    plan = trigrams.containing(df, index, "k", ["a"], "alpha")._jdf.queryExecution().toString()
+    assert "PartitionFilters: [" in plan and "bucket" in plan.split("PartitionFilters: [")[-1][:200] + plan.split("PartitionFilters: [")[1][:200]
+    assert trigrams.literal_runs("a%b\\%c_d") == ["a", "b%c", "d"] and trigrams.literal_runs("%_") == []

@@ -117,7 +117,8 @@ def test_files(spark, tmp_path):
     from corvane.operators import chunking
 
     files.write_records(chunking.chunks(files.texts(spark, str(tmp_path))), str(tmp_path / "out"))
-    assert [r.text for r in files.records(spark, str(tmp_path / "out")).collect()] == ["one\ntwo"]
+    back = files.records(spark, str(tmp_path / "out")).collect()
+    assert [(r.text, r.name, r.token_count, r.chunk_id is None) for r in back] == [("one\ntwo", "A B", 2, False)]
 
 
 def test_stream_restart(spark, tmp_path):
