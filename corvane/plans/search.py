@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corvane.functions import lexical, text
-from corvane.operators import chunking, indexing, metrics, retrieval, searching
+from corvane.operators import chunking, codes, indexing, metrics, retrieval, searching
 from corvane.plans import fixtures as X
 from corvane.session import table, written
 
@@ -245,6 +245,17 @@ def vector_index_recall(spark, d):
     return indexing.recall(exact, found).select("queries", (F.col("recall") >= 0.9).alias("enough"))
 
 
+@query("SELECT count(*) AS queries, true AS enough FROM embeddings WHERE vec_id % 20 = 0")
+def vector_codes_recall(spark, d):
+    """Recall of codes with exact ranking of their candidates, against all rows, for every row whose id is divisible by 20; the target is 0.9."""
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    queries = rows.where("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query"), F.col("embedding").alias("v"))
+    learnt = codes.learn_codes(rows, indexing.learn_cells(rows, target=0.99))
+    blocks = written(codes.code_blocks(rows, learnt), "codes")
+    found = codes.neighbours(queries, blocks, rows, learnt, codes.candidates_for(learnt, rows.count()))
+    return indexing.recall(indexing.neighbours(rows, queries), found).select("queries", (F.col("recall") >= 0.9).alias("enough"))
+
+
 _WEIGHED = _POSTED.replace("WITH ", f"WITH {X.QUESTIONS}, ", 1) + """, asked AS (SELECT query, unnest(terms) AS term FROM questions),
 child AS (SELECT query, chunk_id, parent_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / avg_len)))), 9) AS score FROM asked JOIN i USING (term), s GROUP BY 1, 2, 3),
 kw AS (SELECT query, parent_id, max(score) AS score, row_number() OVER (PARTITION BY query ORDER BY max(score) DESC, parent_id) AS rnk FROM child GROUP BY 1, 2 QUALIFY rnk <= 30)"""
