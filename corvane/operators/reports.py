@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions import measures as M
+from corvane.operators import selection
 
 #: Dimension name to expression; no other is accepted.
 DIMENSIONS = {
@@ -51,9 +52,17 @@ def list_datasets(datasets: DataFrame, cases: DataFrame, runs: DataFrame) -> Dat
     return out.orderBy(F.desc_nulls_last(F.coalesce("latest_run_at", "created_at")), "dataset_id")
 
 
-def case_stats(case_runs: DataFrame) -> DataFrame:
-    """All per-run figures of case_runs in one aggregation."""
-    at = lambda p: F.percentile(F.col("latency_ms").cast("double"), p)
+def case_stats(case_runs: DataFrame, buffer: int = selection.BUFFER) -> DataFrame:
+    """All per-run figures of case_runs in one aggregation; where a run has more than `buffer` latencies, their percentiles by selection."""
+    if selection.large_groups(case_runs, "run_id", "latency_ms", buffer).isEmpty():
+        return _case_stats(case_runs, lambda p: F.percentile(F.col("latency_ms").cast("double"), p))
+    exact = selection.percentiles(case_runs, "run_id", "latency_ms", [0.5, 0.95], ["p50_latency_ms", "p95_latency_ms"], buffer).withColumnRenamed("run_id", "__run")
+    rest = _case_stats(case_runs, lambda p: F.lit(None).cast("double"))
+    met = rest.drop("p50_latency_ms", "p95_latency_ms").join(exact, F.col("run_id").eqNullSafe(F.col("__run")), "left")
+    return met.select(*rest.columns)
+
+
+def _case_stats(case_runs: DataFrame, at) -> DataFrame:
     return case_runs.groupBy("run_id").agg(
         F.count("*").alias("executed_cases"), F.count_if("abstained").alias("abstained_cases"), F.avg("latency_ms").alias("avg_latency_ms"),
         at(0.5).alias("p50_latency_ms"), at(0.95).alias("p95_latency_ms"), F.sum("latency_ms").alias("total_latency_ms_cases"),

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from corvane.functions import measures as M
 from corvane.operators import reports as R
+from corvane.operators import selection
 from corvane.plans import fixtures as X
+from corvane.session import table
 
 QUERIES, ORACLES = {}, {}
 
@@ -199,3 +201,11 @@ def measure_reading(spark, d):
 @query(_ALL + """ SELECT run_id, to_json({'top_k': 7}) AS public_config, to_json({'generator_model': 'g'}) AS public_model_versions FROM runs WHERE run_id = '2'""")
 def public_settings(spark, d):
     return R.run_summary("2", X.runs(spark, d), X.cases(spark, d), X.case_runs(spark, d)).select("run_id", "public_config", "public_model_versions")
+
+
+@query("""SELECT event_type, round(percentile_cont(0.0) WITHIN GROUP (ORDER BY value), 9) AS p0, round(percentile_cont(0.5) WITHIN GROUP (ORDER BY value), 9) AS p50, round(percentile_cont(0.95) WITHIN GROUP (ORDER BY value), 9) AS p95,
+round(percentile_cont(1.0) WITHIN GROUP (ORDER BY value), 9) AS p100 FROM events GROUP BY 1""")
+def event_percentiles(spark, d):
+    """Exact percentiles of all values by type, by selection beyond a thousand values."""
+    out = selection.percentiles(table(spark, d, "events"), "event_type", "value", [0.0, 0.5, 0.95, 1.0], buffer=1000)
+    return _rounded(out, "p0", "p50", "p95", "p100")
