@@ -29,6 +29,7 @@ def build_session(cores: int | str = "*", app: str = "corvane", **conf: str) ->
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
+        .config("spark.sql.python.filterPushdown.enabled", "true")
     )
     for key, value in conf.items():
         builder = builder.config(key, value)

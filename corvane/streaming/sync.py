@@ -4,7 +4,7 @@ Each window is one commit of cases, children, details, the stream's checkpoint a
 audit row, with a tag: one that was committed changes nothing. A window that fails leaves an audit
 row and its dates with the stream's failures, in a commit of their own; the next run begins with that
 window. Only completed windows move the checkpoint. A window's pages are read once: its typed records are
-written beside the store before they are counted and merged, and deleted after the commit.
+written beside the store before they are merged, counted as they are written, and deleted after the commit.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import datetime as dt
 import uuid
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from corvane import schemas
@@ -92,12 +92,15 @@ def apply_window(store: Store, payloads: DataFrame, stream: str, start: dt.date,
         typed = normalizing.cases(normalizing.records(hydrate(normalizing.accepted(typed), backend)))
     staged = f"{store.path}/_staged/{uuid.uuid4().hex}"
     try:
-        typed.write.parquet(f"{staged}/typed")
+        read, kept = Observation(), Observation()
+        typed.observe(read, F.count("*").alias("read"), F.count_if(F.col("case_key").isNull()).alias("rejected")).write.parquet(f"{staged}/typed")
         typed = spark.read.schema(typed.schema).parquet(f"{staged}/typed")
         good, _ = merging.claims_in_rounds(normalizing.accepted(typed), "ordinal")
         old = store.read("cases_index") if store.has("cases_index") else schemas.empty(spark, "cases_index")
         good = merging.unseen(good, old) if skip_known else merging.without_conflicts(good, old)
-        good.write.parquet(f"{staged}/good")
+        known = old.select("case_key", F.lit(True).alias("__known"))  # one row a case
+        marked = good.join(known, "case_key", "left").observe(kept, F.count("*").alias("kept"), F.count("__known").alias("updated"))
+        marked.select(good.columns).write.parquet(f"{staged}/good")
         good = spark.read.schema(good.schema).parquet(f"{staged}/good")
         stamp = F.lit(now).cast("timestamp")
         fresh = _fit(good.withColumn("synced_at", stamp), "cases_index")
@@ -106,8 +109,7 @@ def apply_window(store: Store, payloads: DataFrame, stream: str, start: dt.date,
         for table, field in _CHILDREN.items():
             changed[table] = Merged(_fit(normalizing.children(good, field), table), key, lambda kept, new, by: merging.replace_children(kept, new))
         changed["detail_cache"] = Merged(_fit(good.select("case_key", F.col("record").alias("payload"), "hash", stamp.alias("fetched_at")), "detail_cache"), key, merging.overwrite)
-        known = old.select("case_key")
-        n = {"read": typed.count(), "rejected": normalizing.rejected(typed).count(), "kept": good.count(), "updated": good.join(known, "case_key", "left_semi").count()}
+        n = read.get | kept.get
         counts = {"read": n["read"], "rejected": n["rejected"], "inserted": n["kept"] - n["updated"], "updated": n["updated"], "repeated": n["read"] - n["rejected"] - n["kept"]}
         mark = spark.createDataFrame([(stream, start, end, "completed")], "stream string, window_start date, window_end date, status string").withColumn("updated_at", stamp)
         row = spark.createDataFrame([(tag, stream, "completed", *counts.values())], "run_id string, stream string, status string, read long, rejected long, inserted long, updated long, repeated long").withColumns({"started_at": stamp, "ended_at": stamp})
@@ -128,7 +130,7 @@ def run(spark: SparkSession, store: Store, backend, stream: str, start: dt.date,
     out = []
     for a, b in ([span] if incremental and span else pages.windows(*span, days) if span else []):
         kind = "by_modified" if incremental else "by_date"
-        read = spark.read.format("case_pages").option("kind", kind).option("start", a.isoformat()).option("end", b.isoformat()).option("days", days).load()
+        read = pages.read(spark, a, b, kind, days)
         place = F.datediff("window_start", F.lit(a.isoformat()).cast("date")).cast("long") * 1_000_000 + F.col("page")
         try:
             out.append(apply_window(store, read.select(place.alias("ordinal"), "payload"), stream, a, b, now, skip_known=not incremental and not refresh))
