@@ -9,8 +9,8 @@ share, needs suffix arrays: segments are dealt by anchor to shards, a shard's se
 sorted by Larsson-Sadakane refinement (7 bytes first, then doubling, groups of one left alone),
 Kasai's common prefixes are taken for all segments in lockstep, and a window repeats if it shares
 LENGTH bytes with a neighbour in order. An anchor with more than SHARD segments or MEMORY bytes fills several
-shards; fingerprints of their windows are merged by key, in order, and each shard's are looked up in all
-shards' by binary search.
+shards; fingerprints of their windows (128 bits) are merged by key, in order, and each shard's are looked up in all
+shards' by binary search. Segments are known by their anchor and 128 bits of hash.
 
 Scale: the first pass is map-only; anchors (about one in 85 bytes) are counted with map-side
 combining and joined back as pairs of longs; texts move once, with what is known of their anchors,
@@ -42,11 +42,13 @@ RUN, CHUNK, SHARD, MEMORY = 4096, 1 << 20, 4096, 1 << 21
 _SPAN = LENGTH - GRAM + 1
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
+_OTHER = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
 
-def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    x = (a * _MIX[0]) ^ (b + _MIX[1])
+
+def _mixed(a: np.ndarray, b: np.ndarray, mix: tuple = _MIX) -> np.ndarray:
+    x = (a * mix[0]) ^ (b + mix[1])
     x ^= x >> np.uint64(29)
-    x *= _MIX[1]
+    x *= mix[1]
     x ^= x >> np.uint64(32)
     return x
 
@@ -86,10 +88,10 @@ def _parts(texts: list[bytes | None]):
 
 
 def segments(texts: list[bytes | None]) -> tuple[np.ndarray, ...]:
-    """Text number, first window, windows, anchor and content hash of every segment, and whether
+    """Text number, first window, windows, anchor and content hash (two halves) of every segment, and whether
     windows of the segment may be equal. Such windows lie in a periodic stretch that holds the
     last window's first GRAM bytes and one more copy of them before it."""
-    found = [[np.zeros(0, np.int64)] for _ in range(3)] + [[np.zeros(0, np.uint64)] for _ in range(2)] + [[np.zeros(0, bool)]]
+    found = [[np.zeros(0, np.int64)] for _ in range(3)] + [[np.zeros(0, np.uint64)] for _ in range(3)] + [[np.zeros(0, bool)]]
     for parts in _parts(texts):
         joined = b"".join(p[2] for p in parts)
         anchor = _anchors(np.frombuffer(joined, np.uint8))
@@ -103,14 +105,15 @@ def segments(texts: list[bytes | None]) -> tuple[np.ndarray, ...]:
         new = np.flatnonzero(np.r_[True, (value[1:] != value[:-1]) | (owner[1:] != owner[:-1]) | (local[1:] % RUN == 0)])
         count = np.diff(np.r_[new, len(owner)])
         first = at[new]
-        digest = xxhash.xxh3_64_intdigest
-        hashes, again = np.empty(len(new), np.uint64), np.empty(len(new), bool)
+        digest = xxhash.xxh3_128_digest
+        hashes, again = [], np.empty(len(new), bool)
         for k, (a, n) in enumerate(zip(first.tolist(), count.tolist(), strict=True)):
             segment = joined[a : a + n + LENGTH - 1]
-            hashes[k] = digest(segment)
+            hashes.append(digest(segment))
             again[k] = n > _SPAN or segment.find(segment[n - 1 : n - 1 + GRAM]) < n - 1
+        high, low = np.frombuffer(b"".join(hashes), ">u8").astype(np.uint64).reshape(-1, 2).T
         number, base = np.array([p[0] for p in parts]), np.array([p[1] for p in parts])
-        for out, x in zip(found, (number[owner[new]], base[owner[new]] + local[new], count, value[new], hashes, again), strict=True):
+        for out, x in zip(found, (number[owner[new]], base[owner[new]] + local[new], count, value[new], high, low, again), strict=True):
             out.append(x)
     return tuple(map(np.concatenate, found))
 
@@ -199,24 +202,29 @@ def repeated_windows(texts: list[bytes]) -> list[np.ndarray]:
     return [np.flatnonzero(twice[a : a + n - LENGTH + 1]) for a, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
 
 
-def window_prints(texts: list[bytes]) -> list[np.ndarray]:
-    """A fingerprint of the window of LENGTH bytes at each start of each text, as signed numbers."""
-    if not texts:
-        return []
-    sizes = np.array([len(t) for t in texts])
-    x = np.frombuffer(b"".join(texts), np.uint8).astype(np.uint64)
+def _prints(data: np.ndarray, mix: tuple) -> np.ndarray:
+    x = data.astype(np.uint64)
     out, step, at = None, 1, 0
     while True:  # LENGTH is a sum of powers of two; a hash of each is mixed in
         if LENGTH & step:
             part = x[at:]
-            out = part if out is None else _mixed(out[: len(part)], part)
+            out = part if out is None else _mixed(out[: len(part)], part, mix)
             at += step
         if 2 * step > LENGTH:
-            break
-        x = x[:-step] | (x[step:] << np.uint64(8 * step)) if step < 8 else _mixed(x[:-step], x[step:])
+            return out
+        x = x[:-step] | (x[step:] << np.uint64(8 * step)) if step < 8 else _mixed(x[:-step], x[step:], mix)
         step *= 2
+
+
+def window_prints(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Two fingerprints, mixed differently, of the window of LENGTH bytes at each start of each text, as signed numbers."""
+    if not texts:
+        return []
+    sizes = np.array([len(t) for t in texts])
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    both = [_prints(data, mix).view(np.int64) for mix in (_MIX, _OTHER)]
     starts = np.r_[0, sizes.cumsum()[:-1]]
-    return [out[a : a + n - LENGTH + 1].view(np.int64) for a, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
+    return [tuple(x[a : a + n - LENGTH + 1] for x in both) for a, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
 
 
 def _ranges(starts: np.ndarray, length: int = LENGTH) -> list[int]:
@@ -246,26 +254,26 @@ _INTS = T.ArrayType(T.IntegerType())
 
 
 def _anchor_rows(docs: DataFrame) -> DataFrame:
-    """(m, s, h, g, again): anchor, content hash and text hashes of every segment; again: windows of one segment may be equal."""
+    """(m, s, t, h, g, again): anchor, content hash and text hashes of every segment; again: windows of one segment may be equal."""
 
     def run(batches):
         for batch in common.slices(batches):
-            text, _, _, m, s, again = segments(common.text_bytes(batch.column(2)))
+            text, _, _, m, s, t, again = segments(common.text_bytes(batch.column(2)))
             h, g = (batch.column(k).to_numpy()[text] for k in range(2))
-            yield pa.RecordBatch.from_arrays([pa.array(m.view(np.int64)), pa.array(s.view(np.int64)), pa.array(h), pa.array(g), pa.array(again)], names=["m", "s", "h", "g", "again"])
+            yield pa.RecordBatch.from_arrays([pa.array(m.view(np.int64)), pa.array(s.view(np.int64)), pa.array(t.view(np.int64)), pa.array(h), pa.array(g), pa.array(again)], names=["m", "s", "t", "h", "g", "again"])
 
-    return docs.select("h", "g", "text").mapInArrow(run, "m long, s long, h long, g long, again boolean")
+    return docs.select("h", "g", "text").mapInArrow(run, "m long, s long, t long, h long, g long, again boolean")
 
 
 def _known(docs: DataFrame) -> DataFrame:
     """For each row doc_id, h, g and either its final columns or text, sure ranges and open segments."""
     rows = common.written(_anchor_rows(docs.where(F.octet_length("text") >= LENGTH)), "anchors")
-    stats = rows.groupBy("m").agg(F.count("*").alias("n"), F.min("s").alias("a"), F.max("s").alias("b"), F.max("again").alias("again"))
-    shared = stats.where("n > 1 or again").select("m", (F.col("again") | (F.col("a") != F.col("b"))).alias("open"))
+    stats = rows.groupBy("m").agg(F.count("*").alias("n"), F.min("s").alias("a"), F.max("s").alias("b"), F.min("t").alias("c"), F.max("t").alias("d"), F.max("again").alias("again"))
+    shared = stats.where("n > 1 or again").select("m", (F.col("again") | (F.col("a") != F.col("b")) | (F.col("c") != F.col("d"))).alias("open"))
     lists = rows.select("m", "h", "g").join(shared, "m").groupBy("h", "g").agg(F.collect_set(F.struct("m", "open")).alias("shared"))
     lists = lists.select("h", "g", F.transform("shared", lambda x: x["m"]).alias("m"), F.transform("shared", lambda x: x["open"]).alias("open"))
     joined = docs.join(lists, ["h", "g"], "left").select("doc_id", "h", "g", "text", "m", "open")
-    segment = T.StructType([T.StructField(n, t) for n, t in (("m", _LONG), ("s", _LONG), ("at", T.IntegerType()), ("size", T.IntegerType()))])
+    segment = T.StructType([T.StructField(n, t) for n, t in (("m", _LONG), ("s", _LONG), ("t", _LONG), ("at", T.IntegerType()), ("size", T.IntegerType()))])
     fields = [("h", _LONG), ("g", _LONG), ("n_bytes", _LONG), ("n_removed", _LONG), ("n_spans", _LONG), ("kept_sha256", T.StringType()), ("text", T.BinaryType()), ("sure", _INTS), ("open", T.ArrayType(segment))]
     schema = common.with_doc_id(docs, *fields)
     out = common.arrow_schema(schema)
@@ -275,7 +283,7 @@ def _known(docs: DataFrame) -> DataFrame:
             texts = [t or b"" for t in common.text_bytes(batch.column(3))]
             ms, opens = batch.column(4).to_pylist(), batch.column(5).to_pylist()
             some = [t if m else None for t, m in zip(texts, ms, strict=True)]
-            number, first, count, m, s, _ = segments(some)
+            number, first, count, m, s, t, _ = segments(some)
             edge = np.searchsorted(number, np.arange(len(texts) + 1))
             rows = []
             for k, text in enumerate(texts):
@@ -285,9 +293,9 @@ def _known(docs: DataFrame) -> DataFrame:
                 here = slice(edge[k], edge[k + 1])
                 status = dict(zip(ms[k], opens[k], strict=True))
                 anchors = m[here].view(np.int64).tolist()
-                found = list(zip(anchors, s[here].view(np.int64).tolist(), first[here].tolist(), count[here].tolist(), strict=True))
-                sure = [(a, a + n + LENGTH - 1) for x, _, a, n in found if status.get(x) is False]
-                left = [{"m": x, "s": y, "at": a, "size": n + LENGTH - 1} for x, y, a, n in found if status.get(x)]
+                found = list(zip(anchors, s[here].view(np.int64).tolist(), t[here].view(np.int64).tolist(), first[here].tolist(), count[here].tolist(), strict=True))
+                sure = [(a, a + n + LENGTH - 1) for x, _, _, a, n in found if status.get(x) is False]
+                left = [{"m": x, "s": y, "t": z, "at": a, "size": n + LENGTH - 1} for x, y, z, a, n in found if status.get(x)]
                 if left:
                     rows.append((len(text), None, None, None, text, [v for r in sure for v in r], left))
                 else:
@@ -303,71 +311,73 @@ def _known(docs: DataFrame) -> DataFrame:
 def _different(segments: list[tuple[int, bytes] | None]) -> list[tuple]:
     """For each segment, given by anchor and bytes, starts and fingerprints of windows that no earlier one of its anchor has."""
     some = [k for k, x in enumerate(segments) if x]
-    found: list[tuple] = [([], [])] * len(segments)
+    found: list[tuple] = [([], [], [])] * len(segments)
     if some:
         prints = window_prints([segments[k][1] for k in some])
-        owner = np.repeat(np.arange(len(some)), [len(p) for p in prints])
-        start = np.concatenate([np.arange(len(p)) for p in prints])
-        anchor, f = np.array([segments[k][0] for k in some], np.int64)[owner], np.concatenate(prints)
-        order = np.lexsort((f, anchor))  # stable: the first of equals stays first
-        new = np.r_[True, (f[order][1:] != f[order][:-1]) | (anchor[order][1:] != anchor[order][:-1])]
+        owner = np.repeat(np.arange(len(some)), [len(p) for p, _ in prints])
+        start = np.concatenate([np.arange(len(p)) for p, _ in prints])
+        anchor = np.array([segments[k][0] for k in some], np.int64)[owner]
+        f, g = (np.concatenate(x) for x in zip(*prints, strict=True))
+        order = np.lexsort((g, f, anchor))  # stable: the first of equals stays first
+        new = np.r_[True, np.any([x[order][1:] != x[order][:-1] for x in (f, g, anchor)], axis=0)]
         kept = np.sort(order[new])
         edge = np.searchsorted(owner[kept], np.arange(len(some) + 1))
         for j, k in enumerate(some):
             part = kept[edge[j] : edge[j + 1]]
-            found[k] = start[part], f[part]
+            found[k] = start[part], f[part], g[part]
     return found
 
 
 def _shard_rows(batches):
-    """(m, s, ranges, starts, prints) of segments sorted by anchor and shard. The last two, for anchors
-    in several shards: one of each different window, with its fingerprint."""
+    """(m, s, t, ranges, starts, prints, others) of segments sorted by anchor and shard. The last three, for anchors
+    in several shards: one of each different window, with its fingerprints."""
     held: list[tuple] = []
 
     def out(rows):
-        starts = repeated_windows([r[2] for r in rows])
-        columns: list[list] = [[], [], [], [], []]
-        told = _different([(m, text) if shards > 1 else None for m, _, text, _, shards in rows])
-        for (m, s, text, copies, _), twice, (more, prints) in zip(rows, starts, told, strict=True):
+        starts = repeated_windows([r[3] for r in rows])
+        columns: list[list] = [[] for _ in range(7)]
+        told = _different([(m, text) if shards > 1 else None for m, _, _, text, _, shards in rows])
+        for (m, s, t, text, copies, _), twice, (more, *prints) in zip(rows, starts, told, strict=True):
             again = np.arange(len(text) - LENGTH + 1) if copies > 1 else twice
-            for c, x in zip(columns, (m, s, _ranges(again), more, prints), strict=True):
+            for c, x in zip(columns, (m, s, t, _ranges(again), more, *prints), strict=True):
                 c.append(x)
-        types = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64())]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["m", "s", "ranges", "starts", "prints"])
+        types = [*[pa.int64()] * 3, *[pa.list_(pa.int32())] * 2, *[pa.list_(pa.int64())] * 2]
+        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, types, strict=True)], names=["m", "s", "t", "ranges", "starts", "prints", "others"])
 
     size, last = 0, None
     for batch in batches:
-        for shard, m, s, text, copies, shards in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for shard, m, s, t, text, copies, shards in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if (m, shard) != last and size >= MEMORY:
                 yield out(held)
                 held, size = [], 0
             last = (m, shard)
-            held.append((m, s, text, copies, shards))
+            held.append((m, s, t, text, copies, shards))
             size += len(text)
     if held:
         yield out(held)
 
 
 def _lookup(batches):
-    """(m, s, at): windows whose fingerprint another window has, from batches sorted by anchor and fingerprint."""
+    """(m, s, t, at): windows whose fingerprints another window has, from batches (m, f, g, s, t, at) sorted by anchor and fingerprints."""
     held = None
     for batch in _with_end(batches):
-        got = None if batch is None else [batch.column(k).to_numpy() for k in range(4)]
+        got = None if batch is None else [c.to_numpy() for c in batch.columns]
         held = got if held is None else held if got is None else [np.concatenate(x) for x in zip(held, got, strict=True)]
         if held is None or not len(held[0]):
             continue
-        m, f, s, at = held
-        same = (m == m[-1]) & (f == f[-1])
-        cut = len(m) if batch is None else int(np.flatnonzero(same)[0])
-        m, f, s, at = (x[:cut] for x in held)
+        m, f = held[:2]
+        cut = len(m) if batch is None else int(np.flatnonzero((m == m[-1]) & (f == f[-1]))[0])
+        m, f, g, *rest = (x[:cut] for x in held)
         held = [x[cut:] for x in held]
         if cut:
             twice = np.zeros(cut, bool)
             for a in np.unique(m):  # each anchor's sorted fingerprints are looked up among themselves
-                lo, hi = np.searchsorted(m, a, "left"), np.searchsorted(m, a, "right")
-                part = f[lo:hi]
-                twice[lo:hi] = np.searchsorted(part, part, "right") - np.searchsorted(part, part, "left") > 1
-            yield pa.RecordBatch.from_arrays([pa.array(x[twice]) for x in (m, s, at)], names=["m", "s", "at"])
+                here = slice(np.searchsorted(m, a, "left"), np.searchsorted(m, a, "right"))
+                part, other = f[here], g[here]
+                several = np.searchsorted(part, part, "right") - np.searchsorted(part, part, "left") > 1
+                same = (part[1:] == part[:-1]) & (other[1:] == other[:-1])  # in a run of one f, equal g stand together
+                twice[here] = several & (np.r_[same, False] | np.r_[False, same])
+            yield pa.RecordBatch.from_arrays([pa.array(x[twice]) for x in (m, *rest)], names=["m", "s", "t", "at"])
 
 
 def _with_end(batches):
@@ -376,17 +386,17 @@ def _with_end(batches):
 
 
 def _resolved(open_segments: DataFrame) -> DataFrame:
-    """(m, s, ranges): the repeated bytes of each open segment, as offsets in it."""
-    unique = common.written(open_segments.groupBy("m", "s").agg(F.first("seg").alias("seg"), F.count("*").alias("copies")), "segments")
+    """(m, s, t, ranges): the repeated bytes of each open segment, as offsets in it."""
+    unique = common.written(open_segments.groupBy("m", "s", "t").agg(F.first("seg").alias("seg"), F.count("*").alias("copies")), "segments")
     sizes = unique.groupBy("m").agg(F.greatest(F.ceil(F.count("*") / SHARD), F.ceil(F.sum(F.octet_length("seg")) / MEMORY)).cast("int").alias("shards"))
     dealt = unique.join(sizes.where("shards > 1"), "m", "left").withColumn("shards", F.coalesce("shards", F.lit(1)))
     dealt = dealt.withColumn("shard", F.pmod(F.col("s"), F.col("shards").cast("long")).cast("int"))
-    done = dealt.select("shard", "m", "s", "seg", "copies", "shards").repartition("m", "shard").sortWithinPartitions("m", "shard", "s").mapInArrow(_shard_rows, "m long, s long, ranges array<int>, starts array<int>, prints array<long>")
+    done = dealt.select("shard", "m", "s", "t", "seg", "copies", "shards").repartition("m", "shard").sortWithinPartitions("m", "shard", "s", "t").mapInArrow(_shard_rows, "m long, s long, t long, ranges array<int>, starts array<int>, prints array<long>, others array<long>")
     done = common.written(done, "sorted")
-    local = done.where(F.size("ranges") > 0).select("m", "s", "ranges")
-    across = done.where(F.size("starts") > 0).select("m", "s", F.explode(F.arrays_zip("prints", "starts")).alias("x")).select("m", F.col("x.prints").alias("f"), "s", F.col("x.starts").alias("at"))
-    found = across.repartition("m", "f").sortWithinPartitions("m", "f").mapInArrow(_lookup, "m long, s long, at int")
-    merged = found.groupBy("m", "s").agg(F.array_sort(F.collect_set("at")).alias("at")).select("m", "s", F.flatten(F.transform("at", lambda a: F.array(a, a + LENGTH))).alias("ranges"))
+    local = done.where(F.size("ranges") > 0).select("m", "s", "t", "ranges")
+    across = done.where(F.size("starts") > 0).select("m", "s", "t", F.explode(F.arrays_zip("prints", "others", "starts")).alias("x")).select("m", F.col("x.prints").alias("f"), F.col("x.others").alias("g"), "s", "t", F.col("x.starts").alias("at"))
+    found = across.repartition("m", "f").sortWithinPartitions("m", "f", "g").mapInArrow(_lookup, "m long, s long, t long, at int")
+    merged = found.groupBy("m", "s", "t").agg(F.array_sort(F.collect_set("at")).alias("at")).select("m", "s", "t", F.flatten(F.transform("at", lambda a: F.array(a, a + LENGTH))).alias("ranges"))
     return local.union(merged)
 
 
@@ -396,10 +406,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     known = _known(docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("h"), F.xxhash64(F.lit(1), text).alias("g")))
     final = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
     rest = known.where("text is not null")
-    cut = rest.select("text", F.explode("open").alias("o")).select("o.m", "o.s", F.substring("text", F.col("o.at") + 1, F.col("o.size")).alias("seg"))
+    cut = rest.select("text", F.explode("open").alias("o")).select("o.m", "o.s", "o.t", F.substring("text", F.col("o.at") + 1, F.col("o.size")).alias("seg"))
     ranges = _resolved(cut)
-    places = rest.select("h", "g", F.explode("open").alias("o")).select("h", "g", "o.m", "o.s", "o.at")
-    shifted = places.join(ranges, ["m", "s"]).select("h", "g", F.transform("ranges", lambda x: x + F.col("at")).alias("ranges")).distinct()
+    places = rest.select("h", "g", F.explode("open").alias("o")).select("h", "g", "o.m", "o.s", "o.t", "o.at")
+    shifted = places.join(ranges, ["m", "s", "t"]).select("h", "g", F.transform("ranges", lambda x: x + F.col("at")).alias("ranges")).distinct()
     found = shifted.groupBy("h", "g").agg(F.flatten(F.collect_list("ranges")).alias("found"))
     schema = T.StructType([known.schema[n] for n in final])
     out = common.arrow_schema(schema)

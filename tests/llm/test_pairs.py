@@ -157,10 +157,23 @@ def test_window_prints():
     texts.append(texts[0][100:450] + b"!" + texts[0][:220])
     by = {}
     for t, prints in zip(texts, substrings.window_prints(texts), strict=True):
-        assert len(prints) == len(t) - 199
-        for k, f in enumerate(prints.tolist()):
+        assert [len(p) for p in prints] == [len(t) - 199] * 2
+        for k, f in enumerate(zip(*(p.tolist() for p in prints), strict=True)):
             by.setdefault(t[k : k + 200], set()).add(f)
-    assert all(len(f) == 1 for f in by.values()) and len({min(f) for f in by.values()}) == len(by)
+    assert all(len(f) == 1 for f in by.values())
+    for half in range(2):
+        assert len({min(f)[half] for f in by.values()}) == len(by)
+
+
+def test_windows_that_share_half_a_fingerprint_stay_apart():
+    """Windows of several shards are equal if both fingerprints are, across batches too."""
+    import pyarrow as pa
+
+    rows = sorted([(1, 5, 7, 10, 0, 3), (1, 5, 8, 11, 0, 4), (1, 5, 8, 12, 0, 5), (1, 6, 8, 13, 0, 6), (2, 5, 8, 14, 0, 7), (2, 9, 1, 15, 0, 8), (2, 9, 1, 16, 0, 9), (3, 9, 1, 17, 0, 9)])
+    for size in (1, 3, 8):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[a : a + size], strict=True)], names=list("mfgsta")) for a in range(0, len(rows), size)]
+        found = [s for b in substrings._lookup(iter(batches)) for s in b.column(1).to_pylist()]
+        assert found == [11, 12, 15, 16]
 
 
 @pytest.mark.parametrize(("shard", "memory"), [(2, 1 << 21), (4096, 1 << 21), (4096, 2000)])
@@ -181,7 +194,7 @@ def test_long_texts_are_cut_into_parts(monkeypatch):
     monkeypatch.setattr(substrings, "CHUNK", 500)
     monkeypatch.setattr(substrings, "RUN", 60)
     text = bytes(np.random.default_rng(9).integers(97, 101, 3000).astype(np.uint8))
-    number, first, count, m, s, _ = substrings.segments([None, text, b"x" * 100, text[700:1100]])
+    number, first, count, m, *_ = substrings.segments([None, text, b"x" * 100, text[700:1100]])
     for k, size in ((1, 3000), (3, 400)):
         covered = np.concatenate([np.arange(a, a + n) for a, n in zip(first[number == k], count[number == k], strict=True)])
         assert np.array_equal(np.sort(covered), np.arange(size - 199))
