@@ -24,7 +24,7 @@ def load(store: Store, dataset: DataFrame, cases: DataFrame, evidence: DataFrame
 
 
 def pdf_texts(spark: SparkSession, path: str, extract) -> DataFrame:
-    """(path, text) of PDF files by extract(bytes) -> list of page texts; unreadable files give null."""
+    """(path, text) of PDF files by extract(bytes) -> list of page texts; unreadable files give null, files of no bytes no row."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.pdf").load(path).select("path", "content")
 
     def run(batches):

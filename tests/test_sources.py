@@ -128,3 +128,21 @@ def test_added_folders_stay_few(spark, tmp_path):
     assert content(store, "log") == [(k, "x") for k in range(2 * FAN + 3)]
     store.prune()
     assert content(store, "log") == [(k, "x") for k in range(2 * FAN + 3)]
+
+
+def test_pdf_texts_by_an_extractor(spark, tmp_path):
+    """Pages are joined by line breaks; a broken file gives null, one without pages an empty text; a file of no bytes has no row; other files are left alone."""
+    from corvane.sources import seed
+
+    (tmp_path / "deep").mkdir()
+    files = {"a.pdf": b"one\ftwo\fthr\xc3\xa9e", "deep/b.pdf": b"pageless", "e.pdf": b"", "c.pdf": b"broken", "d.txt": b"no"}
+    for name, content in files.items():
+        (tmp_path / name).write_bytes(content)
+
+    def extract(content):
+        if content == b"broken":
+            raise ValueError("no PDF")
+        return content.decode().split("\f") if content != b"pageless" else []
+
+    got = {r.path.rsplit("/", 1)[1]: r.text for r in seed.pdf_texts(spark, str(tmp_path), extract).collect()}
+    assert got == {"a.pdf": "one\ntwo\nthrée", "b.pdf": "", "c.pdf": None}
