@@ -3,17 +3,23 @@
 A token's probability is that of its class after the class before it, times that of the word in
 its class. The HEAD most frequent words are put into CLASSES classes by exchange: a word
 moves to the class that raises the likelihood of the training bigrams most, word by word, until
-a sweep moves none. Every other word of the top tier then joins the class that gains most by it,
-from counts of the classes before and after it in all training texts, against the classes of the
-head and shapes as they stand. Words outside the top tier, and they alone, fall into classes by
-their shape (last character, length, letters beyond ASCII). Class transitions are smoothed with the classes' own frequencies, words
-of shape classes by absolute discounting, whose share goes to one unknown word per class.
+a sweep moves none. Then all words of the top tier are exchanged together, in rounds: every word
+is weighed against every class by its counts of neighbours' classes, from all training texts, and
+moves where the likelihood gains most; a word that isn't of the head starts from the class of its
+shape. Words that move at once may spoil each other's gains, so that after the first round half of
+the words move, in turn by number, if the likelihood of the whole table, counted anew, rises, else an
+eighth; rounds end when neither gains more than LEAST of what classes say about their followers. Words outside the top tier, and they
+alone, fall into classes by their shape (last character, length, letters beyond ASCII). Class
+transitions are smoothed with the classes' own frequencies, words of shape classes by absolute
+discounting, whose share goes to one unknown word per class.
 
 Counts cover all training documents (crc32(doc_id as text) mod 7 is not 2): words are counted in
-each task, then summed by word; bigrams of head words and shapes are dense tables of a fixed
-size in each task, summed likewise; neighbour counts of the other top words are sparse, summed by
-word and class, and each word is placed where its counts meet. What is broadcast has a fixed bound: TOP words of at most
-TOP_BYTES bytes with their counts, and class tables. The exact way for all other words is a join:
+each task, then summed by word. The texts are then read once more, for pairs of neighbouring words
+by number, which are counted in each task and written without a shuffle; every later table comes
+from those. Bigrams of classes are dense tables of a fixed size in each task, summed likewise;
+neighbour counts are one table of top words by classes in each task (at most 150 MB), summed by word
+and class, and each word is placed where its counts meet. What is broadcast has a fixed bound: TOP words of at most
+TOP_BYTES bytes with their counts, their classes, and class tables. The exact way for all other words is a join:
 each document lists its distinct rare words with multiplicity, they meet the counts by word, and
 sums return by document. A word outside the top has a bounded share of all tokens, or is very
 long; such a key is left to skew splitting.
@@ -44,8 +50,10 @@ CLUSTERED: int | None = None
 PRIOR, DISCOUNT = 20.0, 0.75
 #: Words that a task counts before it hands its counts on.
 _HELD_WORDS = 200_000
-#: Neighbour pairs that a task holds before it counts them and hands the counts on, and words placed at a time.
-_HELD_PAIRS, _PLACED = 4_000_000, 512
+#: Rounds end when the likelihood rises by less than this share of the information between neighbouring classes.
+LEAST = 0.005
+#: Neighbour pairs that a task holds before it counts them and hands the counts on, rows handed on at a time, and words placed at a time.
+_HELD_PAIRS, _ROWS, _PLACED = 4_000_000, 500_000, 512
 END = b""
 
 _ENDS = {ord(c): k for k, c in enumerate(".,!%*$&#")}
@@ -114,6 +122,11 @@ class Units:
         out._place(classes, k)
         return out
 
+    @property
+    def numbers_in_all(self) -> int:
+        """Numbers of top words, the end and shapes."""
+        return len(self.words) + 1 + SHAPES
+
     def __getstate__(self):
         return self.__dict__ | {"numbers": None}
 
@@ -122,7 +135,7 @@ class Units:
         if self.numbers is None:
             self.numbers = {w: k for k, w in enumerate(self.words)} | {END: len(self.words)}
             shapes = [self.end + 1 + shape(w) for w in self.words[len(self.placed) :]]
-            self.unit = np.array([*self.placed.tolist(), *shapes, self.end], np.int64)
+            self.unit = np.array([*self.placed.tolist(), *shapes, self.end, *range(self.end + 1, self.size)], np.int64)
         return self.numbers
 
     def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
@@ -137,86 +150,142 @@ class Units:
         return number, unit, rare
 
 
-def unit_bigrams(texts: DataFrame, units) -> DataFrame:
-    """(u, v, n): how often unit v follows unit u; a text follows an end."""
+def word_pairs(texts: DataFrame, units) -> DataFrame:
+    """(u, v, n): how often word v follows word u, by number, as often as tasks have counted them; a
+    text follows an end. Numbers are those of the top words, then the end, then the shapes of rare words."""
 
     def run(batches):
         known = units.value
-        size = known.size
-        total = np.zeros(size * size, np.int64)
-        for batch in common.slices(batches):
-            keys = []
-            for text in common.text_bytes(batch.column(0)):
-                unit = known.of(words_of(text))[1]
-                keys.append(np.r_[known.end, unit[:-1]] * size + unit)
-            total += np.bincount(np.concatenate(keys), minlength=size * size)
-        at = np.flatnonzero(total)
-        if len(at):
-            yield pa.RecordBatch.from_arrays([pa.array((at // size).astype(np.int32)), pa.array((at % size).astype(np.int32)), pa.array(total[at])], names=["u", "v", "n"])
-
-    return texts.select("text").mapInArrow(run, "u int, v int, n long").groupBy("u", "v").agg(F.sum("n").alias("n"))
-
-
-def neighbours(texts: DataFrame, units, of: np.ndarray) -> DataFrame:
-    """(word, key, n): how often a clustered word beyond the head, by number, follows a class (key:
-    the class) or stands before it (key: the number of classes and the class); of: class by unit."""
-
-    def run(batches):
-        known = units.value
-        k = int(of.max()) + 1
         keys, held = [], 0
 
         def out():
             at, n = np.unique(np.concatenate(keys), return_counts=True)
             keys.clear()
-            return pa.RecordBatch.from_arrays([pa.array((at // (2 * k)).astype(np.int32)), pa.array((at % (2 * k)).astype(np.int32)), pa.array(n.astype(np.int64))], names=["word", "key", "n"])
+            for a in range(0, len(at), _ROWS):
+                u, v = np.divmod(at[a : a + _ROWS], known.numbers_in_all)
+                yield pa.RecordBatch.from_arrays([pa.array(u.astype(np.int32)), pa.array(v.astype(np.int32)), pa.array(n[a : a + _ROWS].astype(np.int32))], names=["u", "v", "n"])
 
         for batch in common.slices(batches):
             for text in common.text_bytes(batch.column(0)):
                 number, unit, _ = known.of(words_of(text))
-                at = np.flatnonzero((number >= known.head) & (number < known.clustered))  # never the end, which is last
-                if len(at):
-                    c, first = of[unit], number[at] * (2 * k)
-                    keys += [first + np.r_[of[known.end], c[:-1]][at], first + k + c[at + 1]]
-                    held += 2 * len(at)
-                if held > _HELD_PAIRS:
-                    yield out()
-                    held = 0
+                number = np.where(number < 0, unit - known.end + len(known.words), number)
+                keys.append(np.r_[len(known.words), number[:-1]] * known.numbers_in_all + number)
+                held += len(number)
+            if held > _HELD_PAIRS:
+                yield from out()
+                held = 0
         if keys:
-            yield out()
+            yield from out()
+
+    return texts.select("text").mapInArrow(run, "u int, v int, n int")
+
 
-    return texts.select("text").mapInArrow(run, "word int, key int, n long").groupBy("word", "key").agg(F.sum("n").alias("n"))
+def bigram_table(pairs: DataFrame, of: np.ndarray) -> np.ndarray:
+    """How often class v follows class u; of: class by number."""
+    k = int(of.max()) + 1
 
+    def run(batches):
+        total = np.zeros(k * k, np.int64)
+        for batch in batches:
+            u, v, n = (c.to_numpy() for c in batch.columns)
+            total += np.bincount(of[u] * k + of[v], n, k * k).astype(np.int64)  # exact below 2^53
+        at = np.flatnonzero(total)
+        if len(at):
+            yield pa.RecordBatch.from_arrays([pa.array((at // k).astype(np.int32)), pa.array((at % k).astype(np.int32)), pa.array(total[at])], names=["u", "v", "n"])
 
-def best_classes(starts: np.ndarray, keys: np.ndarray, counts: np.ndarray, table: np.ndarray, classes: int) -> np.ndarray:
+    return _dense(pairs.mapInArrow(run, "u int, v int, n long").groupBy("u", "v").agg(F.sum("n").alias("n")), k)
+
+
+def neighbours(pairs: DataFrame, of: np.ndarray, clustered: int) -> DataFrame:
+    """(word, key, n): how often a clustered word, by number, follows a class (key: the class), stands
+    before it (key: the number of classes and the class) or follows itself (key: twice the number)."""
+
+    def run(batches):
+        k = int(of.max()) + 1
+        width = 2 * k + 1
+        total = np.zeros(clustered * width, np.int32)  # a task's pairs are fewer than 2^31
+        for batch in batches:
+            u, v, n = (c.to_numpy().astype(np.int64) for c in batch.columns)
+            n = n.astype(np.int32)
+            for word, key in ((v, of[u]), (u, k + of[v]), (np.where(u == v, u, clustered), 2 * k)):
+                inside = word < clustered
+                np.add.at(total, (word * width + key)[inside], n[inside])
+        found = np.flatnonzero(total)
+        for a in range(0, len(found), _ROWS):
+            at = found[a : a + _ROWS]
+            yield pa.RecordBatch.from_arrays([pa.array((at // width).astype(np.int32)), pa.array((at % width).astype(np.int32)), pa.array(total[at].astype(np.int64))], names=["word", "key", "n"])
+
+    return pairs.mapInArrow(run, "word int, key int, n long").groupBy("word", "key").agg(F.sum("n").alias("n"))
+
+
+def best_classes(starts: np.ndarray, keys: np.ndarray, counts: np.ndarray, table: np.ndarray, classes: int, own: np.ndarray | None = None) -> np.ndarray:
     """For each word, the class of the first `classes` whose bigram likelihood gains most if the
-    word joins it. Neighbour counts of a word begin at starts; keys are as of neighbours()."""
-    k, n = len(table), counts.astype(np.float64)
-    at = np.concatenate([table[:, :classes], table[:classes].T])[keys]  # what a class has with each neighbour's class
-    gain = np.add.reduceat(_f(at + n[:, None]) - _f(at), starts)
-    own, inside = np.zeros((2, len(starts), k)), np.searchsorted(starts, np.arange(len(keys)), "right") - 1
-    own[keys // k, inside, keys % k] = n
-    before, after, diag = own[0, :, :classes], own[1, :, :classes], table[range(classes), range(classes)]
-    gain += _f(diag + before + after) + _f(diag) - _f(diag + before) - _f(diag + after)
-    times = np.add.reduceat(np.where(keys < k, n, 0), starts)[:, None]  # followers are as many as predecessors
-    for totals in (table.sum(axis=1)[:classes], table.sum(axis=0)[:classes]):
-        gain -= _f(totals + times) - _f(totals)
-    return gain.argmax(axis=1)
-
-
-def place(near: DataFrame, table: np.ndarray, classes: int) -> DataFrame:
-    """(word, class) of each word in near (word, key, n)."""
+    word joins it. Neighbour counts of a word begin at starts; keys are as of neighbours(). own: the
+    class that each word leaves, in which the table counts it; a word stays if no class is better."""
+    k, words = len(table), len(starts)
+    inside = np.searchsorted(starts, np.arange(len(keys)), "right") - 1
+    n, itself = counts.astype(np.float64), np.zeros(words)
+    if own is not None:
+        at = keys == 2 * k
+        itself[inside[at]] = n[at]
+    near = np.zeros((words, 2 * k + 1))
+    near[inside, keys] = n
+    before, after = near[:, :k], near[:, k : 2 * k]
+    if own is not None:  # the word's own pairs are with no class, wherever it goes
+        before[np.arange(words), own] -= itself
+        after[np.arange(words), own] -= itself
+    word, key = np.nonzero(near[:, : 2 * k])
+    n, late, side = near[word, key], key >= k, key % k
+    at = np.concatenate([table[:, :classes], table[:classes].T])[key]  # what a class has with each neighbour's class
+    diag = np.tile(table[range(classes), range(classes)], (words, 1))
+    rows, columns = (np.tile(t[:classes], (words, 1)) for t in (table.sum(axis=1), table.sum(axis=0)))
+    times = before.sum(axis=1) + itself  # followers are as many as predecessors
+    if own is not None:  # the table without the word
+        leaves = own[word]
+        mine = np.flatnonzero(leaves == side)
+        other = np.where(late[mine, None], before[word[mine], :classes], after[word[mine], :classes])
+        at[mine] -= other
+        low = np.flatnonzero(leaves < classes)
+        at[low, leaves[low]] -= n[low]
+        low = np.flatnonzero(own < classes)
+        a = own[low]
+        diag[low, a] -= before[low, a] + after[low, a] + itself[low]
+        rows[low, a] -= times[low]
+        columns[low, a] -= times[low]
+        np.maximum(at, 0, out=at)  # entries of a word's class with itself, which diag holds
+    gains = _f(at + n[:, None]) - _f(at)
+    low = np.flatnonzero(side < classes)
+    gains[low, side[low]] = 0
+    gain = np.zeros((words, classes))
+    first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]]) if len(word) else np.zeros(0, np.int64)
+    if len(first):
+        gain[word[first]] = np.add.reduceat(gains, first)
+    gain += _f(diag + before[:, :classes] + after[:, :classes] + itself[:, None]) - _f(diag)
+    for totals in (rows, columns):
+        gain -= _f(totals + times[:, None]) - _f(totals)
+    best = gain.argmax(axis=1)
+    if own is None:
+        return best
+    stays = np.flatnonzero(own < classes)
+    least = 1e-9 + 1e-12 * table.sum()  # what rounding may feign is no gain
+    stays = stays[gain[stays, own[stays]] + least >= gain[stays, best[stays]]]
+    best[stays] = own[stays]
+    return best
+
+
+def place(near: DataFrame, table: np.ndarray, classes: int, of: np.ndarray) -> DataFrame:
+    """(word, class) of each word in near (word, key, n); of: the class in which it is, by number."""
 
     def run(batches):
         for batch in batches:
-            lists = batch.column(1)
+            words, lists = batch.column(0).to_numpy(), batch.column(1)
             ends = np.r_[0, np.cumsum(lists.value_lengths().to_numpy())]
             keys, n = (lists.flatten().field(i).to_numpy() for i in range(2))
             got = []
             for a in range(0, batch.num_rows, _PLACED):
                 b = min(a + _PLACED, batch.num_rows)
                 part = slice(ends[a], ends[b])
-                got.append(best_classes(ends[a:b] - ends[a], keys[part], n[part], table, classes).astype(np.int32))
+                got.append(best_classes(ends[a:b] - ends[a], keys[part], n[part], table, classes, of[words[a:b]]).astype(np.int32))
             if got:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(got))], names=["word", "class"])
 
@@ -224,6 +293,33 @@ def place(near: DataFrame, table: np.ndarray, classes: int) -> DataFrame:
     return near.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("key", "n"))).alias("near")).mapInArrow(run, "word int, class int")
 
 
+def information(table: np.ndarray) -> float:
+    """What the likelihood of the bigrams gains by the classes before, in nats; it rises as they do better."""
+    total = table.sum()
+    return _f(table).sum() - _f(table.sum(axis=0)).sum() - _f(table.sum(axis=1)).sum() + float(_f(total))
+
+
+def exchange_rounds(pairs: DataFrame, of: np.ndarray, clustered: int, classes: int) -> tuple[np.ndarray, np.ndarray, list[float]]:
+    """Classes by number with all words below `clustered` exchanged, their bigrams, and the information
+    at the start and after each round."""
+    table = bigram_table(pairs, of)
+    known, moved = [information(table)], True
+    while moved:
+        found = place(neighbours(pairs, of, clustered), table, classes, of).toArrow()  # one row for each clustered word
+        word, to = found.column("word").to_numpy(), found.column("class").to_numpy()
+        moved = False
+        for parts in (2, 8) if len(known) > 1 else (1,):
+            new, now = of.copy(), word % parts == len(known) % parts
+            new[word[now]] = to[now]
+            counted = bigram_table(pairs, new)
+            # the first round gives every word a class; later ones must gain
+            if len(known) == 1 or information(counted) - known[-1] > LEAST * abs(known[-1]):
+                of, table, moved = new, counted, True
+                known.append(information(table))
+                break
+    return of, table, known
+
+
 def _f(x):
     return x * np.log(np.maximum(x, 1e-300))
 
@@ -320,18 +416,18 @@ def fit(docs: DataFrame):
     sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.col("shape") < 0, F.col("n"))), F.lit(0))).first()
     units = Units(*_top(counts))
     shared = spark.sparkContext.broadcast(units)
-    bigrams = _dense(unit_bigrams(texts, shared), units.size)
+    pairs = common.written(word_pairs(texts, shared), "pairs")
+    units.ready()
+    bigrams = bigram_table(pairs, units.unit)
     of = exchange(bigrams, units.head, CLASSES)
     if units.head < units.clustered:
-        classes, member = min(CLASSES, units.head), np.eye(int(of.max()) + 1)[of]
-        found = place(neighbours(texts, shared, of), member.T @ bigrams @ member, classes).toArrow()  # one row for each clustered word
-        joined = np.r_[of[: units.head], np.zeros(units.clustered - units.head, np.int64)]
-        joined[found.column("word").to_numpy()] = found.column("class").to_numpy()
-        units = units.learnt(joined, classes)
+        classes = min(CLASSES, units.head)
+        joined, bigrams, _ = exchange_rounds(pairs, of[units.unit], units.clustered, classes)
+        units = units.learnt(joined[: units.clustered], classes)
         shared.unpersist()
         shared = spark.sparkContext.broadcast(units)
-        bigrams = _dense(unit_bigrams(texts, shared), units.size)
         of = np.arange(units.size)
+    common.drop(pairs)
     by_shape = counts.where("shape >= 0").groupBy("shape").agg(F.sum("n").alias("n"), F.count("*").alias("types")).collect()  # SHAPES rows at most
     tokens, types = np.zeros(SHAPES), np.zeros(SHAPES)
     for r in by_shape:

@@ -324,6 +324,79 @@ def test_best_classes_match_the_likelihood():
         assert all(math.isclose(values[c], max(values)) for c in got)
 
 
+def plain_information(n, of):
+    """What neighbouring classes say about each other, from bigrams of words."""
+    member = np.eye(max(of) + 1)[list(of)]
+    t = member.T @ n @ member
+    f = lambda x: (x * np.log(np.maximum(x, 1e-300))).sum()
+    return f(t) - f(t.sum(axis=0)) - f(t.sum(axis=1)) + f(t.sum())
+
+
+def neighbour_counts(n, of, w):
+    """Keys and counts of a word as lm.neighbours() gives them."""
+    k = max(of) + 1
+    full = np.zeros(2 * k + 1)
+    np.add.at(full, of, n[:, w])
+    np.add.at(full, k + of, n[w])
+    full[2 * k] = n[w, w]
+    keys = np.flatnonzero(full)
+    return keys, full[keys]
+
+
+def test_best_classes_of_words_that_leave_a_class():
+    """Each word's best class is that of the best information, found by moving it and counting anew."""
+    rng = np.random.default_rng(16)
+    for trial in range(30):
+        of = np.r_[rng.integers(0, 4, 9), rng.integers(5, 7, 3), 4]  # words of classes, of two shapes, the end
+        of[:4], of[9:11] = range(4), (5, 6)
+        n = rng.integers(0, 30, (13, 13)) * (rng.random((13, 13)) < 0.5)
+        for w in range(12):  # followers are as many as predecessors
+            n[w, 12] += max(0, n[:, w].sum() - n[w].sum())
+            n[12, w] += max(0, n[w].sum() - n[:, w].sum())
+        member = np.eye(7)[of]
+        table = member.T @ n @ member
+        parts = [neighbour_counts(n, of, w) for w in range(12)]
+        starts = np.cumsum([0, *(len(k) for k, _ in parts)])[:-1]
+        got = lm.best_classes(starts, np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts]), table.astype(float), 4, of[:12])
+        for w in range(12):
+            values = [plain_information(n, np.r_[of[:w], c, of[w + 1 :]]) for c in range(4)]
+            assert math.isclose(values[got[w]], max(values), rel_tol=1e-9, abs_tol=1e-6), (trial, w)
+            if of[w] < 4 and math.isclose(values[of[w]], max(values), rel_tol=1e-12):
+                assert got[w] == of[w]
+
+
+def test_exchange_in_rounds_against_counts_of_all_texts(spark, monkeypatch):
+    """The table and information of every round are those of the texts; words end in classes, and information rises."""
+    monkeypatch.setattr(lm, "HEAD", 12)
+    monkeypatch.setattr(lm, "CLASSES", 5)
+    monkeypatch.setattr(lm, "TOP", 150)
+    monkeypatch.setattr(lm, "_HELD_PAIRS", 500)
+    rows = corpus()
+    texts = docs(spark, rows).select("text")
+    count = Counter(w.encode() for _, t in rows for w in words(t))
+    units = lm.Units(*lm._top(lm.word_counts(texts)))
+    number = units.ready()
+    pairs = lm.word_pairs(texts, spark.sparkContext.broadcast(units)).cache()
+    size = units.numbers_in_all
+    n = np.zeros((size, size))
+    for _, t in rows:
+        ids = [number.get(w, len(units.words) + 1 + lm.shape(w)) for w in (x.encode() for x in words(t))]
+        for a, b in zip([len(units.words), *ids], [*ids, len(units.words)], strict=True):
+            n[a, b] += 1
+    got = np.zeros_like(n)
+    for r in pairs.collect():
+        got[r.u, r.v] += r.n
+    assert (got == n).all() and n.sum() == sum(count.values()) + len(rows)
+    start = lm.exchange(lm.bigram_table(pairs, units.unit), units.head, 5)[units.unit]
+    of, table, known = lm.exchange_rounds(pairs, start, units.clustered, 5)
+    member = np.eye(int(of.max()) + 1)[of]
+    assert (table == member.T @ n @ member).all()
+    assert (of[: units.clustered] < 5).all() and (of[units.clustered :] == start[units.clustered :]).all()
+    assert math.isclose(known[0], plain_information(n, start)) and math.isclose(known[-1], plain_information(n, of))
+    assert all(b > a for a, b in zip(known[1:], known[2:], strict=False))
+    assert lm.exchange_rounds(pairs, start, units.clustered, 5)[0].tolist() == of.tolist()
+
+
 def test_model_is_a_distribution():
     """Transitions from each class, and words of each class with its unknown one, sum to one."""
     words_ = [f"w{k}".encode() for k in range(6)]
