@@ -15,9 +15,23 @@ RECORD = T.StructType([T.StructField("text", T.StringType()), T.StructField("met
 KINDS = {"pdf_to_txt": "pdf_text", "wiki": "wikipedia"}
 
 
-def texts(spark: SparkSession, path: str, root: str = "data/raw/") -> DataFrame:
-    """One row per text file: path from root on, folder's kind, name (file name with blanks), text."""
-    rows = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.txt").select(F.col("_metadata.file_path").alias("p"), F.col("value").alias("text"))
+def write_texts(rows: DataFrame, path: str) -> None:
+    """Texts (path, text) as a bundle: JSON lines of a text's path and what its file would hold, in files as large as tasks make them.
+
+    A file for each text costs its making, naming and listing, whatever it holds. A null text is an empty file.
+    """
+    rows.select("path", F.coalesce("text", F.lit("")).alias("text")).write.json(path)
+
+
+def bundle(spark: SparkSession, path: str) -> DataFrame:
+    """(path, text) of the texts written by write_texts, of any length; a broken line is an error."""
+    return spark.read.schema("path string, text string").options(mode="FAILFAST", pathGlobFilter="*.json", recursiveFileLookup=True, maxStringLen=2**31 - 1).json(path)
+
+
+def texts(spark: SparkSession, path: str, root: str = "data/raw/", bundled: bool = False) -> DataFrame:
+    """One row per text file, or per text of a bundle: path from root on, folder's kind, name (file name with blanks), text."""
+    rows = bundle(spark, path) if bundled else spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.txt").select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    rows = rows.select(F.col("path").alias("p"), "text")
     inside = F.when(F.contains("p", F.lit(root)), F.concat(F.lit(root), F.substring_index("p", root, -1))).otherwise(F.substring_index("p", "/", -1))
     folder = F.element_at(F.split("p", "/"), -2)
     name = F.replace(F.regexp_replace(F.substring_index("p", "/", -1), r"\.txt$", ""), F.lit("_"), F.lit(" "))
@@ -47,10 +61,15 @@ def empty_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(found, "path string, length long, content binary")
 
 
-def manifest(spark: SparkSession, path: str, root: str = "data/raw/") -> DataFrame:
-    """One row per text file: document_id, path, source_type, name, sha256, size_bytes, line_count, is_empty."""
+def manifest(spark: SparkSession, path: str, root: str = "data/raw/", bundled: bool = False) -> DataFrame:
+    """One row per text file, or per text of a bundle: document_id, path, source_type, name, sha256, size_bytes, line_count, is_empty."""
+    if bundled:
+        return _listed(bundle(spark, path).select("path", F.octet_length("text").cast("long").alias("length"), F.encode("text", "UTF-8").alias("content")), root)
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").load(path).select("path", "length", "content").where("length > 0")
-    rows = rows.unionByName(empty_files(spark, path))
+    return _listed(rows.unionByName(empty_files(spark, path)), root)
+
+
+def _listed(rows: DataFrame, root: str) -> DataFrame:
     text = F.decode("content", "UTF-8")
     relative = F.when(F.contains("path", F.lit(root)), F.substring_index("path", root, -1)).otherwise(F.substring_index("path", "/", -1))
     breaks = F.regexp_count(text, F.lit(r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\u0085\u2028\u2029]"))

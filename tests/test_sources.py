@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corvane.operators import merging
-from corvane.sources import pages
+from corvane.sources import files, pages
 from corvane.sources.store import FAN, Added, Merged, Store
 
 
@@ -146,3 +146,12 @@ def test_pdf_texts_by_an_extractor(spark, tmp_path):
 
     got = {r.path.rsplit("/", 1)[1]: r.text for r in seed.pdf_texts(spark, str(tmp_path), extract).collect()}
     assert got == {"a.pdf": "one\ntwo\nthrée", "b.pdf": "", "c.pdf": None}
+
+
+def test_text_bundle(spark, tmp_path):
+    rows = [("data/raw/wiki/A_B.txt", "a\r\nb  \x00\x1e\"\\"), ("data/raw/pdf_to_txt/é %.txt", None), ("elsewhere/C.txt", "\n"), ("data/raw/wiki/L.txt", "x" * 21_000_000)]
+    files.write_texts(spark.createDataFrame(rows[:3] * 20 + rows[3:], "path string, text string").coalesce(2), str(tmp_path / "b"))
+    assert len(list((tmp_path / "b").glob("part-*"))) <= 2  # not a file a text
+    got = {r.path: (r.source, r.name, r.text) for r in files.texts(spark, str(tmp_path / "b"), bundled=True).collect()}
+    assert got == {"data/raw/wiki/A_B.txt": ("wiki", "A B", rows[0][1]), "data/raw/pdf_to_txt/é %.txt": ("pdf", "é %", ""), "C.txt": ("wiki", "C", "\n"), "data/raw/wiki/L.txt": ("wiki", "L", rows[3][1])}
+    assert files.texts(spark, str(tmp_path / "b"), bundled=True).count() == 61
