@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,7 +14,8 @@ _META = T.StructType([
     T.StructField("document_id", T.StringType()), T.StructField("source_file", T.StringType()), T.StructField("token_count", T.IntegerType()),
 ])
 RECORD = T.StructType([T.StructField("text", T.StringType()), T.StructField("metadata", _META)])
-#: Source folders and what they hold.
+#: Characters that end a line; source folders and what they hold.
+BREAKS = "\n\r\x0b\x0c\x1c\x1d\x1e\u0085\u2028\u2029"
 KINDS = {"pdf_to_txt": "pdf_text", "wiki": "wikipedia"}
 
 
@@ -51,14 +55,15 @@ def write_records(rows: DataFrame, path: str) -> None:
 
 
 def empty_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, length, content) of text files without a byte, which file scans leave out; from a listing."""
-    top = spark._jvm.org.apache.hadoop.fs.Path(path)
-    found, entries = [], top.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(top, True)
-    while entries.hasNext():
-        entry = entries.next()
-        if entry.getLen() == 0 and entry.getPath().getName().endswith(".txt"):
-            found.append((entry.getPath().toString(), 0, bytearray()))
-    return spark.createDataFrame(found, "path string, length long, content binary")
+    """(path, length, content) of text files without a byte, which file scans leave out: what Spark lists but doesn't scan.
+
+    The listing is Spark's own and runs as a job where there are many folders; it asks no file for its owner or rights.
+    """
+    found = spark.read.format("binaryFile").options(recursiveFileLookup=True, pathGlobFilter="*.txt").load(path)
+    plain = lambda p: re.sub(r"^file:/+", "file:/", p)
+    listed = spark.createDataFrame([(plain(unquote(p)),) for p in found.inputFiles()], "path string")
+    scanned = found.select(F.regexp_replace("path", "^file:/+", "file:/").alias("path"))
+    return listed.join(scanned, "path", "left_anti").select("path", F.lit(0).cast("long").alias("length"), F.lit(b"").alias("content"))
 
 
 def manifest(spark: SparkSession, path: str, root: str = "data/raw/", bundled: bool = False) -> DataFrame:
@@ -72,14 +77,14 @@ def manifest(spark: SparkSession, path: str, root: str = "data/raw/", bundled: b
 def _listed(rows: DataFrame, root: str) -> DataFrame:
     text = F.decode("content", "UTF-8")
     relative = F.when(F.contains("path", F.lit(root)), F.substring_index("path", root, -1)).otherwise(F.substring_index("path", "/", -1))
-    breaks = F.regexp_count(text, F.lit(r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\u0085\u2028\u2029]"))
-    lines = breaks + F.when(F.rlike(text, F.lit(r"[^\n\r\x0B\x0C\x1C-\x1E\u0085\u2028\u2029]\z")), 1).otherwise(0)
+    # breaks are single characters, of which \r\n are one together
+    lines = F.length(F.replace(text, F.lit("\r\n"), F.lit("\n"))) - F.length(F.translate(text, BREAKS, "")) + F.when(F.length(F.translate(F.substring(text, -1, 1), BREAKS, "")) > 0, 1).otherwise(0)
     folder = F.element_at(F.split("path", "/"), -2)
     return rows.select(
         F.substring(F.sha2(relative, 256), 1, 16).alias("document_id"), F.concat(F.lit(root), relative).alias("path"),
         F.when(folder == "pdf_to_txt", "pdf_text").otherwise("wikipedia").alias("source_type"),
         F.replace(F.regexp_replace(F.substring_index("path", "/", -1), r"\.txt$", ""), F.lit("_"), F.lit(" ")).alias("name"),
-        F.sha2("content", 256).alias("sha256"), F.col("length").alias("size_bytes"), lines.cast("long").alias("line_count"), (F.trim(F.regexp_replace(text, r"\s+", " ")) == "").alias("is_empty"),
+        F.sha2("content", 256).alias("sha256"), F.col("length").alias("size_bytes"), lines.cast("long").alias("line_count"), (~F.rlike(text, F.lit(r"\S"))).alias("is_empty"),
     )
 
 

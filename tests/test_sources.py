@@ -155,3 +155,14 @@ def test_text_bundle(spark, tmp_path):
     got = {r.path: (r.source, r.name, r.text) for r in files.texts(spark, str(tmp_path / "b"), bundled=True).collect()}
     assert got == {"data/raw/wiki/A_B.txt": ("wiki", "A B", rows[0][1]), "data/raw/pdf_to_txt/é %.txt": ("pdf", "é %", ""), "C.txt": ("wiki", "C", "\n"), "data/raw/wiki/L.txt": ("wiki", "L", rows[3][1])}
     assert files.texts(spark, str(tmp_path / "b"), bundled=True).count() == 61
+
+
+def test_manifest_of_bundle_and_files(spark, tmp_path):
+    texts = {"A_B.txt": "a b\r\n", "E %41+é.txt": "", "W.txt": " \t\n"}
+    (tmp_path / "data" / "raw" / "wiki").mkdir(parents=True)
+    for name, text in texts.items():
+        (tmp_path / "data" / "raw" / "wiki" / name).write_bytes(text.encode())
+    files.write_texts(spark.createDataFrame([(f"data/raw/wiki/{n}", t) for n, t in texts.items()], "path string, text string"), str(tmp_path / "b"))
+    loose, bundled = (sorted(map(tuple, m.collect())) for m in (files.manifest(spark, str(tmp_path / "data")), files.manifest(spark, str(tmp_path / "b"), bundled=True)))
+    assert loose == bundled and len(loose) == 3
+    assert [r.path.rsplit("/", 1)[1] for r in files.empty_files(spark, str(tmp_path / "data")).collect()] == ["E %41+é.txt"]
