@@ -12,16 +12,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.window import Window as W
 
-from corvane.functions import lexical, vector
+from corvane.functions import lexical
 from corvane.operators import retrieval
 
 BUCKETS = 64
 #: Rows that cells are learnt from, and of them those that decide how many cells are looked at.
 SAMPLE, TRIED, CELLS, TARGET = 20_000, 200, 1024, 0.95
+#: Rows of a block, queries that meet a block, and of them those that do at once.
+BLOCK, SHARE, TILE = 8192, 4096, 256
 
 
 def bucket_of(term: Column, buckets: int = BUCKETS) -> Column:
@@ -125,21 +130,61 @@ def nearest(index: DataFrame, cells: Cells, query: Sequence[float], k: int = ret
     return retrieval.nearest(index.where(F.col("cell").isin(cells.nearest(query))).drop("cell"), query, k, where)
 
 
+def dealt(queries: DataFrame, rows: DataFrame, parts: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides by (cell, block, share), each pair of a query and a row of one cell in one group: parts (cell, parts), one row a
+    cell, says in how many blocks a cell's rows are, n how many queries there are. The sides name what they are dealt by `deal`."""
+    shares = max(1, -(-n // SHARE))
+    rows = rows.join(F.broadcast(parts), "cell").withColumn("block", F.pmod(F.xxhash64("deal"), "parts")).withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))  # a row a cell
+    asked = queries.join(F.broadcast(parts), "cell").withColumn("share", F.pmod(F.xxhash64("deal"), F.lit(shares)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    return tuple(side.drop("parts", "deal").groupBy("cell", "block", "share") for side in (asked, rows))
+
+
+def _matrices(names: pa.Array, vectors: pa.Array) -> dict[int, tuple[pa.Array, np.ndarray]]:
+    """By width, names and vectors of lists without a null in them."""
+    widths, whole = pc.list_value_length(vectors).to_numpy(zero_copy_only=False), np.ones(len(vectors), bool)
+    if vectors.flatten().null_count:
+        whole = np.array([None not in v for v in vectors.to_pylist()])
+    told = {int(w): pa.array(np.flatnonzero((widths == w) & whole)) for w in np.unique(widths)}
+    return {w: (names.take(i), vectors.take(i).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(i), w)) for w, i in told.items() if len(i)}
+
+
 def neighbours(rows: DataFrame, queries: DataFrame, k: int = 10, cells: Cells | None = None, key: str = "chunk_id") -> DataFrame:
     """(query, key, similarity): the k nearest rows of each query (query, v), a stated set; in its nearest cells only if cells are
-    given (rows then have cell), else among all rows."""
-    rows = rows.where("embedding is not null")
+    given (rows then have cell), else among all rows. A similarity that isn't known comes last.
+
+    Blocks of rows meet shares of queries as matrices, and only the k best of each query leave a block. Rows of another width
+    than a query's, or with a null in them, are no neighbours of it.
+    """
+    rows = rows.where("embedding is not null").select(F.col(key).alias("key"), "embedding", F.col(key).alias("deal"), "cell" if cells is not None else F.lit(0).alias("cell")).where("cell is not null")
+    queries = queries.where("v is not null").select("query", "v", F.col("query").alias("deal"))
+    schema = T.StructType().add("query", queries.schema["query"].dataType).add(key, rows.schema["key"].dataType).add("similarity", T.DoubleType())
     if cells is None:
-        met = rows.crossJoin(F.broadcast(queries))  # a stated set of queries against all rows
+        looked = queries.withColumn("cell", F.lit(0))
     else:
-        near = F.udf(lambda v: cells.nearest(v), "array<int>")  # once a query
-        met = rows.join(queries.withColumn("cell", F.explode(near("v"))), "cell")
-    scored = met.select("query", key, (1 - vector.cosine_distance(F.col("embedding"), F.col("v"))).alias("similarity"))
-    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("far"), key))), 1, k)
-    # each task keeps k of each query before rows move
-    local = scored.withColumn("task", F.spark_partition_id()).groupBy("query", "task").agg(best.alias("b")).select("query", F.explode("b").alias("b"))
-    local = local.select("query", F.col(f"b.{key}").alias(key), (-F.col("b.far")).alias("similarity"))
-    return local.groupBy("query").agg(best.alias("b")).select("query", F.explode("b").alias("b")).select("query", F.col(f"b.{key}").alias(key), (-F.col("b.far")).alias("similarity"))
+        near = F.udf(lambda v: cells.nearest(v) if len(v) == cells.centres.shape[1] and None not in v else [], "array<int>")  # once a query
+        looked = queries.withColumn("cell", F.explode(near("v")))
+    parts = rows.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    asked, held = dealt(looked, rows, parts, queries.count())
+    out = to_arrow_schema(schema)
+
+    def run(asked: pa.Table, held: pa.Table) -> pa.Table:
+        found = [out.empty_table()]
+        sides = [_matrices(t.column(n).combine_chunks(), t.column(v).combine_chunks()) for t, n, v in ((asked, "query", "v"), (held, "key", "embedding"))]
+        for width in sides[0].keys() & sides[1].keys():
+            (query, a), (names, m) = (s[width] for s in sides)
+            length, take = np.linalg.norm(m, axis=1), min(k, len(names))
+            for i in range(0, len(a), TILE):
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    near = a[i : i + TILE] @ m.T / (np.linalg.norm(a[i : i + TILE], axis=1)[:, None] * length)
+                rank = np.where(np.isnan(near), -np.inf, near)
+                # all that tie with the last stay, up to rounding, so that the cut between them is made once, by key
+                q, r = np.nonzero(rank >= np.partition(rank, len(names) - take, axis=1)[:, [len(names) - take]] - 1e-12)
+                best = near[q, r]
+                found.append(pa.Table.from_arrays([query.take(pa.array(q + i)), names.take(pa.array(r)), pa.array(best, mask=np.isnan(best))], schema=out))
+        return pa.concat_tables(found)
+
+    place = F.row_number().over(W.partitionBy("query").orderBy(F.desc_nulls_last("similarity"), key))
+    return asked.cogroup(held).applyInArrow(run, schema).withColumn("place", place).where(F.col("place") <= k).drop("place")
 
 
 def recall(exact: DataFrame, found: DataFrame, key: str = "chunk_id") -> DataFrame:

@@ -235,6 +235,12 @@ def postings_bm25(spark, d):
     return found.withColumn("score", F.round("score", 6))
 
 
+def _enough(queries, exact, found):
+    """One row: all queries, those without a neighbour too, and whether enough neighbours are found."""
+    told = indexing.recall(exact, found).select((F.coalesce("recall", F.lit(1.0)) >= 0.9).alias("enough"))
+    return queries.agg(F.count("*").alias("queries")).crossJoin(told)
+
+
 @query("SELECT count(*) AS queries, true AS enough FROM embeddings WHERE vec_id % 20 = 0")
 def vector_index_recall(spark, d):
     """Recall of cells against all rows, for every row whose id is divisible by 20; the target is 0.9."""
@@ -242,7 +248,7 @@ def vector_index_recall(spark, d):
     queries = rows.where("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query"), F.col("embedding").alias("v"))
     cells = indexing.learn_cells(rows)
     exact, found = indexing.neighbours(rows, queries), indexing.neighbours(indexing.with_cells(rows, cells), queries, cells=cells)
-    return indexing.recall(exact, found).select("queries", (F.col("recall") >= 0.9).alias("enough"))
+    return _enough(queries, exact, found)
 
 
 @query("SELECT count(*) AS queries, true AS enough FROM embeddings WHERE vec_id % 20 = 0")
@@ -253,7 +259,7 @@ def vector_codes_recall(spark, d):
     learnt = codes.learn_codes(rows, indexing.learn_cells(rows, target=0.99))
     blocks = written(codes.code_blocks(rows, learnt), "codes")
     found = codes.neighbours(queries, blocks, rows, learnt, codes.candidates_for(learnt, rows.count()))
-    return indexing.recall(indexing.neighbours(rows, queries), found).select("queries", (F.col("recall") >= 0.9).alias("enough"))
+    return _enough(queries, indexing.neighbours(rows, queries), found)
 
 
 _WEIGHED = _POSTED.replace("WITH ", f"WITH {X.QUESTIONS}, ", 1) + """, asked AS (SELECT query, unnest(terms) AS term FROM questions),

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -122,3 +123,23 @@ def test_cells(spark):
     mine = [x.chunk_id for x in exact.where("query = 40").orderBy(F.desc("similarity")).collect()]
     assert mine == plain
     assert indexing.learn_cells(df.limit(0)).probes == 1
+
+
+def test_neighbours_meet_as_matrices(spark, monkeypatch):
+    """Many blocks and shares give what a plain scan gives, with ties, odd vectors and unknown similarities; no pairs are made by a join."""
+    monkeypatch.setattr(indexing, "BLOCK", 16)
+    monkeypatch.setattr(indexing, "SHARE", 4)
+    rows = [(i, [float(i % 7), float(i % 5) - 2, 1.0]) for i in range(150)] + [(200, [0.0] * 3), (201, [1.0]), (202, [1.0, None, 2.0]), (203, None), (204, [float("nan"), 1.0, 1.0])]
+    df = spark.createDataFrame(rows, "chunk_id long, embedding array<float>")
+    asked = df.where("chunk_id % 20 = 0 or chunk_id > 200").selectExpr("chunk_id as query", "embedding as v")
+    got = {}
+    found = indexing.neighbours(df, asked, 5)
+    for r in found.collect():
+        got.setdefault(r.query, []).append((None if r.similarity is None else -round(r.similarity, 9), r.chunk_id))
+    unit = {i: np.array(v) / np.linalg.norm(v) for i, v in rows[:150]}
+    for i in range(0, 150, 20):
+        want = sorted((-round(float(unit[i] @ unit[j]), 9), j) for j in unit)[:5]
+        assert [s for s, _ in sorted(got[i])] == [s for s, _ in want]
+    assert got[200] == got[204] == [(None, i) for i in range(5)]
+    assert got[201] == [(-1.0, 201)] and 203 not in got and 202 not in got
+    assert "CoGroup" in found._jdf.queryExecution().toString()  # pairs are met by matrices, not by rows
