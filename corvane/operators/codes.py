@@ -24,13 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window as W
 
 from corvane.functions import vector
 from corvane.operators import indexing
 
-PARTS, VALUES, ROWS, TILE = 16, 256, 4096, 64
+PARTS, VALUES, ROWS, TILE, GROUP = 16, 256, 4096, 64, 1 << 15
 #: Share of the exact neighbours that the candidates of sampled questions hold.
 TARGET = 0.98
 
@@ -156,8 +156,10 @@ def code_blocks(rows: DataFrame, codes: Codes, key: str = "chunk_id", size: int
 
 
 def candidates(questions: DataFrame, blocks: DataFrame, codes: Codes, n: int, tile: int = TILE) -> DataFrame:
-    """(query, key): the n rows of each question (query, v) that are best by code, in the question's nearest cells."""
-    parts = max(1, -(-questions.count() // tile))
+    """(query, key): the n rows of each question (query, v) that are best by code, in the question's nearest cells.
+
+    Blocks of all cells are dealt in groups of about GROUP, so that n rows of a question leave a group, not each of its cells.
+    """
     kind, key = questions.schema["query"].dataType, blocks.schema["keys"].dataType.elementType
     looked = T.StructType().add("query", kind).add("v", T.ArrayType(T.DoubleType())).add("cells", T.ArrayType(T.IntegerType()))
 
@@ -168,28 +170,40 @@ def candidates(questions: DataFrame, blocks: DataFrame, codes: Codes, n: int, ti
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(told)), pa.array(list(x), pa.list_(pa.float64())), pa.array(near, pa.list_(pa.int32()))], names=looked.names)
 
     met = questions.where("v is not null").select("query", F.col("v").cast("array<double>").alias("v")).mapInArrow(probe, looked)
-    met = met.select(F.pmod(F.xxhash64("query"), F.lit(parts)).alias("tile"), "query", "v", F.explode("cells").alias("cell"))
-    tiles = met.groupBy("tile", "cell").agg(F.collect_list(F.struct("query", "v")).alias("asked"))  # about `tile` questions
+    met = met.select(F.lit(0).alias("cell"), "query", "v", "cells", F.col("query").alias("deal"))
+    held = blocks.select(F.lit(0).alias("cell"), F.col("cell").alias("of"), "keys", "codes", F.struct("cell", F.element_at("keys", 1)).alias("deal"))
+    parts = blocks.agg(F.greatest(F.ceil(F.sum(F.size("keys")) / GROUP), F.lit(1)).alias("parts")).select(F.lit(0).alias("cell"), F.coalesce("parts", F.lit(1)).cast("long").alias("parts"))
+    sides = indexing.dealt(met, held, parts, questions.count())
     schema = T.StructType().add("query", kind).add("key", key).add("score", T.DoubleType())
-    out_query = to_arrow_type(kind)
+    out = to_arrow_schema(schema)
+
+    def run(asked: pa.Table, held: pa.Table) -> pa.Table:
+        found = [out.empty_table()]
+        if not held.num_rows or not asked.num_rows:
+            return found[0]
+        keys, of = held.column("keys").combine_chunks().flatten(), held.column("of").to_pylist()
+        code = [np.frombuffer(c, np.uint8).reshape(-1, codes.centres.shape[0]) for c in held.column("codes").to_pylist()]
+        query, cells = asked.column("query").combine_chunks(), [set(c) for c in asked.column("cells").to_pylist()]
+        v = asked.column("v").combine_chunks().flatten().to_numpy().reshape(asked.num_rows, -1)
+        for i in range(0, len(v), tile):
+            q, some = v[i : i + tile], cells[i : i + tile]
+            tables = codes.tables(q)
+            near = np.full((len(q), len(keys)), -np.inf)
+            at = 0
+            for cell, c in zip(of, code, strict=True):
+                rows = np.flatnonzero([cell in s for s in some])
+                if len(rows):
+                    near[rows, at : at + len(c)] = codes.scores(q[rows], tables[rows], cell, c)
+                at += len(c)
+            take = min(n, len(keys))
+            # all that tie with the last stay, so that the cut between them is made once, by key
+            q, r = np.nonzero((near >= np.partition(near, len(keys) - take, axis=1)[:, [len(keys) - take]]) & (near > -np.inf))
+            found.append(pa.Table.from_arrays([query.take(pa.array(q + i)), keys.take(pa.array(r)), pa.array(near[q, r])], schema=out))
+        return pa.concat_tables(found)
 
-    def run(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                asked = batch.column(1)[i].as_py()
-                keys = batch.column(2)[i].values
-                code = np.frombuffer(batch.column(3)[i].as_py(), np.uint8).reshape(len(keys), -1)
-                q = np.array([a["v"] for a in asked])
-                near = codes.scores(q, codes.tables(q), batch.column(0)[i].as_py(), code)
-                take = min(n, len(keys))
-                for a, row in zip(asked, near, strict=True):
-                    # all that tie with the last stay, so that the cut between them is made once, by key
-                    top = np.flatnonzero(row >= np.partition(row, len(row) - take)[len(row) - take])
-                    yield pa.RecordBatch.from_arrays([pa.array([a["query"]] * len(top)).cast(out_query), keys.take(pa.array(top)), pa.array(row[top])], names=schema.names)
-
-    found = tiles.join(blocks, "cell").select("cell", "asked", "keys", "codes").mapInArrow(run, schema)
     place = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "key"))
-    return found.withColumn("place", place).where(F.col("place") <= n).select("query", "key")
+    best = sides[0].cogroup(sides[1]).applyInArrow(run, schema)
+    return best.withColumn("place", place).where(F.col("place") <= n).select("query", "key")
 
 
 def neighbours(questions: DataFrame, blocks: DataFrame, rows: DataFrame, codes: Codes, n: int, k: int = 10, key: str = "chunk_id") -> DataFrame:
