@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -25,8 +26,8 @@ from corvane.functions import lexical
 from corvane.operators import indexing, retrieval
 from corvane.session import written
 
-#: Children of a range, ranges that give a question's first bound, vectors of a block, questions that meet a block at a time.
-RANGE, FIRST, ROWS, TILE = 128, 8, 1024, 256
+#: Children of a range, ranges that give a question's first bound, vectors of a block, questions that meet a block at a time; children and questions of a task.
+RANGE, FIRST, ROWS, TILE, CHILDREN, SHARE = 128, 8, 1024, 256, 4096, 1 << 16
 #: Scores are rounded, so that the order in which parts are added doesn't rank equal ones; bounds allow for it.
 DIGITS, SLACK = 9, 2e-9
 
@@ -97,6 +98,74 @@ def keyword_leg(questions: DataFrame, blocks: DataFrame, stats: DataFrame, k: in
     return _ranked(_scored(asked, keyword_ranges(asked, blocks, k), blocks), [F.desc("score"), F.col("parent_id")], k)
 
 
+def keyword_leg_of_many(questions: DataFrame, blocks: DataFrame, stats: DataFrame, k: int = retrieval.CANDIDATES, buckets: int = indexing.BUCKETS, children: int = CHILDREN, share: int = SHARE) -> DataFrame:
+    """keyword_leg for a set of questions that grows with the documents: nothing is kept for each question and range.
+
+    Ranges are dealt in groups of about `children`, questions in shares of about `share`; a group meets a share as weights that are added up in a
+    matrix of a tile of questions by the group's children, and only the k best parents of each question leave it.
+    """
+    asked = questions.select("query", F.explode(F.array_distinct("terms")).alias("term")).withColumn("bucket", indexing.bucket_of(F.col("term"), buckets))
+    some = blocks.join(asked.select("bucket", "term").distinct(), ["bucket", "term"], "left_semi")
+    size = stats.first()["n"]
+    df = some.groupBy("bucket", "term").agg(F.sum("n").alias("df"))
+    known = df.select("bucket", "term", F.log(1 + (F.lit(size) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    groups, shares = max(1, -(-size // children)), max(1, -(-questions.count() // share))
+    held = some.select("term", "posted", F.pmod("range", F.lit(groups)).alias("group"), F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share"))
+    told = asked.join(known, ["bucket", "term"]).groupBy("query").agg(F.collect_list("term").alias("terms"), F.collect_list("idf").alias("idf"))  # a question's terms
+    told = told.select("query", "terms", "idf", F.pmod(F.xxhash64("query"), F.lit(shares)).cast("int").alias("share"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("group"))
+    kinds = {f.name: f.dataType for f in blocks.schema["posted"].dataType.elementType}
+    schema = T.StructType().add("query", questions.schema["query"].dataType).add("parent_id", kinds["parent_id"]).add("score", T.DoubleType())
+    out = _arrow(schema)
+
+    def run(told: pa.Table, held: pa.Table) -> pa.Table:
+        found = [out.empty_table()]
+        if not told.num_rows or not held.num_rows:
+            return found[0]
+        posted = held.column("posted").combine_chunks()
+        ends = np.concatenate([[0], np.cumsum(pc.list_value_length(posted).to_numpy(zero_copy_only=False))])
+        chunk, parent, weight = (posted.flatten().field(n) for n in ("chunk_id", "parent_id", "weight"))
+        # children of one parent side by side, parents in order, those without one at the end
+        pair = pa.table({"p": parent, "c": chunk}).group_by(["p", "c"]).aggregate([]).sort_by([("p", "ascending"), ("c", "ascending")])
+        pair = pair.append_column("at", pa.array(np.arange(pair.num_rows)))
+        order = pa.table({"p": parent, "c": chunk, "i": pa.array(np.arange(len(chunk)))})
+        # nulls meet nothing in a join: such postings have no parent or no child of their own and give no row
+        order = order.join(pair, ["p", "c"]).sort_by("i")
+        child = order.column("at").combine_chunks().fill_null(-1).to_numpy(zero_copy_only=False)
+        weight = weight.to_numpy(zero_copy_only=False)
+        names = pair.column("p").combine_chunks()
+        sure = len(names) - names.null_count
+        if not sure:
+            return found[0]
+        names = names.slice(0, sure)
+        coded = names.dictionary_encode()
+        starts = np.flatnonzero(np.concatenate([[True], np.diff(coded.indices.to_numpy()) != 0]))
+        names = names.take(pa.array(starts))
+        place: dict[str, list] = {}
+        for i, term in enumerate(held.column("term").to_pylist()):
+            c, w = child[ends[i] : ends[i + 1]], weight[ends[i] : ends[i + 1]]
+            kept = (c >= 0) & (c < sure)
+            place.setdefault(term, []).append((c[kept], w[kept]))
+        query, terms, idf = told.column("query").combine_chunks(), told.column("terms").to_pylist(), told.column("idf").to_pylist()
+        for i in range(0, len(query), TILE):
+            score = np.zeros((min(TILE, len(query) - i), sure))
+            for row, (ts, fs) in enumerate(zip(terms[i : i + TILE], idf[i : i + TILE], strict=True)):
+                for t, f in zip(ts, fs, strict=True):
+                    for c, w in place.get(t, ()):
+                        np.add.at(score[row], c, f * w)  # repeated ids may be in one list twice
+            best = np.maximum.reduceat(score, starts, axis=1)
+            best = np.where(best > 0, best.round(DIGITS), -np.inf)
+            take = min(k, len(names))
+            least = np.partition(best, len(names) - take, axis=1)[:, [len(names) - take]]
+            over, same = best > least, (best == least) & (least > -np.inf)
+            # of those that tie with the last, the first by parent
+            q, r = np.nonzero(over | same & (np.cumsum(same, axis=1) <= take - over.sum(axis=1, keepdims=True)))
+            found.append(pa.Table.from_arrays([query.take(pa.array(q + i)), names.take(pa.array(r)), pa.array(best[q, r])], schema=out))
+        return pa.concat_tables(found)
+
+    met = told.groupBy("group", "share").cogroup(held.groupBy("group", "share")).applyInArrow(run, schema)
+    return _ranked(met.groupBy("query", "parent_id").agg(F.max("score").alias("score")), [F.desc("score"), F.col("parent_id")], k)
+
+
 def blocks_read(questions: DataFrame, blocks: DataFrame, stats: DataFrame, k: int = retrieval.CANDIDATES, buckets: int = indexing.BUCKETS) -> DataFrame:
     """(query, blocks, read): for each question the blocks of its terms, and how many of them a search reads."""
     asked = written(_asked(questions, blocks, stats, buckets), "asked")
@@ -175,7 +244,7 @@ def vector_leg(questions: DataFrame, blocks: DataFrame, cells: indexing.Cells |
 
 def hybrid(questions: DataFrame, parents: DataFrame, postings: DataFrame, stats: DataFrame, vectors: DataFrame, cells: indexing.Cells | None = None, k: int = retrieval.TOP_K, candidates: int = retrieval.CANDIDATES, buckets: int = indexing.BUCKETS) -> DataFrame:
     """(query, rank, parent_id, rrf_score, vector_rank, keyword_rank): the k best parents of every question by reciprocal rank fusion."""
-    legs = [leg.select("query", "parent_id", *[(F.col("rnk") if n == name else F.lit(None).cast("int")).alias(n) for n in ("vector_rank", "keyword_rank")]) for name, leg in (("vector_rank", vector_leg(questions, vectors, cells, candidates)), ("keyword_rank", keyword_leg(questions, postings, stats, candidates, buckets)))]
+    legs = [leg.select("query", "parent_id", *[(F.col("rnk") if n == name else F.lit(None).cast("int")).alias(n) for n in ("vector_rank", "keyword_rank")]) for name, leg in (("vector_rank", vector_leg(questions, vectors, cells, candidates)), ("keyword_rank", keyword_leg_of_many(questions, postings, stats, candidates, buckets)))]
     part = lambda c: F.coalesce(F.sum(F.lit(1.0) / (retrieval.RRF + F.col(c))), F.lit(0.0))
     fused = legs[0].unionByName(legs[1]).groupBy("query", "parent_id").agg((part("vector_rank") + part("keyword_rank")).alias("rrf_score"), F.max("vector_rank").alias("vector_rank"), F.max("keyword_rank").alias("keyword_rank"))
     known = fused.join(parents.select("parent_id"), "parent_id", "left_semi")

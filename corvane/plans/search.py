@@ -281,7 +281,7 @@ def _stored(spark, d):
 def keyword_questions(spark, d):
     """The keyword leg of every question of the conversations, in one job, over all documents."""
     _, stats, blocks = _stored(spark, d)
-    return searching.keyword_leg(X.questions(spark, d), blocks, stats).withColumn("score", F.round("score", 6))
+    return searching.keyword_leg_of_many(X.questions(spark, d), blocks, stats).withColumn("score", F.round("score", 6))
 
 
 @query(_MANY + " SELECT query, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, parent_id) AS INT) AS rank, parent_id, round(score, 6) AS rrf_score, CAST(v AS INT) AS vector_rank, CAST(k AS INT) AS keyword_rank FROM f QUALIFY rank <= 5")

@@ -129,3 +129,16 @@ def test_budget_by_ranges(spark, most):
             want[i] = at
     assert got == want
     assert retrieval.context_budget(df.limit(0), order, most=most).count() == 0
+
+
+def test_many_questions_in_groups(spark):
+    """Groups and shares of any size give what blocks by bounds give, with ties, ids met twice, null parents and terms unknown."""
+    texts = [(i, None if i % 11 == 0 else i // 3, " ".join(f"w{(i * j) % 13}" for j in range(i % 9))) for i in range(200)] + [(7, 2, "w1 w1 w2"), (500, 1, None)]
+    children = spark.createDataFrame(texts, "chunk_id long, parent_id long, text string")
+    stats = indexing.sizes(children)
+    blocks = searching.term_blocks(children, stats, per=16).cache()
+    asked = spark.createDataFrame([(i, [f"w{i}", f"w{i + 3}", "none", f"w{i}"]) for i in range(11)] + [(50, []), (51, ["none"])], "query long, terms array<string>")
+    want = sorted(map(tuple, searching.keyword_leg(asked, blocks, stats, 4).collect()))
+    for sizes in ((20, 3), (1000, 1000)):
+        assert sorted(map(tuple, searching.keyword_leg_of_many(asked, blocks, stats, 4, children=sizes[0], share=sizes[1]).collect())) == want
+    assert len(want) == 44
