@@ -27,24 +27,72 @@ BUCKETS = 64
 SAMPLE, TRIED, CELLS, TARGET = 20_000, 200, 1024, 0.95
 #: Rows of a block, queries that meet a block, and of them those that do at once.
 BLOCK, SHARE, TILE = 8192, 4096, 256
+#: Children, about, whose terms are counted together where rows of one child come apart; frequent terms whose df is broadcast.
+GROUP, COMMON = 1024, 1 << 16
 
 
 def bucket_of(term: Column, buckets: int = BUCKETS) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
+def child_terms(children: DataFrame, stem: bool = False) -> DataFrame:
+    """(chunk_id, parent_id, size, said) of children: their number of terms, and these joined by blanks, which no term has."""
+    terms = lexical.terms(F.col("text"))
+    rows = children.select("chunk_id", "parent_id", (lexical.stemmed(terms) if stem else terms).alias("t"))
+    return rows.select("chunk_id", "parent_id", F.size("t").alias("size"), F.array_join("t", " ").alias("said"))
+
+
+def counted(rows: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of child_terms by term: terms, where each begins in what follows, row of the child, its count. Rows of one child are one."""
+    said = pc.split_pattern(rows.column("said").combine_chunks(), " ")
+    known: dict[tuple, int] = {}
+    child = np.array([known.setdefault(r, i) for i, r in enumerate(zip(*(rows.column(c).to_pylist() for c in ("chunk_id", "parent_id", "size")), strict=True))], np.int64)
+    flat = said.flatten()
+    some = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)  # what a text without terms is split into
+    coded = flat.filter(pa.array(some)).dictionary_encode()
+    at = np.repeat(child, pc.list_value_length(said).to_numpy(zero_copy_only=False))[some]
+    pair, tf = np.unique(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) * max(1, len(child)) + at, return_counts=True)
+    term, at = pair // max(1, len(child)), pair % max(1, len(child))
+    return coded.dictionary, np.searchsorted(term, np.arange(len(coded.dictionary))), at, tf
+
+
 def postings(children: DataFrame, stem: bool = False, buckets: int = BUCKETS) -> DataFrame:
     """(bucket, term, chunk_id, parent_id, tf, size, df): a row for each term of each child, with the number of
-    children that have it and the child's number of terms. Texts are cut, and stemmed, once, here.
+    children that have it and the child's number of terms.
 
-    A term's children are counted with map-side combining; its rows are never gathered in one group.
+    Terms are counted where the children are, without an exchange, into lists, one for each term and batch. The lists of
+    the COMMON most frequent terms, which hold most postings, meet their df where they are; the others are exchanged by
+    term. A frequent term's rows are never gathered in one group. Where a chunk_id comes twice, rows are first dealt by it.
     """
-    terms = lexical.terms(F.col("text"))
-    rows = children.select("chunk_id", "parent_id", (lexical.stemmed(terms) if stem else terms).alias("t"))
-    rows = rows.select("chunk_id", "parent_id", F.size("t").alias("size"), F.explode("t").alias("term"))
-    counted = rows.groupBy("term", "chunk_id", "parent_id", "size").agg(F.count("*").alias("tf"))
-    known = counted.groupBy("term").agg(F.count("*").alias("df"))
-    return counted.join(known, "term").select(bucket_of(F.col("term"), buckets).alias("bucket"), "term", "chunk_id", "parent_id", "tf", "size", "df")
+    rows = child_terms(children, stem)
+    kinds = {f.name: f.dataType for f in rows.schema}
+    schema = T.StructType().add("term", T.StringType()).add("n", T.LongType())
+    for name, kind in (("chunk_id", kinds["chunk_id"]), ("parent_id", kinds["parent_id"]), ("tf", T.IntegerType()), ("size", T.IntegerType())):
+        schema = schema.add(name, T.ArrayType(kind))  # a list each: half the bytes of a list of structs
+    out = to_arrow_schema(schema)
+
+    def by_term(rows: pa.Table) -> pa.Table:
+        terms, starts, at, tf = counted(rows)
+        ends = pa.array(np.append(starts, len(at)), pa.int32())
+        chunk, parent, size = (rows.column(c).combine_chunks().take(pa.array(at)) for c in ("chunk_id", "parent_id", "size"))
+        held = [pa.ListArray.from_arrays(ends, x) for x in (chunk, parent, pa.array(tf, pa.int32()), size)]
+        return pa.table([terms, pa.array(np.diff(ends.to_numpy()), pa.int64()), *held], names=out.names).cast(out)
+
+    def run(batches):
+        for batch in batches:
+            yield from by_term(pa.Table.from_batches([batch])).to_batches()
+
+    if children.groupBy("chunk_id").count().where("count > 1").isEmpty():
+        found = rows.mapInArrow(run, schema)
+    else:
+        dealt = F.pmod(F.xxhash64("chunk_id"), F.lit(max(1, -(-children.count() // GROUP))))
+        found = rows.withColumn("group", dealt).groupBy("group").applyInArrow(by_term, schema)
+    known = found.groupBy("term").agg(F.sum("n").alias("df"))
+    common = F.broadcast(known.orderBy(F.desc("df"), "term").limit(COMMON))  # stated maximum
+    lists = found.drop("n")
+    met = lists.join(common, "term").unionByName(lists.join(common, "term", "left_anti").join(known, "term"))
+    met = met.select("term", "df", F.inline(F.arrays_zip("chunk_id", "parent_id", "tf", "size")))
+    return met.select(bucket_of(F.col("term"), buckets).alias("bucket"), "term", "chunk_id", "parent_id", F.col("tf").cast("long").alias("tf"), "size", "df")
 
 
 def sizes(children: DataFrame, stem: bool = False) -> DataFrame:

@@ -102,6 +102,23 @@ def test_postings_equal_scan(spark, tmp_path):
     assert indexing.keyword_scores(index, stats, []).count() == 0
 
 
+def test_postings_of_twin_rows(spark, monkeypatch):
+    """A child's rows of one size are one, as are their terms; rows that come once are counted without an exchange by chunk."""
+    rows = [("a", "p", "x y x"), ("a", "p", "x z z"), ("a", "p", "x"), ("b", None, "y"), ("c", "p", ""), ("d", "q", None), (None, "q", "y y")]
+    schema = "chunk_id string, parent_id string, text string"
+    twins = indexing.postings(spark.createDataFrame(rows, schema))
+    got = sorted((r.term, r.chunk_id or "", r.size, r.tf, r.df) for r in twins.collect())
+    assert got == [("x", "a", 1, 1, 2), ("x", "a", 3, 3, 2), ("y", "", 2, 2, 3), ("y", "a", 3, 1, 3), ("y", "b", 1, 1, 3), ("z", "a", 3, 2, 1)]
+    assert [f.dataType.simpleString() for f in twins.schema] == ["int", "string", "string", "string", "bigint", "int", "bigint"]
+    once = indexing.postings(spark.createDataFrame([rows[0], *rows[3:]], schema)).select("term", "chunk_id", "tf", "df")
+    assert sorted((r.term, r.chunk_id or "", r.tf, r.df) for r in once.collect()) == [("x", "a", 2, 1), ("y", "", 2, 3), ("y", "a", 1, 3), ("y", "b", 1, 3)]
+    plan = once._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert "BroadcastHashJoin [term" in plan and "hashpartitioning(chunk_id" not in plan
+    monkeypatch.setattr(indexing, "COMMON", 1)
+    some = indexing.postings(spark.createDataFrame([rows[0], *rows[3:]], schema)).select("term", "chunk_id", "tf", "df")
+    assert sorted(map(str, some.collect())) == sorted(map(str, once.collect()))
+
+
 def test_cells(spark):
     """Every row is in a cell; exact neighbours of clustered vectors are found in few cells."""
     import numpy as np
