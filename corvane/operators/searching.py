@@ -43,18 +43,30 @@ def term_blocks(children: DataFrame, stats: DataFrame, stem: bool = False, bucke
 
     A weight is the part of BM25 that depends on the child; the term's part is known from the sum of n. Ranges
     are dealt by the hash of the child, so that a block is small whatever the term's frequency, and no task holds
-    a term. stats is indexing.sizes(children, stem), one row.
+    a term. A range's children meet in one group, where their terms are counted and its blocks made, so that texts are
+    exchanged once and postings never. stats is indexing.sizes(children, stem), one row.
     """
-    terms = lexical.terms(F.col("text"))
     size = stats.first()
     ranges = max(1, -(-size["n"] // per))
-    rows = children.select("chunk_id", "parent_id", (lexical.stemmed(terms) if stem else terms).alias("t"))
-    rows = rows.select("chunk_id", "parent_id", F.size("t").alias("size"), F.explode("t").alias("term"))
-    counted = rows.groupBy("term", "chunk_id", "parent_id", "size").agg(F.count("*").alias("tf"))
-    k, b = lexical.BM25_K1, lexical.BM25_B
-    weight = F.col("tf") * (k + 1) / (F.col("tf") + k * (1 - b + b * F.col("size") / F.lit(size["avg_len"] or 1.0)))
-    weighed = counted.select(indexing.bucket_of(F.col("term"), buckets).alias("bucket"), "term", F.pmod(F.xxhash64("chunk_id"), F.lit(ranges)).alias("range"), F.struct("chunk_id", "parent_id", weight.alias("weight")).alias("p"))
-    return weighed.groupBy("bucket", "term", "range").agg(F.max("p.weight").alias("top"), F.count("*").alias("n"), F.collect_list("p").alias("posted"))  # about `per` postings
+    rows = indexing.child_terms(children, stem).withColumn("range", F.pmod(F.xxhash64("chunk_id"), F.lit(ranges)))
+    kinds = {f.name: f.dataType for f in rows.schema}
+    posted = T.StructType().add("chunk_id", kinds["chunk_id"]).add("parent_id", kinds["parent_id"]).add("weight", T.DoubleType())
+    schema = T.StructType().add("term", T.StringType()).add("range", T.LongType()).add("top", T.DoubleType()).add("n", T.LongType()).add("posted", T.ArrayType(posted))
+    out = _arrow(schema)
+    k, b, mean = lexical.BM25_K1, lexical.BM25_B, size["avg_len"] or 1.0
+
+    def blocks(rows: pa.Table) -> pa.Table:
+        terms, starts, at, tf = indexing.counted(rows)
+        if not len(at):
+            return out.empty_table()
+        taken = {c: rows.column(c).combine_chunks().take(pa.array(at)) for c in ("chunk_id", "parent_id", "size")}
+        weight = tf * (k + 1) / (tf + k * (1 - b + b * taken["size"].to_numpy() / mean))
+        posted = pa.StructArray.from_arrays([taken["chunk_id"], taken["parent_id"], pa.array(weight)], names=["chunk_id", "parent_id", "weight"])
+        held = pa.ListArray.from_arrays(pa.array(np.append(starts, len(at)), pa.int32()), posted)
+        dealt = pa.array(np.full(len(terms), rows.column("range")[0].as_py()))
+        return pa.table([terms, dealt, pa.array(np.maximum.reduceat(weight, starts)), pa.array(np.diff(np.append(starts, len(at)))), held], names=out.names).cast(out)
+
+    return rows.groupBy("range").applyInArrow(blocks, schema).select(indexing.bucket_of(F.col("term"), buckets).alias("bucket"), *schema.names)
 
 
 def _asked(questions: DataFrame, blocks: DataFrame, stats: DataFrame, buckets: int) -> DataFrame:

@@ -39,6 +39,17 @@ def test_keyword_questions(spark, corpus, per):
     assert set(got) == {1, 2, 3, 7}
 
 
+def test_postings_are_not_exchanged(spark, corpus):
+    """Blocks are made where the children of a range meet: one exchange, by range; a child that comes twice is counted once."""
+    stats = indexing.sizes(corpus)
+    blocks = searching.term_blocks(corpus, stats, per=16)
+    plan = blocks._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert plan.count("Exchange hashpartitioning(") == 1 and "Exchange hashpartitioning(range" in plan
+    twice = searching.term_blocks(corpus.union(corpus), stats, per=16)
+    told = lambda b: {(r.term, r.range): (r.n, r.top > 0) for r in b.select("term", "range", "n", "top").collect()}
+    assert told(twice) == told(blocks)
+
+
 def test_blocks_go_unread(spark, corpus):
     """Ranges without a rare term can't reach the k-th score; fewer than k results prune nothing."""
     stats = indexing.sizes(corpus)
