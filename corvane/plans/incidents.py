@@ -246,18 +246,19 @@ def _payloads(spark, d):
 @query("""SELECT o_orderkey AS ordinal, CAST(CASE WHEN o_orderkey % 10 > 0 THEN o_orderkey END AS VARCHAR) AS case_key, 'N' || o_orderkey AS case_number, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS event_date, o_orderpriority AS severity,
 CAST(trunc(round(o_totalprice / 100000, 2)) AS INT) AS serious_injuries, CAST(nullif(CAST(trunc(round(o_totalprice / 100000, 2)) AS INT), 0) AS VARCHAR) AS total_injuries, o_orderstatus AS marker, 'b;a' AS events, CAST(1 AS INT) AS parties FROM orders""")
 def payload_cases(spark, d):
-    typed = normalizing.cases(normalizing.records(_payloads(spark, d)))
+    fields = ("case_key", "case_number", "event_date", "severity", "serious_injuries", "minor_injuries", "total_injuries", "marker", "events", "parties")
+    typed = normalizing.cases(normalizing.records(_payloads(spark, d), fields=fields))
     return typed.select("ordinal", *_texts("case_key"), "case_number", *_texts("event_date"), "severity", "serious_injuries", *_texts("total_injuries"), "marker", F.array_join("events", ";").alias("events"), F.size("parties").alias("parties"))
 
 
 @query("SELECT o_orderkey AS case_key, CAST(s AS INT) AS sequence, t AS text FROM orders, (VALUES (1, 'b'), (2, 'a')) v(s, t) WHERE o_orderkey % 10 > 0")
 def payload_children(spark, d):
-    return normalizing.children(normalizing.cases(normalizing.records(_payloads(spark, d))), "events")
+    return normalizing.children(normalizing.cases(normalizing.records(_payloads(spark, d), fields=("case_key", "events"))), "events")
 
 
 @query("SELECT CAST(count(*) FILTER (o_orderkey % 10 > 0) AS BIGINT) AS accepted, CAST(count(*) FILTER (o_orderkey % 10 = 0) AS BIGINT) AS rejected FROM orders")
 def payload_rejects(spark, d):
-    typed = normalizing.cases(normalizing.records(_payloads(spark, d)))
+    typed = normalizing.cases(normalizing.records(_payloads(spark, d), fields=("case_key",)))
     return typed.agg(F.count("case_key").alias("accepted"), F.count_if(F.col("case_key").isNull()).alias("rejected"))
 
 

@@ -102,7 +102,7 @@ def detail_texts(spark, d):
 def payload_counters(spark, d):
     k = F.col("o_orderkey")
     payload = F.format_string('{"records": [{"z": 1, "id": %s}]}', F.when(k % 10 > 0, k.cast("string")).otherwise("null"))
-    typed = normalizing.cases(normalizing.records(table(spark, d, "orders").select(k.alias("ordinal"), payload.alias("payload"))))
+    typed = normalizing.cases(normalizing.records(table(spark, d, "orders").select(k.alias("ordinal"), payload.alias("payload")), fields=("case_key", "record")))
     return typed.agg(F.count("*").alias("records"), F.count("case_key").alias("accepted"), F.count_if(F.col("case_key").isNull()).alias("rejected"), F.sum(F.length(F.regexp_replace("record", " ", ""))).alias("chars"))
 
 
