@@ -1,5 +1,7 @@
 import hashlib
 import math
+import random
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -68,6 +70,17 @@ def test_question(spark):
     assert check("a\u200db")[0] == "ab" and check("न\u200dम")[0] == "न\u200dम"
 
 
+def test_question_in_one_pass(spark):
+    """What the column expressions give, on odd texts; joiners beside white space go, and long texts pass no pattern of Java's."""
+    rng, signs = random.Random(3), "aZ \u00e9e\u0301\u200c\u200d\u200b\u202e\u2069\x01\x0b\x1c\x7f\x85\xa0\u2003\u2028\u3000\ufb01\n\t\U0001d400\U0001f600\ufeff\u0915\u094d"
+    texts = [None, "", "\u0915 \u200d \u0915", *("".join(rng.choice(signs) for _ in range(rng.randrange(12))) for _ in range(3000))]
+    rows = spark.createDataFrame([(t, unicodedata.normalize("NFKC", t) if t else t) for t in texts], "t string, n string")
+    found = rows.select(text.question(F.col("t"))["text"].alias("q"), text.strip(text.without_controls(F.col("n"))).alias("c"))
+    assert all(r.q == r.c for r in found.collect())
+    assert one(spark, "\u0915 \u200d \u0915", text.question)[0] == "\u0915  \u0915"
+    assert "regexp_replace" not in rows.select(text.question(F.col("t")))._jdf.queryExecution().toString()
+
+
 def test_escape_and_windows(spark):
     assert one(spark, "<a href=\"x\">'&'</a>", text.html_escape) == "&lt;a href=&quot;x&quot;&gt;&#x27;&amp;&#x27;&lt;/a&gt;"
     for n, k in ((1020, 4), (511, 2), (529, 2), (0, 0), (19, 0), (20, 1)):
