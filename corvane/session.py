@@ -54,9 +54,10 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{named.rstrip('/')}/engine-{spark.sparkContext.applicationId}"
 
 
-def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+def written(df: DataFrame, name: str, by: str | None = None, options: dict[str, str] | None = None) -> DataFrame:
     """df, written to the shared folder and read back, in folders by a column if told: its lineage ends there."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    out = df.write.partitionBy(by) if by else df.write
+    out = df.write.options(**options or {})
+    out = out.partitionBy(by) if by else out
     out.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

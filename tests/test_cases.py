@@ -2,6 +2,7 @@ import datetime as dt
 import json
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -248,3 +249,25 @@ def test_substrings_by_trigrams(spark, tmp_path):
     plan = trigrams.containing(df, index, "k", ["a"], "alpha")._jdf.queryExecution().toString()
     assert "PartitionFilters: [" in plan and "bucket" in plan.split("PartitionFilters: [")[-1][:200] + plan.split("PartitionFilters: [")[1][:200]
     assert trigrams.literal_runs("a%b\\%c_d") == ["a", "b%c", "d"] and trigrams.literal_runs("%_") == []
+
+
+def test_trigrams_of_many_rows(spark, tmp_path, monkeypatch):
+    """One block holds many keys; frequent trigrams and rare ones, with null keys, find what ilike finds."""
+    from corvane.operators import trigrams
+
+    df = spark.range(3000).select(F.when(F.col("id") % 1000 != 7, F.col("id")).alias("k"), F.concat(F.lit("Customer#"), F.format_string("%05d", F.col("id") % 97), F.when(F.col("id") % 500 == 3, "\u00c7a et l\u00e0").otherwise("")).alias("a")).coalesce(1)
+    path = str(tmp_path / "index")
+    trigrams.postings(df, "k", ["a"]).write.options(**trigrams.PAGES).parquet(path)
+    index = spark.read.parquet(path)
+    held = index.where("gram = 'cus'").select(F.size("keys").alias("n")).collect()
+    assert sum(r.n for r in held) == 3000 and len(held) < 20 and index.count() < 12000
+    for most in (0, 2000, 1 << 16):
+        monkeypatch.setattr(trigrams, "MOST_KEYS", most)
+        for needle in ("customer#0001", "R#%5", "\u00e7A ET", "nothing", "omer#00096\u00c7"):
+            got = trigrams.containing(df, index, "k", ["a"], needle)
+            want = df.where(F.col("a").ilike(f"%{needle}%"))
+            assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())), (most, needle)
+    monkeypatch.setattr(trigrams, "SLICE_CHARS", 10)
+    assert [(p.start, p.stop) for p in trigrams._parts(np.array([5, 5, 5, 20, 0, 1]))] == [(0, 2), (2, 3), (3, 4), (4, 6)] and not list(trigrams._parts(np.array([], int)))
+    assert trigrams.blocks(["", "ab", "abab\0", "bab"])[0] == ["ab\0", "aba", "bab"]
+    assert "Join" not in trigrams.containing(df, index, "k", ["a"], "al")._jdf.queryExecution().toString()
