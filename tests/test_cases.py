@@ -163,6 +163,19 @@ def test_detail_texts(spark):
     assert len(lines) == 222 and lines[1] == "event[1]: 0" and lines[220] == "event[220]: 219" and "more fields" in lines[221]
 
 
+def test_detail_texts_of_repeated_keys(spark):
+    """Lines of one key's payloads are merged, null is a key, odd white space is cut; without repeated keys no line is exchanged."""
+    rows = [(1, {"event": "b", "Prob_Cause": "\u00a0x\u2003\t y\x1c "}), (1, {"event": "a"}), (None, {"event": "n"}), (2, {"token": "t"}), (2, {"event": " \u3000"})]
+    frame = spark.createDataFrame([(k, json.dumps(t)) for k, t in rows], "case_key long, payload string").repartition(3)
+    head, none = "Fields of the live record:\n", "The live record has no fields that can be shown."
+    said = {r.case_key: r.text for r in normalizing.detail_texts(frame).collect()}
+    assert said == {1: f"{head}event: a\nevent: b\nProb_Cause: x y\x1c", None: f"{head}event: n", 2: none}
+    said = normalizing.detail_texts(frame, lines=2).where("case_key = 1").first().text.split("\n")
+    assert said[1:3] == ["event: a", "event: b"] and "more fields" in said[3]
+    once = normalizing.detail_texts(spark.range(0, 50, 1, 16).selectExpr("id as case_key", "'{\"event\": 1}' as payload"))
+    assert "Exchange" not in once._jdf.queryExecution().executedPlan().toString() and once.distinct().count() == 50
+
+
 def test_paged_source(spark, tmp_path):
     class Backend:
         def __init__(self):
