@@ -15,10 +15,10 @@ discounting, whose share goes to one unknown word per class.
 
 Counts cover all training documents (crc32(doc_id as text) mod 7 is not 2): words are counted in
 each task, then summed by word. The texts are then read once more, for pairs of neighbouring words
-by number, which are counted in each task and written without a shuffle; every later table comes
-from those. Bigrams of classes are dense tables of a fixed size in each task, summed likewise;
-neighbour counts are one table of top words by classes in each task (at most 150 MB), summed by word
-and class, and each word is placed where its counts meet. What is broadcast has a fixed bound: TOP words of at most
+by number, which are counted in each task and written without a shuffle, in blocks; every later table
+comes from those. Bigrams of classes are dense tables of a fixed size in each task, summed likewise;
+neighbour counts are one table of top words by classes in each task (at most 150 MB), which leaves it in
+blocks of _PLACED words, and the words of a block are placed where its counts meet. What is broadcast has a fixed bound: TOP words of at most
 TOP_BYTES bytes with their counts, their classes, and class tables. The exact way for all other words is a join:
 each document lists its distinct rare words with multiplicity, they meet the counts by word, and
 sums return by document. A word outside the top has a bounded share of all tokens, or is very
@@ -33,6 +33,7 @@ from __future__ import annotations
 
 import itertools
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -150,9 +151,18 @@ class Units:
         return number, unit, rare
 
 
-def word_pairs(texts: DataFrame, units) -> DataFrame:
-    """(u, v, n): how often word v follows word u, by number, as often as tasks have counted them; a
-    text follows an end. Numbers are those of the top words, then the end, then the shapes of rare words."""
+def _packed(x: np.ndarray) -> bytes:
+    """32-bit integers as one value: the planner's rows cost more than the numbers in them."""
+    return pa.compress(np.ascontiguousarray(x, np.int32).tobytes(), "zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, size: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(data, 4 * size, "zstd", asbytes=True), np.int32)
+
+
+def pair_blocks(texts: DataFrame, units) -> DataFrame:
+    """(size, u, v, n), packed, v as differences: how often word v follows word u, by number, as often as tasks have counted them;
+    a text follows an end. Numbers are those of the top words, then the end, then the shapes of rare words."""
 
     def run(batches):
         known = units.value
@@ -163,7 +173,8 @@ def word_pairs(texts: DataFrame, units) -> DataFrame:
             keys.clear()
             for a in range(0, len(at), _ROWS):
                 u, v = np.divmod(at[a : a + _ROWS], known.numbers_in_all)
-                yield pa.RecordBatch.from_arrays([pa.array(u.astype(np.int32)), pa.array(v.astype(np.int32)), pa.array(n[a : a + _ROWS].astype(np.int32))], names=["u", "v", "n"])
+                block = [_packed(u), _packed(np.diff(v, prepend=0)), _packed(n[a : a + _ROWS])]
+                yield pa.RecordBatch.from_arrays([pa.array([len(u)], pa.int32()), *(pa.array([x], pa.binary()) for x in block)], names=["size", "u", "v", "n"])
 
         for batch in common.slices(batches):
             for text in common.text_bytes(batch.column(0)):
@@ -177,7 +188,27 @@ def word_pairs(texts: DataFrame, units) -> DataFrame:
         if keys:
             yield from out()
 
-    return texts.select("text").mapInArrow(run, "u int, v int, n int")
+    return texts.select("text").mapInArrow(run, "size int, u binary, v binary, n binary")
+
+
+def _pairs_of(batches) -> Iterator[list[np.ndarray]]:
+    """u, v and n of rows of pairs, or of blocks of them."""
+    for batch in batches:
+        if batch.schema.names[0] != "size":
+            yield [c.to_numpy() for c in batch.columns]
+            continue
+        for size, u, v, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            yield [_unpacked(u, size), np.cumsum(_unpacked(v, size), dtype=np.int32), _unpacked(n, size)]
+
+
+def word_pairs(texts: DataFrame, units) -> DataFrame:
+    """(u, v, n): the pairs of pair_blocks() as rows."""
+
+    def run(batches):
+        for u, v, n in _pairs_of(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(n)], names=["u", "v", "n"])
+
+    return pair_blocks(texts, units).mapInArrow(run, "u int, v int, n int")
 
 
 def bigram_table(pairs: DataFrame, of: np.ndarray) -> np.ndarray:
@@ -186,8 +217,7 @@ def bigram_table(pairs: DataFrame, of: np.ndarray) -> np.ndarray:
 
     def run(batches):
         total = np.zeros(k * k, np.int64)
-        for batch in batches:
-            u, v, n = (c.to_numpy() for c in batch.columns)
+        for u, v, n in _pairs_of(batches):
             total += np.bincount(of[u] * k + of[v], n, k * k).astype(np.int64)  # exact below 2^53
         at = np.flatnonzero(total)
         if len(at):
@@ -197,25 +227,27 @@ def bigram_table(pairs: DataFrame, of: np.ndarray) -> np.ndarray:
 
 
 def neighbours(pairs: DataFrame, of: np.ndarray, clustered: int) -> DataFrame:
-    """(word, key, n): how often a clustered word, by number, follows a class (key: the class), stands
-    before it (key: the number of classes and the class) or follows itself (key: twice the number)."""
+    """(part, size, at, n) of each task, packed: how often a clustered word, by number, follows a class (key: the class), stands
+    before it (key: the number of classes and the class) or follows itself (key: twice the number). A part holds _PLACED words;
+    at is the place of word and key in it, as differences."""
 
     def run(batches):
         k = int(of.max()) + 1
         width = 2 * k + 1
         total = np.zeros(clustered * width, np.int32)  # a task's pairs are fewer than 2^31
-        for batch in batches:
-            u, v, n = (c.to_numpy().astype(np.int64) for c in batch.columns)
-            n = n.astype(np.int32)
+        for u, v, n in _pairs_of(batches):
+            u, v = u.astype(np.int64), v.astype(np.int64)
             for word, key in ((v, of[u]), (u, k + of[v]), (np.where(u == v, u, clustered), 2 * k)):
                 inside = word < clustered
                 np.add.at(total, (word * width + key)[inside], n[inside])
         found = np.flatnonzero(total)
-        for a in range(0, len(found), _ROWS):
-            at = found[a : a + _ROWS]
-            yield pa.RecordBatch.from_arrays([pa.array((at // width).astype(np.int32)), pa.array((at % width).astype(np.int32)), pa.array(total[at].astype(np.int64))], names=["word", "key", "n"])
+        ends = np.searchsorted(found, np.arange(0, clustered + _PLACED, _PLACED) * width).tolist()
+        for part, (a, b) in enumerate(itertools.pairwise(ends)):
+            if a < b:
+                block = [_packed(np.diff(found[a:b] - part * _PLACED * width, prepend=0)), _packed(total[found[a:b]])]
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([b - a], pa.int32()), *(pa.array([x], pa.binary()) for x in block)], names=["part", "size", "at", "n"])
 
-    return pairs.mapInArrow(run, "word int, key int, n long").groupBy("word", "key").agg(F.sum("n").alias("n"))
+    return pairs.mapInArrow(run, "part int, size int, at binary, n binary")
 
 
 def best_classes(starts: np.ndarray, keys: np.ndarray, counts: np.ndarray, table: np.ndarray, classes: int, own: np.ndarray | None = None) -> np.ndarray:
@@ -274,23 +306,22 @@ def best_classes(starts: np.ndarray, keys: np.ndarray, counts: np.ndarray, table
 
 
 def place(near: DataFrame, table: np.ndarray, classes: int, of: np.ndarray) -> DataFrame:
-    """(word, class) of each word in near (word, key, n); of: the class in which it is, by number."""
+    """(word, class) of each word in near, as neighbours() gives it; of: the class in which it is, by number."""
+
+    def run(blocks: pa.Table) -> pa.Table:
+        width = 2 * len(table) + 1
+        total = np.zeros(_PLACED * width, np.int64)
+        part, size, at, n = (blocks.column(c).to_pylist() for c in ("part", "size", "at", "n"))  # one block of each task
+        for k, places, times in zip(size, at, n, strict=True):
+            total[np.cumsum(_unpacked(places, k))] += _unpacked(times, k)  # places of a block differ
+        found = np.flatnonzero(total)
+        inside, keys = np.divmod(found, width)
+        words, starts = np.unique(inside, return_index=True)
+        words += part[0] * _PLACED
+        best = best_classes(starts, keys, total[found], table, classes, of[words])
+        return pa.table([pa.array(words.astype(np.int32)), pa.array(best.astype(np.int32))], names=["word", "class"])
 
-    def run(batches):
-        for batch in batches:
-            words, lists = batch.column(0).to_numpy(), batch.column(1)
-            ends = np.r_[0, np.cumsum(lists.value_lengths().to_numpy())]
-            keys, n = (lists.flatten().field(i).to_numpy() for i in range(2))
-            got = []
-            for a in range(0, batch.num_rows, _PLACED):
-                b = min(a + _PLACED, batch.num_rows)
-                part = slice(ends[a], ends[b])
-                got.append(best_classes(ends[a:b] - ends[a], keys[part], n[part], table, classes, of[words[a:b]]).astype(np.int32))
-            if got:
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(got))], names=["word", "class"])
-
-    # in order, so that sums and with them near ties come out the same each time
-    return near.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("key", "n"))).alias("near")).mapInArrow(run, "word int, class int")
+    return near.groupBy("part").applyInArrow(run, "word int, class int")
 
 
 def information(table: np.ndarray) -> float:
@@ -416,7 +447,7 @@ def fit(docs: DataFrame):
     sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.col("shape") < 0, F.col("n"))), F.lit(0))).first()
     units = Units(*_top(counts))
     shared = spark.sparkContext.broadcast(units)
-    pairs = common.written(word_pairs(texts, shared), "pairs")
+    pairs = common.written(pair_blocks(texts, shared), "pairs")
     units.ready()
     bigrams = bigram_table(pairs, units.unit)
     of = exchange(bigrams, units.head, CLASSES)

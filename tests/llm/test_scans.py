@@ -397,6 +397,36 @@ def test_exchange_in_rounds_against_counts_of_all_texts(spark, monkeypatch):
     assert lm.exchange_rounds(pairs, start, units.clustered, 5)[0].tolist() == of.tolist()
 
 
+def test_pairs_and_neighbours_travel_in_blocks(spark, monkeypatch):
+    """Few rows hold all pairs and neighbour counts, and they are those of the pairs one by one."""
+    monkeypatch.setattr(lm, "TOP", 700)
+    texts = docs(spark, corpus()).select("text")
+    units = lm.Units(*lm._top(lm.word_counts(texts)))
+    units.ready()
+    shared = spark.sparkContext.broadcast(units)
+    blocks, rows = lm.pair_blocks(texts, shared).cache(), lm.word_pairs(texts, shared).collect()
+    assert blocks.count() <= 3 and sum(r.size for r in blocks.collect()) == len(rows) > 1000
+    of = np.arange(units.numbers_in_all) % 7
+    near = lm.neighbours(blocks, of, units.clustered)
+    found = near.collect()
+    assert len(found) <= 3 * -(-units.clustered // lm._PLACED)
+    got, want = Counter(), Counter()
+    for r in found:
+        for at, n in zip(np.cumsum(lm._unpacked(r.at, r["size"])).tolist(), lm._unpacked(r.n, r["size"]).tolist(), strict=True):
+            got[r.part * lm._PLACED + at // 15, at % 15] += n
+    for r in rows:
+        for word, key in ((r.v, of[r.u]), (r.u, 7 + of[r.v]), (r.u if r.u == r.v else units.clustered, 14)):
+            if word < units.clustered:
+                want[word, int(key)] += r.n
+    assert got == want
+    table = lm.bigram_table(blocks, of)
+    placed = {r.word: r["class"] for r in lm.place(near, table, 7, of).collect()}
+    for w in range(units.clustered):
+        keys = np.array(sorted(k for x, k in want if x == w))
+        n = np.array([want[w, k] for k in keys])
+        assert placed[w] == lm.best_classes(np.array([0]), keys, n, table, 7, of[w : w + 1])[0], w
+
+
 def test_model_is_a_distribution():
     """Transitions from each class, and words of each class with its unknown one, sum to one."""
     words_ = [f"w{k}".encode() for k in range(6)]
