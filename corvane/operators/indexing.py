@@ -23,10 +23,10 @@ from corvane.functions import lexical
 from corvane.operators import retrieval
 
 BUCKETS = 64
-#: Rows that cells are learnt from, and of them those that decide how many cells are looked at.
+#: Rows that cells are learnt from, and queries that decide how many cells are looked at.
 SAMPLE, TRIED, CELLS, TARGET = 20_000, 200, 1024, 0.95
-#: Rows of a block, queries that meet a block, and of them those that do at once.
-BLOCK, SHARE, TILE = 8192, 4096, 256
+#: Rows of a block, queries that meet a block, of them those that do at once, and pairs that are summed at once.
+BLOCK, SHARE, TILE, PAIRS = 8192, 4096, 256, 1 << 16
 #: Children, about, whose terms are counted together where rows of one child come apart; frequent terms whose df is broadcast.
 GROUP, COMMON = 1024, 1 << 16
 
@@ -135,13 +135,15 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 def learn_cells(rows: DataFrame, key: str = "chunk_id", sample: int = SAMPLE, cells: int = CELLS, k: int = 10, target: float = TARGET, rounds: int = 12) -> Cells:
     """Cells from the `sample` rows of the least hashed keys (a bounded sample, by spherical k-means), about as many as the
-    root of the sample's size; probes are the fewest with which sampled queries find the target share of
-    their k exact neighbours in the sample."""
+    root of the sample's size; probes are the fewest with which TRIED queries find the target share of their k exact
+    neighbours among all rows. These queries come after the sample in that order, if there are as many rows: centres are nearer
+    to the rows that they are learnt from than to others, and neighbours among few rows are in other cells than among all."""
     place = F.xxhash64(key)
-    chosen = rows.where("embedding is not null").orderBy(place, key).limit(sample).select(F.col("embedding").cast("array<double>").alias("v")).toArrow()  # `sample` rows at most
+    chosen = rows.where("embedding is not null").orderBy(place, key).limit(sample + TRIED).select(F.col("embedding").cast("array<double>").alias("v")).toArrow()  # stated maximum
     if not chosen.num_rows:
         return Cells(np.zeros((1, 1)), 1)
     x = _unit(np.stack(chosen.column("v").to_numpy()))
+    x, queries = x[:sample], x[-TRIED:]
     centres = x[: max(1, min(cells, int(len(x) ** 0.5)))].copy()
     for _ in range(rounds):
         of = (x @ centres.T).argmax(axis=1)
@@ -149,11 +151,12 @@ def learn_cells(rows: DataFrame, key: str = "chunk_id", sample: int = SAMPLE, ce
             if (of == c).any():
                 centres[c] = x[of == c].mean(axis=0)
         centres = _unit(centres)
-    of, queries = (x @ centres.T).argmax(axis=1), x[:TRIED]
-    exact = np.argsort(-(queries @ x.T), axis=1, kind="stable")[:, :k]
+    asked = rows.sparkSession.createDataFrame(list(enumerate(queries.tolist())), "query int, v array<double>")
+    exact = neighbours(rows, asked, k, key=key).where("similarity is not null")
+    found = exact.join(with_cells(rows.select(key, "embedding"), Cells(centres, 1)), key).where("cell is not null").select("query", "cell").toArrow()  # k rows a sampled query
     place_of_cell = np.argsort(np.argsort(-(queries @ centres.T), axis=1, kind="stable"), axis=1)
-    needed = np.sort(np.take_along_axis(place_of_cell, of[exact], axis=1).ravel())
-    return Cells(centres, int(needed[min(len(needed) - 1, int(np.ceil(target * len(needed))) - 1)]) + 1)
+    needed = np.sort(place_of_cell[found.column("query").to_numpy(), found.column("cell").to_numpy()])
+    return Cells(centres, int(needed[min(len(needed) - 1, int(np.ceil(target * len(needed))) - 1)]) + 1 if len(needed) else len(centres))
 
 
 def with_cells(rows: DataFrame, cells: Cells) -> DataFrame:
@@ -201,7 +204,8 @@ def neighbours(rows: DataFrame, queries: DataFrame, k: int = 10, cells: Cells |
     given (rows then have cell), else among all rows. A similarity that isn't known comes last.
 
     Blocks of rows meet shares of queries as matrices, and only the k best of each query leave a block. Rows of another width
-    than a query's, or with a null in them, are no neighbours of it.
+    than a query's, or with a null in them, are no neighbours of it. A pair's similarity is the same whatever block it is
+    in, so that copies rank by key, with cells and without.
     """
     rows = rows.where("embedding is not null").select(F.col(key).alias("key"), "embedding", F.col(key).alias("deal"), "cell" if cells is not None else F.lit(0).alias("cell")).where("cell is not null")
     queries = queries.where("v is not null").select("query", "v", F.col("query").alias("deal"))
@@ -220,14 +224,22 @@ def neighbours(rows: DataFrame, queries: DataFrame, k: int = 10, cells: Cells |
         sides = [_matrices(t.column(n).combine_chunks(), t.column(v).combine_chunks()) for t, n, v in ((asked, "query", "v"), (held, "key", "embedding"))]
         for width in sides[0].keys() & sides[1].keys():
             (query, a), (names, m) = (s[width] for s in sides)
+            order = pc.array_sort_indices(names)
+            names, m = names.take(order), m[order.to_numpy()]
             length, take = np.linalg.norm(m, axis=1), min(k, len(names))
             for i in range(0, len(a), TILE):
+                some = a[i : i + TILE]
+                size = np.linalg.norm(some, axis=1)
                 with np.errstate(divide="ignore", invalid="ignore"):
-                    near = a[i : i + TILE] @ m.T / (np.linalg.norm(a[i : i + TILE], axis=1)[:, None] * length)
-                rank = np.where(np.isnan(near), -np.inf, near)
-                # all that tie with the last stay, up to rounding, so that the cut between them is made once, by key
-                q, r = np.nonzero(rank >= np.partition(rank, len(names) - take, axis=1)[:, [len(names) - take]] - 1e-12)
-                best = near[q, r]
+                    near = some @ m.T / (size[:, None] * length)
+                    rank = np.where(np.isnan(near), -np.inf, near)
+                    # the product's last bits depend on the block: all that tie with the last up to rounding are summed anew, alike in all blocks
+                    q, r = np.nonzero(rank >= np.partition(rank, len(names) - take, axis=1)[:, [len(names) - take]] - 1e-12)
+                    best = np.concatenate([(some[q[j : j + PAIRS]] * m[r[j : j + PAIRS]]).sum(axis=1) for j in range(0, len(q), PAIRS)]) / (size[q] * length[r])
+                best = np.where(np.isnan(near[q, r]), np.nan, best)
+                order = np.lexsort((r, np.where(np.isnan(best), np.inf, -best), q))
+                kept = order[np.arange(len(q)) - np.searchsorted(q, q[order]) < take]  # q is in order
+                q, r, best = q[kept], r[kept], best[kept]
                 found.append(pa.Table.from_arrays([query.take(pa.array(q + i)), names.take(pa.array(r)), pa.array(best, mask=np.isnan(best))], schema=out))
         return pa.concat_tables(found)
 

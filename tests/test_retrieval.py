@@ -160,3 +160,28 @@ def test_neighbours_meet_as_matrices(spark, monkeypatch):
     assert got[200] == got[204] == [(None, i) for i in range(5)]
     assert got[201] == [(-1.0, 201)] and 203 not in got and 202 not in got
     assert "CoGroup" in found._jdf.queryExecution().toString()  # pairs are met by matrices, not by rows
+
+
+def test_cells_of_a_small_sample(spark):
+    """Cells look at enough of them for rows that they were not learnt from, among all rows: vectors without structure, a sixth of them sampled."""
+    rng = np.random.default_rng(7)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(6000, 64)))], "chunk_id long, embedding array<float>").repartition(3).cache()
+    cells = indexing.learn_cells(df, sample=1000)
+    queries = df.where("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query"), F.col("embedding").alias("v"))
+    found = indexing.neighbours(indexing.with_cells(df, cells), queries, cells=cells)
+    r = indexing.recall(indexing.neighbours(df, queries), found).first()
+    assert r.queries == 300 and r.recall >= 0.945 and cells.probes < len(cells.centres)
+
+
+def test_copies_rank_by_key_in_all_blocks(spark, monkeypatch):
+    """A product's last bits depend on the shape of its block; copies still rank by key, and no more than k of them leave a block."""
+    monkeypatch.setattr(indexing, "BLOCK", 7)
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(9, 64)).astype(np.float32).tolist()
+    df = spark.createDataFrame([(i, v[i % 9]) for i in range(270)], "chunk_id long, embedding array<float>").repartition(3)
+    asked = df.where("chunk_id < 9 or chunk_id % 50 = 0").selectExpr("chunk_id as query", "embedding as v")
+    for cells in (None, indexing.Cells(np.array(v, float), 9)):
+        got = {}
+        for r in indexing.neighbours(df if cells is None else indexing.with_cells(df, cells), asked, 5, cells).collect():
+            got.setdefault(r.query, []).append(r.chunk_id)
+        assert {q: sorted(c) for q, c in got.items()} == {q: [q % 9 + 9 * j for j in range(5)] for q in got} and len(got) == 14
