@@ -270,24 +270,24 @@ vec AS (SELECT query, parent_id, row_number() OVER (PARTITION BY query ORDER BY
 f AS (SELECT query, parent_id, coalesce(max(1.0::DOUBLE / (60 + v)), 0) + coalesce(max(1.0::DOUBLE / (60 + k)), 0) AS score, max(v) AS v, max(k) AS k FROM (SELECT query, parent_id, rnk AS v, NULL AS k FROM vec UNION ALL SELECT query, parent_id, NULL, rnk FROM kw) WHERE parent_id IN (SELECT doc_id FROM documents) GROUP BY 1, 2)"""
 
 
-def _stored(spark, d):
+def _stored(spark, d, blocks=searching.term_blocks, options=None):
     """Children, the size row and blocks of postings, written to the shared folder as an index is."""
     children = X.children(spark, d)
     stats = written(indexing.sizes(children), "sizes")
-    return children, stats, written(searching.term_blocks(children, stats), "postings")
+    return children, stats, written(blocks(children, stats), "postings", options=options)
 
 
 @query(_WEIGHED + " SELECT query, parent_id, round(score, 6) AS score, CAST(rnk AS INT) AS rnk FROM kw")
 def keyword_questions(spark, d):
     """The keyword leg of every question of the conversations, in one job, over all documents."""
-    _, stats, blocks = _stored(spark, d)
+    _, stats, blocks = _stored(spark, d, searching.range_blocks, searching.FILES)
     return searching.keyword_leg_of_many(X.questions(spark, d), blocks, stats).withColumn("score", F.round("score", 6))
 
 
 @query(_MANY + " SELECT query, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, parent_id) AS INT) AS rank, parent_id, round(score, 6) AS rrf_score, CAST(v AS INT) AS vector_rank, CAST(k AS INT) AS keyword_rank FROM f QUALIFY rank <= 5")
 def hybrid_questions(spark, d):
     """Hybrid search for every question of the conversations, in one job."""
-    children, stats, blocks = _stored(spark, d)
+    children, stats, blocks = _stored(spark, d, searching.range_blocks, searching.FILES)
     found = searching.hybrid(X.questions(spark, d), X.parents(spark, d), blocks, stats, searching.vector_blocks(children))
     return found.withColumn("rrf_score", F.round("rrf_score", 6))
 

@@ -153,3 +153,21 @@ def test_many_questions_in_groups(spark):
     for sizes in ((20, 3), (1000, 1000)):
         assert sorted(map(tuple, searching.keyword_leg_of_many(asked, blocks, stats, 4, children=sizes[0], share=sizes[1]).collect())) == want
     assert len(want) == 44
+
+
+def test_many_questions_meet_packed_blocks(spark):
+    """Blocks of ranges, in rows of few postings, give what blocks of terms give, where bounds of the first groups cut the others: with
+    frequent terms summed late or early, children of one parent, and no row for each question, range or posting."""
+    rng = random.Random(6)
+    words = [f"w{int(rng.paretovariate(0.6)) % 300}" for _ in range(3000)]
+    texts = [(i, None if i % 17 == 0 else i // 3, " ".join(rng.choices(words, k=rng.randint(0, 40)))) for i in range(900)] + [(2000 + i, 700, "w5 w6 w7") for i in range(9)] + [(3000 + i, 800 + i, "w1 w1 w2 w4") for i in range(40)]
+    children = spark.createDataFrame(texts, "chunk_id long, parent_id long, text string").repartition(3)
+    stats = indexing.sizes(children)
+    asked = spark.createDataFrame([(i, list(set(rng.choices(words, k=12)))) for i in range(60)] + [(90, ["w1", "w2"]), (91, ["w5", "w9"])], "query long, terms array<string>")
+    want = sorted(map(tuple, searching.keyword_leg(asked, searching.term_blocks(children, stats, per=16).cache(), stats, 5).collect()))
+    blocks = searching.range_blocks(children, stats, per=32, pack=50).cache()
+    assert blocks.count() > 100 and blocks.agg(F.max(F.size("n"))).first()[0] <= 50
+    assert blocks.agg(F.sum(F.expr("aggregate(n, 0, (a, b) -> a + b)"))).first()[0] == indexing.postings(children).count()
+    for most in (120, 5000):
+        assert sorted(map(tuple, searching.keyword_leg_of_many(asked, blocks, stats, 5, children=most).collect())) == want
+    assert len(want) == 310
