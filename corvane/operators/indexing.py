@@ -190,7 +190,7 @@ def dealt(queries: DataFrame, rows: DataFrame, parts: DataFrame, n: int) -> tupl
     return tuple(side.drop("parts", "deal").groupBy("cell", "block", "share") for side in (asked, rows))
 
 
-def _matrices(names: pa.Array, vectors: pa.Array) -> dict[int, tuple[pa.Array, np.ndarray]]:
+def matrices(names: pa.Array, vectors: pa.Array) -> dict[int, tuple[pa.Array, np.ndarray]]:
     """By width, names and vectors of lists without a null in them."""
     widths, whole = pc.list_value_length(vectors).to_numpy(zero_copy_only=False), np.ones(len(vectors), bool)
     if vectors.flatten().null_count:
@@ -221,7 +221,7 @@ def neighbours(rows: DataFrame, queries: DataFrame, k: int = 10, cells: Cells |
 
     def run(asked: pa.Table, held: pa.Table) -> pa.Table:
         found = [out.empty_table()]
-        sides = [_matrices(t.column(n).combine_chunks(), t.column(v).combine_chunks()) for t, n, v in ((asked, "query", "v"), (held, "key", "embedding"))]
+        sides = [matrices(t.column(n).combine_chunks(), t.column(v).combine_chunks()) for t, n, v in ((asked, "query", "v"), (held, "key", "embedding"))]
         for width in sides[0].keys() & sides[1].keys():
             (query, a), (names, m) = (s[width] for s in sides)
             order = pc.array_sort_indices(names)

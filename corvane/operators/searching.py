@@ -367,11 +367,9 @@ def vector_leg(questions: DataFrame, blocks: DataFrame, cells: indexing.Cells |
     """(query, parent_id, score, rnk): the k parents of each question by the cosine of their nearest child, in the question's nearest
     cells, or among all children where there are no cells.
 
-    Questions go in tiles of about `tile`, dealt by hash, once to each cell that one of them looks at; a tile meets a
-    block in one product of matrices, and only the k best parents of each question leave it.
+    Groups of blocks meet shares of questions as matrices, `tile` questions at a time, and only the k best parents of each question
+    leave a group.
     """
-    n = questions.count()
-    parts = max(1, -(-n // tile))
     kept = questions.where("v is not null").select("query", F.col("v").cast("array<double>").alias("v"))
     kind = kept.schema["query"].dataType
 
@@ -381,30 +379,40 @@ def vector_leg(questions: DataFrame, blocks: DataFrame, cells: indexing.Cells |
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near, pa.list_(pa.int32()))], names=["query", "v", "cells"])
 
     looked = kept.mapInArrow(probes, T.StructType().add("query", kind).add("v", T.ArrayType(T.DoubleType())).add("cells", T.ArrayType(T.IntegerType())))
-    met = looked.select(F.pmod(F.xxhash64("query"), F.lit(parts)).alias("tile"), "query", "v", F.explode("cells").alias("cell"))
-    tiles = met.groupBy("tile", "cell").agg(F.collect_list(F.struct("query", "v")).alias("asked"))  # about `tile` questions
+    asked = looked.select("query", "v", F.explode("cells").alias("cell"), F.col("query").alias("deal"))
+    held = blocks.select("cell", "parent_ids", "vectors", F.element_at("chunk_ids", 1).alias("deal"))
+    parts = blocks.groupBy("cell").agg(F.ceil(F.sum(F.size("chunk_ids")) / indexing.BLOCK).alias("parts"))
+    sides = indexing.dealt(asked, held, parts, questions.count())
     schema = T.StructType().add("query", kind).add("parent_id", blocks.schema["parent_ids"].dataType.elementType).add("score", T.DoubleType())
     out = _arrow(schema)
 
-    def run(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                asked, parents, vectors = (batch.column(j)[i].as_py() for j in range(3))
-                for width in {len(q["v"]) for q in asked}:  # vectors of another width are no neighbours
-                    sound = [j for j, v in enumerate(vectors) if len(v) == width and None not in v]
-                    same = [q for q in asked if len(q["v"]) == width]
-                    a, m = np.array([q["v"] for q in same], float).reshape(len(same), width), np.array([vectors[j] for j in sound], float).reshape(len(sound), width)
-                    norm = np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(m, axis=1)[None, :]
-                    near = np.where(norm > 0, (a @ m.T / np.where(norm > 0, norm, 1)).round(DIGITS), -np.inf)
-                    names = sorted({parents[j] for j in sound})
-                    number = {p: j for j, p in enumerate(names)}
-                    best = np.full((len(same), len(names)), -np.inf)
-                    np.maximum.at(best, (slice(None), np.array([number[parents[j]] for j in sound], int)), near)
-                    for q, row in zip(same, best, strict=True):
-                        top = [j for j in np.lexsort((np.arange(len(names)), -row))[:k] if row[j] > -np.inf]
-                        yield pa.RecordBatch.from_arrays([pa.array([q["query"]] * len(top), out.field(0).type), pa.array([names[j] for j in top], out.field(1).type), pa.array(row[top], pa.float64())], schema=out)
-
-    found = tiles.join(blocks, "cell").select("asked", "parent_ids", "vectors").mapInArrow(run, schema)
+    def run(asked: pa.Table, held: pa.Table) -> pa.Table:
+        found = [out.empty_table()]
+        if not asked.num_rows or not held.num_rows:
+            return found[0]
+        parents, vectors = (held.column(c).combine_chunks().flatten() for c in ("parent_ids", "vectors"))
+        sides = [indexing.matrices(n, v) for n, v in ((asked.column("query").combine_chunks(), asked.column("v").combine_chunks()), (parents, vectors))]
+        for width in sides[0].keys() & sides[1].keys():  # vectors of another width are no neighbours
+            (query, a), (names, m) = (side[width] for side in sides)
+            order = pc.array_sort_indices(names)
+            coded, m = names.take(order).dictionary_encode(), m[order.to_numpy()]
+            names, parent = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+            starts, take = np.searchsorted(parent, np.arange(len(names))), min(k, len(names))
+            length = np.linalg.norm(m, axis=1)
+            for i in range(0, len(a), tile):
+                some = a[i : i + tile]
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    near = some @ m.T / (np.linalg.norm(some, axis=1)[:, None] * length)
+                near[~np.isfinite(near)] = -np.inf
+                best = np.maximum.reduceat(near, starts, axis=1) if len(names) < len(parent) else near
+                least = np.partition(best, len(names) - take, axis=1)[:, [len(names) - take]] - SLACK
+                q, p = np.nonzero((best >= least) & (best > -np.inf))
+                score = best[q, p].round(DIGITS)
+                of = _kept(q, p, score, k)
+                found.append(pa.Table.from_arrays([query.take(pa.array(q[of] + i)), names.take(pa.array(p[of])), pa.array(score[of])], schema=out))
+        return pa.concat_tables(found)
+
+    found = sides[0].cogroup(sides[1]).applyInArrow(run, schema)
     best = found.groupBy("query", "parent_id").agg(F.round(F.max("score"), DIGITS).alias("score"))
     return _ranked(best, [F.desc("score"), F.col("parent_id")], k)
 

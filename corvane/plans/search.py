@@ -288,7 +288,7 @@ def keyword_questions(spark, d):
 def hybrid_questions(spark, d):
     """Hybrid search for every question of the conversations, in one job."""
     children, stats, blocks = _stored(spark, d, searching.range_blocks, searching.FILES)
-    found = searching.hybrid(X.questions(spark, d), X.parents(spark, d), blocks, stats, searching.vector_blocks(children))
+    found = searching.hybrid(X.questions(spark, d), X.parents(spark, d), blocks, stats, written(searching.vector_blocks(children), "vectors"))
     return found.withColumn("rrf_score", F.round("rrf_score", 6))
 
 

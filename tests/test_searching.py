@@ -171,3 +171,11 @@ def test_many_questions_meet_packed_blocks(spark):
     for most in (120, 5000):
         assert sorted(map(tuple, searching.keyword_leg_of_many(asked, blocks, stats, 5, children=most).collect())) == want
     assert len(want) == 310
+
+
+def test_vectors_meet_in_groups_of_blocks(spark, corpus):
+    """Blocks without cells have one cell: they are dealt, not met by it in one task, and give what one block gives."""
+    one = searching.vector_leg(asked(spark), searching.vector_blocks(corpus), k=7)
+    some = searching.vector_leg(asked(spark), searching.vector_blocks(corpus, rows=40), k=7, tile=3)
+    assert "CoGroup" in some._jdf.queryExecution().toString()
+    assert sorted(map(tuple, some.collect())) == sorted(map(tuple, one.collect()))
