@@ -295,7 +295,8 @@ def keyword_leg_of_many(questions: DataFrame, blocks: DataFrame, stats: DataFram
     counts = blocks.select(F.inline(F.arrays_zip(F.col("terms").alias("term"), "n")))
     known = counts.groupBy("term").agg(F.sum("n").alias("df")).select("term", F.log(1 + (F.lit(n) - df + 0.5) / (df + 0.5)).alias("idf"))
     told = written(asked.join(known, "term").groupBy("query").agg(F.collect_list("term").alias("terms"), F.collect_list("idf").alias("idf")), "told")  # a question's terms
-    groups, count, tasks = max(1, -(-n // children)), told.count(), 4 * questions.sparkSession.sparkContext.defaultParallelism
+    count, tasks = told.count(), 2 * questions.sparkSession.sparkContext.defaultParallelism
+    groups = max(1, -(-n // children), min(tasks, 8 * n // children))  # smaller ones rather than many shares, to each of which postings are sent
     first = int(np.ceil(groups**0.5))
     schema = T.StructType().add("query", questions.schema["query"].dataType).add("parent_id", blocks.schema["parent_ids"].dataType.elementType).add("score", T.DoubleType())
     out = _arrow(schema)
