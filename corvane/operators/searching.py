@@ -31,7 +31,7 @@ from corvane.session import written
 #: Children of a range, ranges that give a question's first bound, vectors of a block, questions that meet a block at a time.
 RANGE, FIRST, ROWS, TILE = 128, 8, 1024, 256
 #: Of many questions: children of a range and of a group, questions of a share at most, and at least where shares are made for more tasks.
-WIDE, CHILDREN, SHARE, LEAST = 1024, 1 << 14, 1 << 16, 256
+WIDE, CHILDREN, SHARE, LEAST = 1024, 1 << 13, 1 << 16, 256
 #: Postings of a row of packed blocks, about, and how their files are written.
 PACK, FILES = 1 << 18, {"maxRecordsPerFile": "8"}
 #: Terms whose weights are kept for all children of a group, and what share of the children have them at least (one in so many); children of one parent up to which bounds are by child.
@@ -209,14 +209,20 @@ class _Postings:
         chunks = len(chunk.dictionary) + 1
         pairs, child = np.unique(place[parent.indices.fill_null(len(order)).to_numpy()] * chunks + chunk.indices.fill_null(chunks - 1).to_numpy(), return_inverse=True)
         pairs = pairs[: np.searchsorted(pairs, len(order) * chunks)]
-        sizes = pc.list_value_length(held.column("chunk_ids")).to_numpy()
-        at, weight = (np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in held.column(c)]) for c, kind in (("at", "<i4"), ("weights", "<f8")))
-        at = child[at + np.repeat(np.cumsum(sizes) - sizes, [len(x.as_buffer()) // 4 for x in held.column("at")])]
-        term = np.repeat(pc.index_in(said, value_set=terms).fill_null(-1).to_numpy().astype(np.int64), n.to_numpy())
-        some = np.flatnonzero((term >= 0) & (at < len(pairs)))
-        order = some[np.argsort(term[some] * max(1, len(pairs)) + at[some], kind="stable")]
+        code, n = pc.index_in(said, value_set=terms).fill_null(-1).to_numpy(), n.to_numpy()
+        sizes, counts = (np.append(0, np.cumsum(pc.list_value_length(held.column(c)).to_numpy())) for c in ("chunk_ids", "n"))
+        found = []
+        for i in range(held.num_rows):  # what isn't asked for goes row by row
+            of, times = code[counts[i] : counts[i + 1]], n[counts[i] : counts[i + 1]]
+            at, weight = (np.frombuffer(held.column(c)[i].as_buffer(), kind) for c, kind in (("at", "<i4"), ("weights", "<f8")))
+            at = child[at + sizes[i]].astype(np.int32)
+            some = np.repeat(of >= 0, times) & (at < len(pairs))
+            found.append((np.repeat(of, times)[some], at[some], weight[some]))
+        term, at, weight = (np.concatenate(x) for x in zip(*found, strict=True))
+        del found
+        order = np.argsort(term.astype(np.int64) * max(1, len(pairs)) + at, kind="stable")
         term = term[order]
-        return _Postings(np.searchsorted(term, np.arange(len(terms) + 1)), at[order], weight[order] * idf[term], pairs // chunks, parent.dictionary.take(pc.array_sort_indices(parent.dictionary)))
+        return _Postings(np.searchsorted(term, np.arange(len(terms) + 1)), at[order].astype(np.int64), weight[order] * idf[term], pairs // chunks, parent.dictionary.take(pc.array_sort_indices(parent.dictionary)))
 
     def best(self, codes: np.ndarray, ends: np.ndarray, least: np.ndarray, k: int):
         """(question, parent, score), in pieces: the k best parents of questions whose terms are codes[ends[i] : ends[i + 1]].
